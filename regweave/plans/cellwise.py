@@ -1,0 +1,170 @@
+"""Lock-step boosting on cells: any depth, exact row sampling, any number of cells.
+
+The state is ``(target, cell, res, node)``. A level joins it with the binned regulator values by cell,
+sums residuals per (target, node, regulator, bin) map-side, and picks the best split of every node.
+This is the general engine; stumps without row sampling need no cells and go through moments.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from regweave.operators.features import Binned
+from regweave.operators.matrix import densify
+from regweave.operators.skew import salted_join
+from regweave.operators.splits import best_splits
+from regweave.params import BoostParams
+from regweave.plans.kernel import column_mask
+from regweave.session import materialize
+
+
+def _in_sample(params: BoostParams, round_nr: int) -> Column:
+    """Seeded coin per (round, cell), the same for all targets."""
+    if params.subsample >= 1:
+        return F.lit(True)
+    coin = F.pmod(F.xxhash64(F.lit(params.seed), F.lit(round_nr), F.col("cell")), F.lit(1_000_003))
+    return coin < int(params.subsample * 1_000_003)
+
+
+def boost_cells(
+    values: DataFrame,
+    indexed_cells: DataFrame,
+    binned: Binned,
+    params: BoostParams,
+    rounds: int,
+    targets: DataFrame | None = None,
+    test_cells: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """(split log, loss table or None).
+
+    ``indexed_cells`` is ``(cell, new_cell)`` over all cells. With ``test_cells`` the fit leaves those
+    out and the loss table is ``target, round, train_loss, test_loss``. The split log has a ``node``
+    column: 0 is the root, children of k are 2k+1 and 2k+2.
+    """
+    spark = values.sparkSession
+    if targets is not None:
+        values = values.join(targets, "gene", "left_semi")
+    nr_cells = indexed_cells.count()
+    nr_regulators = binned.regulators.count()
+    lookup = binned.cells.select("cell", "ridx", "bin")
+    own = binned.regulators.select(F.col("regulator").alias("target"), F.col("ridx").alias("self_ridx"))
+    scale = values.groupBy(F.col("gene").alias("target")).agg((F.sum(F.col("value") * F.col("value")) + 1.0).alias("scale"))
+    per_target = materialize(
+        scale.join(own, "target", "left").select("target", "scale", F.coalesce("self_ridx", F.lit(-1)).alias("self_ridx"))
+    )
+    sparse = values.join(indexed_cells, "cell").select("gene", F.col("new_cell").alias("cell"), "value")
+    state = (
+        densify(sparse, nr_cells)
+        .withColumnRenamed("cell", "new_cell")
+        .join(indexed_cells, "new_cell")
+        .select(F.col("gene").alias("target"), "cell", (F.col("value") - params.base_score).alias("res"))
+    )
+    if test_cells is None:
+        state = state.withColumn("test", F.lit(False))
+    else:
+        marks = test_cells.select("cell", F.lit(True).alias("_t"))
+        state = state.join(marks, "cell", "left").withColumn("test", F.coalesce("_t", F.lit(False))).drop("_t")
+    state = materialize(state)
+    logs, losses = [], []
+    for t in range(rounds):
+        mask = column_mask(nr_regulators, params.colsample_bytree, params.seed, t)
+        offered = lookup
+        if mask is not None:
+            names = spark.createDataFrame([(int(i),) for i in mask.nonzero()[0]], "ridx int")
+            offered = lookup.join(names, "ridx", "left_semi")
+        grown = state.withColumn("node", F.lit(0)).withColumn("fit", ~F.col("test") & _in_sample(params, t))
+        levels: list[DataFrame] = []
+        for depth in range(params.max_depth):
+            first = (1 << depth) - 1
+            active = grown.filter(F.col("fit") & (F.col("node") >= first))
+            hist = (
+                salted_join(active.select("target", "cell", "node", "res"), offered, "cell", "target")
+                .groupBy("target", "node", "ridx", "bin")
+                .agg(F.sum("res").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+            )
+            sums = (
+                active.groupBy("target", "node")
+                .agg(F.sum("res").alias("tot"), F.count(F.lit(1)).cast("double").alias("cnt"))
+                .join(per_target, "target")
+            )
+            found = materialize(
+                best_splits(hist, sums, ["target", "node"], params).filter(F.col("ridx").isNotNull())
+            )
+            levels.append(found)
+            step = found.select("target", "node", "ridx", F.col("bin").alias("cut"), "d")
+            grown = (
+                grown.join(step, ["target", "node"], "left")
+                .join(lookup, ["cell", "ridx"], "left")
+                .withColumn(
+                    "node",
+                    F.when(F.col("ridx").isNull(), F.col("node")).otherwise(
+                        2 * F.col("node")
+                        + F.when(F.coalesce(F.col("bin") <= F.col("cut"), F.col("d") == 1), 1).otherwise(2)
+                    ),
+                )
+                .drop("ridx", "cut", "d", "bin")
+            )
+        if params.gamma > 0:
+            levels, grown = _prune(levels, grown, params.gamma)
+        leaves = (
+            grown.filter("fit")
+            .groupBy("target", "node")
+            .agg((F.lit(params.eta) * F.sum("res") / (F.count(F.lit(1)) + params.reg_lambda)).alias("w"))
+        )
+        state = materialize(
+            grown.join(leaves, ["target", "node"], "left").select(
+                "target", "cell", (F.col("res") - F.coalesce("w", F.lit(0.0))).alias("res"), "test"
+            )
+        )
+        logs += [lv.withColumn("round", F.lit(t)) for lv in levels]
+        if test_cells is not None:
+            square = F.col("res") * F.col("res")
+            losses.append(
+                state.groupBy("target")
+                .agg(
+                    F.sqrt(F.avg(F.when(~F.col("test"), square))).alias("train_loss"),
+                    F.sqrt(F.avg(F.when(F.col("test"), square))).alias("test_loss"),
+                )
+                .withColumn("round", F.lit(t))
+            )
+    thresholds = binned.features.select("ridx", "bin", "regulator", "threshold")
+    log = (
+        reduce(DataFrame.unionByName, logs)
+        .join(thresholds, ["ridx", "bin"])
+        .select("target", "round", "node", "regulator", "threshold", F.col("d").alias("missing_left"), "gain", "cover")
+    )
+    table = materialize(reduce(DataFrame.unionByName, losses)) if losses else None
+    return log, table
+
+
+def _prune(levels: list[DataFrame], grown: DataFrame, gamma: float) -> tuple[list[DataFrame], DataFrame]:
+    """Bottom-up: a split below ``gamma`` whose children are leaves becomes a leaf."""
+    kept: list[DataFrame] = []
+    below: DataFrame | None = None
+    for found in reversed(levels):
+        stays = F.col("gain") >= gamma
+        if below is None:
+            marked = found.withColumn("_keep", stays)
+        else:
+            parents = below.select(
+                "target", F.floor((F.col("node") - 1) / 2).cast("int").alias("node"), F.lit(True).alias("_child")
+            ).distinct()
+            marked = found.join(parents, ["target", "node"], "left").withColumn(
+                "_keep", stays | F.coalesce("_child", F.lit(False))
+            ).drop("_child")
+        marked = materialize(marked)
+        cut = marked.filter(~F.col("_keep")).select("target", F.col("node").alias("_up"))
+        parent = F.when(F.col("node") > 0, F.floor((F.col("node") - 1) / 2).cast("int"))
+        grown = (
+            grown.withColumn("_parent", parent)
+            .join(cut, (grown["target"] == cut["target"]) & (F.col("_parent") == F.col("_up")), "left")
+            .drop(cut["target"])
+            .withColumn("node", F.coalesce("_up", "node"))
+            .drop("_parent", "_up")
+        )
+        below = marked.filter("_keep").drop("_keep")
+        kept.append(below)
+    return list(reversed(kept)), grown

@@ -1,0 +1,168 @@
+"""The per-target boosting step on moments: a small numpy helper used inside Spark tasks.
+
+Spark computes, aggregates and distributes the moments; a task only folds the rounds of its own
+targets. Cells are never seen here.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+TIE = 1e-9  # gains closer than this, relative to the target's sum of squares, count as equal
+
+
+def column_mask(nr_regulators: int, fraction: float, seed: int, round_nr: int) -> np.ndarray | None:
+    """Regulators offered in a round, the same for all targets; ``None`` = all."""
+    if fraction >= 1.0:
+        return None
+    keep = max(1, int(fraction * nr_regulators))
+    mask = np.zeros(nr_regulators, dtype=bool)
+    mask[np.random.default_rng([seed, round_nr]).permutation(nr_regulators)[:keep]] = True
+    return mask
+
+
+def sampled_groups(train: tuple[int, ...], fraction: float, seed: int, round_nr: int) -> tuple[int, ...]:
+    """Cell groups that take part in a round's fit."""
+    if fraction >= 1.0:
+        return train
+    keep = max(1, round(fraction * len(train)))
+    order = np.random.default_rng([seed, round_nr, 1]).permutation(len(train))[:keep]
+    return tuple(sorted(train[i] for i in order))
+
+
+class Moments:
+    """Shared counts as arrays. Groups of one phase are contiguous: ``phase * per_phase + sub``."""
+
+    def __init__(self, starts, n_group, n_feature, co_ptr, co_col, co_n, per_phase, train, params):
+        self.starts = starts  # first feature of each regulator, plus the end
+        self.rid = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        self.n_group = n_group  # (groups,)
+        self.n_feature = n_feature  # (groups, features)
+        self.co_ptr, self.co_col, self.co_n = co_ptr, co_col, co_n  # rows: group * features + f
+        self.per_phase, self.train, self.params = per_phase, train, params
+        self._sides = {}
+
+    @property
+    def nr_features(self) -> int:
+        return len(self.rid)
+
+    def sides(self, groups: tuple[int, ...]):
+        """Counts left of every threshold for both default directions; reused between rounds."""
+        if groups not in self._sides:
+            if len(self._sides) > 64:
+                self._sides.clear()
+            p = self.params
+            n = self.n_feature[list(groups)].sum(axis=0)
+            total = self.n_group[list(groups)].sum()
+            left0 = self.running(n)
+            missing = total - left0[self.starts[1:] - 1]
+            left1 = left0 + missing[self.rid]
+            floor = max(p.min_child_weight, 1e-12)
+            out = []
+            for left in (left0, left1):
+                right = total - left
+                bad = np.where((left < floor) | (right < floor), -np.inf, 0.0)
+                out.append((left, 1.0 / (left + p.reg_lambda), 1.0 / (right + p.reg_lambda), bad))
+            self._sides[groups] = (total, out)
+        return self._sides[groups]
+
+    def running(self, x: np.ndarray) -> np.ndarray:
+        """Running sums within each regulator."""
+        c = np.cumsum(x)
+        before = np.concatenate(([0.0], c))[self.starts[:-1]]
+        return c - before[self.rid]
+
+    def moved(self, group: int, first: int, last: int) -> np.ndarray:
+        """Cells of every feature that also lie in features ``first..last`` of one regulator."""
+        row = group * self.nr_features
+        a, b = self.co_ptr[row + first], self.co_ptr[row + last + 1]
+        return np.bincount(self.co_col[a:b], weights=self.co_n[a:b], minlength=self.nr_features)
+
+
+class TargetFit:
+    """Residual moments of one target; ``s[g, f]``, ``tot[g]``, ``sse[g]`` over its phase's groups."""
+
+    def __init__(self, m: Moments, phase: int, self_ridx: int, idx, val, y, yy):
+        self.m, self.self_ridx = m, self_ridx
+        self.g0 = phase * m.per_phase
+        p0 = m.params.base_score
+        k, nf = m.per_phase, m.nr_features
+        here = slice(self.g0, self.g0 + k)
+        self.n = m.n_group[here]
+        self.s = np.bincount(np.asarray(idx, dtype=np.int64), weights=val, minlength=k * nf).reshape(k, nf)
+        self.s -= p0 * m.n_feature[here]
+        self.tot = np.asarray(y, dtype=float) - p0 * self.n
+        self.sse = np.asarray(yy, dtype=float) - 2 * p0 * np.asarray(y, dtype=float) + p0 * p0 * self.n
+        self.scale = float(np.sum(yy)) + 1.0
+
+    def gains(self, subs: tuple[int, ...]):
+        """Gain of every threshold for both default directions, and the left sums."""
+        m = self.m
+        total_n, sides = m.sides(tuple(self.g0 + u for u in subs))
+        s = self.s[subs[0]] if len(subs) == 1 else self.s[list(subs)].sum(axis=0)
+        total = self.tot[list(subs)].sum()
+        left0 = m.running(s)
+        missing = total - left0[m.starts[1:] - 1]
+        base = total * total / (total_n + m.params.reg_lambda)
+        lefts = (left0, left0 + missing[m.rid])
+        gains = np.empty((2, m.nr_features))
+        for d, (left, (_, inv_l, inv_r, bad)) in enumerate(zip(lefts, sides)):
+            right = total - left
+            gains[d] = left * left * inv_l + right * right * inv_r - base + bad
+        if self.self_ridx >= 0:
+            gains[:, m.starts[self.self_ridx] : m.starts[self.self_ridx + 1]] = -np.inf
+        return gains, lefts, total, total_n
+
+    def best_per_regulator(self) -> np.ndarray:
+        gains, *_ = self.gains(self.m.train)
+        return np.maximum.reduceat(gains.max(axis=0), self.m.starts[:-1])
+
+    def fit_round(self, round_nr: int):
+        """Choose the split of one round: (f or -1, default, w_left, w_right, gain, cover)."""
+        m, p = self.m, self.m.params
+        subs = sampled_groups(m.train, p.subsample, p.seed, round_nr)
+        gains, lefts, total, total_n = self.gains(subs)
+        mask = column_mask(len(m.starts) - 1, p.colsample_bytree, p.seed, round_nr)
+        if mask is not None:
+            gains[:, ~mask[m.rid]] = -np.inf
+        flat = gains.T.ravel()  # threshold first, then default direction
+        top = flat.max()
+        if not top > max(p.min_gain, 0.0) or top < p.gamma:
+            w = p.eta * total / (total_n + p.reg_lambda)
+            return -1, 0, w, w, 0.0, float(total_n)
+        near = np.flatnonzero(flat >= top - TIE * self.scale)
+        keys = np.round(flat[near] / self.scale, 9)
+        pick = int(near[np.argmax(keys)])
+        f, d = divmod(pick, 2)
+        _, sides = m.sides(tuple(self.g0 + u for u in subs))
+        left, inv_l, inv_r = lefts[d][f], sides[d][1][f], sides[d][2][f]
+        return f, d, p.eta * left * inv_l, p.eta * (total - left) * inv_r, float(flat[pick]), float(total_n)
+
+    def apply(self, f: int, d: int, w_left: float, w_right: float) -> None:
+        """Subtract the round's leaf values from all residual moments."""
+        m = self.m
+        for u in range(m.per_phase):
+            g = self.g0 + u
+            if f < 0:
+                self.sse[u] += -2 * w_left * self.tot[u] + w_left * w_left * self.n[u]
+                self.s[u] -= w_left * m.n_feature[g]
+                self.tot[u] -= w_left * self.n[u]
+                continue
+            a, b = m.starts[m.rid[f]], m.starts[m.rid[f] + 1]
+            n_left = m.n_feature[g, a : f + 1].sum()
+            s_left = self.s[u, a : f + 1].sum()
+            moved = m.moved(g, a, f)
+            if d:
+                n_left += self.n[u] - m.n_feature[g, a:b].sum()
+                s_left += self.tot[u] - self.s[u, a:b].sum()
+                moved = moved + m.n_feature[g] - m.moved(g, a, b - 1)
+            n_right, s_right = self.n[u] - n_left, self.tot[u] - s_left
+            self.sse[u] += (
+                -2 * (w_left * s_left + w_right * s_right) + w_left**2 * n_left + w_right**2 * n_right
+            )
+            self.s[u] -= w_right * m.n_feature[g] + (w_left - w_right) * moved
+            self.tot[u] -= w_right * self.n[u] + (w_left - w_right) * n_left
+
+    def rmse(self, subs) -> float:
+        n = self.n[list(subs)].sum()
+        return float(np.sqrt(max(self.sse[list(subs)].sum(), 0.0) / n)) if n else float("nan")

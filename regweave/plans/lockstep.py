@@ -1,0 +1,141 @@
+"""Stump boosting in lock step over all targets, with joins, windows and grouped maxima only.
+
+Nothing is collected or broadcast by hand, so there is no bound on regulators, bins or targets. The
+state is ``(target, f, s)``: residual sums per feature. A round picks every target's best split and
+subtracts the chosen leaf values through the shared-count table; cells are not touched.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from regweave.operators.features import Binned, feature_counts, shared_counts, target_moments, target_totals
+from regweave.operators.splits import best_splits
+from regweave.params import BoostParams
+from regweave.plans.kernel import column_mask
+from regweave.session import materialize, write_once
+
+
+def boost_lockstep(
+    values: DataFrame,
+    cells: DataFrame,
+    binned: Binned,
+    params: BoostParams,
+    rounds: int,
+    targets: DataFrame | None = None,
+) -> DataFrame:
+    """Split log ``target, round, regulator, threshold, missing_left, gain, cover``."""
+    if params.max_depth != 1 or params.subsample < 1:
+        raise ValueError("the lock-step engine fits stumps on all cells")
+    spark = values.sparkSession
+    if targets is not None:
+        values = values.join(targets, "gene", "left_semi")
+    groups = cells.select("cell", F.lit(0).alias("grp"))
+    nr_cells = cells.count()
+    nr_features = binned.features.count()
+    nr_regulators = binned.regulators.count()
+    p0 = params.base_score
+
+    counts = write_once(
+        feature_counts(groups, binned).join(binned.features, "f").select("f", "ridx", "bin", F.col("n").cast("double").alias("n")),
+        "feature-counts",
+    )
+    shared = write_once(
+        shared_counts(groups, binned)
+        .join(binned.features.select(F.col("f").alias("fa"), F.col("ridx").alias("ra"), F.col("bin").alias("ba")), "fa")
+        .select("ra", "ba", F.col("fb").alias("f"), F.col("n").cast("double").alias("co")),
+        "shared-counts",
+    )
+    own = binned.regulators.select(F.col("regulator").alias("target"), F.col("ridx").alias("self_ridx"))
+    totals = (
+        target_totals(values, groups)
+        .join(own, "target", "left")
+        .select(
+            "target",
+            (F.col("y") - p0 * nr_cells).alias("tot"),
+            F.lit(float(nr_cells)).alias("cnt"),
+            (F.col("yy") + 1.0).alias("scale"),
+            F.coalesce("self_ridx", F.lit(-1)).alias("self_ridx"),
+        )
+    )
+    totals = materialize(totals)
+    # every target meets every feature: that table is the size of the answer times the bins
+    grid = totals.select("target", F.explode(F.sequence(F.lit(0), F.lit(nr_features - 1))).alias("f"))
+    state = materialize(
+        grid.join(target_moments(values, groups, binned).drop("grp"), ["target", "f"], "left")
+        .join(counts.select("f", "n"), "f")
+        .select("target", "f", (F.coalesce("y", F.lit(0.0)) - p0 * F.col("n")).alias("s"))
+    )
+    logs = []
+    for t in range(rounds):
+        hist = state.join(counts, "f")
+        mask = column_mask(nr_regulators, params.colsample_bytree, params.seed, t)
+        if mask is not None:
+            offered = spark.createDataFrame([(int(i),) for i in mask.nonzero()[0]], "ridx int")
+            hist = hist.join(offered, "ridx", "left_semi")
+        chosen = best_splits(hist, totals, ["target"], params)
+        kept = F.col("ridx").isNotNull() & (F.col("gain") >= params.gamma)
+        chosen = materialize(
+            chosen.select(
+                "target",
+                F.when(kept, F.col("ridx")).alias("ra"),
+                "bin",
+                "d",
+                "gain",
+                "cover",
+                F.when(kept, F.col("wl")).otherwise(F.col("leaf")).alias("wl"),
+                F.when(kept, F.col("wr")).otherwise(F.col("leaf")).alias("wr"),
+            )
+        )
+        logs.append(chosen.filter(F.col("ra").isNotNull()).withColumn("round", F.lit(t)))
+        moved = (
+            chosen.join(shared, "ra")
+            .groupBy("target", "f")
+            .agg(
+                F.sum(F.when(F.col("ba") <= F.col("bin"), F.col("co")).otherwise(0.0)).alias("near"),
+                F.sum("co").alias("any"),
+            )
+        )
+        near, every = F.coalesce("near", F.lit(0.0)), F.coalesce("any", F.lit(0.0))
+        left = near + F.coalesce("d", F.lit(0)) * (F.col("n") - every)
+        updates = (
+            chosen.join(counts.select(F.col("ridx").alias("ra"), F.col("bin").alias("ba"), "n"), "ra", "left")
+            .groupBy("target")
+            .agg(
+                F.first("wl").alias("wl"),
+                F.first("wr").alias("wr"),
+                F.first("d").alias("d"),
+                F.coalesce(F.sum(F.when(F.col("ba") <= F.col("bin"), F.col("n"))), F.lit(0.0)).alias("near"),
+                F.coalesce(F.sum("n"), F.lit(0.0)).alias("any"),
+            )
+        )
+        n_left = F.col("near") + F.coalesce("d", F.lit(0)) * (F.col("cnt") - F.col("any"))
+        totals = materialize(
+            totals.join(updates, "target").select(
+                "target",
+                (F.col("tot") - (F.col("wr") * F.col("cnt") + (F.col("wl") - F.col("wr")) * n_left)).alias("tot"),
+                "cnt",
+                "scale",
+                "self_ridx",
+            )
+        )
+        if t + 1 < rounds:
+            state = materialize(
+                state.join(chosen.select("target", "wl", "wr", "d"), "target")
+                .join(moved, ["target", "f"], "left")
+                .join(counts.select("f", "n"), "f")
+                .select(
+                    "target",
+                    "f",
+                    (F.col("s") - (F.col("wr") * F.col("n") + (F.col("wl") - F.col("wr")) * left)).alias("s"),
+                )
+            )
+    thresholds = binned.features.select(F.col("ridx").alias("ra"), "bin", "regulator", "threshold")
+    return (
+        reduce(DataFrame.unionByName, logs)
+        .join(thresholds, ["ra", "bin"])
+        .select("target", "round", "regulator", "threshold", F.col("d").alias("missing_left"), "gain", "cover")
+    )

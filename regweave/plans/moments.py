@@ -1,0 +1,230 @@
+"""Stump boosting on moments: all rounds of a target fold inside one task.
+
+The cells are reduced once to moments (:mod:`regweave.operators.features`); the rounds then need only
+the target's own moments and the shared feature counts. Those counts do not grow with the number of
+cells, are checked against ``max_shared`` before they are collected, and are broadcast. Beyond the
+bound :mod:`regweave.plans.lockstep` does the same with joins only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from regweave.operators.features import (
+    Binned,
+    feature_counts,
+    shared_counts,
+    shared_counts_bound,
+    target_moments,
+    target_totals,
+)
+from regweave.params import BoostParams
+from regweave.plans.kernel import Moments, TargetFit
+
+MAX_SHARED = 16_000_000  # rows of the shared-count table that may be broadcast (16 bytes each)
+MAX_FEATURES = 1_000_000
+
+LOG_FIELDS = "round array<int>, f array<int>, d array<int>, wl array<double>, wr array<double>, gain array<double>, cover array<double>"
+OUT_SCHEMA = f"phase int, target string, {LOG_FIELDS}, train_loss array<double>, test_loss array<double>"
+
+
+def fits_broadcast(binned: Binned, groups: DataFrame, max_shared: int = MAX_SHARED) -> bool:
+    nr_features = binned.features.count()
+    return nr_features <= MAX_FEATURES and shared_counts_bound(groups, binned) <= max_shared
+
+
+def _collect_moments(
+    binned: Binned, groups: DataFrame, per_phase: int, nr_phases: int, train: tuple[int, ...], params: BoostParams
+) -> dict:
+    """The bounded, checked collect: counts per feature and shared counts, as plain arrays."""
+    feats = binned.features.select("f", "ridx").toPandas().sort_values("f")
+    nf, nr = len(feats), int(feats["ridx"].max()) + 1
+    starts = np.searchsorted(feats["ridx"].to_numpy(), np.arange(nr + 1)).astype(np.int64)
+    ng = per_phase * nr_phases
+    n_group = np.zeros(ng)
+    for g, n in groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).toPandas().itertuples(index=False):
+        n_group[int(g)] = n
+    n_feature = np.zeros((ng, nf))
+    fc = feature_counts(groups, binned).toPandas()
+    n_feature[fc["grp"].to_numpy(np.int64), fc["f"].to_numpy(np.int64)] = fc["n"].to_numpy(float)
+    co = shared_counts(groups, binned).select("grp", "fa", "fb", F.col("n").cast("float")).toPandas()
+    key = co["grp"].to_numpy(np.int64) * nf + co["fa"].to_numpy(np.int64)
+    order = np.argsort(key, kind="stable")
+    ptr = np.searchsorted(key[order], np.arange(ng * nf + 1)).astype(np.int64)
+    return {
+        "starts": starts,
+        "n_group": n_group,
+        "n_feature": n_feature,
+        "co_ptr": ptr,
+        "co_col": co["fb"].to_numpy(np.int32)[order],
+        "co_n": co["n"].to_numpy(np.float32)[order],
+        "per_phase": per_phase,
+        "train": train,
+    }
+
+
+def _start(m: Moments, r) -> TargetFit:
+    """Residual moments of one input row before the first round."""
+    y, yy = np.zeros(m.per_phase), np.zeros(m.per_phase)
+    if r.tu is not None:
+        y[np.asarray(r.tu, int)] = r.ty
+        yy[np.asarray(r.tu, int)] = r.tyy
+    idx, val = ([], []) if r.idx is None else (r.idx, r.val)
+    return TargetFit(m, r.phase, r.self_ridx, idx, val, y, yy)
+
+
+class MomentBooster:
+    """Holds the broadcast counts and the initial moments of the targets.
+
+    ``groups`` is ``(cell, grp)``; group ``phase * per_phase + sub``. ``train`` lists the subs that are
+    fitted; the others only get their loss tracked.
+    """
+
+    def __init__(
+        self,
+        values: DataFrame,
+        groups: DataFrame,
+        binned: Binned,
+        params: BoostParams,
+        per_phase: int = 1,
+        nr_phases: int = 1,
+        train: tuple[int, ...] = (0,),
+        nr_partitions: int | None = None,
+        targets: DataFrame | None = None,
+    ):
+        spark = values.sparkSession
+        self.binned, self.params = binned, params
+        self.train = train
+        self.test = tuple(u for u in range(per_phase) if u not in train)
+        arrays = _collect_moments(binned, groups, per_phase, nr_phases, train, params)
+        self.nr_features = arrays["n_feature"].shape[1]
+        self.shared = spark.sparkContext.broadcast(arrays)
+        self.nr_partitions = nr_partitions or 4 * spark.sparkContext.defaultParallelism
+        self.rows = self._target_rows(values, groups, per_phase, nr_phases, targets)
+
+    def _target_rows(self, values, groups, per_phase, nr_phases, targets) -> DataFrame:
+        """One row per (phase, target): sparse moments, totals by sub, own regulator index."""
+        if targets is not None:
+            values = values.join(targets, "gene", "left_semi")
+        nf = self.nr_features
+        sub = F.pmod(F.col("grp"), F.lit(per_phase)).cast("int")
+        phase = F.floor(F.col("grp") / per_phase).cast("int")
+        sums = (
+            target_moments(values, groups, self.binned)
+            .groupBy(phase.alias("phase"), "target")
+            .agg(F.collect_list(F.struct((sub.cast("long") * nf + F.col("f")).alias("i"), "y")).alias("e"))
+        )
+        totals = (
+            target_totals(values, groups)
+            .groupBy(phase.alias("phase"), "target")
+            .agg(F.collect_list(F.struct(sub.alias("u"), "y", "yy")).alias("t"))
+        )
+        every = values.select(F.col("gene").alias("target")).distinct().withColumn(
+            "phase", F.explode(F.sequence(F.lit(0), F.lit(nr_phases - 1)))
+        )
+        own = self.binned.regulators.select(F.col("regulator").alias("target"), F.col("ridx").alias("self_ridx"))
+        rows = (
+            every.join(totals, ["phase", "target"], "left")
+            .join(sums, ["phase", "target"], "left")
+            .join(own, "target", "left")
+            .select(
+                "phase",
+                "target",
+                F.coalesce("self_ridx", F.lit(-1)).alias("self_ridx"),
+                F.col("e.i").alias("idx"),
+                F.col("e.y").alias("val"),
+                F.col("t.u").alias("tu"),
+                F.col("t.y").alias("ty"),
+                F.col("t.yy").alias("tyy"),
+            )
+        )
+        # the rows are small but the work per row is large: fix the number of tasks explicitly
+        return rows.repartition(self.nr_partitions, "phase", "target")
+
+    def first_round_gains(self) -> DataFrame:
+        """``phase, target, regulator, gain``: best first-round gain of every regulator."""
+        shared, params = self.shared, self.params
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m = Moments(**shared.value, params=params)
+            for pdf in batches:
+                out = []
+                for r in pdf.itertuples(index=False):
+                    g = _start(m, r).best_per_regulator()
+                    keep = np.flatnonzero(g > params.min_gain)
+                    out.append((r.phase, r.target, keep.astype(np.int32), g[keep]))
+                yield pd.DataFrame(out, columns=["phase", "target", "ridx", "gain"])
+
+        wide = self.rows.mapInPandas(work, "phase int, target string, ridx array<int>, gain array<double>")
+        return (
+            wide.select("phase", "target", F.explode(F.arrays_zip("ridx", "gain")).alias("e"))
+            .select("phase", "target", F.col("e.ridx").alias("ridx"), F.col("e.gain").alias("gain"))
+            .join(self.binned.regulators, "ridx")
+            .select("phase", "target", "regulator", "gain")
+        )
+
+    def boost(self, rounds: int, previous: DataFrame | None = None, track_loss: bool = False) -> DataFrame:
+        """Fit ``rounds`` rounds for every target; one row of log arrays per target.
+
+        ``previous`` is an earlier result: its rounds are replayed on the moments (no search) and the
+        fit goes on from there; only its targets are continued.
+        """
+        shared, params = self.shared, self.params
+        train, test = self.train, self.test
+        names = ["round", "f", "d", "wl", "wr", "gain", "cover"]
+        rows = self.rows
+        if previous is not None:
+            rows = rows.join(previous.select("phase", "target", *[F.col(n).alias("p_" + n) for n in names]), ["phase", "target"])
+            rows = rows.repartition(self.nr_partitions, "phase", "target")
+        resumed = previous is not None
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m = Moments(**shared.value, params=params)
+            for pdf in batches:
+                out = []
+                for r in pdf.itertuples(index=False):
+                    fit = _start(m, r)
+                    log: list[tuple] = []
+                    if resumed:
+                        log = list(zip(r.p_round, r.p_f, r.p_d, r.p_wl, r.p_wr, r.p_gain, r.p_cover))
+                    losses = []
+                    done = len(log)
+                    for t in range(done + rounds):
+                        if t >= done:
+                            f, d, wl, wr, gain, cover = fit.fit_round(t)
+                            log.append((t, f, d, wl, wr, gain, cover))
+                        _, f, d, wl, wr, _, _ = log[t]
+                        fit.apply(int(f), int(d), wl, wr)
+                        if track_loss:
+                            losses.append((fit.rmse(train), fit.rmse(test)))
+                    cols = [np.asarray(c) for c in zip(*log)] if log else [np.array([])] * 7
+                    ll = [np.asarray(c, float) for c in zip(*losses)] if losses else [np.array([])] * 2
+                    out.append((r.phase, r.target, *cols, *ll))
+                yield pd.DataFrame(out, columns=["phase", "target", *names, "train_loss", "test_loss"])
+
+        return rows.mapInPandas(work, OUT_SCHEMA)
+
+    def split_log(self, boosted: DataFrame) -> DataFrame:
+        """``phase, target, round, regulator, threshold, missing_left, gain, cover``; leaf-only rounds left out."""
+        e = F.explode(F.arrays_zip("round", "f", "d", "gain", "cover"))
+        return (
+            boosted.select("phase", "target", e.alias("e"))
+            .select("phase", "target", "e.*")
+            .filter(F.col("f") >= 0)
+            .join(self.binned.features.select("f", "regulator", "threshold"), "f")
+            .select(
+                "phase", "target", "round", "regulator", "threshold", F.col("d").alias("missing_left"), "gain", "cover"
+            )
+        )
+
+    @staticmethod
+    def losses(boosted: DataFrame) -> DataFrame:
+        """``target, round, train_loss, test_loss`` (phase kept out: used by round estimation)."""
+        return boosted.select(
+            "target", F.posexplode(F.arrays_zip("train_loss", "test_loss")).alias("round", "e")
+        ).select("target", "round", F.col("e.train_loss").alias("train_loss"), F.col("e.test_loss").alias("test_loss"))

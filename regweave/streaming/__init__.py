@@ -1,0 +1 @@
+"""Empty on purpose: the method is batch only, it defines no streaming operator."""
