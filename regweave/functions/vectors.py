@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +16,11 @@ def assemble(*columns: str) -> Column:
 
 def interact(*vectors: Column) -> Column:
     """All products of one element from each vector, the last vector varying fastest."""
-    out = vectors[0]
-    for v in vectors[1:]:
-        out = F.flatten(F.transform(out, lambda x, v=v: F.transform(v, lambda y: x * y)))
-    return out
+
+    def times(left: Column, right: Column) -> Column:
+        return F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: x * y)))
+
+    return reduce(times, vectors)
 
 
 def assemble_ml(df: DataFrame, columns: Sequence[str], out: str = "expression") -> DataFrame:

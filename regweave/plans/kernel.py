@@ -89,8 +89,8 @@ class TargetFit:
         k, nf = m.per_phase, m.nr_features
         here = slice(self.g0, self.g0 + k)
         self.n = m.n_group[here]
-        self.s = np.bincount(np.asarray(idx, dtype=np.int64), weights=val, minlength=k * nf).reshape(k, nf)
-        self.s -= p0 * m.n_feature[here]
+        self.s = -p0 * m.n_feature[here]
+        np.add.at(self.s.reshape(-1), np.asarray(idx, dtype=np.int64), np.asarray(val, dtype=float))
         self.tot = np.asarray(y, dtype=float) - p0 * self.n
         self.sse = np.asarray(yy, dtype=float) - 2 * p0 * np.asarray(y, dtype=float) + p0 * p0 * self.n
         self.scale = float(np.sum(yy)) + 1.0
