@@ -31,138 +31,176 @@ def sampled_groups(train: tuple[int, ...], fraction: float, seed: int, round_nr:
 
 
 class Moments:
-    """Shared counts as arrays. Groups of one phase are contiguous: ``phase * per_phase + sub``."""
+    """Shared counts as arrays. Groups of one phase are contiguous: ``phase * per_phase + sub``.
+
+    Shared counts are rows ``phase * features + fa`` with columns ``sub * features + fb``.
+    """
 
     def __init__(self, starts, n_group, n_feature, co_ptr, co_col, co_n, per_phase, train, params):
         self.starts = starts  # first feature of each regulator, plus the end
         self.rid = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         self.n_group = n_group  # (groups,)
         self.n_feature = n_feature  # (groups, features)
-        self.co_ptr, self.co_col, self.co_n = co_ptr, co_col, co_n  # rows: group * features + f
+        self.co_ptr, self.co_col, self.co_n = co_ptr, co_col, co_n
         self.per_phase, self.train, self.params = per_phase, train, params
-        self._sides = {}
+        self.in_train = np.isin(np.arange(per_phase), train)
 
     @property
     def nr_features(self) -> int:
         return len(self.rid)
 
-    def sides(self, groups: tuple[int, ...]):
-        """Counts left of every threshold for both default directions; reused between rounds."""
-        if groups not in self._sides:
-            if len(self._sides) > 64:
-                self._sides.clear()
-            p = self.params
-            n = self.n_feature[list(groups)].sum(axis=0)
-            total = self.n_group[list(groups)].sum()
-            left0 = self.running(n)
-            missing = total - left0[self.starts[1:] - 1]
-            left1 = left0 + missing[self.rid]
-            floor = max(p.min_child_weight, 1e-12)
-            out = []
-            for left in (left0, left1):
-                right = total - left
-                bad = np.where((left < floor) | (right < floor), -np.inf, 0.0)
-                out.append((left, 1.0 / (left + p.reg_lambda), 1.0 / (right + p.reg_lambda), bad))
-            self._sides[groups] = (total, out)
-        return self._sides[groups]
-
-    def running(self, x: np.ndarray) -> np.ndarray:
-        """Running sums within each regulator."""
-        c = np.cumsum(x)
-        before = np.concatenate(([0.0], c))[self.starts[:-1]]
-        return c - before[self.rid]
-
-    def moved(self, group: int, first: int, last: int) -> np.ndarray:
-        """Cells of every feature that also lie in features ``first..last`` of one regulator."""
-        row = group * self.nr_features
-        a, b = self.co_ptr[row + first], self.co_ptr[row + last + 1]
-        return np.bincount(self.co_col[a:b], weights=self.co_n[a:b], minlength=self.nr_features)
-
-
-class TargetFit:
-    """Residual moments of one target; ``s[g, f]``, ``tot[g]``, ``sse[g]`` over its phase's groups."""
-
-    def __init__(self, m: Moments, phase: int, self_ridx: int, idx, val, y, yy):
-        self.m, self.self_ridx = m, self_ridx
-        self.g0 = phase * m.per_phase
-        p0 = m.params.base_score
-        k, nf = m.per_phase, m.nr_features
-        here = slice(self.g0, self.g0 + k)
-        self.n = m.n_group[here]
-        self.s = -p0 * m.n_feature[here]
-        np.add.at(self.s.reshape(-1), np.asarray(idx, dtype=np.int64), np.asarray(val, dtype=float))
-        self.tot = np.asarray(y, dtype=float) - p0 * self.n
-        self.sse = np.asarray(yy, dtype=float) - 2 * p0 * np.asarray(y, dtype=float) + p0 * p0 * self.n
-        self.scale = float(np.sum(yy)) + 1.0
-
-    def gains(self, subs: tuple[int, ...]):
-        """Gain of every threshold for both default directions, and the left sums."""
-        m = self.m
-        total_n, sides = m.sides(tuple(self.g0 + u for u in subs))
-        s = self.s[subs[0]] if len(subs) == 1 else self.s[list(subs)].sum(axis=0)
-        total = self.tot[list(subs)].sum()
-        left0 = m.running(s)
-        missing = total - left0[m.starts[1:] - 1]
-        base = total * total / (total_n + m.params.reg_lambda)
-        lefts = (left0, left0 + missing[m.rid])
-        gains = np.empty((2, m.nr_features))
-        for d, (left, (_, inv_l, inv_r, bad)) in enumerate(zip(lefts, sides)):
-            right = total - left
-            gains[d] = left * left * inv_l + right * right * inv_r - base + bad
-        if self.self_ridx >= 0:
-            gains[:, m.starts[self.self_ridx] : m.starts[self.self_ridx + 1]] = -np.inf
-        return gains, lefts, total, total_n
-
-    def best_per_regulator(self) -> np.ndarray:
-        gains, *_ = self.gains(self.m.train)
-        return np.maximum.reduceat(gains.max(axis=0), self.m.starts[:-1])
-
-    def fit_round(self, round_nr: int):
-        """Choose the split of one round: (f or -1, default, w_left, w_right, gain, cover)."""
-        m, p = self.m, self.m.params
-        subs = sampled_groups(m.train, p.subsample, p.seed, round_nr)
-        gains, lefts, total, total_n = self.gains(subs)
-        mask = column_mask(len(m.starts) - 1, p.colsample_bytree, p.seed, round_nr)
+    @property
+    def batch_size(self) -> int:
+        """Targets fitted together: enough to amortize calls, few enough to stay in cache."""
+        return int(np.clip((1 << 17) // max(self.nr_features, 1), 1, 256))
+
+    def running(self, x: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Running sums within each regulator (last axis); ``sums`` are the regulators' totals."""
+        y = x.copy()
+        y[..., self.starts[1:-1]] -= sums[..., :-1]
+        return np.cumsum(y, axis=-1, out=y)
+
+    def per_regulator(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.starts[:-1], axis=-1)
+
+
+class RoundPlan:
+    """What one round offers, the same for all targets of a phase: sampled groups, regulators, counts.
+
+    With ``L`` the left sum, ``T`` the total and ``a, b`` the inverse regularized counts of both sides, a
+    gain is ``a L^2 + b (T - L)^2 - base = L (quad L - 2 T b) + T^2 b - base``. Thresholds that are not
+    allowed have zero coefficients, hence no positive gain.
+    """
+
+    def __init__(self, m: Moments, phase: int, round_nr: int, sample: bool = True):
+        p = m.params
+        self.subs = sampled_groups(m.train, p.subsample, p.seed, round_nr) if sample else m.train
+        self.left_out = [u for u in m.train if u not in self.subs]
+        rows = [phase * m.per_phase + u for u in self.subs]
+        self.n = m.n_feature[rows].sum(axis=0)
+        self.total = float(m.n_group[rows].sum())
+        sums = m.per_regulator(self.n)
+        near = m.running(self.n, sums)
+        self.n_left = np.stack([near, near + (self.total - sums)[m.rid]])
+        n_right = self.total - self.n_left
+        floor = max(p.min_child_weight, 1e-12)
+        ok = (self.n_left >= floor) & (n_right >= floor)
+        mask = column_mask(len(m.starts) - 1, p.colsample_bytree, p.seed, round_nr) if sample else None
         if mask is not None:
-            gains[:, ~mask[m.rid]] = -np.inf
-        flat = gains.T.ravel()  # threshold first, then default direction
-        top = flat.max()
-        if not top > max(p.min_gain, 0.0) or top < p.gamma:
-            w = p.eta * total / (total_n + p.reg_lambda)
-            return -1, 0, w, w, 0.0, float(total_n)
-        near = np.flatnonzero(flat >= top - TIE * self.scale)
-        keys = np.round(flat[near] / self.scale, 9)
-        pick = int(near[np.argmax(keys)])
-        f, d = divmod(pick, 2)
-        _, sides = m.sides(tuple(self.g0 + u for u in subs))
-        left, inv_l, inv_r = lefts[d][f], sides[d][1][f], sides[d][2][f]
-        return f, d, p.eta * left * inv_l, p.eta * (total - left) * inv_r, float(flat[pick]), float(total_n)
-
-    def apply(self, f: int, d: int, w_left: float, w_right: float) -> None:
-        """Subtract the round's leaf values from all residual moments."""
+            ok &= mask[m.rid]
+        self.b = np.where(ok, 1.0 / (n_right + p.reg_lambda), 0.0)
+        self.quad = np.where(ok, 1.0 / (self.n_left + p.reg_lambda), 0.0) + self.b
+
+
+class Batch:
+    """Residual moments of some targets of one phase.
+
+    The residual sum of a feature is ``own - offset * n``: a round changes ``own`` only where features
+    share cells with the chosen regulator, and everything else through the scalar ``offset``.
+    """
+
+    def __init__(self, m: Moments, phase: int, rows: list):
+        self.m, self.phase = m, phase
+        p0, k, nf, b = m.params.base_score, m.per_phase, m.nr_features, len(rows)
+        here = slice(phase * k, (phase + 1) * k)
+        self.n, self.n_feature = m.n_group[here], m.n_feature[here]
+        self.self_ridx = [r.self_ridx for r in rows]
+        self.own = np.zeros((b, k, nf))
+        self.y, self.yy = np.zeros((b, k)), np.zeros((b, k))
+        for i, r in enumerate(rows):
+            if r.idx is not None:
+                np.add.at(self.own[i].reshape(-1), np.asarray(r.idx, dtype=np.int64), np.asarray(r.val, dtype=float))
+            if r.tu is not None:
+                u = np.asarray(r.tu, dtype=np.int64)
+                self.y[i, u], self.yy[i, u] = r.ty, r.tyy
+        self.sum_own = self.own[:, 0] if k == 1 else self.own[:, list(m.train)].sum(axis=1)
+        self.offset = np.full(b, p0)
+        self.tot = self.y - p0 * self.n
+        self.sse = self.yy - 2 * p0 * self.y + p0 * p0 * self.n
+        self.scale = self.yy.sum(axis=1) + 1.0
+
+    def gains(self, plan: RoundPlan):
+        """(gains, left sums) of shape (targets, default direction, threshold), and totals."""
         m = self.m
-        for u in range(m.per_phase):
-            g = self.g0 + u
-            if f < 0:
-                self.sse[u] += -2 * w_left * self.tot[u] + w_left * w_left * self.n[u]
-                self.s[u] -= w_left * m.n_feature[g]
-                self.tot[u] -= w_left * self.n[u]
+        s = self.sum_own - self.offset[:, None] * plan.n
+        for u in plan.left_out:
+            s -= self.own[:, u]
+        t = self.tot[:, list(plan.subs)].sum(axis=1)
+        sums = m.per_regulator(s)
+        left = np.empty((len(t), 2, m.nr_features))
+        left[:, 0] = m.running(s, sums)
+        np.add(left[:, 0], (t[:, None] - sums)[:, m.rid], out=left[:, 1])
+        g = plan.quad * left
+        g -= (2 * t)[:, None, None] * plan.b
+        g *= left
+        g += (t * t)[:, None, None] * plan.b
+        g -= (t * t / (plan.total + m.params.reg_lambda))[:, None, None]
+        for i, r in enumerate(self.self_ridx):
+            if r >= 0:
+                g[i, :, m.starts[r] : m.starts[r + 1]] = -np.inf
+        return g, left, t
+
+    def fit_round(self, plan: RoundPlan) -> list[tuple]:
+        """Each target's choice: (f or -1, default, w_left, w_right, gain, cover)."""
+        p, nf = self.m.params, self.m.nr_features
+        g, left, totals = self.gains(plan)
+        tops = g.reshape(len(g), -1).max(axis=1)
+        out = []
+        for i, top in enumerate(tops):
+            t = totals[i]
+            if not top > p.min_gain or top < p.gamma:
+                w = p.eta * t / (plan.total + p.reg_lambda)
+                out.append((-1, 0, w, w, 0.0, plan.total))
                 continue
-            a, b = m.starts[m.rid[f]], m.starts[m.rid[f] + 1]
-            n_left = m.n_feature[g, a : f + 1].sum()
-            s_left = self.s[u, a : f + 1].sum()
-            moved = m.moved(g, a, f)
-            if d:
-                n_left += self.n[u] - m.n_feature[g, a:b].sum()
-                s_left += self.tot[u] - self.s[u, a:b].sum()
-                moved = moved + m.n_feature[g] - m.moved(g, a, b - 1)
-            n_right, s_right = self.n[u] - n_left, self.tot[u] - s_left
-            self.sse[u] += (
-                -2 * (w_left * s_left + w_right * s_right) + w_left**2 * n_left + w_right**2 * n_right
-            )
-            self.s[u] -= w_right * m.n_feature[g] + (w_left - w_right) * moved
-            self.tot[u] -= w_right * self.n[u] + (w_left - w_right) * n_left
-
-    def rmse(self, subs) -> float:
+            near = np.flatnonzero(g[i].reshape(-1) >= top - TIE * self.scale[i])
+            if len(near) > 1:
+                keys = np.round(g[i].reshape(-1)[near] / self.scale[i], 9)
+                near = near[keys == keys.max()]
+                near = near[np.lexsort((near // nf, near % nf))]  # lowest threshold, then direction
+            d, f = divmod(int(near[0]), nf)
+            lft, n_left = left[i, d, f], plan.n_left[d, f]
+            wl = p.eta * lft / (n_left + p.reg_lambda)
+            wr = p.eta * (t - lft) / (plan.total - n_left + p.reg_lambda)
+            out.append((f, d, wl, wr, float(g[i, d, f]), plan.total))
+        return out
+
+    def apply(self, i: int, f: int, d: int, wl: float, wr: float) -> None:
+        """Subtract one round's leaf values from all residual moments of target ``i``."""
+        m = self.m
+        n, c = self.n, self.offset[i]
+        if f < 0:
+            self.sse[i] += -2 * wl * self.tot[i] + wl * wl * n
+            self.offset[i] += wl
+            self.tot[i] -= wl * n
+            return
+        a, b = m.starts[m.rid[f]], m.starts[m.rid[f] + 1]
+        first, last = (f + 1, b) if d else (a, f + 1)  # the features on the side without missing cells
+        part_n = self.n_feature[:, first:last].sum(axis=1)
+        part_s = self.own[i, :, first:last].sum(axis=1) - c * part_n
+        w_part, w_rest = (wr, wl) if d else (wl, wr)
+        rest_n, rest_s = n - part_n, self.tot[i] - part_s
+        self.sse[i] += -2 * (w_part * part_s + w_rest * rest_s) + w_part**2 * part_n + w_rest**2 * rest_n
+        self.tot[i] -= w_part * part_n + w_rest * rest_n
+        self.offset[i] += w_rest
+        row = self.phase * m.nr_features
+        cut = slice(m.co_ptr[row + first], m.co_ptr[row + last])
+        col, change = m.co_col[cut], (w_part - w_rest) * m.co_n[cut]
+        np.subtract.at(self.own[i].reshape(-1), col, change)
+        if m.per_phase > 1:
+            sub = col // m.nr_features
+            np.subtract.at(self.sum_own[i], col - sub * m.nr_features, np.where(m.in_train[sub], change, 0.0))
+
+    def rmse(self, subs) -> np.ndarray:
         n = self.n[list(subs)].sum()
-        return float(np.sqrt(max(self.sse[list(subs)].sum(), 0.0) / n)) if n else float("nan")
+        if not n:
+            return np.full(len(self.offset), np.nan)
+        return np.sqrt(np.maximum(self.sse[:, list(subs)].sum(axis=1), 0.0) / n)
+
+
+def batches(m: Moments, rows) -> list[tuple[int, list]]:
+    """Rows of one Arrow batch, cut into same-phase batches."""
+    by_phase: dict[int, list] = {}
+    for r in rows:
+        by_phase.setdefault(r.phase, []).append(r)
+    size = m.batch_size
+    return [(p, rs[i : i + size]) for p, rs in by_phase.items() for i in range(0, len(rs), size)]

@@ -24,7 +24,7 @@ from regweave.operators.features import (
     target_totals,
 )
 from regweave.params import BoostParams
-from regweave.plans.kernel import Moments, TargetFit
+from regweave.plans.kernel import Batch, Moments, RoundPlan, batches
 
 MAX_SHARED = 16_000_000  # rows of the shared-count table that may be broadcast (16 bytes each)
 MAX_FEATURES = 1_000_000
@@ -53,31 +53,21 @@ def _collect_moments(
     fc = feature_counts(groups, binned).toPandas()
     n_feature[fc["grp"].to_numpy(np.int64), fc["f"].to_numpy(np.int64)] = fc["n"].to_numpy(float)
     co = shared_counts(groups, binned).select("grp", "fa", "fb", F.col("n").cast("float")).toPandas()
-    key = co["grp"].to_numpy(np.int64) * nf + co["fa"].to_numpy(np.int64)
+    grp, fa = co["grp"].to_numpy(np.int64), co["fa"].to_numpy(np.int64)
+    key = (grp // per_phase) * nf + fa
     order = np.argsort(key, kind="stable")
-    ptr = np.searchsorted(key[order], np.arange(ng * nf + 1)).astype(np.int64)
     return {
         "starts": starts,
         "n_group": n_group,
         "n_feature": n_feature,
-        "co_ptr": ptr,
-        "co_col": co["fb"].to_numpy(np.int32)[order],
+        "co_ptr": np.searchsorted(key[order], np.arange(nr_phases * nf + 1)).astype(np.int64),
+        "co_col": ((grp % per_phase) * nf + co["fb"].to_numpy(np.int64))[order].astype(np.int32),
         "co_n": co["n"].to_numpy(np.float32)[order],
         "per_phase": per_phase,
         "train": train,
     }
 
 
-def _start(m: Moments, r) -> TargetFit:
-    """Residual moments of one input row before the first round."""
-    y, yy = np.zeros(m.per_phase), np.zeros(m.per_phase)
-    if r.tu is not None:
-        y[np.asarray(r.tu, int)] = r.ty
-        yy[np.asarray(r.tu, int)] = r.tyy
-    idx, val = ([], []) if r.idx is None else (r.idx, r.val)
-    return TargetFit(m, r.phase, r.self_ridx, idx, val, y, yy)
-
-
 class MomentBooster:
     """Holds the broadcast counts and the initial moments of the targets.
 
@@ -150,14 +140,19 @@ class MomentBooster:
         """``phase, target, regulator, gain``: best first-round gain of every regulator."""
         shared, params = self.shared, self.params
 
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m = Moments(**shared.value, params=params)
-            for pdf in batches:
+            plans: dict[int, RoundPlan] = {}
+            for pdf in frames:
                 out = []
-                for r in pdf.itertuples(index=False):
-                    g = _start(m, r).best_per_regulator()
-                    keep = np.flatnonzero(g > params.min_gain)
-                    out.append((r.phase, r.target, keep.astype(np.int32), g[keep]))
+                for phase, rows in batches(m, pdf.itertuples(index=False)):
+                    if phase not in plans:
+                        plans[phase] = RoundPlan(m, phase, 0, sample=False)
+                    gains, _, _ = Batch(m, phase, rows).gains(plans[phase])
+                    best = np.maximum.reduceat(gains.max(axis=1), m.starts[:-1], axis=1)
+                    for r, g in zip(rows, best):
+                        keep = np.flatnonzero(g > params.min_gain)
+                        out.append((phase, r.target, keep.astype(np.int32), g[keep]))
                 yield pd.DataFrame(out, columns=["phase", "target", "ridx", "gain"])
 
         wide = self.rows.mapInPandas(work, "phase int, target string, ridx array<int>, gain array<double>")
@@ -183,28 +178,28 @@ class MomentBooster:
             rows = rows.repartition(self.nr_partitions, "phase", "target")
         resumed = previous is not None
 
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m = Moments(**shared.value, params=params)
-            for pdf in batches:
+            for pdf in frames:
                 out = []
-                for r in pdf.itertuples(index=False):
-                    fit = _start(m, r)
-                    log: list[tuple] = []
+                for phase, part in batches(m, pdf.itertuples(index=False)):
+                    fit = Batch(m, phase, part)
+                    logs: list[list[tuple]] = [[] for _ in part]
                     if resumed:
-                        log = list(zip(r.p_round, r.p_f, r.p_d, r.p_wl, r.p_wr, r.p_gain, r.p_cover))
+                        logs = [list(zip(r.p_round, r.p_f, r.p_d, r.p_wl, r.p_wr, r.p_gain, r.p_cover)) for r in part]
+                    done = len(logs[0])
                     losses = []
-                    done = len(log)
                     for t in range(done + rounds):
                         if t >= done:
-                            f, d, wl, wr, gain, cover = fit.fit_round(t)
-                            log.append((t, f, d, wl, wr, gain, cover))
-                        _, f, d, wl, wr, _, _ = log[t]
-                        fit.apply(int(f), int(d), wl, wr)
+                            for log, choice in zip(logs, fit.fit_round(RoundPlan(m, phase, t))):
+                                log.append((t, *choice))
+                        for i, log in enumerate(logs):
+                            fit.apply(i, int(log[t][1]), int(log[t][2]), log[t][3], log[t][4])
                         if track_loss:
                             losses.append((fit.rmse(train), fit.rmse(test)))
-                    cols = [np.asarray(c) for c in zip(*log)] if log else [np.array([])] * 7
-                    ll = [np.asarray(c, float) for c in zip(*losses)] if losses else [np.array([])] * 2
-                    out.append((r.phase, r.target, *cols, *ll))
+                    for i, (r, log) in enumerate(zip(part, logs)):
+                        curves = [np.array([pair[j][i] for pair in losses]) for j in (0, 1)]
+                        out.append((phase, r.target, *[np.asarray(c) for c in zip(*log)], *curves))
                 yield pd.DataFrame(out, columns=["phase", "target", *names, "train_loss", "test_loss"])
 
         return rows.mapInPandas(work, OUT_SCHEMA)
