@@ -66,13 +66,13 @@ def shifted_ranks(values: DataFrame, nr_cells: int) -> DataFrame:
     return values.join(levels, ["gene", "value"]).select("gene", "cell", F.col("_r").alias("value"))
 
 
-def pair_products(values: DataFrame, regulators: DataFrame) -> DataFrame:
+def pair_products(values: DataFrame, regulators: DataFrame, nr_genes: int | None = None) -> DataFrame:
     """``ridx, gene, xy``: dot products over shared cells, summed map-side inside the join."""
     x = values.join(regulators.withColumnRenamed("regulator", "gene"), "gene").select(
         "cell", "ridx", F.col("value").alias("_x")
     )
     return (
-        salted_join(values, x, "cell", "gene")
+        salted_join(values, x, "cell", "gene", nr_genes)
         .groupBy("ridx", "gene")
         .agg(F.sum(F.col("_x") * F.col("value")).alias("xy"))
     )

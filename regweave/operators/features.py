@@ -85,25 +85,35 @@ def bin_regulators(values: DataFrame, regulators: DataFrame, max_bin: int | None
     return Binned(write_once(cells, "binned-cells"), write_once(features, "features"), regulators)
 
 
-def target_moments(values: DataFrame, groups: DataFrame, binned: Binned) -> DataFrame:
-    """``target, grp, f, y``: sums of each target over the cells of each feature, by cell group.
-
-    Pairs are summed map-side inside the join stage, so the shuffle carries at most one row per
-    (target, group, feature) and task, never the pairs themselves.
+def target_moments(
+    values: DataFrame, groups: DataFrame, binned: Binned, nr_features: int, nr_groups: int, nr_targets: int
+) -> DataFrame:
+    """``tid, grp, f, y``: sums of each target over the cells of each feature, by cell group.
+
+    ``values`` is ``(tid, cell, value)``. Pairs are summed map-side inside the join stage under one packed
+    long key, so the shuffle carries at most one row per (target, group, feature) and task, never the
+    pairs themselves. The cell group travels with the smaller regulator side.
     """
-    y = values.join(groups, "cell").select(F.col("gene").alias("target"), "cell", "grp", "value")
+    x = binned.cells.join(groups, "cell").select("cell", (F.col("grp").cast("long") * nr_features + F.col("f")).alias("gf"))
+    width = nr_features * nr_groups
     return (
-        salted_join(y, binned.cells.select("cell", "f"), "cell", "target")
-        .groupBy("target", "grp", "f")
+        salted_join(values, x, "cell", "tid", nr_targets)
+        .groupBy((F.col("tid") * width + F.col("gf")).alias("k"))
         .agg(F.sum("value").alias("y"))
+        .select(
+            F.expr(f"k div {width}").alias("tid"),
+            F.expr(f"cast((k % {width}) div {nr_features} as int)").alias("grp"),
+            F.expr(f"cast(k % {nr_features} as int)").alias("f"),
+            "y",
+        )
     )
 
 
 def target_totals(values: DataFrame, groups: DataFrame) -> DataFrame:
-    """``target, grp, y, yy``: sum and sum of squares by cell group."""
+    """``tid, grp, y, yy``: sum and sum of squares by cell group."""
     return (
         values.join(groups, "cell")
-        .groupBy(F.col("gene").alias("target"), "grp")
+        .groupBy("tid", "grp")
         .agg(F.sum("value").alias("y"), F.sum(F.col("value") * F.col("value")).alias("yy"))
     )
 
@@ -117,7 +127,7 @@ def shared_counts(groups: DataFrame, binned: Binned) -> DataFrame:
     """``grp, fa, fb, n``: cells shared by two features; includes ``fa = fb``."""
     a = binned.cells.join(groups, "cell").select("cell", "grp", F.col("f").alias("fa"))
     b = binned.cells.select("cell", F.col("f").alias("fb"))
-    return salted_join(a, b, "cell", "fa").groupBy("grp", "fa", "fb").agg(F.count(F.lit(1)).alias("n"))
+    return salted_join(a, b, "cell", "fa", binned.regulators.count()).groupBy("grp", "fa", "fb").agg(F.count(F.lit(1)).alias("n"))
 
 
 def shared_counts_bound(groups: DataFrame, binned: Binned) -> int:

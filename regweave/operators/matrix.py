@@ -22,6 +22,7 @@ class Expression:
 
     values: DataFrame
     cells: DataFrame
+    stored: bool = False  # values is a plain scan of a columnar table, cheap to read again
 
     def genes(self) -> DataFrame:
         """Distinct gene names, kept as a table."""

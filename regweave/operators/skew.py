@@ -13,6 +13,7 @@ def salted_join(
     other: DataFrame,
     key: str,
     spread_by: str,
+    bound: int | None = None,
     rows_per_salt: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """Inner join on ``key`` where keys of ``big`` above ``rows_per_salt`` rows are split.
@@ -20,8 +21,11 @@ def salted_join(
     The table of hot keys has at most ``rows / rows_per_salt`` entries, because every entry stands
     for that many rows, so it stays tiny however large ``big`` is. Rows of a hot key are spread by a
     hash of ``spread_by``; the matching rows of ``other`` are repeated once per salt. No row is
-    dropped, and without hot keys the plan is the plain join.
+    dropped. ``bound`` is a proven limit on the rows per key (a cell holds at most one entry per gene);
+    where it rules out hot keys the plain join is planned and the counting pass saved.
     """
+    if bound is not None and bound <= rows_per_salt:
+        return big.join(other, key)
     hot = (
         big.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_rows"))

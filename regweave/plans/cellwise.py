@@ -55,6 +55,7 @@ def boost_cells(
     per_target = materialize(
         scale.join(own, "target", "left").select("target", "scale", F.coalesce("self_ridx", F.lit(-1)).alias("self_ridx"))
     )
+    nr_targets = per_target.count()
     sparse = values.join(indexed_cells, "cell").select("gene", F.col("new_cell").alias("cell"), "value")
     state = (
         densify(sparse, nr_cells)
@@ -81,7 +82,7 @@ def boost_cells(
             first = (1 << depth) - 1
             active = grown.filter(F.col("fit") & (F.col("node") >= first))
             hist = (
-                salted_join(active.select("target", "cell", "node", "res"), offered, "cell", "target")
+                salted_join(active.select("target", "cell", "node", "res"), offered, "cell", "target", nr_targets)
                 .groupBy("target", "node", "ridx", "bin")
                 .agg(F.sum("res").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
             )

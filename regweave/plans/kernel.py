@@ -31,19 +31,42 @@ def sampled_groups(train: tuple[int, ...], fraction: float, seed: int, round_nr:
 
 
 class Moments:
-    """Shared counts as arrays. Groups of one phase are contiguous: ``phase * per_phase + sub``.
+    """Shared counts as arrays, laid out for fast running sums.
 
-    Shared counts are rows ``phase * features + fa`` with columns ``sub * features + fb``.
+    Inside the kernel features are ordered by bin, and within a bin by regulator with the regulators of
+    most bins first. A running sum over bins is then one addition per bin for all regulators at once,
+    without padding. ``pos`` maps a feature number to its place, ``feature`` maps back.
+
+    Groups of one phase are contiguous: ``phase * per_phase + sub``. Shared counts are rows
+    ``phase * features + fa`` (feature numbers) with columns ``sub * features + pos[fb]``.
     """
 
+    PLAN_BYTES = 256 << 20
+
     def __init__(self, starts, n_group, n_feature, co_ptr, co_col, co_n, per_phase, train, params):
+        sizes = np.diff(starts)
+        nr = len(sizes)
         self.starts = starts  # first feature of each regulator, plus the end
-        self.rid = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        by_size = np.argsort(-sizes, kind="stable")
+        widths = [int((sizes > j).sum()) for j in range(int(sizes.max()))]
+        offsets = np.concatenate(([0], np.cumsum(widths))).astype(np.int64)
+        self.blocks = [slice(int(o), int(o) + w) for o, w in zip(offsets[:-1], widths)]
+        rank = np.empty(nr, dtype=np.int64)
+        rank[by_size] = np.arange(nr)
+        self.rid = np.repeat(np.arange(nr), sizes)
+        bin_nr = np.arange(len(self.rid)) - starts[self.rid]
+        self.pos = offsets[bin_nr] + rank[self.rid]
+        self.feature = np.empty_like(self.pos)
+        self.feature[self.pos] = np.arange(len(self.pos))
+        self.place_rid = self.rid[self.feature]
+        self.last = self.pos[starts[1:] - 1][by_size]  # place of each ranked regulator's last bin
         self.n_group = n_group  # (groups,)
-        self.n_feature = n_feature  # (groups, features)
-        self.co_ptr, self.co_col, self.co_n = co_ptr, co_col, co_n
+        self.n_feature = np.ascontiguousarray(n_feature[:, self.feature])  # (groups, places)
+        self.co_ptr, self.co_col, self.co_n = co_ptr, self.to_places(co_col), co_n
         self.per_phase, self.train, self.params = per_phase, train, params
         self.in_train = np.isin(np.arange(per_phase), train)
+        self._plans: dict = {}
+        self._scratch: dict = {}
 
     @property
     def nr_features(self) -> int:
@@ -54,42 +77,68 @@ class Moments:
         """Targets fitted together: enough to amortize calls, few enough to stay in cache."""
         return int(np.clip((1 << 17) // max(self.nr_features, 1), 1, 256))
 
-    def running(self, x: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        """Running sums within each regulator (last axis); ``sums`` are the regulators' totals."""
-        y = x.copy()
-        y[..., self.starts[1:-1]] -= sums[..., :-1]
-        return np.cumsum(y, axis=-1, out=y)
+    def scratch(self, name: str, shape: tuple[int, ...]) -> np.ndarray:
+        """A reused work array: fresh large arrays cost more in page faults than the arithmetic."""
+        full = self._scratch.get(name)
+        if full is None or full.shape[0] < shape[0]:
+            full = self._scratch[name] = np.empty(shape)
+        return full[: shape[0]]
+
+    def to_places(self, columns: np.ndarray) -> np.ndarray:
+        """``sub * features + f`` to ``sub * features + pos[f]``."""
+        columns = np.asarray(columns, dtype=np.int64)
+        f = columns % self.nr_features
+        return columns - f + self.pos[f]
 
-    def per_regulator(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x, self.starts[:-1], axis=-1)
+    def running(self, x: np.ndarray) -> np.ndarray:
+        """Running sums over the bins of each regulator, in place (last axis)."""
+        for before, block in zip(self.blocks[:-1], self.blocks[1:]):
+            x[..., block] += x[..., before.start : before.start + block.stop - block.start]
+        return x
+
+    def add_per_regulator(self, x: np.ndarray, per_rank: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """``x`` plus one number per (ranked) regulator."""
+        for block in self.blocks:
+            np.add(x[..., block], per_rank[..., : block.stop - block.start], out=out[..., block])
+        return out
+
+    def plan(self, phase: int, round_nr: int, sample: bool = True) -> RoundPlan:
+        """The round's plan; rounds without sampling share one, the others are kept within a budget."""
+        p = self.params
+        drawn = sample and (p.subsample < 1 or p.colsample_bytree < 1)
+        key = (phase, round_nr if drawn else -1)
+        if key not in self._plans:
+            if len(self._plans) * 56 * self.nr_features > self.PLAN_BYTES:
+                self._plans.clear()
+            self._plans[key] = RoundPlan(self, phase, round_nr, drawn)
+        return self._plans[key]
 
 
 class RoundPlan:
     """What one round offers, the same for all targets of a phase: sampled groups, regulators, counts.
 
-    With ``L`` the left sum, ``T`` the total and ``a, b`` the inverse regularized counts of both sides, a
-    gain is ``a L^2 + b (T - L)^2 - base = L (quad L - 2 T b) + T^2 b - base``. Thresholds that are not
-    allowed have zero coefficients, hence no positive gain.
+    ``a`` and ``b`` are the inverse regularized counts left and right of every threshold, for both
+    default directions. Thresholds that are not allowed have zeros there, hence no positive gain.
     """
 
-    def __init__(self, m: Moments, phase: int, round_nr: int, sample: bool = True):
+    def __init__(self, m: Moments, phase: int, round_nr: int, sample: bool):
         p = m.params
         self.subs = sampled_groups(m.train, p.subsample, p.seed, round_nr) if sample else m.train
         self.left_out = [u for u in m.train if u not in self.subs]
         rows = [phase * m.per_phase + u for u in self.subs]
         self.n = m.n_feature[rows].sum(axis=0)
         self.total = float(m.n_group[rows].sum())
-        sums = m.per_regulator(self.n)
-        near = m.running(self.n, sums)
-        self.n_left = np.stack([near, near + (self.total - sums)[m.rid]])
+        near = m.running(self.n.copy())
+        far = m.add_per_regulator(near, self.total - near[m.last], np.empty_like(near))
+        self.n_left = np.stack([near, far])
         n_right = self.total - self.n_left
         floor = max(p.min_child_weight, 1e-12)
         ok = (self.n_left >= floor) & (n_right >= floor)
         mask = column_mask(len(m.starts) - 1, p.colsample_bytree, p.seed, round_nr) if sample else None
         if mask is not None:
-            ok &= mask[m.rid]
+            ok &= mask[m.place_rid]
+        self.a = np.where(ok, 1.0 / (self.n_left + p.reg_lambda), 0.0)
         self.b = np.where(ok, 1.0 / (n_right + p.reg_lambda), 0.0)
-        self.quad = np.where(ok, 1.0 / (self.n_left + p.reg_lambda), 0.0) + self.b
 
 
 class Batch:
@@ -109,7 +158,7 @@ class Batch:
         self.y, self.yy = np.zeros((b, k)), np.zeros((b, k))
         for i, r in enumerate(rows):
             if r.idx is not None:
-                np.add.at(self.own[i].reshape(-1), np.asarray(r.idx, dtype=np.int64), np.asarray(r.val, dtype=float))
+                np.add.at(self.own[i].reshape(-1), m.to_places(r.idx), np.asarray(r.val, dtype=float))
             if r.tu is not None:
                 u = np.asarray(r.tu, dtype=np.int64)
                 self.y[i, u], self.yy[i, u] = r.ty, r.tyy
@@ -120,24 +169,27 @@ class Batch:
         self.scale = self.yy.sum(axis=1) + 1.0
 
     def gains(self, plan: RoundPlan):
-        """(gains, left sums) of shape (targets, default direction, threshold), and totals."""
-        m = self.m
-        s = self.sum_own - self.offset[:, None] * plan.n
+        """(gains, left sums) of shape (targets, default direction, place), and totals."""
+        m, b = self.m, len(self.offset)
+        t = self.tot[:, list(plan.subs)].sum(axis=1)
+        left, right, g = (m.scratch(k, (b, 2, m.nr_features)) for k in ("left", "right", "gain"))
+        s = left[:, 0]
+        np.multiply(plan.n, -self.offset[:, None], out=s)
+        s += self.sum_own
         for u in plan.left_out:
             s -= self.own[:, u]
-        t = self.tot[:, list(plan.subs)].sum(axis=1)
-        sums = m.per_regulator(s)
-        left = np.empty((len(t), 2, m.nr_features))
-        left[:, 0] = m.running(s, sums)
-        np.add(left[:, 0], (t[:, None] - sums)[:, m.rid], out=left[:, 1])
-        g = plan.quad * left
-        g -= (2 * t)[:, None, None] * plan.b
-        g *= left
-        g += (t * t)[:, None, None] * plan.b
+        m.running(s)
+        m.add_per_regulator(s, t[:, None] - s[:, m.last], left[:, 1])
+        np.multiply(left, left, out=g)
+        g *= plan.a
+        np.subtract(t[:, None, None], left, out=right)
+        right *= right
+        right *= plan.b
+        g += right
         g -= (t * t / (plan.total + m.params.reg_lambda))[:, None, None]
         for i, r in enumerate(self.self_ridx):
             if r >= 0:
-                g[i, :, m.starts[r] : m.starts[r + 1]] = -np.inf
+                g[i, :, m.pos[m.starts[r] : m.starts[r + 1]]] = -np.inf
         return g, left, t
 
     def fit_round(self, plan: RoundPlan) -> list[tuple]:
@@ -156,12 +208,12 @@ class Batch:
             if len(near) > 1:
                 keys = np.round(g[i].reshape(-1)[near] / self.scale[i], 9)
                 near = near[keys == keys.max()]
-                near = near[np.lexsort((near // nf, near % nf))]  # lowest threshold, then direction
-            d, f = divmod(int(near[0]), nf)
-            lft, n_left = left[i, d, f], plan.n_left[d, f]
+                near = near[np.lexsort((near // nf, self.m.feature[near % nf]))]  # lowest feature, then direction
+            d, place = divmod(int(near[0]), nf)
+            lft, n_left = left[i, d, place], plan.n_left[d, place]
             wl = p.eta * lft / (n_left + p.reg_lambda)
             wr = p.eta * (t - lft) / (plan.total - n_left + p.reg_lambda)
-            out.append((f, d, wl, wr, float(g[i, d, f]), plan.total))
+            out.append((int(self.m.feature[place]), d, wl, wr, float(g[i, d, place]), plan.total))
         return out
 
     def apply(self, i: int, f: int, d: int, wl: float, wr: float) -> None:
@@ -175,8 +227,9 @@ class Batch:
             return
         a, b = m.starts[m.rid[f]], m.starts[m.rid[f] + 1]
         first, last = (f + 1, b) if d else (a, f + 1)  # the features on the side without missing cells
-        part_n = self.n_feature[:, first:last].sum(axis=1)
-        part_s = self.own[i, :, first:last].sum(axis=1) - c * part_n
+        places = m.pos[first:last]
+        part_n = self.n_feature[:, places].sum(axis=1)
+        part_s = self.own[i][:, places].sum(axis=1) - c * part_n
         w_part, w_rest = (wr, wl) if d else (wl, wr)
         rest_n, rest_s = n - part_n, self.tot[i] - part_s
         self.sse[i] += -2 * (w_part * part_s + w_rest * rest_s) + w_part**2 * part_n + w_rest**2 * rest_n

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regweave.operators.features import Binned, feature_counts, shared_counts, target_moments, target_totals
+from regweave.operators.ordering import hash_position
 from regweave.operators.splits import best_splits
 from regweave.params import BoostParams
 from regweave.plans.kernel import column_mask
@@ -50,8 +51,12 @@ def boost_lockstep(
         "shared-counts",
     )
     own = binned.regulators.select(F.col("regulator").alias("target"), F.col("ridx").alias("self_ridx"))
+    names = write_once(hash_position(values.select("gene").distinct(), "gene", 0, "tid"), "targets")
+    numbered = values.join(names, "gene").select("tid", "cell", "value")
+    named = names.select("tid", F.col("gene").alias("target"))
     totals = (
-        target_totals(values, groups)
+        target_totals(numbered, groups)
+        .join(named, "tid")
         .join(own, "target", "left")
         .select(
             "target",
@@ -62,10 +67,11 @@ def boost_lockstep(
         )
     )
     totals = materialize(totals)
+    first = target_moments(numbered, groups, binned, nr_features, 1, names.count())
     # every target meets every feature: that table is the size of the answer times the bins
     grid = totals.select("target", F.explode(F.sequence(F.lit(0), F.lit(nr_features - 1))).alias("f"))
     state = materialize(
-        grid.join(target_moments(values, groups, binned).drop("grp"), ["target", "f"], "left")
+        grid.join(first.join(named, "tid").select("target", "f", "y"), ["target", "f"], "left")
         .join(counts.select("f", "n"), "f")
         .select("target", "f", (F.coalesce("y", F.lit(0.0)) - p0 * F.col("n")).alias("s"))
     )

@@ -23,8 +23,10 @@ from regweave.operators.features import (
     target_moments,
     target_totals,
 )
+from regweave.operators.ordering import hash_position
 from regweave.params import BoostParams
-from regweave.plans.kernel import Batch, Moments, RoundPlan, batches
+from regweave.plans.kernel import Batch, Moments, batches
+from regweave.session import write_once
 
 MAX_SHARED = 16_000_000  # rows of the shared-count table that may be broadcast (16 bytes each)
 MAX_FEATURES = 1_000_000
@@ -101,26 +103,28 @@ class MomentBooster:
         """One row per (phase, target): sparse moments, totals by sub, own regulator index."""
         if targets is not None:
             values = values.join(targets, "gene", "left_semi")
+        # integer target numbers keep the shuffled rows small and the aggregation keys fixed-width
+        index = write_once(hash_position(values.select("gene").distinct(), "gene", 0, "tid"), "targets")
+        nr_targets = index.count()
         nf = self.nr_features
-        sub = F.pmod(F.col("grp"), F.lit(per_phase)).cast("int")
-        phase = F.floor(F.col("grp") / per_phase).cast("int")
+        phase_of = F.floor(F.col("grp") / per_phase).cast("int")
+        sub_of = F.pmod(F.col("grp"), F.lit(per_phase)).cast("int")
+        numbered = values.join(index, "gene").select("tid", "cell", "value")
         sums = (
-            target_moments(values, groups, self.binned)
-            .groupBy(phase.alias("phase"), "target")
-            .agg(F.collect_list(F.struct((sub.cast("long") * nf + F.col("f")).alias("i"), "y")).alias("e"))
+            target_moments(numbered, groups, self.binned, nf, per_phase * nr_phases, nr_targets)
+            .groupBy("tid", phase_of.alias("phase"))
+            .agg(F.collect_list(F.struct((sub_of.cast("long") * nf + F.col("f")).alias("i"), "y")).alias("e"))
         )
         totals = (
-            target_totals(values, groups)
-            .groupBy(phase.alias("phase"), "target")
-            .agg(F.collect_list(F.struct(sub.alias("u"), "y", "yy")).alias("t"))
-        )
-        every = values.select(F.col("gene").alias("target")).distinct().withColumn(
-            "phase", F.explode(F.sequence(F.lit(0), F.lit(nr_phases - 1)))
+            target_totals(numbered, groups)
+            .groupBy("tid", phase_of.alias("phase"))
+            .agg(F.collect_list(F.struct(sub_of.alias("u"), "y", "yy")).alias("t"))
         )
+        every = index.select("tid", F.col("gene").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(nr_phases - 1))).alias("phase"))
         own = self.binned.regulators.select(F.col("regulator").alias("target"), F.col("ridx").alias("self_ridx"))
         rows = (
-            every.join(totals, ["phase", "target"], "left")
-            .join(sums, ["phase", "target"], "left")
+            every.join(totals, ["tid", "phase"], "left")
+            .join(sums, ["tid", "phase"], "left")
             .join(own, "target", "left")
             .select(
                 "phase",
@@ -142,14 +146,11 @@ class MomentBooster:
 
         def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m = Moments(**shared.value, params=params)
-            plans: dict[int, RoundPlan] = {}
             for pdf in frames:
                 out = []
                 for phase, rows in batches(m, pdf.itertuples(index=False)):
-                    if phase not in plans:
-                        plans[phase] = RoundPlan(m, phase, 0, sample=False)
-                    gains, _, _ = Batch(m, phase, rows).gains(plans[phase])
-                    best = np.maximum.reduceat(gains.max(axis=1), m.starts[:-1], axis=1)
+                    gains, _, _ = Batch(m, phase, rows).gains(m.plan(phase, 0, sample=False))
+                    best = np.maximum.reduceat(gains.max(axis=1)[:, m.pos], m.starts[:-1], axis=1)
                     for r, g in zip(rows, best):
                         keep = np.flatnonzero(g > params.min_gain)
                         out.append((phase, r.target, keep.astype(np.int32), g[keep]))
@@ -191,7 +192,7 @@ class MomentBooster:
                     losses = []
                     for t in range(done + rounds):
                         if t >= done:
-                            for log, choice in zip(logs, fit.fit_round(RoundPlan(m, phase, t))):
+                            for log, choice in zip(logs, fit.fit_round(m.plan(phase, t))):
                                 log.append((t, *choice))
                         for i, log in enumerate(logs):
                             fit.apply(i, int(log[t][1]), int(log[t][2]), log[t][3], log[t][4])
