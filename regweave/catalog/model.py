@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regweave.catalog.registry import query
-from regweave.catalog.tables import SQL_PARTS, events_expression, part_regulators, parts_expression, sql_streaks
+from regweave.catalog.tables import SQL_PARTS, embedding_expression, part_regulators, parts_expression, sql_streaks
 from regweave.operators.edges import included, normalize, truncate, with_labels
 from regweave.operators.matrix import pack
 from regweave.operators.select import assign_folds, index_cells, slice_cells
@@ -163,9 +163,9 @@ def inferred_regulations(spark, sf):
 
 @query("deep_tree_network")
 def deep_tree_network(spark, sf):
-    """Depth-3 trees with exact row sampling on the event matrix."""
-    expr = events_expression(spark, sf)
-    problem = INF.prepare(expr, expr.genes(), max_bin=64)
+    """Depth-3 trees with exact row sampling on the dense embedding matrix, quantile bins."""
+    expr = embedding_expression(spark, sf)
+    problem = INF.prepare(expr, expr.genes(), max_bin=16)
     log = INF.infer_splits(problem, BoostParams(eta=0.15, max_depth=3, subsample=0.8, min_child_weight=6), 2)
     return INF.edges_after(log)
 

@@ -2,16 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regweave.constants import DEFAULT_RANK_SEED
 from regweave.operators.matrix import densify
-from regweave.operators.skew import salted_join
+from regweave.operators.skew import salted_join, spread
 
 TIE_SALTS = 64
 
 
+def _bucket(value: Column) -> Column:
+    """A coarse bucket that respects the order of values: 32 per power of two, mirrored for negatives."""
+    size = F.floor(F.log2(F.abs(value)) * 32) + 40_000
+    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * size).cast("int")
+
+
+def _count_below(levels: DataFrame, order: list[str]) -> DataFrame:
+    """Add ``_below``: entries of the gene before each level ``(gene, *order, _n)``; ``order[0]`` is the value.
+
+    Two steps: offsets of the buckets of a gene (a bounded number), then positions inside a bucket. A
+    gene with any number of distinct values is therefore accumulated by many tasks.
+    """
+    marked = levels.withColumn("_vb", _bucket(F.col("value")))
+    earlier = Window.partitionBy("gene").orderBy("_vb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        marked.groupBy("gene", "_vb")
+        .agg(F.sum("_n").alias("_bn"))
+        .select("gene", "_vb", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_off"))
+    )
+    inside = Window.partitionBy("gene", "_vb").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        marked.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .join(offsets, ["gene", "_vb"])
+        .withColumn("_below", F.col("_off") + F.col("_in"))
+        .drop("_vb", "_off", "_in")
+    )
+
+
 def to_rankings(
     values: DataFrame, nr_cells: int, base: int = 1, ties: str = "shuffle", seed: int = DEFAULT_RANK_SEED
 ) -> DataFrame:
@@ -25,12 +53,9 @@ def to_rankings(
         raise ValueError("ties must be shuffle or average")
     dense = densify(values, nr_cells).withColumn("_h", F.xxhash64(F.lit(seed), F.col("gene"), F.col("cell")))
     dense = dense.withColumn("_b", F.pmod(F.col("_h"), F.lit(TIE_SALTS)).cast("int"))
-    order = Window.partitionBy("gene").orderBy("value", "_b").rowsBetween(Window.unboundedPreceding, -1)
     tie = Window.partitionBy("gene", "value")
     counts = (
-        dense.groupBy("gene", "value", "_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_below", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+        _count_below(dense.groupBy("gene", "value", "_b").agg(F.count(F.lit(1)).alias("_n")), ["value", "_b"])
         .withColumn("_mean", F.min("_below").over(tie) + (F.sum("_n").over(tie) - 1) / 2.0)
     )
     out = dense.join(counts, ["gene", "value", "_b"])
@@ -46,14 +71,12 @@ def shifted_ranks(values: DataFrame, nr_cells: int) -> DataFrame:
     Correlation does not change under a shift, and after it the zeros are zero again: rank correlation
     on sparse data never needs the dense matrix.
     """
-    ordered = Window.partitionBy("gene").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    gene = Window.partitionBy("gene")
+    per_gene = values.groupBy("gene").agg(
+        (F.lit(nr_cells) - F.count(F.lit(1))).alias("_zeros"), F.count_if(F.col("value") < 0).alias("_neg")
+    )
     levels = (
-        values.groupBy("gene", "value")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_below", F.coalesce(F.sum("_n").over(ordered), F.lit(0)))
-        .withColumn("_zeros", F.lit(nr_cells) - F.sum("_n").over(gene))
-        .withColumn("_neg", F.coalesce(F.sum(F.when(F.col("value") < 0, F.col("_n"))).over(gene), F.lit(0)))
+        _count_below(values.groupBy("gene", "value").agg(F.count(F.lit(1)).alias("_n")), ["value"])
+        .join(per_gene, "gene")
         .select(
             "gene",
             "value",
@@ -72,7 +95,7 @@ def pair_products(values: DataFrame, regulators: DataFrame, nr_genes: int | None
         "cell", "ridx", F.col("value").alias("_x")
     )
     return (
-        salted_join(values, x, "cell", "gene", nr_genes)
+        salted_join(spread(values, "gene", "cell"), x, "cell", "gene", nr_genes)
         .groupBy("ridx", "gene")
         .agg(F.sum(F.col("_x") * F.col("value")).alias("xy"))
     )

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regweave.operators.skew import salted_join
+from regweave.operators.skew import salted_join, spread
 from regweave.session import write_once
 
 
@@ -97,7 +97,7 @@ def target_moments(
     x = binned.cells.join(groups, "cell").select("cell", (F.col("grp").cast("long") * nr_features + F.col("f")).alias("gf"))
     width = nr_features * nr_groups
     return (
-        salted_join(values, x, "cell", "tid", nr_targets)
+        salted_join(spread(values, "tid", "cell"), x, "cell", "tid", nr_targets)
         .groupBy((F.col("tid") * width + F.col("gf")).alias("k"))
         .agg(F.sum("value").alias("y"))
         .select(

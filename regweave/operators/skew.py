@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 HOT_KEY_ROWS = 1_000_000
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for work that grows per row: re-partition inputs of fewer partitions than cores.
+
+    Large inputs already have more partitions than that and pass through without a shuffle. The hash
+    covers all given keys, so one hot key does not end up in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, *keys)
+
+
 def salted_join(
     big: DataFrame,
     other: DataFrame,

@@ -157,14 +157,13 @@ def _prune(levels: list[DataFrame], grown: DataFrame, gamma: float) -> tuple[lis
                 "_keep", stays | F.coalesce("_child", F.lit(False))
             ).drop("_child")
         marked = materialize(marked)
-        cut = marked.filter(~F.col("_keep")).select("target", F.col("node").alias("_up"))
+        cut = marked.filter(~F.col("_keep")).select("target", F.col("node").alias("_parent"), F.lit(True).alias("_cut"))
         parent = F.when(F.col("node") > 0, F.floor((F.col("node") - 1) / 2).cast("int"))
         grown = (
             grown.withColumn("_parent", parent)
-            .join(cut, (grown["target"] == cut["target"]) & (F.col("_parent") == F.col("_up")), "left")
-            .drop(cut["target"])
-            .withColumn("node", F.coalesce("_up", "node"))
-            .drop("_parent", "_up")
+            .join(cut, ["target", "_parent"], "left")
+            .withColumn("node", F.when(F.col("_cut"), F.col("_parent")).otherwise(F.col("node")))
+            .drop("_parent", "_cut")
         )
         below = marked.filter("_keep").drop("_keep")
         kept.append(below)

@@ -44,17 +44,17 @@ def _collect_moments(
     binned: Binned, groups: DataFrame, per_phase: int, nr_phases: int, train: tuple[int, ...], params: BoostParams
 ) -> dict:
     """The bounded, checked collect: counts per feature and shared counts, as plain arrays."""
-    feats = binned.features.select("f", "ridx").toPandas().sort_values("f")
+    feats = binned.features.select("f", "ridx").toArrow().to_pandas().sort_values("f")
     nf, nr = len(feats), int(feats["ridx"].max()) + 1
     starts = np.searchsorted(feats["ridx"].to_numpy(), np.arange(nr + 1)).astype(np.int64)
     ng = per_phase * nr_phases
     n_group = np.zeros(ng)
-    for g, n in groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).toPandas().itertuples(index=False):
+    for g, n in groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas().itertuples(index=False):
         n_group[int(g)] = n
     n_feature = np.zeros((ng, nf))
-    fc = feature_counts(groups, binned).toPandas()
+    fc = feature_counts(groups, binned).toArrow().to_pandas()
     n_feature[fc["grp"].to_numpy(np.int64), fc["f"].to_numpy(np.int64)] = fc["n"].to_numpy(float)
-    co = shared_counts(groups, binned).select("grp", "fa", "fb", F.col("n").cast("float")).toPandas()
+    co = shared_counts(groups, binned).select("grp", "fa", "fb", F.col("n").cast("float")).toArrow().to_pandas()
     grp, fa = co["grp"].to_numpy(np.int64), co["fa"].to_numpy(np.int64)
     key = (grp // per_phase) * nf + fa
     order = np.argsort(key, kind="stable")

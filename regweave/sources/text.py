@@ -12,8 +12,10 @@ from regweave import constants as C
 from regweave.functions.scalar import split_line
 from regweave.functions.vectors import assemble, assemble_ml
 from regweave.operators.matrix import Expression, drop_missing
+from regweave.session import write_once
 
 ALL_MISSING = (float("nan"), 0.0)
+MAX_BROADCAST_BLOCKS = 100_000  # rows of about 150 bytes; beyond that the offsets are joined by shuffle
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +36,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     )
-    return lines.join(F.broadcast(blocks), ["_file", "_block"]).select(
+    blocks = write_once(blocks, "line-blocks")
+    if blocks.count() <= MAX_BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    return lines.join(blocks, ["_file", "_block"]).select(
         "value", (F.col("_offset") + F.col("_id") - F.col("_first")).alias("line_no")
     )
 
