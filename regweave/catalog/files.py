@@ -156,7 +156,7 @@ def annotated_matrix(spark, sf):
 
 def _csc(spark, sf):
     """The parts matrix as stored CSC tables."""
-    expr = parts_expression(spark, sf)
+    expr = parts_expression(spark, sf).store()
     genes = expr.genes()
     names = write_once(
         S.regulator_index(expr.values, genes).select(F.col("regulator").alias("gene"), F.col("ridx").alias("gene_idx")), "gene-names"

@@ -77,7 +77,7 @@ def shuffled_ranks(spark, sf):
     f"WITH {SQL_PARTS}, vals AS (SELECT * FROM expr), {SQL_PEARSON} SELECT tf, gene, CASE WHEN tf = gene THEN 1.0 ELSE round(cov / nullif(spread, 0), 6) END AS corr FROM corr",
 )
 def pearson_matrix(spark, sf):
-    expr = parts_expression(spark, sf)
+    expr = parts_expression(spark, sf).store()
     regs = S.regulator_index(expr.values, part_regulators(spark, sf))
     return R.pearson(expr.values, regs, expr.nr_cells()).select("tf", "gene", F.round("corr", 6).alias("corr"))
 
@@ -87,7 +87,7 @@ def pearson_matrix(spark, sf):
     f"WITH {SQL_PARTS}, vals AS (SELECT * FROM expr), {SQL_PEARSON} SELECT tf, gene, CAST(sign(round(cov, 9)) AS INTEGER) AS sign FROM corr",
 )
 def covariance_sign(spark, sf):
-    expr = parts_expression(spark, sf)
+    expr = parts_expression(spark, sf).store()
     regs = S.regulator_index(expr.values, part_regulators(spark, sf))
     return R.pearson(expr.values, regs, expr.nr_cells()).select("tf", "gene", "sign")
 
@@ -97,7 +97,7 @@ def covariance_sign(spark, sf):
     f"WITH {SQL_PARTS}, {SQL_AVG_RANKS}, {SQL_PEARSON} SELECT tf, gene, CASE WHEN tf = gene THEN 1.0 ELSE round(cov / nullif(spread, 0), 6) END AS corr FROM corr",
 )
 def spearman_matrix(spark, sf):
-    expr = parts_expression(spark, sf)
+    expr = parts_expression(spark, sf).store()
     regs = S.regulator_index(expr.values, part_regulators(spark, sf))
     return R.spearman(expr.values, regs, expr.nr_cells()).select("tf", "gene", F.round("corr", 6).alias("corr"))
 
@@ -109,7 +109,7 @@ def spearman_matrix(spark, sf):
 )
 def spearman_dense_matrix(spark, sf):
     """All embedding positions against each other, without ties, on dense values of both signs."""
-    expr = embedding_expression(spark, sf)
+    expr = embedding_expression(spark, sf).store()
     regs = S.regulator_index(expr.values, expr.genes())
     return R.spearman(expr.values, regs, expr.nr_cells()).select("tf", "gene", F.round("corr", 6).alias("corr"))
 
@@ -122,7 +122,7 @@ def spearman_dense_matrix(spark, sf):
 )
 def correlation_rows(spark, sf):
     """One text line of signs per regulator, genes in name order."""
-    expr = embedding_expression(spark, sf)
+    expr = embedding_expression(spark, sf).store()
     regs = S.regulator_index(expr.values, expr.genes())
     corr = R.pearson(expr.values, regs, expr.nr_cells())
     sign = F.when(F.col("tf") == F.col("gene"), F.lit(1)).otherwise(F.col("sign"))

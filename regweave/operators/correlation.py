@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from regweave.constants import DEFAULT_RANK_SEED
 from regweave.operators.matrix import densify
 from regweave.operators.skew import salted_join, spread
+from regweave.session import write_once
 
 TIE_SALTS = 64
 
@@ -108,10 +109,12 @@ def pearson(values: DataFrame, regulators: DataFrame, nr_cells: int) -> DataFram
     itself is 1.
     """
     sums = values.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
+    sums = write_once(sums, "gene-sums")
     reg = sums.join(regulators.withColumnRenamed("regulator", "gene"), "gene").select(
         "ridx", F.col("gene").alias("tf"), F.col("s").alias("ts"), F.col("ss").alias("tss")
     )
     last = regulators.count() - 1
+    nr_genes = sums.count()
     n = F.lit(float(nr_cells))
     grid = sums.select("gene", "s", "ss", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("ridx"))
     cov = F.coalesce("xy", F.lit(0.0)) - F.col("s") * F.col("ts") / n
@@ -119,7 +122,7 @@ def pearson(values: DataFrame, regulators: DataFrame, nr_cells: int) -> DataFram
         F.greatest(F.col("tss") - F.col("ts") * F.col("ts") / n, F.lit(0.0))
     )
     return (
-        grid.join(pair_products(values, regulators), ["gene", "ridx"], "left")
+        grid.join(pair_products(values, regulators, nr_genes), ["gene", "ridx"], "left")
         .join(reg, "ridx")
         .select(
             "tf",
@@ -132,7 +135,8 @@ def pearson(values: DataFrame, regulators: DataFrame, nr_cells: int) -> DataFram
 
 def spearman(values: DataFrame, regulators: DataFrame, nr_cells: int) -> DataFrame:
     """Rank correlation ``tf, gene, corr`` with average ranks for ties."""
-    return pearson(shifted_ranks(values, nr_cells), regulators, nr_cells).select("tf", "gene", "corr")
+    ranks = write_once(shifted_ranks(values, nr_cells), "ranks")  # read three times below
+    return pearson(ranks, regulators, nr_cells).select("tf", "gene", "corr")
 
 
 def spearman_shuffled(
@@ -140,4 +144,5 @@ def spearman_shuffled(
 ) -> DataFrame:
     """Rank correlation on distinct ranks (ties in random order); dense, so costly on sparse data."""
     ranks = to_rankings(values, nr_cells, 1, "shuffle", seed).withColumnRenamed("rank", "value")
+    ranks = write_once(ranks, "ranks")
     return pearson(ranks, regulators, nr_cells).select("tf", "gene", "corr")

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regweave.session import write_once
+
 PACK_CELLS = 1 << 20
 DENSE_CHUNK = 1 << 16
 
@@ -28,6 +30,16 @@ class Expression:
         """Distinct gene names, kept as a table."""
         return self.values.select("gene").distinct()
 
+    def store(self) -> Expression:
+        """The same matrix as a scan of scratch tables; use it before reading values several times."""
+        if self.stored:
+            return self
+        return Expression(
+            write_once(self.values.select("gene", "cell", "value"), "expression"),
+            write_once(self.cells.select("cell"), "cells"),
+            stored=True,
+        )
+
     def nr_cells(self) -> int:
         return self.cells.count()
 

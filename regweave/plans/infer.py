@@ -52,9 +52,7 @@ def prepare(
     targets: DataFrame | Iterable[str] | None = None,
     max_bin: int | None = 256,
 ) -> Problem:
-    if not expr.stored:
-        values = write_once(expr.values.select("gene", "cell", "value"), "expression")
-        expr = Expression(values, write_once(expr.cells.select("cell"), "cells"), stored=True)
+    expr = expr.store()
     regulators = write_once(regulator_index(expr.values, candidates), "regulators")
     require_regulators(regulators)
     wanted = None

@@ -30,6 +30,7 @@ from regweave.session import write_once
 
 MAX_SHARED = 16_000_000  # rows of the shared-count table that may be broadcast (16 bytes each)
 MAX_FEATURES = 1_000_000
+ROWS_PER_TASK = 1_000
 
 LOG_FIELDS = "round array<int>, f array<int>, d array<int>, wl array<double>, wr array<double>, gain array<double>, cover array<double>"
 OUT_SCHEMA = f"phase int, target string, {LOG_FIELDS}, train_loss array<double>, test_loss array<double>"
@@ -96,7 +97,7 @@ class MomentBooster:
         arrays = _collect_moments(binned, groups, per_phase, nr_phases, train, params)
         self.nr_features = arrays["n_feature"].shape[1]
         self.shared = spark.sparkContext.broadcast(arrays)
-        self.nr_partitions = nr_partitions or 4 * spark.sparkContext.defaultParallelism
+        self.nr_partitions = nr_partitions
         self.rows = self._target_rows(values, groups, per_phase, nr_phases, targets)
 
     def _target_rows(self, values, groups, per_phase, nr_phases, targets) -> DataFrame:
@@ -106,6 +107,10 @@ class MomentBooster:
         # integer target numbers keep the shuffled rows small and the aggregation keys fixed-width
         index = write_once(hash_position(values.select("gene").distinct(), "gene", 0, "tid"), "targets")
         nr_targets = index.count()
+        if self.nr_partitions is None:
+            # a few tasks per core, and few enough rows per task for one Arrow batch
+            cores = values.sparkSession.sparkContext.defaultParallelism
+            self.nr_partitions = max(4 * cores, -(-nr_targets * nr_phases // ROWS_PER_TASK))
         nf = self.nr_features
         phase_of = F.floor(F.col("grp") / per_phase).cast("int")
         sub_of = F.pmod(F.col("grp"), F.lit(per_phase)).cast("int")

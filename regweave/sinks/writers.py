@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from regweave import constants as C
 from regweave.operators.edges import sort_by_gain, sort_by_names
 from regweave.operators.matrix import densify, pack
+from regweave.session import write_once
 
 
 def edge_lines(edges: DataFrame, include_flags: bool = True, delimiter: str = C.DEFAULT_DELIMITER) -> DataFrame:
@@ -61,6 +62,7 @@ def matrix_lines(
     """
     from regweave.operators.ordering import position_in_order
 
+    entries = write_once(entries.select(row, col, value), "matrix-entries")
     names = entries.select(F.col(col).alias("_name")).distinct()
     indexed = position_in_order(names, F.substring(F.col("_name").cast("string"), 1, 2), [F.col("_name")], "_c")
     if dict(names.dtypes)["_name"] != "string":
