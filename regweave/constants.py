@@ -19,7 +19,7 @@ ELBOW_LABEL_X_SCALE = 3  # scale used for inclusion labels
 ELBOW_STREAK = 3
 ELBOW_MIN_POINTS = 4
 
-# --- fixed values: squared-loss boosting (public XGBoost defaults) ------------------
+# --- fixed values: regularized squared-loss boosting --------------------------------
 BASE_SCORE = 0.5
 REG_LAMBDA = 1.0
 MIN_GAIN = 1e-6
