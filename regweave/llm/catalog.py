@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regweave.llm import quality
+from regweave.llm import minhash, quality
 from regweave.llm.registry import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -14,3 +14,8 @@ __all__ = ["ORACLES", "QUERIES"]
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.quality_rules(docs, quality.fit_quality(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op4_minhash_near_dedup")
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))

@@ -1,0 +1,329 @@
+"""Secret scans with recursive decoding: every layer of a text is scanned until nothing more can be unwrapped.
+
+A worklist starts with the text itself. Each layer is scanned with the base patterns. Percent-encoding and
+character escapes are decoded in place (with their surroundings); base64 runs and the compressed data inside them
+become layers of their own. A layer seen before is not opened again, so cycles end. Every character of a layer
+carries the range of the original text it came from; finds are reported there. Offsets count code points.
+
+Byte-level prefilters over whole slices decide which texts need regular expressions at all; they only skip texts
+in which no pattern can match and nothing can be decoded.
+
+Defined cases: null and empty texts have no spans; a find that a decoded layer repeats at the same place is listed
+once; data that unpacks to more than ``MAX_UNPACKED`` bytes is taken for a decompression bomb and stays packed;
+repeated rows are scanned one by one; an empty table gives an empty result; other columns are not read.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import bz2
+import hashlib
+import html
+import lzma
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from regweave.llm import text as T
+
+KINDS = ("assign", "access", "hex")
+MAX_UNPACKED = 64 << 20
+MASK = "[REMOVED]"
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]+")
+WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_HEXDIGIT = T.table("0123456789abcdefABCDEF")
+_HEXLOW = T.table("0123456789abcdef")
+_B64 = T.table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind index, end) of the base patterns."""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
+    return sorted(found)
+
+
+def _readable(data: bytes) -> str | None:
+    try:
+        out = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return None if _CONTROL.search(out) else out
+
+
+def _unzstd(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+
+
+def _limited(make):
+    def run(data: bytes) -> bytes:
+        d = make()
+        out = d.decompress(data, MAX_UNPACKED + 1)
+        if len(out) > MAX_UNPACKED:
+            raise ValueError("too large")
+        return out
+
+    return run
+
+
+_PACKED = (
+    (b"\x1f\x8b", _limited(lambda: zlib.decompressobj(31))),
+    (b"BZh", _limited(bz2.BZ2Decompressor)),
+    (b"\xfd7zXZ\x00", _limited(lzma.LZMADecompressor)),
+    (b"x\x01", _limited(zlib.decompressobj)),
+    (b"x\x5e", _limited(zlib.decompressobj)),
+    (b"x\x9c", _limited(zlib.decompressobj)),
+    (b"x\xda", _limited(zlib.decompressobj)),
+)
+
+
+def unpack(data: bytes) -> bytes | None:
+    """The content of one compressed layer, or None."""
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        try:
+            size = zstandard.frame_content_size(data)
+            return _unzstd(data) if size <= MAX_UNPACKED else None
+        except (zstandard.ZstdError, MemoryError):
+            return None
+    for magic, read in _PACKED:
+        if data.startswith(magic):
+            try:
+                return read(data)
+            except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
+                return None
+    return None
+
+
+class _Layer:
+    """A text whose characters know the range of the original they came from."""
+
+    def __init__(self, text: str, lo: np.ndarray, hi: np.ndarray):
+        self.text, self.lo, self.hi = text, lo, hi
+
+    def replaced(self, pattern: re.Pattern, decode) -> _Layer | None:
+        """The layer with every decodable match replaced in place; None if nothing changed."""
+        parts, lo, hi, at = [], [], [], 0
+        for m in pattern.finditer(self.text):
+            pieces = decode(m[0])
+            if pieces is None:
+                continue
+            s, e = m.span()
+            parts.append(self.text[at:s])
+            lo.append(self.lo[at:s])
+            hi.append(self.hi[at:s])
+            for out, a, b in pieces:
+                parts.append(out)
+                lo.append(np.full(len(out), self.lo[s + a]))
+                hi.append(np.full(len(out), self.hi[s + b - 1]))
+            at = e
+        if not at:
+            return None
+        parts.append(self.text[at:])
+        return _Layer("".join(parts), np.concatenate([*lo, self.lo[at:]]), np.concatenate([*hi, self.hi[at:]]))
+
+    def inner(self, text: str, s: int, e: int, width: int = 0) -> _Layer:
+        """A layer decoded from characters s..e; ``width`` bytes of base64 give finer ranges."""
+        n = len(text)
+        if width and n == width:  # one byte per character: character i came from digits 4i/3 to 4(i+1)/3
+            first = s + np.arange(n) * 4 // 3
+            last = np.minimum(s + (np.arange(1, n + 1) * 4 + 2) // 3, e) - 1
+            return _Layer(text, self.lo[first], self.hi[last])
+        return _Layer(text, np.full(n, self.lo[s]), np.full(n, self.hi[e - 1]))
+
+
+def _percent(run: str):
+    out = _readable(bytes.fromhex(run.replace("%", "")))
+    if out is None:
+        return None
+    pieces, at = [], 0
+    for c in out:
+        width = 3 * len(c.encode())
+        pieces.append((c, at, at + width))
+        at += width
+    return pieces
+
+
+def _escape(run: str):
+    try:
+        if run.startswith("&#"):
+            out = html.unescape(run)
+            return None if out == run else [(out, 0, len(run))]
+        if run[1] in "xU":
+            return [(chr(int(run[2:], 16)), 0, len(run))]
+        units = [int(u, 16) for u in run.split("\\u")[1:]]
+        out = b"".join(u.to_bytes(2, "big") for u in units).decode("utf-16-be")
+    except (ValueError, OverflowError):
+        return None
+    pieces, at = [], 0
+    for c in out:
+        width = 12 if ord(c) > 0xFFFF else 6
+        pieces.append((c, at, at + width))
+        at += width
+    return pieces
+
+
+def _debase(run: str) -> bytes | None:
+    core = run.rstrip("=")
+    if len(core) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(core.replace("-", "+").replace("_", "/") + "=" * (-len(core) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
+    for pattern, decode in ((PERCENT, _percent), (ESCAPE, _escape)):
+        new = layer.replaced(pattern, decode)
+        if new is not None:
+            yield new
+    for m in BASE64.finditer(layer.text):
+        data = _debase(m[0])
+        if data is None:
+            continue
+        width, packed = len(data), False
+        while (more := unpack(data)) is not None:
+            data, packed = more, True
+        text = _readable(data)
+        if text:
+            yield layer.inner(text, m.start(), m.end(), 0 if packed else width)
+
+
+def all_spans(text: str) -> list[tuple[int, int, int]]:
+    """Spans of the text and of everything nested in it, in original offsets: (start, kind index, end)."""
+    found = set(base_spans(text))
+    at = np.arange(len(text))
+    work, seen = [_Layer(text, at, at + 1)], {text}
+    while work:
+        for new in _unwrapped(work.pop()):
+            if new.text in seen:
+                continue
+            seen.add(new.text)
+            work.append(new)
+            for s, kind, e in base_spans(new.text):
+                found.add((int(new.lo[s:e].min()), kind, int(new.hi[s:e].max())))
+    return sorted(found)
+
+
+def listed(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def _runs(mask: np.ndarray, t: T.Texts, least: int) -> np.ndarray:
+    """Texts with a run of at least ``least`` set bytes (runs may touch a text end; a longer list does no harm)."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
+    s, e = edge[::2], edge[1::2]
+    s, e = s[e - s >= least], e[e - s >= least]
+    if not len(s):
+        return np.zeros(t.n, bool)
+    return (np.searchsorted(s, t.end) - np.searchsorted(e, t.start, side="right")) > 0
+
+
+def _finds(data: bytes, needle: bytes, t: T.Texts, out: np.ndarray) -> None:
+    at = data.find(needle)
+    while at >= 0:
+        doc = int(np.searchsorted(t.end, at, side="right"))
+        out[doc] = True
+        at = data.find(needle, max(at + 1, int(t.end[doc]) - len(needle)))
+
+
+def suspects(t: T.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Texts where a base pattern may match, and texts where something may be decoded."""
+    plain, coded = _runs(_HEXLOW[t.raw], t, 24), _runs(_B64[t.raw], t, 16)
+    raw, low = t.raw.tobytes(), T.LOWER_MAP[t.raw].tobytes()
+    for w in WORDS:
+        _finds(low, w, t, plain)
+    _finds(raw, b"AKIA", t, plain)
+    for w in (b"\\u", b"\\x", b"\\U", b"&#"):
+        _finds(raw, w, t, coded)
+    at = np.flatnonzero(t.raw[:-2] == 37) if len(t.raw) > 2 else np.zeros(0, np.int64)
+    at = at[_HEXDIGIT[t.raw[at + 1]] & _HEXDIGIT[t.raw[at + 2]]]
+    coded[np.minimum(np.searchsorted(t.end, at, side="right"), t.n - 1)] = True
+    return plain, coded
+
+
+def _scan(t: T.Texts) -> Iterator[tuple[int, str, list, list]]:
+    """(text number, text, base spans, all spans) of the texts that have any span."""
+    plain, coded = suspects(t)
+    for i in np.flatnonzero(plain | coded):
+        text = t.raw[t.start[i] : t.end[i]].tobytes().decode("utf-8", "replace")
+        base = base_spans(text) if plain[i] else []
+        spans = all_spans(text) if coded[i] else base
+        if spans:
+            yield int(i), text, base, spans
+
+
+def secret_scan(docs: DataFrame) -> DataFrame:
+    """``doc_id``, counts of base finds, a digest of base spans, and all spans of every row of ``docs``."""
+    nothing = hashlib.sha256(b"").hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, t in T.slices(b.column("text")):
+                counts = np.zeros((3, t.n), np.int64)
+                digest, spans = [nothing] * t.n, [""] * t.n
+                for i, _, base, found in _scan(t):
+                    counts[:, i] = np.bincount([k for _, k, _ in base], minlength=3)
+                    digest[i], spans[i] = hashlib.sha256(listed(base).encode()).hexdigest(), listed(found)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(lo, hi - lo), *map(pa.array, counts), pa.array(digest), pa.array(spans)],
+                    ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                )
+
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def redacted(text: str, spans: list[tuple[int, int, int]], mask: str = MASK) -> str:
+    """The text with every span (overlapping ones joined) replaced."""
+    parts, at = [], 0
+    for s, _, e in spans:
+        if e <= at:
+            continue
+        if s >= at:
+            parts += [text[at:s], mask]
+        at = e
+    return "".join([*parts, text[at:]])
+
+
+def redact(docs: DataFrame, column: str = "text", mask: str = MASK) -> DataFrame:
+    """``docs`` with secrets masked; all rows and columns stay, and ``n_chars`` (where present) follows the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(column)
+            texts = b.column(at)
+            changed: dict[int, str] = {}
+            for lo, _, t in T.slices(texts):
+                changed.update((lo + i, redacted(text, spans, mask)) for i, text, _, spans in _scan(t))
+            if changed:
+                values = texts.to_pylist()
+                for i, v in changed.items():
+                    values[i] = v
+                b = b.set_column(at, b.schema.field(at), pa.array(values, texts.type))
+            yield b
+
+    out = docs.withColumn(column, F.col(column).cast("string")).mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        out = out.withColumn("n_chars", F.coalesce(F.length(column), F.col("n_chars")).cast(kind))
+    return out.select(*docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets masked; none is dropped."""
+    return redact(docs)
