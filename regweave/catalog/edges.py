@@ -113,10 +113,10 @@ def gain_rollup(spark, sf):
     "postprocessed_edges",
     f"""WITH {SQL_LABELLED}, norm AS (
       SELECT regulator, target, gain / sum(gain) OVER (PARTITION BY target) AS gain, include FROM labelled WHERE include = 1)
-    SELECT regulator, target, round(gain, 6) AS gain, include FROM norm ORDER BY gain DESC, regulator, target LIMIT 5000""",
+    SELECT regulator, target, round(gain, 6) AS gain, include FROM norm""",
 )
 def postprocessed_edges(spark, sf):
-    out = E.postprocess(nation_edges(spark, sf), regularized=True, normalized=True, truncated=5000)
+    out = E.postprocess(nation_edges(spark, sf), regularized=True, normalized=True)
     return out.withColumn("gain", F.round("gain", 6)).select("regulator", "target", "gain", "include")
 
 

@@ -21,18 +21,19 @@ from regweave.catalog.tables import (
 from regweave.operators import edges as E
 from regweave.operators import select as S
 from regweave.operators.correlation import spearman
+from regweave.operators import matrix as M
 from regweave.operators.matrix import pack
 from regweave.session import scratch_path, write_once
 from regweave.sinks import writers as W
 from regweave.sources import csc
 from regweave.sources import text as T
 
-SQL_USED = "used AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS ic FROM (SELECT DISTINCT cell FROM expr))"
+SQL_USED = "used AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS ic FROM cells)"
 
 
 def _parts_file(spark, sf):
     path = scratch_path(spark, "gene-major")
-    W.save_matrix_slice(parts_expression(spark, sf).values, path)
+    W.save_matrix_slice(parts_expression(spark, sf), path)
     return path
 
 
@@ -69,7 +70,7 @@ def skipped_headers(spark, sf):
 
 @query(
     "matrix_slice_lines",
-    f"""WITH {SQL_PARTS}, g AS (SELECT DISTINCT gene FROM expr), c AS (SELECT DISTINCT cell FROM expr)
+    f"""WITH {SQL_PARTS}, g AS (SELECT DISTINCT gene FROM expr), c AS (SELECT cell FROM cells)
     SELECT g.gene || chr(9) || string_agg(CAST(CAST(coalesce(value, 0) AS BIGINT) AS VARCHAR), chr(9) ORDER BY c.cell) AS value
     FROM g CROSS JOIN c LEFT JOIN expr e ON e.gene = g.gene AND e.cell = c.cell GROUP BY g.gene
     UNION ALL SELECT 'gene' || chr(9) || string_agg(CAST(cell AS VARCHAR), chr(9) ORDER BY cell) FROM c""",
@@ -78,6 +79,46 @@ def matrix_slice_lines(spark, sf):
     return spark.read.text(_parts_file(spark, sf))
 
 
+SQL_SPARSE = """
+cells AS (SELECT s_suppkey AS cell FROM supplier),
+genes AS (SELECT CAST(p_partkey AS VARCHAR) AS gene FROM part),
+expr AS (
+  SELECT CAST(l_partkey AS VARCHAR) AS gene, l_suppkey AS cell, sum(l_quantity) AS value
+  FROM lineitem WHERE l_suppkey % 2 = 0 AND l_partkey % 3 > 0 GROUP BY 1, 2 HAVING sum(l_quantity) <> 0)
+"""
+
+
+def sparse_parts(spark, sf):
+    """Parts by suppliers where every second supplier and every third part has no entry."""
+    some = table(spark, sf, "lineitem").filter((F.col("l_suppkey") % 2 == 0) & (F.col("l_partkey") % 3 > 0))
+    values = some.groupBy(F.col("l_partkey").cast("string").alias("gene"), F.col("l_suppkey").alias("cell")).agg(F.sum("l_quantity").alias("value"))
+    cells = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell"))
+    return M.Expression(M.drop_missing(values), cells, names=table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("gene")))
+
+
+@query(
+    "matrix_with_empty_cells",
+    f"""WITH {SQL_SPARSE} SELECT g.gene || chr(9) || string_agg(CAST(CAST(coalesce(value, 0) AS BIGINT) AS VARCHAR), chr(9) ORDER BY c.cell) AS value
+    FROM genes g CROSS JOIN cells c LEFT JOIN expr e ON e.gene = g.gene AND e.cell = c.cell GROUP BY g.gene
+    UNION ALL SELECT 'gene' || chr(9) || string_agg(CAST(cell AS VARCHAR), chr(9) ORDER BY cell) FROM cells""",
+)
+def matrix_with_empty_cells(spark, sf):
+    """Cells and genes without any entry keep their column and their line."""
+    path = scratch_path(spark, "sparse")
+    W.save_matrix_slice(sparse_parts(spark, sf), path)
+    return spark.read.text(path)
+
+
+@query(
+    "dimensions_with_empty_cells",
+    f"WITH {SQL_SPARSE} SELECT (SELECT CAST(count(*) AS BIGINT) FROM genes) AS genes, (SELECT CAST(count(*) AS BIGINT) FROM cells) AS cells",
+)
+def dimensions_with_empty_cells(spark, sf):
+    path = scratch_path(spark, "sparse")
+    W.save_matrix_slice(sparse_parts(spark, sf), path)
+    return M.dimensions(T.read_gene_major(spark, path))
+
+
 @query("regulator_names", "SELECT DISTINCT trim(p_name) AS gene FROM part WHERE trim(p_name) <> ''")
 def regulator_names(spark, sf):
     path = scratch_path(spark, "names")
@@ -140,7 +181,8 @@ def wide_csv_vectors(spark, sf):
 )
 def annotated_matrix(spark, sf):
     path = scratch_path(spark, "annotated")
-    lines = W.matrix_lines(events_expression(spark, sf).values, "gene", "cell", "value", "gene", as_type="int")
+    expr = events_expression(spark, sf)
+    lines = W.matrix_lines(expr.values, "gene", "cell", "value", "gene", as_type="int", cols=expr.cells)
     body = lines.filter("line_order <> ''").select(
         F.concat(F.lit("9"), "line_order").alias("k"), F.regexp_replace("value", "^([^\t]+)\t", "$1\tgroup\t").alias("value")
     )
@@ -256,18 +298,16 @@ def relabelled_saved_edges(spark, sf):
 @query(
     "edges_matrix_output",
     f"""WITH {SQL_EDGES}, r AS (SELECT DISTINCT regulator FROM edges), t AS (SELECT DISTINCT target FROM edges)
-    SELECT r.regulator, CAST(count(*) AS INTEGER) AS fields, CAST(count(gain) AS INTEGER) AS filled FROM r CROSS JOIN t LEFT JOIN edges USING (regulator, target) GROUP BY r.regulator""",
+    SELECT r.regulator, t.target, round(coalesce(gain, 0), 2) AS gain FROM r CROSS JOIN t LEFT JOIN edges USING (regulator, target)""",
 )
 def edges_matrix_output(spark, sf):
     path = scratch_path(spark, "matrix")
     W.save_output(nation_edges(spark, sf), path, "matrix")
-    fields = F.slice("f", 2, F.size("f"))
-    lines = T.skip_lines(spark, path, 1).select(F.split("value", "\t").alias("f"))
-    return lines.select(
-        F.col("f")[0].alias("regulator"),
-        (F.size("f") - 1).alias("fields"),
-        F.size(F.filter(fields, lambda x: x.cast("double") != 0)).alias("filled"),
-    )
+    lines = T.numbered_lines(spark, path).select("line_no", F.posexplode(F.split("value", "\t")).alias("p", "v")).filter("p > 0 OR line_no > 0")
+    names = lines.filter("line_no = 0").select("p", F.col("v").alias("target"))
+    rows = lines.filter("line_no > 0 AND p = 0").select("line_no", F.col("v").alias("regulator"))
+    body = lines.filter("line_no > 0 AND p > 0").join(names, "p").join(rows, "line_no")
+    return body.select("regulator", "target", F.round(F.col("v").cast("double"), 2).alias("gain"))
 
 
 @query("phase_directories", f"WITH {SQL_EDGES} SELECT regulator, target, round(gain, 2) AS gain, CAST(length(target) % 3 AS INTEGER) AS phase FROM edges")
@@ -278,17 +318,21 @@ def phase_directories(spark, sf):
     return spark.read.parquet(path).select("regulator", "target", F.round("gain", 2).alias("gain"), "phase")
 
 
-@query("correlation_file", "WITH d AS (SELECT max(len(embedding)) AS n FROM embeddings) SELECT CAST(n + 1 AS BIGINT) AS lines, CAST(n + 1 AS INTEGER) AS fields, true AS unit_diagonal FROM d")
+@query(
+    "correlation_file",
+    f"""WITH {SQL_EMBED}, r AS (SELECT gene, cell, rank() OVER w + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS rk FROM (
+      SELECT g.gene, c.cell, coalesce(value, 0) AS value FROM (SELECT DISTINCT gene FROM expr) g CROSS JOIN cells c
+      LEFT JOIN expr e ON e.gene = g.gene AND e.cell = c.cell) WINDOW w AS (PARTITION BY gene ORDER BY value))
+    SELECT a.gene AS tf, b.gene, round(corr(a.rk, b.rk), 4) AS corr FROM r a JOIN r b USING (cell) GROUP BY 1, 2""",
+)
 def correlation_file(spark, sf):
-    """The correlation matrix as text: header plus one line per regulator."""
+    """The correlation matrix as text (header, one line per regulator), read back."""
     expr = embedding_expression(spark, sf)
     regs = S.regulator_index(expr.values, expr.genes())
     path = scratch_path(spark, "correlation")
     W.save_correlation(spearman(expr.values, regs, expr.nr_cells()), path)
-    lines = T.numbered_lines(spark, path).select("line_no", F.split("value", "\t").alias("f"))
-    diagonal = F.col("f")[F.col("line_no").cast("int")].try_cast("double") == 1.0
-    return lines.agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.max(F.size("f")).alias("fields"),
-        F.every((F.col("line_no") == 0) | diagonal).alias("unit_diagonal"),
-    )
+    fields = T.numbered_lines(spark, path).select("line_no", F.posexplode(F.split("value", "\t")).alias("p", "v"))
+    names = fields.filter("line_no = 0 AND p > 0").select("p", F.col("v").alias("gene"))
+    rows = fields.filter("line_no > 0 AND p = 0").select("line_no", F.col("v").alias("tf"))
+    body = fields.filter("line_no > 0 AND p > 0").join(names, "p").join(rows, "line_no")
+    return body.select("tf", "gene", F.round(F.col("v").cast("double"), 4).alias("corr"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regweave.catalog.registry import query
-from regweave.catalog.tables import SQL_PARTS, embedding_expression, part_regulators, parts_expression, sql_streaks
-from regweave.operators.edges import included, normalize, truncate, with_labels
-from regweave.operators.matrix import pack
-from regweave.operators.select import assign_folds, index_cells, slice_cells
+from regweave.catalog.tables import SQL_PARTS, embedding_expression, part_regulators, parts_expression, sql_streaks, table
+from regweave.operators.edges import included, normalize, with_labels
+from regweave.operators.matrix import Expression, pack
+from regweave.operators.select import index_cells, slice_cells
 from regweave.params import BoostParams, RegressionParams, RunConfig
 from regweave.plans import estimate as EST
 from regweave.plans import infer as INF
@@ -17,6 +17,7 @@ from regweave.plans.run import run
 from regweave.plans.tasks import flat_map_targets
 from regweave.session import scratch_path, write_once
 from regweave.sinks.writers import save_matrix_slice
+from regweave.sources.text import read_edges
 
 ETA = 0.3
 
@@ -58,42 +59,53 @@ def first_round_gains(spark, sf):
     f"""WITH {SQL_GAINS}, {sql_streaks("edges", "target", "gain DESC, regulator", "gain", 3)},
     kept AS (SELECT regulator, target, gain FROM marked WHERE elbow IS NULL OR idx < elbow - 2),
     norm AS (SELECT regulator, target, gain / sum(gain) OVER (PARTITION BY target) AS gain FROM kept)
-    SELECT regulator, target, round(gain, 6) AS gain FROM norm ORDER BY norm.gain DESC, regulator, target LIMIT 10000""",
+    SELECT regulator, target, round(gain, 6) AS gain FROM norm""",
 )
 def flagship_network(spark, sf):
-    """Gains, elbow labels, inclusion filter, normalization, top edges: one plan."""
+    """Gains, elbow labels, inclusion filter, normalization."""
     edges = INF.first_round_gains(parts_problem(spark, sf))
-    top = truncate(normalize(included(with_labels(edges))), 10_000)
-    return top.select("regulator", "target", F.round("gain", 6).alias("gain"))
+    return normalize(included(with_labels(edges))).select("regulator", "target", F.round("gain", 6).alias("gain"))
 
 
-def _sql_rounds(rounds: int, eta: float) -> str:
-    """Boosting unrolled over cells: residuals, best split and update per round."""
+SQL_PHASES = """
+placed AS (SELECT cell, i, greatest(1, n // 4) AS per, n FROM (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS i, count(*) OVER () AS n FROM cells)),
+split AS (SELECT cell, CAST((ceil(n / per) - 2) - least(i // per, ceil(n / per) - 2) AS INTEGER) AS phase, true AS fit FROM placed)"""
+SQL_FOLDS = "split AS (SELECT cell, 0 AS phase, cell % 5 <> 0 AS fit FROM cells)"
+SQL_ALL = "split AS (SELECT cell, 0 AS phase, true AS fit FROM cells)"
+SQL_LOSSES = " UNION ALL ".join(f"SELECT target, {k} AS round, fit, res FROM res{k + 1}" for k in range(5))
+
+
+def _sql_rounds(rounds: int, eta: float, split: str = SQL_ALL) -> str:
+    """Boosting unrolled over cells: residuals, best split and update per round.
+
+    ``split`` gives the phase of every cell (each is fitted by itself) and whether the cell is fitted on.
+    """
     ctes = [
         SQL_PARTS,
-        "nn AS (SELECT CAST(count(*) AS DOUBLE) AS nc FROM cells)",
-        "scale AS (SELECT gene AS target, sum(value * value) + 1 AS scale FROM expr GROUP BY 1)",
-        """x AS (SELECT cell, ridx, regulator, dense_rank() OVER (PARTITION BY ridx ORDER BY value) AS bin FROM expr JOIN regs ON gene = regulator)""",
-        """bins AS (SELECT ridx, regulator, bin, CAST(count(*) AS DOUBLE) AS n FROM x GROUP BY ALL)""",
-        """res0 AS (SELECT g.gene AS target, c.cell, coalesce(value, 0.0) - 0.5 AS res FROM (SELECT DISTINCT gene FROM expr) g
-        CROSS JOIN cells c LEFT JOIN expr e ON e.gene = g.gene AND e.cell = c.cell)""",
+        split,
+        "nn AS (SELECT phase, CAST(count(*) AS DOUBLE) AS nc FROM split WHERE fit GROUP BY phase)",
+        "scale AS (SELECT phase, target, coalesce(sq, 0) + 1 AS scale FROM (SELECT DISTINCT gene AS target FROM expr) CROSS JOIN nn LEFT JOIN (SELECT phase, gene AS target, sum(value * value) AS sq FROM expr JOIN split USING (cell) GROUP BY ALL) USING (phase, target))",
+        """x AS (SELECT cell, phase, fit, ridx, regulator, dense_rank() OVER (PARTITION BY ridx ORDER BY value) AS bin FROM expr JOIN regs ON gene = regulator JOIN split USING (cell))""",
+        """bins AS (SELECT phase, ridx, regulator, bin, CAST(count(*) AS DOUBLE) AS n FROM x WHERE fit GROUP BY ALL)""",
+        """res0 AS (SELECT g.gene AS target, c.cell, c.phase, c.fit, coalesce(value, 0.0) - 0.5 AS res FROM (SELECT DISTINCT gene FROM expr) g
+        CROSS JOIN split c LEFT JOIN expr e ON e.gene = g.gene AND e.cell = c.cell)""",
     ]
     for k in range(rounds):
         ctes += [
-            f"tot{k} AS (SELECT target, sum(res) AS tot, scale, nc FROM res{k} JOIN scale USING (target) CROSS JOIN nn GROUP BY ALL)",
-            f"hist{k} AS (SELECT target, ridx, bin, sum(res) AS s FROM res{k} JOIN x USING (cell) GROUP BY ALL)",
-            f"""acc{k} AS (SELECT target, ridx, bin, tot, scale, nc, sum(s) OVER w AS ls, sum(n) OVER w AS ln, tot - sum(s) OVER p AS ms, nc - sum(n) OVER p AS mn
-            FROM hist{k} JOIN bins USING (ridx, bin) JOIN tot{k} USING (target) WHERE regulator <> target
-            WINDOW w AS (PARTITION BY target, ridx ORDER BY bin), p AS (PARTITION BY target, ridx))""",
+            f"tot{k} AS (SELECT phase, target, sum(res) AS tot, scale, nc FROM res{k} JOIN scale USING (phase, target) JOIN nn USING (phase) WHERE fit GROUP BY ALL)",
+            f"hist{k} AS (SELECT r.phase, target, ridx, bin, sum(res) AS s FROM res{k} r JOIN x USING (cell) WHERE r.fit GROUP BY ALL)",
+            f"""acc{k} AS (SELECT phase, target, ridx, bin, tot, scale, nc, sum(s) OVER w AS ls, sum(n) OVER w AS ln, tot - sum(s) OVER p AS ms, nc - sum(n) OVER p AS mn
+            FROM hist{k} JOIN bins USING (phase, ridx, bin) JOIN tot{k} USING (phase, target) WHERE regulator <> target
+            WINDOW w AS (PARTITION BY phase, target, ridx ORDER BY bin), p AS (PARTITION BY phase, target, ridx))""",
             f"""cnd{k} AS (SELECT *, l * l / (nl + 1) + (tot - l) * (tot - l) / (nc - nl + 1) - tot * tot / (nc + 1) AS gain FROM (
-            SELECT target, ridx, bin, d, tot, scale, nc, ls + d * ms AS l, ln + d * mn AS nl FROM acc{k} CROSS JOIN (VALUES (0), (1)) t(d)) WHERE nl >= 1 AND nc - nl >= 1)""",
-            f"""best{k} AS (SELECT target, ridx, bin AS cut, d, gain, {eta} * l / (nl + 1) AS wl, {eta} * (tot - l) / (nc - nl + 1) AS wr FROM cnd{k} WHERE gain > 1e-6
-            QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(gain / scale, 9) DESC, ridx, bin, d) = 1)""",
-            f"""res{k + 1} AS (SELECT r.target, r.cell, res - CASE WHEN b.target IS NULL THEN {eta} * t.tot / (t.nc + 1)
+            SELECT phase, target, ridx, bin, d, tot, scale, nc, ls + d * ms AS l, ln + d * mn AS nl FROM acc{k} CROSS JOIN (VALUES (0), (1)) t(d)) WHERE nl >= 1 AND nc - nl >= 1)""",
+            f"""best{k} AS (SELECT phase, target, ridx, bin AS cut, d, gain, {eta} * l / (nl + 1) AS wl, {eta} * (tot - l) / (nc - nl + 1) AS wr FROM cnd{k} WHERE gain > 1e-6
+            QUALIFY row_number() OVER (PARTITION BY phase, target ORDER BY round(gain / scale, 9) DESC, ridx, bin, d) = 1)""",
+            f"""res{k + 1} AS (SELECT r.target, r.cell, r.phase, r.fit, res - CASE WHEN b.target IS NULL THEN {eta} * t.tot / (t.nc + 1)
             WHEN coalesce(x.bin <= b.cut, b.d = 1) THEN wl ELSE wr END AS res
-            FROM res{k} r JOIN tot{k} t USING (target) LEFT JOIN best{k} b ON b.target = r.target LEFT JOIN x ON x.cell = r.cell AND x.ridx = b.ridx)""",
+            FROM res{k} r JOIN tot{k} t USING (phase, target) LEFT JOIN best{k} b ON b.target = r.target AND b.phase = r.phase LEFT JOIN x ON x.cell = r.cell AND x.ridx = b.ridx)""",
         ]
-    logs = " UNION ALL ".join(f"SELECT target, {k} AS round, ridx, gain FROM best{k}" for k in range(rounds))
+    logs = " UNION ALL ".join(f"SELECT phase, target, {k} AS round, ridx, gain FROM best{k}" for k in range(rounds))
     return ", ".join(ctes) + f", log AS (SELECT regulator, l.* FROM ({logs}) l JOIN regs USING (ridx))"
 
 
@@ -134,12 +146,12 @@ def resumed_boosting(spark, sf):
 
 @query(
     "boosted_network_on_cells",
-    f"WITH {_sql_rounds(1, ETA)} SELECT regulator, target, round(gain, 3) AS gain FROM log",
+    f"WITH {_sql_rounds(2, ETA)} SELECT regulator, target, CAST(round AS INTEGER) AS round, round(gain, 3) AS gain FROM log",
 )
 def boosted_network_on_cells(spark, sf):
-    """The general engine at depth 1."""
-    log = INF.infer_splits(parts_problem(spark, sf), BoostParams(eta=ETA), 1, engine="cells")
-    return log.select("regulator", "target", F.round("gain", 3).alias("gain"))
+    """The general engine at depth 1; the second round sees the first one's residuals."""
+    log = INF.infer_splits(parts_problem(spark, sf), BoostParams(eta=ETA), 2, engine="cells")
+    return log.select("regulator", "target", "round", F.round("gain", 3).alias("gain"))
 
 
 @query(
@@ -154,10 +166,10 @@ def boosted_network_by_joins(spark, sf):
 
 @query("inferred_regulations")
 def inferred_regulations(spark, sf):
-    """The whole inference with row and column sampling, labels, normalization and truncation."""
+    """The whole inference with row and column sampling, labels and normalization."""
     params = RegressionParams(BoostParams(eta=0.2, subsample=0.8, colsample_bytree=0.7, gamma=2, seed=777), nr_rounds=25)
     return INF.infer_regulations(
-        parts_expression(spark, sf), part_regulators(spark, sf), params, regularized=True, normalized=True, truncated=100_000
+        parts_expression(spark, sf), part_regulators(spark, sf), params, regularized=True, normalized=True
     )
 
 
@@ -170,27 +182,51 @@ def deep_tree_network(spark, sf):
     return INF.edges_after(log)
 
 
-@query("phase_networks")
+@query(
+    "phase_networks",
+    f"""WITH {_sql_rounds(3, ETA, SQL_PHASES)}, edges AS (
+      SELECT phase, regulator, target, sum(gain) AS gain FROM log GROUP BY ALL),
+    {sql_streaks("edges", "phase, target", "gain DESC, regulator", "gain", 3)}
+    SELECT phase, regulator, target, round(gain, 3) AS gain, CAST(CASE WHEN elbow IS NULL OR idx < elbow - 2 THEN 1 ELSE 0 END AS INTEGER) AS include FROM marked""",
+)
 def phase_networks(spark, sf):
     """One network per phase of cells, all phases in one job."""
     expr = parts_expression(spark, sf)
-    params = RegressionParams(BoostParams(eta=ETA), nr_rounds=5)
-    return INF.infer_phases(expr, part_regulators(spark, sf), params, cells_per_phase=max(1, expr.nr_cells() // 4))
+    params = RegressionParams(BoostParams(eta=ETA), nr_rounds=3)
+    edges = INF.infer_phases(expr, part_regulators(spark, sf), params, cells_per_phase=max(1, expr.nr_cells() // 4))
+    return edges.select("phase", "regulator", "target", F.round("gain", 3).alias("gain"), "include")
 
 
-@query("loss_curves")
+@query(
+    "loss_curves",
+    f"""WITH {_sql_rounds(5, ETA, SQL_FOLDS)}, seen AS ({SQL_LOSSES})
+    SELECT target, CAST(round AS INTEGER) AS round, round(sqrt(avg(CASE WHEN fit THEN res * res END)), 6) AS train_loss,
+    round(sqrt(avg(CASE WHEN NOT fit THEN res * res END)), 6) AS test_loss FROM seen GROUP BY target, round""",
+)
 def loss_curves(spark, sf):
-    """Train and test loss per round of every gene."""
+    """Train and test loss per round of every gene; every fifth cell is held out."""
     problem = parts_problem(spark, sf)
-    cells = problem.expr.cells
-    folds = write_once(assign_folds(cells, cells.count(), 5), "folds")
-    return EST.loss_curves(problem, folds, BoostParams(eta=ETA), 10)
+    folds = problem.expr.cells.select("cell", (F.col("cell") % 5).cast("int").alias("fold"))
+    losses = EST.loss_curves(problem, folds, BoostParams(eta=ETA), 5)
+    return losses.select("target", "round", F.round("train_loss", 6).alias("train_loss"), F.round("test_loss", 6).alias("test_loss"))
+
+
+@query(
+    "duplicate_genes",
+    f"WITH {SQL_GAINS} SELECT regulator, target, round(gain, 4) AS gain FROM edges",
+)
+def duplicate_genes(spark, sf):
+    """Entries of a gene and cell that are listed several times add up before the fit."""
+    lines = table(spark, sf, "lineitem")
+    values = lines.select(F.col("l_partkey").cast("string").alias("gene"), F.col("l_suppkey").alias("cell"), F.col("l_quantity").alias("value"))
+    expr = Expression(values, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell")))
+    return INF.first_round_gains(INF.prepare(expr, part_regulators(spark, sf))).withColumn("gain", F.round("gain", 4))
 
 
 @query("estimated_rounds")
 def estimated_rounds(spark, sf):
     """Boosting rounds estimated on the default random set of genes."""
-    _, estimates = EST.estimate_run(parts_expression(spark, sf), part_regulators(spark, sf), BoostParams(eta=ETA), max_rounds=200)
+    _, estimates = EST.estimate_run(parts_expression(spark, sf), part_regulators(spark, sf), BoostParams(eta=ETA))
     return estimates
 
 
@@ -200,10 +236,8 @@ def estimated_rounds(spark, sf):
 )
 def aggregated_rounds(spark, sf):
     """Aggregation of per-target estimates with a pluggable aggregate."""
-    from regweave.catalog.tables import table
-
     est = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("target"), F.col("o_custkey").alias("rounds"))
-    return est.agg(F.max("rounds").cast("int").alias("max_rounds"), F.min("rounds").cast("int").alias("min_rounds"))
+    return spark.createDataFrame([(EST.aggregate_rounds(est), EST.aggregate_rounds(est, F.min))], "max_rounds int, min_rounds int")
 
 
 @query(
@@ -222,12 +256,18 @@ def target_tasks(spark, sf):
     )
 
 
-@query("configured_run")
+@query(
+    "configured_run",
+    f"""WITH {_sql_rounds(3, ETA)}, edges AS (SELECT regulator, target, sum(gain) AS gain FROM log GROUP BY 1, 2),
+    {sql_streaks("edges", "target", "gain DESC, regulator", "gain", 3)}
+    SELECT regulator, target, round(gain / sum(gain) OVER (PARTITION BY target), 4) AS gain,
+    CAST(CASE WHEN elbow IS NULL OR idx < elbow - 2 THEN 1 ELSE 0 END AS INTEGER) AS include FROM marked""",
+)
 def configured_run(spark, sf):
-    """Files in, estimation and inference by configuration, report out; the report's fixed items."""
+    """Files in, inference by configuration, edges and report out; the edges as written."""
     expr = parts_expression(spark, sf)
     matrix, names, out = (scratch_path(spark, n) for n in ("run-matrix", "run-regulators", "run-output"))
-    save_matrix_slice(expr.values, matrix)
+    save_matrix_slice(expr, matrix)
     part_regulators(spark, sf).select(F.col("gene").alias("value")).write.text(names)
     run(
         spark,
@@ -235,12 +275,11 @@ def configured_run(spark, sf):
             input_path=matrix,
             regulators_path=names,
             output_path=out,
-            nr_boosting_rounds=10,
+            nr_boosting_rounds=3,
             booster_params={"eta": ETA},
             normalized=True,
             include_flags=True,
         ),
     )
-    report = spark.read.json(f"{out}.report").filter("key IN ('rounds', 'config.normalized', 'config.run_mode')")
-    edges = spark.read.text(f"{out}.result").agg(F.count(F.lit(1)).cast("string").alias("value"))
-    return report.select("key", "value").unionByName(edges.select(F.lit("edges").alias("key"), "value"))
+    edges = read_edges(spark, f"{out}.result", include_flags=True)
+    return edges.withColumn("gain", F.round("gain", 4))

@@ -61,10 +61,11 @@ def bin_regulators(values: DataFrame, regulators: DataFrame, max_bin: int | None
     reg = write_once(reg, "regulator-values")
     edges = bin_edges(reg, max_bin)
     earlier = Window.partitionBy(F.lit(0)).orderBy("ridx").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per regulator in this window
-    placed = write_once(
-        edges.withColumn("base", F.coalesce(F.sum(F.size("uppers")).over(earlier), F.lit(0)).cast("int")), "bin-edges"
-    )
+    edges = write_once(edges, "bin-edges")
+    # the window sees one size per regulator, never the bounds themselves
+    sizes = edges.select("ridx", F.size("uppers").alias("_k"))
+    bases = sizes.select("ridx", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).cast("int").alias("base"))
+    placed = edges.join(bases, "ridx")
     in_bin = F.size(F.filter("uppers", lambda u: u < F.col("value"))) + 1
     cells = reg.join(placed, "ridx").select(
         "cell",

@@ -6,6 +6,7 @@ are implicit, so the set of all cells travels next to it.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -20,15 +21,19 @@ DENSE_CHUNK = 1 << 16
 
 @dataclass(frozen=True)
 class Expression:
-    """Stored entries plus the dimension of all cells (cells without entries count too)."""
+    """Stored entries plus the dimension of all cells (cells without entries count too).
+
+    ``names`` lists the genes, those without entries among them; without it the genes with entries count.
+    """
 
     values: DataFrame
     cells: DataFrame
     stored: bool = False  # values is a plain scan of a columnar table, cheap to read again
+    names: DataFrame | None = None
 
     def genes(self) -> DataFrame:
         """Distinct gene names, kept as a table."""
-        return self.values.select("gene").distinct()
+        return (self.values if self.names is None else self.names).select("gene").distinct()
 
     def store(self) -> Expression:
         """The same matrix as a scan of scratch tables; use it before reading values several times."""
@@ -38,8 +43,13 @@ class Expression:
             write_once(self.values.select("gene", "cell", "value"), "expression"),
             write_once(self.cells.select("cell"), "cells"),
             stored=True,
+            names=None if self.names is None else write_once(self.names.select("gene").distinct(), "gene-names"),
         )
 
+    def summed(self) -> Expression:
+        """The same matrix with repeated (gene, cell) entries added up."""
+        return dataclasses.replace(self, values=sum_duplicates(self.values), stored=False)
+
     def nr_cells(self) -> int:
         return self.cells.count()
 
@@ -161,7 +171,7 @@ def drop_column(df: DataFrame, gene: str) -> DataFrame:
 
 
 def dimensions(expr: Expression) -> DataFrame:
-    """One row: number of genes with entries and number of cells."""
-    g = expr.values.agg(F.countDistinct("gene").alias("genes"))
+    """One row: number of genes and number of cells, those without entries included."""
+    g = expr.genes().agg(F.count(F.lit(1)).alias("genes"))
     c = expr.cells.agg(F.count(F.lit(1)).alias("cells"))
     return g.withColumn("_k", F.lit(0)).join(c.withColumn("_k", F.lit(0)), "_k").drop("_k")

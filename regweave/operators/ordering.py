@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regweave.session import write_once
+
 
 def position_in_order(df: DataFrame, bucket: Column, order: list[Column], out: str) -> DataFrame:
     """Add the 0-based position of each row in the order (bucket, *order)."""
@@ -35,6 +37,16 @@ def hash_position(df: DataFrame, key: str, seed: int, out: str = "position") ->
     return position_in_order(df, F.shiftright(h, 48), [h, F.col(key)], out)
 
 
-def id_position(df: DataFrame, key: str, out: str = "position", bits: int = 16) -> DataFrame:
-    """Position in the order of an integer id (dense re-indexing)."""
-    return position_in_order(df, F.shiftright(F.col(key).cast("long"), bits), [F.col(key)], out)
+def position_by_range(df: DataFrame, key: str, out: str = "position") -> DataFrame:
+    """Position in the order of any sortable key, however its values are spread.
+
+    Rows are range-partitioned by sampled bounds and stored, so that the partition is fixed; only the
+    partition counts are accumulated globally.
+    """
+    kept = write_once(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranged")
+    return position_in_order(kept, F.col("_part"), [F.col(key)], out).drop("_part")
+
+
+def id_position(df: DataFrame, key: str, out: str = "position") -> DataFrame:
+    """Position in the order of an integer id (dense re-indexing); sparse ids cost nothing extra."""
+    return position_by_range(df, key, out)

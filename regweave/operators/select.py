@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regweave.constants import DEFAULT_SEED
 from regweave.operators.matrix import Expression
-from regweave.operators.ordering import hash_position, id_position
+from regweave.operators.ordering import hash_position, id_position, position_by_range
 
 
 def as_gene_table(df: DataFrame, genes: DataFrame | Iterable[str]) -> DataFrame:
@@ -28,13 +28,9 @@ def keep_genes(df: DataFrame, genes: DataFrame | Iterable[str] | None, column: s
 
 
 def regulator_index(values: DataFrame, candidates: DataFrame | Iterable[str]) -> DataFrame:
-    """Candidates present in the data, numbered by name: ``regulator, ridx``.
-
-    The numbering window sees one row per regulator, never data rows.
-    """
+    """Candidates present in the data, numbered by name: ``regulator, ridx``."""
     present = as_gene_table(values, candidates).join(values.select("gene").distinct(), "gene", "left_semi")
-    order = Window.partitionBy(F.lit(0)).orderBy("gene")
-    return present.select(F.col("gene").alias("regulator"), (F.row_number().over(order) - 1).cast("int").alias("ridx"))
+    return position_by_range(present, "gene", "ridx").select(F.col("gene").alias("regulator"), F.col("ridx").cast("int").alias("ridx"))
 
 
 def require_regulators(regulators: DataFrame) -> DataFrame:
@@ -72,7 +68,7 @@ def slice_cells(values: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def slice_expression(expr: Expression, selection: DataFrame) -> Expression:
-    return Expression(slice_cells(expr.values, selection), selection.select(F.col("new_cell").alias("cell")))
+    return Expression(slice_cells(expr.values, selection), selection.select(F.col("new_cell").alias("cell")), names=expr.names)
 
 
 def random_cells(cells: DataFrame, n: int, seed: int = DEFAULT_SEED) -> DataFrame:

@@ -113,7 +113,7 @@ class RunConfig:
     booster_params: Mapping[str, Any] = field(default_factory=dict)
     run_mode: str = "inf"
     report: bool = True
-    max_bin: int | None = 256
+    max_bin: int | None = None
 
     def __post_init__(self) -> None:
         if self.run_mode not in RUN_MODES:

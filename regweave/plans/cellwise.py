@@ -17,21 +17,20 @@ from regweave.operators.matrix import densify
 from regweave.operators.skew import salted_join
 from regweave.operators.splits import best_splits
 from regweave.params import BoostParams
-from regweave.plans.kernel import column_mask
+from regweave.plans.kernel import column_mask, nr_sample_groups, sampled_groups
 from regweave.session import materialize
 
 
-def _in_sample(params: BoostParams, round_nr: int) -> Column:
-    """Seeded coin per (round, cell), the same for all targets."""
-    if params.subsample >= 1:
-        return F.lit(True)
-    coin = F.pmod(F.xxhash64(F.lit(params.seed), F.lit(round_nr), F.col("cell")), F.lit(1_000_003))
-    return coin < int(params.subsample * 1_000_003)
+def _in_sample(params: BoostParams, nr_groups: int, round_nr: int) -> Column:
+    """Cells of the groups drawn for the round, the same for all targets and engines."""
+    drawn = sampled_groups(tuple(range(nr_groups)), params.subsample, params.seed, round_nr)
+    return F.lit(True) if len(drawn) == nr_groups else F.col("grp").isin(*drawn)
 
 
 def boost_cells(
     values: DataFrame,
     indexed_cells: DataFrame,
+    groups: DataFrame,
     binned: Binned,
     params: BoostParams,
     rounds: int,
@@ -40,7 +39,8 @@ def boost_cells(
 ) -> tuple[DataFrame, DataFrame | None]:
     """(split log, loss table or None).
 
-    ``indexed_cells`` is ``(cell, new_cell)`` over all cells. With ``test_cells`` the fit leaves those
+    ``indexed_cells`` is ``(cell, new_cell)`` over all cells, ``groups`` is ``(cell, grp)`` with the row
+    sampling groups. With ``test_cells`` the fit leaves those
     out and the loss table is ``target, round, train_loss, test_loss``. The split log has a ``node``
     column: 0 is the root, children of k are 2k+1 and 2k+2.
     """
@@ -68,7 +68,8 @@ def boost_cells(
     else:
         marks = test_cells.select("cell", F.lit(True).alias("_t"))
         state = state.join(marks, "cell", "left").withColumn("test", F.coalesce("_t", F.lit(False))).drop("_t")
-    state = materialize(state)
+    state = materialize(state.join(groups.select("cell", "grp"), "cell"))
+    nr_groups = nr_sample_groups(params.subsample)
     logs, losses = [], []
     for t in range(rounds):
         mask = column_mask(nr_regulators, params.colsample_bytree, params.seed, t)
@@ -76,7 +77,7 @@ def boost_cells(
         if mask is not None:
             names = spark.createDataFrame([(int(i),) for i in mask.nonzero()[0]], "ridx int")
             offered = lookup.join(names, "ridx", "left_semi")
-        grown = state.withColumn("node", F.lit(0)).withColumn("fit", ~F.col("test") & _in_sample(params, t))
+        grown = state.withColumn("node", F.lit(0)).withColumn("fit", ~F.col("test") & _in_sample(params, nr_groups, t))
         levels: list[DataFrame] = []
         for depth in range(params.max_depth):
             first = (1 << depth) - 1
@@ -117,7 +118,7 @@ def boost_cells(
         )
         state = materialize(
             grown.join(leaves, ["target", "node"], "left").select(
-                "target", "cell", (F.col("res") - F.coalesce("w", F.lit(0.0))).alias("res"), "test"
+                "target", "cell", (F.col("res") - F.coalesce("w", F.lit(0.0))).alias("res"), "test", "grp"
             )
         )
         logs += [lv.withColumn("round", F.lit(t)) for lv in levels]

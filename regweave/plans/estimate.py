@@ -12,7 +12,8 @@ from regweave.operators.edges import elbow_points
 from regweave.operators.matrix import Expression
 from regweave.operators.select import assign_folds, random_genes
 from regweave.params import BoostParams
-from regweave.plans.infer import ROW_SAMPLE_GROUPS, Problem, choose_engine, prepare
+from regweave.plans.infer import Problem, choose_engine, prepare
+from regweave.plans.kernel import nr_sample_groups
 from regweave.plans.cellwise import boost_cells
 from regweave.plans.moments import MAX_SHARED, MomentBooster
 from regweave.operators.ordering import hash_position
@@ -22,7 +23,7 @@ from regweave.session import materialize, write_once
 
 def fold_groups(folds: DataFrame, params: BoostParams, test_fold: int = 0) -> tuple[DataFrame, int]:
     """Cell groups for one cross-validation set: 0..k-1 train (k > 1 only with row sampling), k test."""
-    k = 1 if params.subsample >= 1 else ROW_SAMPLE_GROUPS
+    k = nr_sample_groups(params.subsample)
     placed = hash_position(folds, "cell", params.seed)
     group = F.when(F.col("fold") == test_fold, F.lit(k)).otherwise(F.pmod(F.col("position"), F.lit(k)))
     return placed.select("cell", group.cast("int").alias("grp")), k
@@ -50,6 +51,7 @@ def loss_curves(
     _, losses = boost_cells(
         problem.expr.values,
         index_cells(problem.expr.cells),
+        groups,
         problem.binned,
         params,
         rounds,
@@ -83,50 +85,61 @@ def estimate_rounds(
 ) -> DataFrame:
     """``target, loss, rounds`` for the targets whose test loss flattens within ``max_rounds``.
 
-    Rounds are added in batches; after each batch the whole test-loss history is searched for its
-    elbow, finished targets leave, and the others continue from their stored split log.
+    The test-loss history is searched for its elbow after every ``batch`` rounds, and the first one found
+    counts. Rounds are fitted in growing steps (each as long as everything before it), so replaying the
+    stored split log at the start of a step costs no more than the step; finished targets leave.
     """
     cells = problem.expr.cells
     folds = write_once(assign_folds(cells, cells.count(), nr_folds, params.seed), "folds")
     groups, k = fold_groups(folds, params)
     groups = write_once(groups, "fold-groups")
     if choose_engine(problem, params, groups, engine, MAX_SHARED) != "moments":
-        return _estimate_on_cells(problem, folds, params, max_rounds, batch)
+        return _estimate_on_cells(problem, folds, groups, params, max_rounds, batch)
     booster = _fold_booster(problem, groups, params, k, nr_partitions)
     booster.rows = write_once(booster.rows, "estimation-targets")
-    state, done = None, []
-    for _ in range(0, max_rounds, batch):
-        state = write_once(booster.boost(batch, previous=state, track_loss=True), "boosting-state")
-        found = materialize(rounds_from_losses(booster.losses(state)))
+    state, done, fitted = None, [], 0
+    while fitted < max_rounds:
+        step = min(max(batch, fitted), max_rounds - fitted)
+        state = write_once(booster.boost(step, previous=state, track_loss=True), "boosting-state")
+        found = materialize(first_elbows(booster.losses(state), batch, fitted, fitted + step))
         done.append(found)
+        fitted += step
         state = state.join(found.select("target"), "target", "left_anti")
         if state.isEmpty():
             break
     return _union(done)
 
 
-def _estimate_on_cells(problem: Problem, folds: DataFrame, params: BoostParams, max_rounds: int, batch: int) -> DataFrame:
-    """The same search for fits that need cells; each batch doubles the rounds and refits the rest."""
-    targets, done, rounds = problem.targets, [], batch
+def first_elbows(losses: DataFrame, batch: int, after: int, upto: int) -> DataFrame:
+    """``target, loss, rounds`` of the shortest history (a multiple of ``batch``, or ``upto``) that has an elbow."""
+    ends = [n for n in range(batch, upto, batch) if n > after] + [upto]
+    histories = losses.select("target", "round", "test_loss", F.explode(F.array(*map(F.lit, ends))).alias("end"))
+    points = elbow_points(
+        histories.filter(F.col("round") < F.col("end")), ["target", "end"], [F.col("round")], "test_loss", x_scale=C.ELBOW_X_SCALE
+    )
+    first = points.groupBy("target").agg(F.min(F.struct("end", "test_loss", "elbow")).alias("p"))
+    return first.select("target", F.col("p.test_loss").alias("loss"), F.col("p.elbow").cast("int").alias("rounds"))
+
+
+def _estimate_on_cells(
+    problem: Problem, folds: DataFrame, groups: DataFrame, params: BoostParams, max_rounds: int, batch: int
+) -> DataFrame:
+    """The same search for fits that need cells; each step refits the targets that are left from the start."""
+    targets, done, fitted = problem.targets, [], 0
     if targets is None:
         targets = problem.expr.genes()
     test = folds.filter(F.col("fold") == 0).select("cell")
     indexed = index_cells(problem.expr.cells)
-    while True:
-        rounds = min(rounds, max_rounds)
-        _, losses = boost_cells(problem.expr.values, indexed, problem.binned, params, rounds, targets, test)
-        open_targets = targets
-        for upto in range(batch, rounds + 1, batch):
-            found = materialize(
-                rounds_from_losses(losses.filter(F.col("round") < upto).join(
-                    open_targets.withColumnRenamed("gene", "target"), "target", "left_semi"))
-            )
-            done.append(found)
-            open_targets = open_targets.join(found.select(F.col("target").alias("gene")), "gene", "left_anti")
-        targets = materialize(open_targets)
-        if rounds >= max_rounds or targets.isEmpty():
-            return _union(done).dropDuplicates(["target"])
-        rounds *= 2
+    while fitted < max_rounds:
+        upto = min(fitted + max(batch, fitted), max_rounds)
+        _, losses = boost_cells(problem.expr.values, indexed, groups, problem.binned, params, upto, targets, test)
+        found = materialize(first_elbows(losses, batch, fitted, upto))
+        done.append(found)
+        targets = materialize(targets.join(found.select(F.col("target").alias("gene")), "gene", "left_anti"))
+        fitted = upto
+        if targets.isEmpty():
+            break
+    return _union(done)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -151,7 +164,7 @@ def estimate_run(
     genes: Iterable[str] = (),
     agg: Callable[[Column], Column] = F.max,
     max_rounds: int = C.MAX_ROUNDS,
-    max_bin: int | None = 256,
+    max_bin: int | None = None,
     nr_partitions: int | None = None,
 ) -> tuple[int | None, DataFrame]:
     """(rounds or None, estimates) on a random or a given set of genes."""

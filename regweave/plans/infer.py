@@ -16,11 +16,11 @@ from regweave.operators.ordering import hash_position
 from regweave.operators.select import as_gene_table, assign_phases, index_cells, nr_phases, regulator_index, require_regulators
 from regweave.params import BoostParams, RegressionParams
 from regweave.plans.cellwise import boost_cells
+from regweave.plans.kernel import nr_sample_groups
 from regweave.plans.lockstep import boost_lockstep
 from regweave.plans.moments import MAX_SHARED, MomentBooster, fits_broadcast
 from regweave.session import write_once
 
-ROW_SAMPLE_GROUPS = 10
 ENGINES = ("auto", "moments", "lockstep", "cells")
 
 
@@ -32,7 +32,7 @@ def sampling_groups(cells: DataFrame, params: BoostParams) -> tuple[DataFrame, i
     """Random balanced cell groups for row sampling: a round fits on a random choice of groups."""
     if params.subsample >= 1:
         return single_group(cells), 1
-    k = ROW_SAMPLE_GROUPS
+    k = nr_sample_groups(params.subsample)
     placed = hash_position(cells.select("cell"), "cell", params.seed)
     return placed.select("cell", F.pmod(F.col("position"), F.lit(k)).cast("int").alias("grp")), k
 
@@ -50,9 +50,9 @@ def prepare(
     expr: Expression,
     candidates: DataFrame | Iterable[str],
     targets: DataFrame | Iterable[str] | None = None,
-    max_bin: int | None = 256,
+    max_bin: int | None = None,
 ) -> Problem:
-    expr = expr.store()
+    expr = expr.summed().store()
     regulators = write_once(regulator_index(expr.values, candidates), "regulators")
     require_regulators(regulators)
     wanted = None
@@ -101,7 +101,7 @@ def infer_splits(
         return booster.split_log(booster.boost(rounds)).drop("phase")
     if which == "lockstep":
         return boost_lockstep(values, problem.expr.cells, problem.binned, params, rounds, problem.targets)
-    log, _ = boost_cells(values, index_cells(problem.expr.cells), problem.binned, params, rounds, problem.targets)
+    log, _ = boost_cells(values, index_cells(problem.expr.cells), groups, problem.binned, params, rounds, problem.targets)
     return log
 
 
@@ -134,7 +134,7 @@ def infer_regulations(
     truncated: int | None = None,
     nr_partitions: int | None = None,
     engine: str = "auto",
-    max_bin: int | None = 256,
+    max_bin: int | None = None,
 ) -> DataFrame:
     """Target filter, boosting, labels, inclusion filter, normalization, truncation, sort."""
     if params.nr_rounds is None:
@@ -150,7 +150,7 @@ def infer_phases(
     params: RegressionParams,
     cells_per_phase: int,
     skip: int = 0,
-    max_bin: int | None = 256,
+    max_bin: int | None = None,
     nr_partitions: int | None = None,
 ) -> DataFrame:
     """Phase-wise inference as one job: ``phase, regulator, target, gain, include``.

@@ -6,6 +6,8 @@ targets. Cells are never seen here.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 
 TIE = 1e-9  # gains closer than this, relative to the target's sum of squares, count as equal
@@ -21,11 +23,24 @@ def column_mask(nr_regulators: int, fraction: float, seed: int, round_nr: int) -
     return mask
 
 
+def nr_sample_groups(fraction: float) -> int:
+    """The number of random cell groups of which a whole number makes up ``fraction``: at least 10, at most 100.
+
+    Every engine draws whole groups, so the same cells take part whatever engine runs.
+    """
+    if fraction >= 1.0:
+        return 1
+    share = Fraction(fraction).limit_denominator(100)
+    if share <= 0 or abs(float(share) - fraction) > 1e-9:
+        raise ValueError(f"subsample must be a fraction with a denominator of at most 100, not {fraction}")
+    return share.denominator * -(-10 // share.denominator)
+
+
 def sampled_groups(train: tuple[int, ...], fraction: float, seed: int, round_nr: int) -> tuple[int, ...]:
     """Cell groups that take part in a round's fit."""
     if fraction >= 1.0:
         return train
-    keep = max(1, round(fraction * len(train)))
+    keep = round(fraction * len(train))  # exact: the groups are made so that it is a whole number
     order = np.random.default_rng([seed, round_nr, 1]).permutation(len(train))[:keep]
     return tuple(sorted(train[i] for i in order))
 

@@ -55,7 +55,7 @@ def _collect_moments(
     n_feature = np.zeros((ng, nf))
     fc = feature_counts(groups, binned).toArrow().to_pandas()
     n_feature[fc["grp"].to_numpy(np.int64), fc["f"].to_numpy(np.int64)] = fc["n"].to_numpy(float)
-    co = shared_counts(groups, binned).select("grp", "fa", "fb", F.col("n").cast("float")).toArrow().to_pandas()
+    co = shared_counts(groups, binned).select("grp", "fa", "fb", F.col("n").cast("int")).toArrow().to_pandas()
     grp, fa = co["grp"].to_numpy(np.int64), co["fa"].to_numpy(np.int64)
     key = (grp // per_phase) * nf + fa
     order = np.argsort(key, kind="stable")
@@ -65,7 +65,7 @@ def _collect_moments(
         "n_feature": n_feature,
         "co_ptr": np.searchsorted(key[order], np.arange(nr_phases * nf + 1)).astype(np.int64),
         "co_col": ((grp % per_phase) * nf + co["fb"].to_numpy(np.int64))[order].astype(np.int32),
-        "co_n": co["n"].to_numpy(np.float32)[order],
+        "co_n": co["n"].to_numpy(np.int32)[order],
         "per_phase": per_phase,
         "train": train,
     }

@@ -32,6 +32,7 @@ def run(spark: SparkSession, config: RunConfig) -> RunResult:
         expr = read_gene_major(spark, config.input_path, config.skip_headers, config.delimiter)
         if config.sample_size is not None:
             expr = sub_sample(expr, config.sample_size, boost.seed)
+        expr = expr.store()  # the text is parsed once, for estimation and inference alike
         regulators = read_names(spark, config.regulators_path)
         if rounds is None:
             rounds, _ = estimate_run(

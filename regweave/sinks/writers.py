@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from regweave import constants as C
 from regweave.operators.edges import sort_by_gain, sort_by_names
-from regweave.operators.matrix import densify, pack
+from regweave.operators.matrix import Expression, densify, pack
+from regweave.operators.ordering import position_by_range
 from regweave.session import write_once
 
 
@@ -53,25 +54,33 @@ def save_edges_parquet(edges: DataFrame, path: str, by_phase: bool = False, mode
 
 
 def matrix_lines(
-    entries: DataFrame, row: str, col: str, value: str, corner: str, delimiter: str = C.DEFAULT_DELIMITER, as_type: str = "double"
+    entries: DataFrame,
+    row: str,
+    col: str,
+    value: str,
+    corner: str,
+    delimiter: str = C.DEFAULT_DELIMITER,
+    as_type: str = "double",
+    rows: DataFrame | None = None,
+    cols: DataFrame | None = None,
 ) -> DataFrame:
     """``line_order, value``: a header of sorted column names, then one line per row name.
 
+    ``rows`` and ``cols`` are one-column tables of all names; left out, only names with entries appear.
     Columns are numbered by name and the rows filled by run, so no wide pivot is planned and the number
-    of columns is not limited. One line of text holds one row; that is the format.
+    of columns is not limited. One line of text holds one row (and the header all column names); that
+    is the format.
     """
-    from regweave.operators.ordering import position_in_order
-
     entries = write_once(entries.select(row, col, value), "matrix-entries")
-    names = entries.select(F.col(col).alias("_name")).distinct()
-    indexed = position_in_order(names, F.substring(F.col("_name").cast("string"), 1, 2), [F.col("_name")], "_c")
-    if dict(names.dtypes)["_name"] != "string":
-        indexed = position_in_order(names, F.shiftright(F.col("_name").cast("long"), 16), [F.col("_name")], "_c")
-    width = names.count()
+    names = (entries.select(col) if cols is None else cols).toDF("_name").filter("_name IS NOT NULL").distinct()
+    indexed = write_once(position_by_range(names, "_name", "_c"), "matrix-columns")
+    width = indexed.count()
+    if rows is not None:
+        rows = rows.toDF("_row").distinct()
     sparse = entries.join(indexed, entries[col] == indexed["_name"]).select(
         F.col(row).alias("_row"), F.col("_c"), F.col(value).cast("double").alias("_v")
     )
-    dense = densify(sparse, width, "_row", "_c", "_v")
+    dense = densify(sparse, width, "_row", "_c", "_v", rows)
     cells = F.transform(F.array_sort(F.collect_list(F.struct("_c", "_v"))), lambda e: e["_v"].cast(as_type).cast("string"))
     body = dense.groupBy("_row").agg(F.array_join(cells, delimiter).alias("_line")).select(
         F.col("_row").cast("string").alias("line_order"), F.concat_ws(delimiter, F.col("_row").cast("string"), "_line").alias("value")
@@ -99,9 +108,10 @@ def save_output(edges: DataFrame, path: str, output_format: str = "list", includ
         raise ValueError(f"unknown output format: {output_format}")
 
 
-def save_matrix_slice(values: DataFrame, path: str, delimiter: str = C.DEFAULT_DELIMITER) -> None:
-    """Dense integer matrix text ``gene, <cell ids>`` of a slice of cells."""
-    save_lines(matrix_lines(values, "gene", "cell", "value", "gene", delimiter, "int"), path)
+def save_matrix_slice(expr: Expression, path: str, delimiter: str = C.DEFAULT_DELIMITER) -> None:
+    """Dense integer matrix text ``gene, <cell ids>``: all genes and cells, also those without entries."""
+    lines = matrix_lines(expr.values, "gene", "cell", "value", "gene", delimiter, "int", expr.genes(), expr.cells.select("cell"))
+    save_lines(lines, path)
 
 
 def save_correlation(corr: DataFrame, path: str, delimiter: str = C.DEFAULT_DELIMITER) -> None:

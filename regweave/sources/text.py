@@ -15,14 +15,14 @@ from regweave.operators.matrix import Expression, drop_missing
 from regweave.session import write_once
 
 ALL_MISSING = (float("nan"), 0.0)
-MAX_BROADCAST_BLOCKS = 100_000  # rows of about 150 bytes; beyond that the offsets are joined by shuffle
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``value, line_no``: lines with their global index over the files in path order.
 
-    A first pass counts lines per file block (one row per input split); the second adds the block's
-    offset to the position inside the block. No line is moved.
+    Lines are tagged with their file, block and position once and stored, because another reading may
+    cut the files into other blocks. Lines are then counted per block (one row per input split) and
+    the block's offset is added to the position inside the block.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -30,6 +30,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
     )
+    lines = write_once(lines, "tagged-lines")
     earlier = Window.partitionBy(F.lit(0)).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         lines.groupBy("_file", "_block")
@@ -37,11 +38,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         .select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     )
     blocks = write_once(blocks, "line-blocks")
-    if blocks.count() <= MAX_BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
-    return lines.join(blocks, ["_file", "_block"]).select(
-        "value", (F.col("_offset") + F.col("_id") - F.col("_first")).alias("line_no")
-    )
+    placed = lines.join(blocks, ["_file", "_block"], "left")
+    known = F.assert_true(F.col("_offset").isNotNull(), "a line has no block offset")
+    number = F.when(known.isNull(), F.col("_offset") + F.col("_id") - F.col("_first"))
+    return placed.select("value", number.alias("line_no"))
 
 
 def skip_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
@@ -76,7 +76,8 @@ def read_gene_major(
     """One gene per line: name, then one value per cell."""
     parts = skip_lines(spark, path, nr_headers).select(split_line(F.col("value"), delimiter, regex).alias("parts"))
     parts = parts.select(F.element_at("parts", 1).alias("gene"), "parts")
-    return Expression(_entries(parts, 2, tuple(missing)), _cells_of(parts.select(F.size("parts") - 1)))
+    names = parts.select("gene")
+    return Expression(_entries(parts, 2, tuple(missing)), _cells_of(parts.select(F.size("parts") - 1)), names=names)
 
 
 def read_annotated(spark: SparkSession, path: str, delimiter: str = C.DEFAULT_DELIMITER) -> Expression:
@@ -85,7 +86,7 @@ def read_annotated(spark: SparkSession, path: str, delimiter: str = C.DEFAULT_DE
     parts = lines.select(split_line(F.col("value"), delimiter).alias("parts"))
     parts = parts.select(F.element_at("parts", 1).alias("gene"), "parts")
     entries = _entries(parts, 3, (), F.col("_raw") != "0").filter(F.col("value").isNotNull())
-    return Expression(entries, _cells_of(parts.select(F.size("parts") - 2)))
+    return Expression(entries, _cells_of(parts.select(F.size("parts") - 2)), names=parts.select("gene"))
 
 
 def read_condition_major(
@@ -100,7 +101,8 @@ def read_condition_major(
         .join(names, "_col")
         .select("gene", "cell", F.col("_raw").try_cast("double").alias("value"))
     )
-    return Expression(drop_missing(entries, tuple(missing)), body.select((F.col("line_no") - 1).cast("int").alias("cell")))
+    cells = body.select((F.col("line_no") - 1).cast("int").alias("cell"))
+    return Expression(drop_missing(entries, tuple(missing)), cells, names=names.select("gene"))
 
 
 def read_wide_csv(

@@ -1,3 +1,5 @@
+import dataclasses
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,8 +8,10 @@ from brute import as_expression, boost, fixture
 from regweave.operators.features import bin_regulators
 from regweave.operators.select import assign_folds, index_cells, regulator_index
 from regweave.params import BoostParams, RegressionParams
+from regweave.plans import estimate as EST
 from regweave.plans import infer as INF
 from regweave.plans.cellwise import _in_sample, boost_cells
+from regweave.plans.kernel import nr_sample_groups, sampled_groups
 from regweave.plans.estimate import aggregate_rounds, estimate_rounds, estimate_run, loss_curves, rounds_from_losses
 from regweave.plans.moments import MomentBooster
 from regweave.session import write_once
@@ -64,7 +68,8 @@ def test_deep_trees_match_brute_force(spark, data, problem, gamma):
 def test_row_sampling_on_cells_matches_brute_force(spark, data, problem):
     Y, X, regs, names = data
     p = BoostParams(eta=0.3, subsample=0.7)
-    fit = {r.cell: r.fit for r in problem.expr.cells.withColumn("fit", _in_sample(p, 0)).collect()}
+    groups, k = INF.sampling_groups(problem.expr.cells, p)
+    fit = {r.cell: r.fit for r in groups.withColumn("fit", _in_sample(p, k, 0)).collect()}
     mask = np.array([fit[c] for c in range(Y.shape[1])])
     assert 0 < mask.sum() < len(mask)
     want, _ = boost(Y, X, regs, names, 0.3, 1, fit=mask)
@@ -72,6 +77,54 @@ def test_row_sampling_on_cells_matches_brute_force(spark, data, problem):
     assert_same(splits(got.drop("node")), want)
 
 
+def test_engines_draw_the_same_rows(problem):
+    p = BoostParams(eta=0.3, subsample=0.8)
+    moments, cells = (splits(INF.infer_splits(problem, p, 3, e).drop("node")) for e in ("moments", "cells"))
+    assert [s[:4] for s in moments] == [s[:4] for s in cells]
+    np.testing.assert_allclose([s[5] for s in moments], [s[5] for s in cells], rtol=1e-8)
+
+
+def test_subsample_is_not_rounded():
+    share = {f: (k := nr_sample_groups(f), len(sampled_groups(tuple(range(k)), f, 1, 0)) / k) for f in (0.8, 0.85, 0.95, 0.96, 0.75, 0.01, 0.5)}
+    assert all(abs(s - f) < 1e-12 and 10 <= k <= 100 for f, (k, s) in share.items())
+    assert nr_sample_groups(1.0) == 1
+    with pytest.raises(ValueError):
+        nr_sample_groups(0.123456)
+
+
+def test_duplicate_entries_add_up(spark, data):
+    Y, _, regs, names = data
+    expr = as_expression(spark, Y, names)
+    halves = expr.values.withColumn("value", F.col("value") / 2)
+    twice = INF.prepare(dataclasses.replace(expr, values=halves.unionByName(halves)), regs)
+    once = INF.prepare(expr, regs)
+    a, b = (splits(INF.infer_splits(x, BoostParams(eta=0.3), 2)) for x in (once, twice))
+    assert [s[:4] for s in a] == [s[:4] for s in b]
+    np.testing.assert_allclose([s[5] for s in a], [s[5] for s in b], rtol=1e-9)
+
+
+def test_estimation_never_passes_its_limit(spark, data):
+    Y, _, regs, names = data
+    problem = INF.prepare(as_expression(spark, Y, names), regs)
+    for engine in ("moments", "cells"):
+        found = EST.estimate_rounds(problem, BoostParams(eta=0.3), 5, max_rounds=10, batch=60, engine=engine)
+        assert all(r.rounds < 10 for r in found.collect())
+
+
+def test_growing_steps_find_the_first_elbow(spark, data):
+    Y, _, regs, names = data
+    problem = INF.prepare(as_expression(spark, Y, names), regs)
+    p = BoostParams(eta=0.3)
+    folds = write_once(assign_folds(problem.expr.cells, 60, 5, p.seed), "folds")
+    losses = write_once(EST.loss_curves(problem, folds, p, 40), "losses")
+    want = {}
+    for upto in range(5, 41, 5):
+        for r in EST.rounds_from_losses(losses.filter(F.col("round") < upto)).collect():
+            want.setdefault(r.target, r.rounds)
+    got = {r.target: r.rounds for r in EST.estimate_rounds(problem, p, 5, max_rounds=40, batch=5).collect()}
+    assert got == want
+
+
 def test_group_sampling_and_column_sampling_are_deterministic(problem):
     p = BoostParams(eta=0.3, subsample=0.8, colsample_bytree=0.5, seed=777)
     one, two = (splits(INF.infer_splits(problem, p, 3)) for _ in range(2))
@@ -226,7 +279,7 @@ def test_engine_choice(problem):
 def test_test_cells_do_not_change_the_fit(spark, problem):
     folds = write_once(assign_folds(problem.expr.cells, 60, 5), "folds")
     log, losses = boost_cells(
-        problem.expr.values, index_cells(problem.expr.cells), problem.binned, BoostParams(eta=0.3), 1, None,
+        problem.expr.values, index_cells(problem.expr.cells), INF.single_group(problem.expr.cells), problem.binned, BoostParams(eta=0.3), 1, None,
         folds.filter("fold = 0").select("cell"),
     )
     assert {r.cover for r in log.collect()} == {48.0}

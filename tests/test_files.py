@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from brute import as_expression, fixture
 from regweave.operators import select as S
-from regweave.operators.matrix import pack
+from regweave.operators.matrix import Expression, pack
 from regweave.params import BoostParams, RegressionParams, RunConfig, with_defaults, with_seed
 from regweave.plans.run import run
 from regweave.plans.tasks import flat_map_targets
@@ -128,6 +128,47 @@ def test_run_modes(spark, tmp_path):
     assert report["rounds"] == "3" and report["config.truncate"] == "5"
 
 
+def test_lines_keep_their_numbers_when_splits_change(spark, tmp_path):
+    path = put(tmp_path / "many.txt", "".join(f"line {i}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        lines = T.numbered_lines(spark, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "31000")
+        got = {r.value: r.line_no for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {f"line {i}": i for i in range(5000)}
+
+
+def test_empty_cells_and_genes_are_written(spark, tmp_path):
+    values = spark.createDataFrame([("g1", 0, 2.0), ("g1", 2, 3.0)], "gene string, cell int, value double")
+    cells = spark.createDataFrame([(0,), (1,), (2,)], "cell int")
+    expr = Expression(values, cells, names=spark.createDataFrame([("g1",), ("g2",)], "gene string"))
+    path = str(tmp_path / "m")
+    W.save_matrix_slice(expr, path)
+    assert sorted(r.value for r in spark.read.text(path).collect()) == ["g1\t2\t0\t3", "g2\t0\t0\t0", "gene\t0\t1\t2"]
+    back = T.read_gene_major(spark, path)
+    assert sorted(r.gene for r in back.genes().collect()) == ["g1", "g2"] and back.nr_cells() == 3
+
+
+def test_task_sees_whole_vectors(spark):
+    expr = as_expression(spark, np.arange(1, 21, dtype=float).reshape(2, 10), ["a", "b"])
+    packed = pack(expr.values, 10, cells_per_row=3)
+    assert packed.count() == 8
+    out = flat_map_targets(packed, lambda row: [(row.gene, len(row.values), float(row.values[-1]))], "gene string, n long, last double")
+    assert sorted(map(tuple, out.collect())) == [("a", 10, 10.0), ("b", 10, 20.0)]
+
+
+def test_run_estimates_its_rounds(spark, tmp_path):
+    Y, _, regs, names = fixture(cells=40, regulators=4, targets=4)
+    body = "".join(g + "\t" + "\t".join(str(v) for v in row) + "\n" for g, row in zip(names, Y))
+    matrix = put(tmp_path / "e.tsv", "\t".join(["gene", *map(str, range(40))]) + "\n" + body)
+    tfs = put(tmp_path / "etf.txt", "\n".join(regs))
+    done = run(spark, RunConfig(input_path=matrix, regulators_path=tfs, booster_params={"eta": 0.3}, run_mode="cfg", nr_estimation_genes=4))
+    assert done.params.nr_rounds is None or done.params.nr_rounds > 0
+
+
 def test_task_hook_with_partition_resource(spark):
     class Resource:
         def __init__(self):

@@ -188,7 +188,7 @@ def test_positions_are_exact_permutations(spark):
     df = spark.range(5000).select((F.col("id") * 7 + 3).alias("cell"))
     got = sorted(r.position for r in hash_position(df, "cell", 1).collect())
     assert got == list(range(5000))
-    by_id = id_position(df, "cell", bits=8).orderBy("cell").collect()
+    by_id = id_position(df, "cell").orderBy("cell").collect()
     assert [r.position for r in by_id] == list(range(5000))
 
 
@@ -260,6 +260,7 @@ def test_salted_join_equals_plain_join(spark):
 
 
 def test_dump_and_losses(spark):
+    # fixed values: lines in the dump format
     lines = [
         "0:[f223<4.5] yes=1,no=2,missing=1,gain=1012.38,cover=2394",
         "\t1:[f220<1.5] yes=3,no=4,missing=3,gain=140.227,cover=1949",
