@@ -31,7 +31,7 @@ from regweave.session import write_once
 
 TREES = 16
 DEPTH = 6
-SHARE = 0.08
+SHARE = 0.12
 SAMPLE = 65_536
 BLOCK = 4096
 SALTS = 256
