@@ -68,10 +68,7 @@ def normalized_by_max(spark, sf):
     SELECT regulator, target, round((gain - mn) / nullif(mx - mn, 0), 6) AS scaled FROM s""",
 )
 def min_max_scaled(spark, sf):
-    edges = nation_edges(spark, sf)
-    span = edges.groupBy("target").agg(F.min("gain").alias("mn"), F.max("gain").alias("mx"))
-    scaled = F.round(F.try_divide(F.col("gain") - F.col("mn"), F.col("mx") - F.col("mn")), 6)
-    return edges.join(span, "target").select("regulator", "target", scaled.alias("scaled"))
+    return E.min_max_scaled(nation_edges(spark, sf)).select("regulator", "target", F.round("scaled", 6).alias("scaled"))
 
 
 @query(

@@ -310,14 +310,6 @@ def edges_matrix_output(spark, sf):
     return body.select("regulator", "target", F.round(F.col("v").cast("double"), 2).alias("gain"))
 
 
-@query("phase_directories", f"WITH {SQL_EDGES} SELECT regulator, target, round(gain, 2) AS gain, CAST(length(target) % 3 AS INTEGER) AS phase FROM edges")
-def phase_directories(spark, sf):
-    path = scratch_path(spark, "phases")
-    edges = nation_edges(spark, sf).withColumn("phase", F.length("target") % 3)
-    W.save_edges_parquet(edges, path, by_phase=True)
-    return spark.read.parquet(path).select("regulator", "target", F.round("gain", 2).alias("gain"), "phase")
-
-
 @query(
     "correlation_file",
     f"""WITH {SQL_EMBED}, r AS (SELECT gene, cell, rank() OVER w + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS rk FROM (

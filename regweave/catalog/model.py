@@ -16,7 +16,7 @@ from regweave.plans.moments import MomentBooster
 from regweave.plans.run import run
 from regweave.plans.tasks import flat_map_targets
 from regweave.session import scratch_path, write_once
-from regweave.sinks.writers import save_matrix_slice
+from regweave.sinks.writers import save_edges_parquet, save_matrix_slice
 from regweave.sources.text import read_edges
 
 ETA = 0.3
@@ -197,6 +197,20 @@ def phase_networks(spark, sf):
     return edges.select("phase", "regulator", "target", F.round("gain", 3).alias("gain"), "include")
 
 
+@query(
+    "phase_directories",
+    f"""WITH {_sql_rounds(2, ETA, SQL_PHASES)} SELECT phase, regulator, target, round(sum(gain), 3) AS gain FROM log GROUP BY 1, 2, 3""",
+)
+def phase_directories(spark, sf):
+    """Networks of several phases, one Parquet directory per phase."""
+    expr = parts_expression(spark, sf)
+    params = RegressionParams(BoostParams(eta=ETA), nr_rounds=2)
+    path = scratch_path(spark, "phases")
+    edges = INF.infer_phases(expr, part_regulators(spark, sf), params, cells_per_phase=max(1, expr.nr_cells() // 4))
+    save_edges_parquet(edges, path, by_phase=True)
+    return spark.read.parquet(path).select("phase", "regulator", "target", F.round("gain", 3).alias("gain"))
+
+
 @query(
     "loss_curves",
     f"""WITH {_sql_rounds(5, ETA, SQL_FOLDS)}, seen AS ({SQL_LOSSES})

@@ -179,7 +179,7 @@ def train_test_split(spark, sf):
 )
 def cell_difference(spark, sf):
     cells = table(spark, sf, "customer").select(F.col("c_custkey").alias("cell"))
-    return cells.join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell")), "cell", "left_anti").distinct()
+    return S.cell_difference(cells, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell")))
 
 
 @query(

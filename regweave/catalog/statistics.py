@@ -114,6 +114,18 @@ def spearman_dense_matrix(spark, sf):
     return R.spearman(expr.values, regs, expr.nr_cells()).select("tf", "gene", F.round("corr", 6).alias("corr"))
 
 
+@query(
+    "spearman_shuffled_matrix",
+    f"""WITH {SQL_EMBED}, regs AS (SELECT gene AS regulator FROM expr GROUP BY gene), {SQL_AVG_RANKS}, {SQL_PEARSON}
+    SELECT tf, gene, CASE WHEN tf = gene THEN 1.0 ELSE round(cov / nullif(spread, 0), 6) END AS corr FROM corr""",
+)
+def spearman_shuffled_matrix(spark, sf):
+    """Distinct ranks with shuffled ties; these values have no ties, so the order of ties cannot show."""
+    expr = embedding_expression(spark, sf).store()
+    regs = S.regulator_index(expr.values, expr.genes())
+    return R.spearman_shuffled(expr.values, regs, expr.nr_cells()).select("tf", "gene", F.round("corr", 6).alias("corr"))
+
+
 @query(
     "correlation_rows",
     f"""WITH {SQL_EMBED}, regs AS (SELECT gene AS regulator FROM expr GROUP BY gene), vals AS (SELECT * FROM expr), {SQL_PEARSON},
@@ -126,8 +138,7 @@ def correlation_rows(spark, sf):
     regs = S.regulator_index(expr.values, expr.genes())
     corr = R.pearson(expr.values, regs, expr.nr_cells())
     sign = F.when(F.col("tf") == F.col("gene"), F.lit(1)).otherwise(F.col("sign"))
-    pairs = F.array_sort(F.collect_list(F.struct("gene", sign.alias("v"))))
-    return corr.groupBy("tf").agg(F.array_join(F.transform(pairs, lambda e: e["v"].cast("string")), "\t").alias("line"))
+    return R.rows_by_regulator(corr.select("tf", "gene", sign.cast("string").alias("sign")), "sign")
 
 
 @query(

@@ -133,6 +133,12 @@ def pearson(values: DataFrame, regulators: DataFrame, nr_cells: int) -> DataFram
     )
 
 
+def rows_by_regulator(corr: DataFrame, value: str = "corr", delimiter: str = "\t") -> DataFrame:
+    """``tf, line``: the values of every regulator in gene name order; a line is one row of the matrix."""
+    pairs = F.array_sort(F.collect_list(F.struct("gene", F.col(value).cast("string").alias("v"))))
+    return corr.groupBy("tf").agg(F.array_join(F.transform(pairs, lambda e: e["v"]), delimiter).alias("line"))
+
+
 def spearman(values: DataFrame, regulators: DataFrame, nr_cells: int) -> DataFrame:
     """Rank correlation ``tf, gene, corr`` with average ranks for ties."""
     ranks = write_once(shifted_ranks(values, nr_cells), "ranks")  # read three times below

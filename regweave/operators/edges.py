@@ -11,6 +11,13 @@ from regweave import constants as C
 from regweave.functions.scalar import turn_angle
 
 
+def min_max_scaled(edges: DataFrame, group: str = "target", value: str = "gain", out: str = "scaled") -> DataFrame:
+    """Add ``(value - min) / (max - min)`` of the group; null for a constant group."""
+    span = edges.groupBy(group).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
+    scaled = F.try_divide(F.col(value) - F.col("_mn"), F.col("_mx") - F.col("_mn"))
+    return edges.join(span, group).withColumn(out, scaled).drop("_mn", "_mx")
+
+
 def with_turns(
     df: DataFrame,
     group: Sequence[str],

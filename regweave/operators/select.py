@@ -76,6 +76,11 @@ def random_cells(cells: DataFrame, n: int, seed: int = DEFAULT_SEED) -> DataFram
     return hash_position(cells.select("cell"), "cell", seed).filter(F.col("position") < n).select("cell")
 
 
+def cell_difference(cells: DataFrame, other: DataFrame) -> DataFrame:
+    """Distinct cells that are not among the others."""
+    return cells.select("cell").join(other.select("cell"), "cell", "left_anti").distinct()
+
+
 def sub_sample(expr: Expression, n: int, seed: int = DEFAULT_SEED) -> Expression:
     """Matrix restricted to n random cells, re-indexed from 0; unchanged when n covers all."""
     if n >= expr.nr_cells():
@@ -85,9 +90,7 @@ def sub_sample(expr: Expression, n: int, seed: int = DEFAULT_SEED) -> Expression
 
 def disjoint_subsets(cells: DataFrame, excluded: DataFrame | None, n: int, seed: int = DEFAULT_SEED) -> DataFrame:
     """Random disjoint chunks of n cells among those not excluded: ``cell, subset``."""
-    rest = cells.select("cell").distinct()
-    if excluded is not None:
-        rest = rest.join(excluded.select("cell"), "cell", "left_anti")
+    rest = cells.select("cell").distinct() if excluded is None else cell_difference(cells, excluded)
     return hash_position(rest, "cell", seed).select("cell", F.floor(F.col("position") / n).cast("int").alias("subset"))
 
 

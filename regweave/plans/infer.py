@@ -120,6 +120,7 @@ def first_round_gains(problem: Problem, params: BoostParams | None = None, nr_pa
         params or BoostParams(),
         nr_partitions=nr_partitions,
         targets=problem.targets,
+        one_round=True,
     )
     return booster.first_round_gains().select("regulator", "target", "gain")
 
@@ -152,13 +153,13 @@ def infer_phases(
     skip: int = 0,
     max_bin: int | None = None,
     nr_partitions: int | None = None,
+    max_shared: int = MAX_SHARED,
 ) -> DataFrame:
     """Phase-wise inference as one job: ``phase, regulator, target, gain, include``.
 
-    The phase is part of every key; phases are fitted side by side instead of one after the other.
+    The phase is part of every key; stumps of all phases are fitted side by side. Deeper trees, and matrices
+    whose shared counts do not fit, are fitted phase by phase with the same result.
     """
-    if params.boost.max_depth != 1:
-        raise ValueError("phase-wise runs fit stumps")
     total = expr.nr_cells()
     count = nr_phases(total, cells_per_phase)
     phases = assign_phases(index_cells(expr.cells), total, cells_per_phase, skip).select(
@@ -169,8 +170,12 @@ def infer_phases(
         groups.join(phases, "cell").select("cell", (F.col("_p") * k + F.col("grp")).cast("int").alias("grp")), "cell-groups"
     )
     problem = prepare(expr, candidates, None, max_bin)
+    if params.boost.max_depth > 1 or not fits_broadcast(problem.binned, groups, max_shared):
+        log = _phase_logs(problem, phases, groups, params, count - skip, k).withColumn("phase", F.col("phase") + skip)
+        edges = log.groupBy("phase", "regulator", "target").agg(F.sum("gain").alias("gain"))
+        return postprocess(edges, params.regularize, group=("phase", "target"), sort=False)
     booster = MomentBooster(
-        expr.values,
+        problem.expr.values,
         groups,
         problem.binned,
         params.boost,
@@ -182,3 +187,23 @@ def infer_phases(
     log = booster.split_log(booster.boost(params.nr_rounds)).withColumn("phase", F.col("phase") + skip)
     edges = log.groupBy("phase", "regulator", "target").agg(F.sum("gain").alias("gain"))
     return postprocess(edges, params.regularize, group=("phase", "target"), sort=False)
+
+
+def _phase_logs(problem: Problem, phases: DataFrame, groups: DataFrame, params: RegressionParams, count: int, k: int) -> DataFrame:
+    """Split logs of single phases, each fitted on its own cells with the features and draws of the joint fit."""
+    logs = []
+    for p in range(count):
+        cells = phases.filter(F.col("_p") == p).select("cell")
+        inside = lambda df: df.join(cells, "cell", "left_semi")  # noqa: E731, B023  (used before the next turn)
+        own = groups.join(cells, "cell", "left_semi").select("cell", (F.col("grp") - p * k).cast("int").alias("grp"))
+        binned = Binned(write_once(inside(problem.binned.cells), "phase-bins"), problem.binned.features, problem.binned.regulators)
+        values = write_once(inside(problem.expr.values), "phase-values")
+        if params.boost.max_depth == 1 and params.boost.subsample >= 1:
+            log = boost_lockstep(values, cells, binned, params.boost, params.nr_rounds)
+        else:
+            log, _ = boost_cells(values, index_cells(cells), own, binned, params.boost, params.nr_rounds)
+        logs.append(write_once(log.select("target", "round", "regulator", "gain"), "phase-log").withColumn("phase", F.lit(p)))
+    out = logs[0]
+    for log in logs[1:]:
+        out = out.unionByName(log)
+    return out

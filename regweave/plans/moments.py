@@ -42,9 +42,9 @@ def fits_broadcast(binned: Binned, groups: DataFrame, max_shared: int = MAX_SHAR
 
 
 def _collect_moments(
-    binned: Binned, groups: DataFrame, per_phase: int, nr_phases: int, train: tuple[int, ...], params: BoostParams
+    binned: Binned, groups: DataFrame, per_phase: int, nr_phases: int, train: tuple[int, ...], one_round: bool
 ) -> dict:
-    """The bounded, checked collect: counts per feature and shared counts, as plain arrays."""
+    """The bounded collect: counts per feature and (unless one round is all) shared counts, as plain arrays."""
     feats = binned.features.select("f", "ridx").toArrow().to_pandas().sort_values("f")
     nf, nr = len(feats), int(feats["ridx"].max()) + 1
     starts = np.searchsorted(feats["ridx"].to_numpy(), np.arange(nr + 1)).astype(np.int64)
@@ -55,7 +55,8 @@ def _collect_moments(
     n_feature = np.zeros((ng, nf))
     fc = feature_counts(groups, binned).toArrow().to_pandas()
     n_feature[fc["grp"].to_numpy(np.int64), fc["f"].to_numpy(np.int64)] = fc["n"].to_numpy(float)
-    co = shared_counts(groups, binned).select("grp", "fa", "fb", F.col("n").cast("int")).toArrow().to_pandas()
+    shared = shared_counts(groups, binned).select("grp", "fa", "fb", F.col("n").cast("int").alias("n"))
+    co = (shared.limit(0) if one_round else shared).toArrow().to_pandas()
     grp, fa = co["grp"].to_numpy(np.int64), co["fa"].to_numpy(np.int64)
     key = (grp // per_phase) * nf + fa
     order = np.argsort(key, kind="stable")
@@ -89,12 +90,17 @@ class MomentBooster:
         train: tuple[int, ...] = (0,),
         nr_partitions: int | None = None,
         targets: DataFrame | None = None,
+        one_round: bool = False,
+        max_shared: int = MAX_SHARED,
     ):
+        """``one_round``: only first-round gains are wanted; shared counts are then neither needed nor collected."""
         spark = values.sparkSession
+        if not one_round and not fits_broadcast(binned, groups, max_shared):
+            raise ValueError(f"more than {max_shared} shared counts; use another engine")
         self.binned, self.params = binned, params
         self.train = train
         self.test = tuple(u for u in range(per_phase) if u not in train)
-        arrays = _collect_moments(binned, groups, per_phase, nr_phases, train, params)
+        arrays = _collect_moments(binned, groups, per_phase, nr_phases, train, one_round)
         self.nr_features = arrays["n_feature"].shape[1]
         self.shared = spark.sparkContext.broadcast(arrays)
         self.nr_partitions = nr_partitions

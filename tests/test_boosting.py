@@ -284,3 +284,20 @@ def test_test_cells_do_not_change_the_fit(spark, problem):
     )
     assert {r.cover for r in log.collect()} == {48.0}
     assert losses.count() == 18
+
+
+def test_phases_beyond_the_bound_match(spark, data):
+    Y, _, regs, names = data
+    expr = as_expression(spark, Y, names)
+    params = RegressionParams(BoostParams(eta=0.3, subsample=0.8), nr_rounds=2)
+    runs = []
+    for bound in (10**7, 1):
+        rows = INF.infer_phases(expr, regs, params, 20, max_shared=bound).collect()
+        runs.append({(r.phase, r.regulator, r.target): r.gain for r in rows})
+    assert runs[0].keys() == runs[1].keys()
+    np.testing.assert_allclose([runs[0][k] for k in runs[0]], [runs[1][k] for k in runs[0]], rtol=1e-8)
+
+
+def test_shared_counts_are_checked_before_they_are_collected(problem):
+    with pytest.raises(ValueError):
+        MomentBooster(problem.expr.values, INF.single_group(problem.expr.cells), problem.binned, BoostParams(), max_shared=1)
