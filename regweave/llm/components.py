@@ -1,7 +1,8 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
+"""Connected components of an edge table by repeated contraction.
 
-Every step is a grouped minimum (pre-aggregated in each task) and a join back on the node; state is cut by
-checkpoints in the shared folder. The number of steps grows with the logarithm of the component size.
+In each round every node moves to its smallest neighbour (a grouped minimum, pre-aggregated in each task) and the
+edges are renamed; edges inside one node vanish. At least every second node of a component disappears in a round,
+and stars collapse at once. Rounds are cut by checkpoints in the shared folder; the moves are composed at the end.
 """
 
 from __future__ import annotations
@@ -12,39 +13,26 @@ from pyspark.sql import functions as F
 from regweave.session import materialize
 
 
-def _star(directed: DataFrame, keep_smaller: bool) -> DataFrame:
-    """Hang neighbours of each node ``u`` on the smallest of u and its neighbours."""
-    low = directed.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-    hung = directed.join(low, "u")
-    if keep_smaller:  # small star: directed from larger to smaller; u itself also moves
-        moved = hung.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    else:  # large star: only larger neighbours move
-        moved = hung.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.filter(F.col("a") != F.col("b")).distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reachable, for nodes with an edge. ``edges``: long columns a, b.
 
     Edges to itself, repeated edges and null ends are ignored; no edges give an empty result.
     """
-    e = (
-        edges.filter(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    e = materialize(e)
-    before = None
+    e = materialize(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
+    moves: list[DataFrame] = []
     while not e.isEmpty():
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        both = both.union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _star(both, keep_smaller=False)
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        e = materialize(_star(down, keep_smaller=True))
-        mark = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
-        if mark == before:
-            break
-        before = mark
-    return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(
-        e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+        ends = e.select(F.col("a").alias("node"), F.col("b").alias("to")).union(e.select("b", "a"))
+        move = ends.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to"))
+        move = materialize(move)
+        moves.append(move)
+        renamed = e.join(move.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").drop("a")
+        renamed = renamed.join(move.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        e = renamed.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        e = materialize(e)
+    if not moves:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = moves[0].withColumnRenamed("to", "component")
+    for move in moves[1:]:
+        step = move.select(F.col("node").alias("component"), "to")
+        out = out.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return out

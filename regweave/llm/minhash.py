@@ -10,7 +10,7 @@ all pairs:
 
 1. Texts with the same shingle set form one class; only its smallest doc_id goes on.
 2. In each bucket every member is compared with two pivots, its smallest and its largest id; first only with the
-   pivot that shares most bands, then with the others where the components still differ.
+   pivot that shares most bands, then with the others, unless both already hang on the same text.
 3. Buckets that still hold several components are searched in blocks: members outside the bucket's main component
    against all members, by signature agreement; only pairs whose estimate is within about five standard
    deviations of the threshold are emitted, and verified as above.
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     best = Window.partitionBy("node").orderBy(F.desc("bands"), "pivot")
     pairs = write_once(
         shared.withColumn("turn", F.row_number().over(best)).select(
-            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), "turn"
+            "node", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), "turn"
         ),
         "pairs",
     )
@@ -212,11 +212,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     sets = write_once(shingle_sets(texts.join(involved, "node").select("node", "text")), "sets")
 
-    links = materialize(confirmed(pairs.filter("turn = 1"), sets, percent).union(same_id))
-    comp = materialize(components(links))
-    more = _with_component(_with_component(pairs.filter("turn > 1"), comp, "a", "ca"), comp, "b", "cb").filter("ca != cb")
-    links = materialize(links.union(confirmed(more.select("a", "b").distinct(), sets, percent)))
-    comp = materialize(components(links))
+    first = write_once(confirmed(pairs.filter("turn = 1"), sets, percent), "links")
+    # what hangs on the same node after the first step needs no second comparison
+    hung = pairs.filter("turn = 1").select("a", "b", "node").join(first, ["a", "b"]).select("node", (F.col("a") + F.col("b") - F.col("node")).alias("to"))
+    more = pairs.filter("turn > 1")
+    for end in ("a", "b"):
+        to = hung.select(F.col("node").alias(end), F.col("to").alias(f"to_{end}"))
+        more = more.join(to, end, "left").withColumn(f"to_{end}", F.coalesce(f"to_{end}", end))
+    more = more.filter("to_a != to_b").select("a", "b").distinct()
+    comp = materialize(components(first.union(same_id).union(confirmed(more, sets, percent))))
 
     labelled = _with_component(buckets.select("key", "node"), comp, "node", "component")
     tally = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -228,10 +232,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     open_rows = labelled.join(mixed, "key").join(classes.select("node", "n_shingles", "low"), "node")
     rest = write_once(_blocked_candidates(open_rows, percent), "rest")
-    links = materialize(links.union(confirmed(rest, sets, percent)))
-    comp = materialize(components(links))
+    late = _with_component(_with_component(confirmed(rest, sets, percent), comp, "a", "ca"), comp, "b", "cb")
+    moved = components(late.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    moved = moved.select(F.col("node").alias("component_id"), F.col("component").alias("to"))
 
-    out = named.join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    out = named.join(comp, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
+    out = out.join(moved, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("to", "component_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
