@@ -90,13 +90,13 @@ def shifted_ranks(values: DataFrame, nr_cells: int) -> DataFrame:
     return values.join(levels, ["gene", "value"]).select("gene", "cell", F.col("_r").alias("value"))
 
 
-def pair_products(values: DataFrame, regulators: DataFrame, nr_genes: int | None = None) -> DataFrame:
+def pair_products(values: DataFrame, regulators: DataFrame, bound: int | None = None) -> DataFrame:
     """``ridx, gene, xy``: dot products over shared cells, summed map-side inside the join."""
     x = values.join(regulators.withColumnRenamed("regulator", "gene"), "gene").select(
         "cell", "ridx", F.col("value").alias("_x")
     )
     return (
-        salted_join(spread(values, "gene", "cell"), x, "cell", "gene", nr_genes)
+        salted_join(spread(values, "gene", "cell"), x, "cell", "gene", bound)
         .groupBy("ridx", "gene")
         .agg(F.sum(F.col("_x") * F.col("value")).alias("xy"))
     )
@@ -122,7 +122,7 @@ def pearson(values: DataFrame, regulators: DataFrame, nr_cells: int) -> DataFram
         F.greatest(F.col("tss") - F.col("ts") * F.col("ts") / n, F.lit(0.0))
     )
     return (
-        grid.join(pair_products(values, regulators, nr_genes), ["gene", "ridx"], "left")
+        grid.join(pair_products(values, regulators, nr_genes * (last + 1)), ["gene", "ridx"], "left")
         .join(reg, "ridx")
         .select(
             "tf",

@@ -98,7 +98,7 @@ def target_moments(
     x = binned.cells.join(groups, "cell").select("cell", (F.col("grp").cast("long") * nr_features + F.col("f")).alias("gf"))
     width = nr_features * nr_groups
     return (
-        salted_join(spread(values, "tid", "cell"), x, "cell", "tid", nr_targets)
+        salted_join(spread(values, "tid", "cell"), x, "cell", "tid", nr_targets * binned.regulators.count())
         .groupBy((F.col("tid") * width + F.col("gf")).alias("k"))
         .agg(F.sum("value").alias("y"))
         .select(
@@ -128,7 +128,7 @@ def shared_counts(groups: DataFrame, binned: Binned) -> DataFrame:
     """``grp, fa, fb, n``: cells shared by two features; includes ``fa = fb``."""
     a = binned.cells.join(groups, "cell").select("cell", "grp", F.col("f").alias("fa"))
     b = binned.cells.select("cell", F.col("f").alias("fb"))
-    return salted_join(a, b, "cell", "fa", binned.regulators.count()).groupBy("grp", "fa", "fb").agg(F.count(F.lit(1)).alias("n"))
+    return salted_join(a, b, "cell", "fa", binned.regulators.count() ** 2).groupBy("grp", "fa", "fb").agg(F.count(F.lit(1)).alias("n"))
 
 
 def shared_counts_bound(groups: DataFrame, binned: Binned) -> int:

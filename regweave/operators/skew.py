@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEY_ROWS = 1_000_000
+HOT_KEY_PAIRS = 20_000_000
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -24,23 +24,25 @@ def salted_join(
     key: str,
     spread_by: str,
     bound: int | None = None,
-    rows_per_salt: int = HOT_KEY_ROWS,
+    pairs_per_salt: int = HOT_KEY_PAIRS,
 ) -> DataFrame:
-    """Inner join on ``key`` where keys of ``big`` above ``rows_per_salt`` rows are split.
+    """Inner join on ``key`` where keys that make more than ``pairs_per_salt`` pairs are split.
 
-    The table of hot keys has at most ``rows / rows_per_salt`` entries, because every entry stands
-    for that many rows, so it stays tiny however large ``big`` is. Rows of a hot key are spread by a
-    hash of ``spread_by``; the matching rows of ``other`` are repeated once per salt. No row is
-    dropped. ``bound`` is a proven limit on the rows per key (a cell holds at most one entry per gene);
+    What makes a key hot is the product of its rows on both sides. The table of hot keys has at most
+    ``pairs / pairs_per_salt`` entries. Rows of ``big`` with a hot key are spread by a hash of
+    ``spread_by``; the matching rows of ``other`` are repeated once per salt. No row is dropped.
+    ``bound`` is a proven limit on the pairs of a key (a cell holds at most one entry per gene and side);
     where it rules out hot keys the plain join is planned and the counting pass saved.
     """
-    if bound is not None and bound <= rows_per_salt:
+    if bound is not None and bound <= pairs_per_salt:
         return big.join(other, key)
+    left_rows = big.groupBy(key).agg(F.count(F.lit(1)).alias("_a"))
+    right_rows = other.groupBy(key).agg(F.count(F.lit(1)).alias("_b"))
+    pairs = F.col("_a").cast("double") * F.col("_b")
     hot = (
-        big.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > rows_per_salt)
-        .select(key, F.ceil(F.col("_rows") / rows_per_salt).cast("int").alias("_salts"))
+        left_rows.join(right_rows, key)
+        .filter(pairs > pairs_per_salt)
+        .select(key, F.least(F.ceil(pairs / pairs_per_salt), F.col("_a")).cast("int").alias("_salts"))
     )
     left = (
         big.join(hot, key, "left")

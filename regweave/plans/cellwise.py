@@ -83,7 +83,7 @@ def boost_cells(
             first = (1 << depth) - 1
             active = grown.filter(F.col("fit") & (F.col("node") >= first))
             hist = (
-                salted_join(active.select("target", "cell", "node", "res"), offered, "cell", "target", nr_targets)
+                salted_join(active.select("target", "cell", "node", "res"), offered, "cell", "target", nr_targets * nr_regulators)
                 .groupBy("target", "node", "ridx", "bin")
                 .agg(F.sum("res").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
             )

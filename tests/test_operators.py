@@ -255,7 +255,7 @@ def test_salted_join_equals_plain_join(spark):
     big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("cell"), F.col("id").alias("gene"))
     small = spark.range(60).select((F.col("id") % 50).alias("cell"), F.col("id").alias("f"))
     want = sorted(map(tuple, big.join(small, "cell").select("cell", "gene", "f").collect()))
-    got = salted_join(big, small, "cell", "gene", rows_per_salt=100).select("cell", "gene", "f")
+    got = salted_join(big, small, "cell", "gene", pairs_per_salt=100).select("cell", "gene", "f")
     assert sorted(map(tuple, got.collect())) == want
 
 
