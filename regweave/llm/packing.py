@@ -16,6 +16,8 @@ null doc_id is carried along; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
+import string
+import struct
 import zlib
 
 import numpy as np
@@ -28,7 +30,7 @@ END_ID = 1
 GROUP = 1024
 SEED = 20240611
 MAX_WORDS = 1_000_000
-MAX_WORD_BYTES = 64
+MARKS = string.punctuation.encode()
 _state: dict = {}
 
 
@@ -38,6 +40,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_letters()
+
+
+def _letter_run(word: bytes) -> str | None:
+    """The word as the tokenizer's model sees it, where normalizing and splitting leave one run of letters.
+
+    True for ASCII letters, and for words of composed Latin letters, whose lower case is letter by letter.
+    """
+    if word.isalpha():
+        return word.decode()
+    text = word.decode("utf-8", "replace")
+    if not text.isalpha() or not all(c < "\u0080" or "\u00c0" <= c < "\u0130" for c in text):
+        return None
+    return text.lower().encode().decode("latin-1").translate(_BYTES)
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word, through a bounded table of known words."""
 
@@ -46,38 +71,47 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
+        self.model = self.inner.model
         self.known: dict[bytes, bytes] = {}
 
-    def _plain(self, words: list[bytes]) -> list[bytes]:
-        got = self.inner.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+    def _learn(self, words: set[bytes]) -> None:
+        """Put the ids of new words in the table."""
+        cut, fresh = {}, set()
+        for w in words:  # marks that close a word follow its last letter or digit as one token run of their own
+            core = w.rstrip(MARKS)
+            if core and core != w and core[-1:].isalnum():
+                cut[w] = core
+                fresh.add(core)
+                fresh.add(w[len(core) :])
+            else:
+                fresh.add(w)
+        known, mixed = self.known, []
+        for w in fresh:
+            if w in known:
+                continue
+            run = _letter_run(w)
+            if run is None:
+                mixed.append(w)
+            else:
+                ids = [t.id for t in self.model.tokenize(run)]
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        got = self.inner.encode_batch_fast([w.decode("utf-8", "replace") for w in mixed], add_special_tokens=False)
+        known.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in zip(mixed, [e.ids for e in got]))
+        for w, core in cut.items():
+            known[w] = known[core] + known[w[len(core) :]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.lower().split() for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
-        if new:
-            if len(self.known) + len(new) > MAX_WORDS:
-                self.known = {}
-                new = {w for words in split for w in words}
-            cut, fresh = {}, set()
-            for w in new:  # a closing . or , after a letter or digit is a token of its own
-                core = w.rstrip(b".,")
-                if core and core != w and core[-1:].isalnum() and len(core) <= MAX_WORD_BYTES:
-                    cut[w] = core
-                    fresh.add(core)
-                    fresh.add(w[len(core) :])
-                else:
-                    fresh.add(w)
-            fresh = [w for w in fresh if w not in self.known]
-            self.known.update(zip(fresh, self._plain(fresh)))
-            known = self.known
-            for w, core in cut.items():
-                known[w] = known[core] + known[w[len(core) :]]
-        known = self.known
-        out = [b"".join([known[w] for w in words]) for words in split]
-        if len(known) > MAX_WORDS:
+        if len(self.known) > MAX_WORDS:
             self.known = {}
+        out = []
+        for t in texts:
+            words = t.lower().split()
+            ids = list(map(self.known.get, words))
+            if None in ids:
+                self._learn({w for w, x in zip(words, ids) if x is None})
+                ids = [self.known[w] for w in words]
+            out.append(b"".join(ids))
         return out
 
 
