@@ -143,8 +143,8 @@ def _with_component(df: DataFrame, comp: DataFrame, node: str, out: str) -> Data
 def _blocked_candidates(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket in different components that a signature estimate cannot rule out, block by block.
 
-    ``rows``: key, node, component, main, n_shingles, low. Each block pair is one group of at most about
-    2 * BLOCK rows, so a hot bucket is spread over many tasks.
+    ``rows``: key, band, node, component, main, n_shingles, low. Each block pair is one group of at most about
+    2 * BLOCK rows, so a hot bucket is spread over many tasks. A pair is emitted once, by the first band it shares.
     """
     outside = F.col("component") != F.col("main")
     size = rows.groupBy("key").agg(
@@ -155,20 +155,25 @@ def _blocked_candidates(rows: DataFrame, percent: int) -> DataFrame:
     spot = F.xxhash64("node")
     x = rows.filter(outside).withColumn("bx", F.pmod(spot, F.col("cx"))).withColumn("by", F.explode(F.sequence(F.lit(0), F.col("cy") - 1)))
     y = rows.withColumn("by", F.pmod(spot, F.col("cy"))).withColumn("bx", F.explode(F.sequence(F.lit(0), F.col("cx") - 1)))
-    cols = ["key", F.col("bx").cast("int").alias("bx"), F.col("by").cast("int").alias("by"), "node", "component", "n_shingles", "low"]
+    cols = ["key", F.col("bx").cast("int").alias("bx"), F.col("by").cast("int").alias("by"), "band", "node", "component", "main", "n_shingles", "low"]
     both = x.select(*cols, F.lit(True).alias("outer")).union(y.select(*cols, F.lit(False).alias("outer")))
     least = percent / 100 - SLACK
 
     def compare(table: pa.Table) -> pa.Table:
         outer = np.asarray(table.column("outer").to_numpy(zero_copy_only=False), bool)
-        node, comp, n = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+        node, comp, main, n = (table.column(c).to_numpy() for c in ("node", "component", "main", "n_shingles"))
+        band = table.column("band")[0].as_py()
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(node), COORDS)
         xs, ys = np.flatnonzero(outer), np.flatnonzero(~outer)
         a, b = [], []
         for i in xs:
             small, large = np.minimum(n[i], n[ys]), np.maximum(n[i], n[ys])
-            ok = ys[(comp[ys] != comp[i]) & (100 * small >= percent * large)]
-            ok = ok[(low[ok] == low[i]).mean(1) >= least]
+            once = (comp[ys] == main[ys]) | (node[ys] > node[i])  # of two outer members the smaller one asks
+            ok = ys[(comp[ys] != comp[i]) & once & (100 * small >= percent * large)]
+            same = low[ok] == low[i]
+            near = same.mean(1) >= least
+            shared = same[near].reshape(-1, BANDS, ROWS).all(2)
+            ok = ok[near][shared.argmax(1) == band]
             a.append(np.minimum(node[ok], node[i]))
             b.append(np.maximum(node[ok], node[i]))
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
@@ -192,7 +197,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = write_once(named, "named")
     one_id = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z")
     same_id = named.join(one_id, "doc_id").select("a", F.col("node").alias("b"))
-    entries = classes.select("node", F.explode("bands").alias("key"))
+    entries = classes.select("node", F.posexplode("bands").alias("band", "key"))
     pivots = (
         entries.groupBy("key")
         .agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("p"), F.max("node").alias("q"))
@@ -222,7 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     more = more.filter("to_a != to_b").select("a", "b").distinct()
     comp = materialize(components(first.union(same_id).union(confirmed(more, sets, percent))))
 
-    labelled = _with_component(buckets.select("key", "node"), comp, "node", "component")
+    labelled = _with_component(buckets.select("key", "band", "node"), comp, "node", "component")
     tally = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = (
         tally.groupBy("key")
