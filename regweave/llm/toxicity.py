@@ -228,10 +228,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, where=None, limit: int = MA
         .groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).orderBy("doc_id").collect()
     )
     y = np.array([r["r"]["y"] for r in rows], dtype=float)
-    x = np.array([r["r"]["x"] for r in rows]).reshape(len(rows), -1)
     if not len(y) or y.min() == y.max():
         level = float(y.mean()) if len(y) else 0.0
         return Model(lexicon, fit(np.zeros((0, 1)), np.zeros(0)), np.array([0.0]), np.array([level]))
+    x = np.array([r["r"]["x"] for r in rows])
     half = np.arange(len(y)) % 2 == 0
     margin = np.zeros(len(y))
     for part in (half, ~half):
