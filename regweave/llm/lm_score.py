@@ -190,7 +190,7 @@ def score_documents(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray) ->
             for lo, hi, t in T.slices(b.column("text"), lower=True):
                 n = t.words()[3]
                 owner = np.repeat(np.arange(t.n), n)
-                total = np.bincount(owner, log_probabilities(w, *contexts(t, vocab)), minlength=t.n)
+                total = np.bincount(owner, log_probabilities(w, *contexts(t, vocab)), minlength=t.n).astype(np.float64)
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(total), mean],
