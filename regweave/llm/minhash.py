@@ -143,8 +143,9 @@ def _with_component(df: DataFrame, comp: DataFrame, node: str, out: str) -> Data
 def _blocked_candidates(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket in different components that a signature estimate cannot rule out, block by block.
 
-    ``rows``: key, band, node, component, main, n_shingles, low. Each block pair is one group of at most about
-    2 * BLOCK rows, so a hot bucket is spread over many tasks. A pair is emitted once, by the first band it shares.
+    ``rows``: key, band, node, component, main, n_shingles, low, bands. Each block pair is one group of at most about
+    2 * BLOCK rows, so a hot bucket is spread over many tasks. A pair is emitted once, by the first band it shares;
+    that is read from the whole band keys, as low bytes may agree in a band whose bucket does not hold the pair.
     """
     outside = F.col("component") != F.col("main")
     size = rows.groupBy("key").agg(
@@ -155,7 +156,7 @@ def _blocked_candidates(rows: DataFrame, percent: int) -> DataFrame:
     spot = F.xxhash64("node")
     x = rows.filter(outside).withColumn("bx", F.pmod(spot, F.col("cx"))).withColumn("by", F.explode(F.sequence(F.lit(0), F.col("cy") - 1)))
     y = rows.withColumn("by", F.pmod(spot, F.col("cy"))).withColumn("bx", F.explode(F.sequence(F.lit(0), F.col("cx") - 1)))
-    cols = ["key", F.col("bx").cast("int").alias("bx"), F.col("by").cast("int").alias("by"), "band", "node", "component", "main", "n_shingles", "low"]
+    cols = ["key", F.col("bx").cast("int").alias("bx"), F.col("by").cast("int").alias("by"), "band", "node", "component", "main", "n_shingles", "low", "bands"]
     both = x.select(*cols, F.lit(True).alias("outer")).union(y.select(*cols, F.lit(False).alias("outer")))
     least = percent / 100 - SLACK
 
@@ -164,16 +165,15 @@ def _blocked_candidates(rows: DataFrame, percent: int) -> DataFrame:
         node, comp, main, n = (table.column(c).to_numpy() for c in ("node", "component", "main", "n_shingles"))
         band = table.column("band")[0].as_py()
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(node), COORDS)
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         xs, ys = np.flatnonzero(outer), np.flatnonzero(~outer)
         a, b = [], []
         for i in xs:
             small, large = np.minimum(n[i], n[ys]), np.maximum(n[i], n[ys])
             once = (comp[ys] == main[ys]) | (node[ys] > node[i])  # of two outer members the smaller one asks
             ok = ys[(comp[ys] != comp[i]) & once & (100 * small >= percent * large)]
-            same = low[ok] == low[i]
-            near = same.mean(1) >= least
-            shared = same[near].reshape(-1, BANDS, ROWS).all(2)
-            ok = ok[near][shared.argmax(1) == band]
+            ok = ok[(low[ok] == low[i]).mean(1) >= least]
+            ok = ok[(keys[ok] == keys[i]).argmax(1) == band]
             a.append(np.minimum(node[ok], node[i]))
             b.append(np.maximum(node[ok], node[i]))
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .filter("parts > 1")
         .select("key", F.col("top.component").alias("main"))
     )
-    open_rows = labelled.join(mixed, "key").join(classes.select("node", "n_shingles", "low"), "node")
+    open_rows = labelled.join(mixed, "key").join(classes.select("node", "n_shingles", "low", "bands"), "node")
     rest = write_once(_blocked_candidates(open_rows, percent), "rest")
     late = _with_component(_with_component(confirmed(rest, sets, percent), comp, "a", "ca"), comp, "b", "cb")
     moved = components(late.select(F.col("ca").alias("a"), F.col("cb").alias("b")))

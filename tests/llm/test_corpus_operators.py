@@ -81,6 +81,20 @@ def test_blocks_find_every_link_across_components(spark, monkeypatch):
     assert len(calls) == 3 and got == want
 
 
+def test_a_pair_whose_low_bytes_agree_in_an_earlier_band_is_emitted(spark):
+    """All low bytes agree, but only band 3 has equal coordinates: its bucket is the only one that holds the pair."""
+    sig = np.random.default_rng(2).integers(0, 1 << 20, (2, minhash.COORDS)).astype(np.uint32)
+    sig[1] = sig[0] ^ np.uint32(1 << 12)
+    third = slice(3 * minhash.ROWS, 4 * minhash.ROWS)
+    sig[1, third] = sig[0, third]
+    keys, low = minhash.band_keys(sig), (sig & 0xFF).astype(np.uint8)
+    assert np.flatnonzero(keys[0] == keys[1]).tolist() == [3]
+    rows = [(int(keys[i, 3]), 3, n, n, 10, 100, bytearray(low[i].tobytes()), keys[i].tolist()) for i, n in enumerate((10, 20))]
+    schema = "key long, band int, node long, component long, main long, n_shingles long, low binary, bands array<long>"
+    got = minhash._blocked_candidates(spark.createDataFrame(rows, schema), 85).collect()
+    assert [tuple(r) for r in got] == [(10, 20)]
+
+
 def test_near_duplicates_of_odd_and_no_rows(spark, odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
     rows = minhash.near_duplicates(odd_docs).collect()
