@@ -1,12 +1,15 @@
 """Masked pseudo-likelihood: a window network that predicts every word from the words on both sides.
 
 1. Word counts over all documents (summed per task, then in Spark) give the vocabulary: the most frequent words have a
-   class of their own, every other word falls in one of a few classes by its hash.
+   class of their own, every other word falls in one of a few classes by its hash. Inside its class a word has
+   probability (n + 1) / (N + V + 1) by its own count n (N words, V distinct ones in the class); all unseen words
+   share the remaining 1 / (N + V + 1).
 2. A small network (embeddings of the LEFT words before and after, one hidden layer, softmax over classes) is trained
-   in numpy. Each round every task takes gradient steps on a seeded share of the positions of its own documents, from
-   the same starting weights; the weights are averaged in Spark, weighted by positions. What is gathered grows with
+   in numpy. Each round every task takes gradient steps on a seeded share of the positions of its own documents (the
+   shares of all rounds make up every position once), from the same starting weights; the weights are averaged in Spark, weighted by positions. What is gathered grows with
    the corpus, what reaches the driver is one set of weights.
-3. A document's score is the sum of the log-probabilities of its words, each given both sides.
+3. A document's score is the sum of the log-probabilities of its words, each given both sides: log P(class) +
+   log P(word | class). Counts of the HEAD most frequent words go to every task, all others are joined in Spark.
 
 Defined cases: null and empty texts have no words, log-probability 0 and a null mean; beyond a text's ends stands a
 boundary class; an empty corpus leaves the initial weights; repeated rows are trained on and scored one by one; rows
@@ -20,10 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regweave.llm import text as T
+from regweave.session import write_once
 
 WORDS = 192
 SHARED = 63
@@ -33,8 +38,8 @@ SIDE = 2
 EMBED = 16
 HIDDEN = 32
 ROUNDS = 3
-#: One position in TRAIN_EVERY is trained on, in each round another one.
-TRAIN_EVERY = 16
+#: Words whose counts every task holds; the counts of all others stay a table.
+HEAD = 65_536
 RATE = 0.5
 BATCH = 512
 SEED = 29
@@ -61,8 +66,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """The most frequent lower-case words of all documents; ties by hash."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, n``: hash and count of every lower-case word of all documents, stored once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -77,10 +82,14 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
                     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         yield flush(keys, counts)
 
-    rows = (
-        _texts(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    )
+    counts = _texts(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return write_once(counts, "words")
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
+    """The most frequent lower-case words of all documents; ties by hash."""
+    counts = word_counts(docs) if counts is None else counts
+    rows = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
     keys = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(keys)
     return Vocabulary(keys[order], order)
@@ -151,6 +160,11 @@ def train(w: list[np.ndarray], word: np.ndarray, around: np.ndarray, rate: float
         np.subtract.at(w[0], a.ravel(), dx.reshape(-1, EMBED))
 
 
+def in_round(t: T.Texts, words: int, r: int, rounds: int) -> np.ndarray:
+    """The positions trained on in round r; every position has one round."""
+    return T.mix(np.arange(words, dtype=np.uint64) + np.uint64(len(t.data))) % np.uint64(rounds) == r
+
+
 def fit_network(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Weights averaged over tasks after every round."""
     weights = initial_weights()
@@ -163,7 +177,7 @@ def fit_network(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.
             for b in batches:
                 for _, _, t in T.slices(b.column("text"), lower=True):
                     word, around = contexts(t, vocab)
-                    pick = T.mix(np.arange(len(word), dtype=np.uint64) + np.uint64(len(t.data))) % np.uint64(TRAIN_EVERY) == r % TRAIN_EVERY
+                    pick = in_round(t, len(word), r, rounds)
                     train(parts, word[pick], around[pick], rate)
                     seen += int(pick.sum())
             if seen:
@@ -181,26 +195,57 @@ def fit_network(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.
     return weights
 
 
-def score_documents(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray) -> DataFrame:
-    """``doc_id, n_words, log_prob, mean_log_prob`` of every row's whole text."""
+def score_documents(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, counts: DataFrame | None = None) -> DataFrame:
+    """``doc_id, n_words, log_prob, mean_log_prob`` of every row's whole text; ``counts`` as of :func:`word_counts`."""
+    counts = word_counts(docs) if counts is None else counts
+    own = docs.sparkSession.createDataFrame([(int(k),) for k in vocab.keys.view(np.int64)], "word long")
+    rare = counts.join(F.broadcast(own), "word", "left_anti")
+    shared = F.lit(WORDS) + F.shiftrightunsigned("word", 32) % SHARED
+    base = np.zeros(CLASSES)
+    for r in rare.groupBy(shared.alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        base[r["k"]] = np.log(r["n"] + r["v"] + 1.0)
+    top = rare.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    head = top.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(head)
+    # a word with a class of its own is the whole of it
+    known = np.concatenate([vocab.keys, head[order]])
+    known_log = np.concatenate([np.zeros(len(vocab.keys)), np.log(top.column("n").to_numpy()[order] + 1.0)])
+    order = np.argsort(known)
+    known, known_log = known[order], known_log[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = unpacked(weights)
+        w, row = unpacked(weights), TaskContext.get().partitionId() << 40
         for b in batches:
             for lo, hi, t in T.slices(b.column("text"), lower=True):
-                n = t.words()[3]
+                n, hashes = t.words()[3], t.word_hashes()
                 owner = np.repeat(np.arange(t.n), n)
-                total = np.bincount(owner, log_probabilities(w, *contexts(t, vocab)), minlength=t.n).astype(np.float64)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
+                word, around = contexts(t, vocab)
+                each = log_probabilities(w, word, around) - base[word]
+                rest = np.ones(len(hashes), bool)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    rest = known[at] != hashes
+                    each += np.where(rest, 0.0, known_log[at])
+                total = np.bincount(owner, each, minlength=t.n).astype(np.float64)
+                off = np.concatenate([[0], np.cumsum(np.bincount(owner[rest], minlength=t.n))]).astype(np.int32)
+                words = pa.ListArray.from_arrays(pa.array(off), pa.array(hashes[rest].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(total), mean],
-                    ["doc_id", "n_words", "log_prob", "mean_log_prob"],
+                    [b.column("doc_id").slice(lo, hi - lo), pa.array(row + np.arange(t.n)), pa.array(n), pa.array(total), words],
+                    ["doc_id", "row", "n_words", "known", "words"],
                 )
+                row += t.n
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    schema = "doc_id long, row long, n_words long, known double, words array<long>"
+    scored = write_once(_texts(docs).mapInArrow(run, schema), "scored")
+    rest = scored.select("row", F.explode("words").alias("word")).join(counts, "word", "left")
+    rest = rest.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + 1.0)).alias("rest"))
+    total = F.col("known") + F.coalesce("rest", F.lit(0.0))
+    out = scored.select("doc_id", "row", "n_words", "known").join(rest, "row", "left").withColumn("log_prob", total)
+    return out.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
-    """Vocabulary, training and scoring over the same documents."""
-    vocab = vocabulary(docs)
-    return score_documents(docs, vocab, fit_network(docs, vocab))
+    """Counts, vocabulary, training and scoring over the same documents."""
+    counts = word_counts(docs)
+    vocab = vocabulary(docs, counts)
+    return score_documents(docs, vocab, fit_network(docs, vocab), counts)

@@ -265,6 +265,37 @@ def test_scoring_learns_and_is_complete(spark, odd_docs, no_docs, sf01):
     assert lm_score.lm_scores(no_docs).count() == 0
 
 
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    """Words without a class of their own are told apart by their counts, whether tasks hold these or Spark joins them."""
+    common = " ".join(f"c{i}" for i in range(lm_score.WORDS))
+    texts = [" ".join([common] * 9), *[f"r{i} " * (i % 7 + 1) for i in range(300)], None, "r6 r7 unseen c1"]
+    plain = [w for t in texts[:-1] for w in (t or "").split()]
+    docs, told = docs_of(spark, texts), docs_of(spark, texts[:-1])
+    vocab, weights = lm_score.vocabulary(told), lm_score.initial_weights()
+    count = {w: plain.count(w) for w in plain}
+    parts = next(T.slices(__import__("pyarrow").array(texts), lower=True))[2]
+    word, around = lm_score.contexts(parts, vocab)
+    flat = [w for t in texts for w in (t or "").split()]
+    mass: dict = {}
+    for w, k in {w: k for w, k in zip(flat, word) if w in count}.items():
+        mass[k] = mass.get(k, 1) + count[w] + 1
+    each = lm_score.log_probabilities(lm_score.unpacked(weights), word, around)
+    each = [p + (np.log((count.get(w, 0) + 1) / mass.get(k, 1)) if k >= lm_score.WORDS else 0) for w, k, p in zip(flat, word, each)]
+    for head in (0, 40, 65_536):
+        monkeypatch.setattr(lm_score, "HEAD", head)
+        got = {r["doc_id"]: r["log_prob"] for r in lm_score.score_documents(docs, vocab, weights, lm_score.word_counts(told)).collect()}
+        at = 0
+        for i, t in enumerate(texts):
+            n = len((t or "").split())
+            assert got[i] == pytest.approx(sum(each[at : at + n]), rel=1e-5, abs=1e-9)
+            at += n
+
+
+def test_every_position_is_trained_on():
+    t = next(T.slices(__import__("pyarrow").array(["a b c d e f g " * 40])))[2]
+    assert sum(lm_score.in_round(t, 280, r, lm_score.ROUNDS).astype(int) for r in range(lm_score.ROUNDS)).tolist() == [1] * 280
+
+
 def test_toxicity_of_held_out_documents(spark, sf01):
     docs, labels = (spark.read.parquet(f"{sf01}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit_toxicity(docs, labels, ~held(5, 0))
