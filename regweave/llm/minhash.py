@@ -5,8 +5,9 @@ the second permutation; coordinate k of the signature is the minimum over the ta
 coordinates of a shingle are therefore one contiguous window of the table.
 
 Every link that counts is confirmed on full shingle sets. Candidates share one of BANDS bands of ROWS coordinates:
-a pair at similarity 0.85 shares none with probability about (1 - 0.85**8)**48 = 2e-7. Groups are never expanded into
-all pairs:
+a pair at similarity 0.85 shares none with probability about (1 - 0.85**8)**48 = 2e-7. The pipeline's stage goes down
+to STAGE_PERCENT and cuts the same coordinates into bands of STAGE_ROWS: (1 - 0.8**6)**64 = 3e-9. Groups are never
+expanded into all pairs:
 
 1. Texts with the same shingle set form one class; only its smallest doc_id goes on.
 2. In each bucket every member is compared with two pivots, its smallest and its largest id; first only with the
@@ -40,6 +41,10 @@ ROWS, BANDS = 8, 48
 COORDS = ROWS * BANDS
 BITS = 22
 SLACK = 0.09
+#: The pipeline's stage: lower threshold, shorter bands, five standard deviations of the estimate at that threshold.
+STAGE_PERCENT = 80
+STAGE_ROWS = 6
+STAGE_SLACK = 0.105
 BLOCK = 2048
 _CHUNK = 4096
 _table: np.ndarray | None = None
@@ -74,10 +79,11 @@ def signatures(position: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band of each signature; the band's number is part of the key."""
-    parts = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
-    h = (parts * T._WINDOW[:ROWS]).sum(2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * T._WINDOW[41]
+def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """One 64-bit key per band of ``rows`` coordinates of each signature; the band's number is part of the key."""
+    bands = COORDS // rows
+    parts = sig.reshape(len(sig), bands, rows).astype(np.uint64)
+    h = (parts * T._WINDOW[:rows]).sum(2, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * T._WINDOW[41]
     return T.mix(h).view(np.int64)
 
 
@@ -86,7 +92,7 @@ def _list_column(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, n * width + 1, width, dtype=np.int32), pa.array(values.ravel(), kind))
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, h1, h2, bands, low`` per row; (h1, h2, n_shingles) identifies the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +110,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     sig[full] = signatures((g >> np.uint64(64 - BITS)).astype(np.int64), n[full])
                 low = pa.array([r.tobytes() for r in (sig & 0xFF).astype(np.uint8)], pa.binary())
                 arrays = [b.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64))]
-                arrays += [_list_column(band_keys(sig), pa.int64()), low]
+                arrays += [_list_column(band_keys(sig, rows), pa.int64()), low]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "h1", "h2", "bands", "low"])
 
     schema = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, low binary"
@@ -140,7 +146,7 @@ def _with_component(df: DataFrame, comp: DataFrame, node: str, out: str) -> Data
     return df.join(label, node, "left").withColumn(out, F.coalesce(out, node))
 
 
-def _blocked_candidates(rows: DataFrame, percent: int) -> DataFrame:
+def _blocked_candidates(rows: DataFrame, percent: int, slack: float = SLACK) -> DataFrame:
     """Pairs of one bucket in different components that a signature estimate cannot rule out, block by block.
 
     ``rows``: key, band, node, component, main, n_shingles, low, bands. Each block pair is one group of at most about
@@ -158,7 +164,7 @@ def _blocked_candidates(rows: DataFrame, percent: int) -> DataFrame:
     y = rows.withColumn("by", F.pmod(spot, F.col("cy"))).withColumn("bx", F.explode(F.sequence(F.lit(0), F.col("cx") - 1)))
     cols = ["key", F.col("bx").cast("int").alias("bx"), F.col("by").cast("int").alias("by"), "band", "node", "component", "main", "n_shingles", "low", "bands"]
     both = x.select(*cols, F.lit(True).alias("outer")).union(y.select(*cols, F.lit(False).alias("outer")))
-    least = percent / 100 - SLACK
+    least = percent / 100 - slack
 
     def compare(table: pa.Table) -> pa.Table:
         outer = np.asarray(table.column("outer").to_numpy(zero_copy_only=False), bool)
@@ -182,9 +188,9 @@ def _blocked_candidates(rows: DataFrame, percent: int) -> DataFrame:
     return both.groupBy("key", "bx", "by").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
-    sketches = write_once(sketch(docs), "sketches")
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, slack: float = SLACK) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; ``rows`` (of a band) and ``slack`` go with ``percent``."""
+    sketches = write_once(sketch(docs, rows), "sketches")
     classes = (
         sketches.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         .groupBy("h1", "h2", "n_shingles")
@@ -236,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .select("key", F.col("top.component").alias("main"))
     )
     open_rows = labelled.join(mixed, "key").join(classes.select("node", "n_shingles", "low", "bands"), "node")
-    rest = write_once(_blocked_candidates(open_rows, percent), "rest")
+    rest = write_once(_blocked_candidates(open_rows, percent, slack), "rest")
     late = _with_component(_with_component(confirmed(rest, sets, percent), comp, "a", "ca"), comp, "b", "cb")
     moved = components(late.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     moved = moved.select(F.col("node").alias("component_id"), F.col("component").alias("to"))
@@ -248,5 +254,5 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; same columns."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(docs, STAGE_PERCENT, STAGE_ROWS, STAGE_SLACK).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

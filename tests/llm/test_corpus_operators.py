@@ -81,6 +81,36 @@ def test_blocks_find_every_link_across_components(spark, monkeypatch):
     assert len(calls) == 3 and got == want
 
 
+def test_stage_drops_near_copies_down_to_its_threshold(spark):
+    """Lone pairs between 0.8 and 0.85 and below 0.8, and chains of copies, against brute force at 0.8."""
+    rng = random.Random(12)
+    texts = near_copies(seed=5, groups=2, copies=25)
+    for _ in range(40):
+        base = [f"v{rng.randrange(5000)}" for _ in range(104)]
+        texts.append(" ".join(base))
+        for at in rng.sample(range(8, 96, 12), rng.randint(1, 3)):
+            base[at] = "changed"
+        texts.append(" ".join(base))
+    sets = [plain_set(t) for t in texts]
+    between = [i for i in range(1, len(texts)) if sets[i] and sets[i - 1] and 80 <= 100 * len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]) < 85]
+    assert len(between) >= 5
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets[:i]):
+            if s and t and 100 * len(s & t) >= 80 * len(s | t):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"] for r in minhash.dedup_stage(spark, docs, "").collect()}
+    assert got == {i for i in range(len(texts)) if find(i) == i}
+
+
 def test_a_pair_whose_low_bytes_agree_in_an_earlier_band_is_emitted(spark):
     """All low bytes agree, but only band 3 has equal coordinates: its bucket is the only one that holds the pair."""
     sig = np.random.default_rng(2).integers(0, 1 << 20, (2, minhash.COORDS)).astype(np.uint32)
