@@ -1,8 +1,11 @@
 """Secret scans with recursive decoding: every layer of a text is scanned until nothing more can be unwrapped.
 
 A worklist starts with the text itself. Each layer is scanned with the base patterns. Percent-encoding and
-character escapes are decoded in place (with their surroundings); base64 runs and the compressed data inside them
-become layers of their own. A layer seen before is not opened again, so cycles end. Every character of a layer
+character escapes are decoded in place (with their surroundings); base64 runs (also wrapped over lines, and from every
+alignment that a separator or a line start gives) become layers of their own. Compressed data is opened wherever it
+starts in the bytes that base64, percent or escape runs carry, one member after the other. Bytes that are no clean
+UTF-8 are read one character a byte, and once more without NULs (UTF-16 and UTF-32). A layer seen before is not opened
+again, so cycles end. Every character of a layer
 carries the range of the original text it came from; finds are reported there. Offsets count code points.
 
 Byte-level prefilters over whole slices decide which texts need regular expressions at all; they only skip texts
@@ -16,7 +19,6 @@ repeated rows are scanned one by one; an empty table gives an empty result; othe
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import html
@@ -43,6 +45,13 @@ WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines, and bytes written partly as themselves.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+PERCENT_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+/-])+")
+ESCAPE_BYTES = re.compile(r"""(?:\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'"]|[ -\[\]-~])+""")
+_BYTE_OF = re.compile(r"%[0-9A-Fa-f]{2}|.", re.DOTALL)
+_ESCAPED_BYTE = re.compile(r"\\x[0-9A-Fa-f]{2}|\\.|.", re.DOTALL)
+_SHORT = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0"))
 _HEXDIGIT = T.table("0123456789abcdefABCDEF")
 _HEXLOW = T.table("0123456789abcdef")
 _B64 = T.table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
@@ -65,17 +74,32 @@ def _readable(data: bytes) -> str | None:
     return None if _CONTROL.search(out) else out
 
 
-def _unzstd(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+def _readings(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Texts that bytes stand for, with the first and the last byte of every character."""
+    if (clean := _readable(data)) is not None:
+        first = np.flatnonzero(~T.CONTINUATION[np.frombuffer(data, np.uint8)])
+        yield clean, first, np.append(first[1:], len(data)) - 1
+        return
+    at = np.arange(len(data))
+    yield data.decode("latin-1"), at, at
+    if b"\0" in data:
+        at = np.flatnonzero(np.frombuffer(data, np.uint8))
+        yield data.replace(b"\0", b"").decode("latin-1"), at, at
+
+
+def _unzstd(data: bytes) -> tuple[bytes, int]:
+    d = zstandard.ZstdDecompressor().decompressobj()
+    out = d.decompress(data)
+    return out, len(data) - len(d.unused_data)
 
 
 def _limited(make):
-    def run(data: bytes) -> bytes:
+    def run(data: bytes) -> tuple[bytes, int]:
         d = make()
         out = d.decompress(data, MAX_UNPACKED + 1)
         if len(out) > MAX_UNPACKED:
             raise ValueError("too large")
-        return out
+        return out, len(data) - len(d.unused_data)
 
     return run
 
@@ -91,8 +115,11 @@ _PACKED = (
 )
 
 
-def unpack(data: bytes) -> bytes | None:
-    """The content of one compressed layer, or None."""
+_MAGIC = re.compile(rb"\x28\xb5\x2f\xfd|\x1f\x8b|BZh|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
+
+
+def _member(data: bytes) -> tuple[bytes, int] | None:
+    """The content of the compressed data at the start, and how many bytes it takes; None if there is none."""
     if data[:4] == b"\x28\xb5\x2f\xfd":
         try:
             size = zstandard.frame_content_size(data)
@@ -108,6 +135,18 @@ def unpack(data: bytes) -> bytes | None:
     return None
 
 
+def unpack(data: bytes) -> tuple[bytes, int] | None:
+    """The content of compressed data and of the members that follow it, and how many bytes they take; or None."""
+    got = _member(data)
+    if got is None:
+        return None
+    parts, used = [got[0]], got[1]
+    while used < len(data) and (more := _member(data[used:])) is not None and sum(map(len, parts)) + len(more[0]) <= MAX_UNPACKED:
+        parts.append(more[0])
+        used += more[1]
+    return b"".join(parts), used
+
+
 class _Layer:
     """A text whose characters know the range of the original they came from."""
 
@@ -135,20 +174,35 @@ class _Layer:
         parts.append(self.text[at:])
         return _Layer("".join(parts), np.concatenate([*lo, self.lo[at:]]), np.concatenate([*hi, self.hi[at:]]))
 
-    def inner(self, text: str, s: int, e: int, width: int = 0) -> _Layer:
-        """A layer decoded from characters s..e; ``width`` bytes of base64 give finer ranges."""
-        n = len(text)
-        if width and n == width:  # one byte per character: character i came from digits 4i/3 to 4(i+1)/3
-            first = s + np.arange(n) * 4 // 3
-            last = np.minimum(s + (np.arange(1, n + 1) * 4 + 2) // 3, e) - 1
-            return _Layer(text, self.lo[first], self.hi[last])
-        return _Layer(text, np.full(n, self.lo[s]), np.full(n, self.hi[e - 1]))
+    def carried(self, data: bytes, first: np.ndarray, last: np.ndarray, opened: set[bytes]) -> Iterator[_Layer]:
+        """Layers of bytes that stand on the characters ``first`` to ``last`` (one of each per byte)."""
+        for text, a, z in _readings(data):
+            yield _Layer(text, self.lo[first[a]], self.hi[last[z]])
+        for s, e, content in _contents(data, opened):
+            lo, hi = self.lo[first[s:e]].min(), self.hi[last[s:e]].max()
+            for text, _, _ in _readings(content):
+                yield _Layer(text, np.broadcast_to(lo, len(text)), np.broadcast_to(hi, len(text)))
+
+
+def _contents(data: bytes, opened: set[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, content) of all compressed data inside ``data``, however often compressed; each content once."""
+    at = 0
+    while (m := _MAGIC.search(data, at)) is not None:
+        s, got = m.start(), unpack(data[m.start() :])
+        at = s + 1 if got is None else s + max(got[1], 1)
+        if got is None or not got[0] or (digest := hashlib.sha256(got[0]).digest() + b"%d" % s) in opened:
+            continue
+        opened.add(digest)
+        yield s, at, got[0]
+        for _, _, content in _contents(got[0], opened):
+            yield s, at, content
 
 
 def _percent(run: str):
-    out = _readable(bytes.fromhex(run.replace("%", "")))
+    data = bytes.fromhex(run.replace("%", ""))
+    out = _readable(data)
     if out is None:
-        return None
+        return [(chr(c), 3 * i, 3 * i + 3) for i, c in enumerate(data)]
     pieces, at = [], 0
     for c in out:
         width = 3 * len(c.encode())
@@ -176,40 +230,61 @@ def _escape(run: str):
     return pieces
 
 
-def _debase(run: str) -> bytes | None:
-    core = run.rstrip("=")
-    if len(core) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(core.replace("-", "+").replace("_", "/") + "=" * (-len(core) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+def _debase(digits: str) -> bytes:
+    """Decoded base64 digits without padding; a last digit that gives no whole byte is left out."""
+    digits = digits[: len(digits) - (len(digits) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(digits + "=" * (-len(digits) % 4))
+
 
+def _base64_layers(layer: _Layer, m: re.Match, opened: set[bytes]) -> Iterator[_Layer]:
+    run = m[0].rstrip("=")
+    inside = np.array([c not in " \t\r\n" for c in run])
+    place = np.flatnonzero(inside)
+    digits = run if inside.all() else "".join(run.split())
+    # whatever starts after a separator or with a line has one of these alignments
+    begins = {0} | {(i + 1) % 4 for i, c in enumerate(digits) if c in "+/_-"} | set((np.flatnonzero(np.diff(place) > 1) + 1).tolist())
+    for k in sorted({b % 4 for b in begins}):
+        data, at = _debase(digits[k:]), m.start() + place[k:]
+        if data:
+            i = np.arange(len(data))
+            last = np.minimum((4 * (i + 1) + 2) // 3, len(at)) - 1
+            yield from layer.carried(data, at[4 * i // 3], at[last], opened)
 
-def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
+
+def _byte_run_layers(layer: _Layer, opened: set[bytes]) -> Iterator[_Layer]:
+    """What is packed in, or hidden between NULs of, bytes written as percent or escape runs with plain characters between."""
+    for mark, runs, one in (("%", PERCENT_BYTES, _BYTE_OF), ("\\x", ESCAPE_BYTES, _ESCAPED_BYTE)):
+        if mark not in layer.text:
+            continue
+        for m in runs.finditer(layer.text):
+            if mark not in m[0]:
+                continue
+            pieces = [(p.start(), p.end(), p[0]) for p in one.finditer(m[0])]
+            data = bytes(
+                ord(c) if len(c) == 1 else int(c[len(mark) :], 16) if c.startswith(mark) else _SHORT.get(c[1], ord(c[1])) for _, _, c in pieces
+            )
+            first, last = (m.start() + np.array(v) for v in ([a for a, _, _ in pieces], [z - 1 for _, z, _ in pieces]))
+            yield from layer.carried(data, first, last, opened)
+
+
+def _unwrapped(layer: _Layer, opened: set[bytes]) -> Iterator[_Layer]:
     for pattern, decode in ((PERCENT, _percent), (ESCAPE, _escape)):
         new = layer.replaced(pattern, decode)
         if new is not None:
             yield new
-    for m in BASE64.finditer(layer.text):
-        data = _debase(m[0])
-        if data is None:
-            continue
-        width, packed = len(data), False
-        while (more := unpack(data)) is not None:
-            data, packed = more, True
-        text = _readable(data)
-        if text:
-            yield layer.inner(text, m.start(), m.end(), 0 if packed else width)
+    yield from _byte_run_layers(layer, opened)
+    for pattern in (BASE64, WRAPPED):
+        for m in pattern.finditer(layer.text):
+            yield from _base64_layers(layer, m, opened)
 
 
 def all_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of the text and of everything nested in it, in original offsets: (start, kind index, end)."""
     found = set(base_spans(text))
     at = np.arange(len(text))
-    work, seen = [_Layer(text, at, at + 1)], {text}
+    work, seen, opened = [_Layer(text, at, at + 1)], {text}, set()
     while work:
-        for new in _unwrapped(work.pop()):
+        for new in _unwrapped(work.pop(), opened):
             if new.text in seen:
                 continue
             seen.add(new.text)

@@ -195,6 +195,43 @@ def test_nested_layers_are_found_in_place(wrapped):
     assert masked.startswith("é some text ") and masked.endswith(" and more") and wrapped not in masked
 
 
+def wrapped_at(data, width):
+    digits = base64.b64encode(data).decode()
+    return "\n".join(digits[i : i + width] for i in range(0, len(digits), width))
+
+
+NOISE = bytes(range(128, 228))
+
+
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        wrapped_at(b"." * 50 + SECRET.encode() + b" " * 60, 76),
+        wrapped_at(b"." * 40 + SECRET.encode() + b" " * 60, 64).replace("\n", "\r\n  "),
+        wrapped_at(gzip.compress(bytes(range(256)) + SECRET.encode()), 64),
+        "a/" + base64.b64encode(SECRET.encode()).decode(),
+        "file-name_" + base64.b64encode(SECRET.encode() + b" ").decode(),
+        "abc/" + base64.b64encode(gzip.compress(SECRET.encode())).decode(),
+        base64.b64encode(NOISE + SECRET.encode() + b"\xff\xfe").decode(),
+        base64.b64encode(b"\0\x1b" + SECRET.encode() + b"\0").decode(),
+        base64.b64encode(SECRET.encode("utf-16")).decode(),
+        base64.b64encode(SECRET.encode("utf-16-be")).decode(),
+        "".join(f"%{b:02X}" for b in b"\xff\0" + SECRET.encode() + b"\xfe"),
+        "".join(f"%{b:02X}" for b in SECRET.encode("utf-16")),
+        quote(gzip.compress(SECRET.encode()), safe=""),
+        "".join(f"\\x{b:02x}" for b in zlib.compress(SECRET.encode())),
+        repr(gzip.compress(SECRET.encode()))[2:-1],
+        base64.b64encode(gzip.compress(b"first") + gzip.compress(SECRET.encode())).decode(),
+        base64.b64encode(b"head" + zlib.compress(gzip.compress(SECRET.encode()))).decode(),
+    ],
+)
+def test_ordinary_carriers_are_opened(wrapped):
+    text = f"é some text {wrapped} and more"
+    at = text.index(wrapped)
+    spans = [s for s in secret_scan.all_spans(text) if s[1] == 0]
+    assert spans and all(at <= s < e <= at + len(wrapped) for s, _, e in spans)
+
+
 def test_exact_offsets_through_percent_and_base64():
     text = "x " + "".join(f"%{b:02x}" for b in f"ab {KEY} cd".encode())
     assert (2 + 9, 1, 2 + 9 + 60) in secret_scan.all_spans(text)
