@@ -240,6 +240,30 @@ def test_mixing_samples_to_the_targets(spark, sf01):
     assert [r["sampled"] for r in mixing.mix_sources(docs).orderBy("doc_id").collect()] == [r["sampled"] for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
+def test_weighted_samples_meet_every_margin(spark):
+    """Small sources, languages and topics, whose ratios exceed 1, come out at their targets by the design weight."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(3000):
+        lang = rng.choices(("en", "de", "fi"), (20, 4, 1))[0]
+        words = " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(40)}" for _ in range(rng.randint(5, 40)))
+        rows.append((i, words, lang, rng.choices(("big", "mid", "low"), (30, 5, 1))[0]))
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    total, off = sum(r["n_tokens"] for r in got), 0
+    for k in ("source", "lang", "topic"):
+        seen, due, real, bare = ({} for _ in range(4))
+        for r in got:
+            v, n = r[k], r["n_tokens"]
+            seen[v] = seen.get(v, 0) + n / total
+            due[v] = due.get(v, 0) + n / total * r["probability"] * r["design_weight"]
+            real[v] = real.get(v, 0) + n / total * r["sampled"] * r["design_weight"]
+            bare[v] = bare.get(v, 0) + n * r["sampled"]
+        for v, want in mixing.tempered(seen, mixing.TEMPERATURE).items():
+            assert abs(due[v] - want) < 1e-4 and abs(real[v] - want) < 0.02
+            off = max(off, abs(bare[v] / sum(bare.values()) - want))
+    assert off > 1e-3  # without the weight they do not
+
+
 def test_mixing_of_odd_and_no_rows(spark, odd_docs, no_docs):
     assert mixing.mix_sources(no_docs).count() == 0
     assert mixing.mix_sources(odd_docs).count() == odd_docs.count()
