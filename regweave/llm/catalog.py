@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regweave.llm import language, lm_score, minhash, mixing, neighbours, packing, quality, secret_scan, token_counts, toxicity
+from regweave.llm import (
+    best_fit,
+    collocations,
+    language,
+    lm_score,
+    minhash,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    secret_scan,
+    slice_codes,
+    token_counts,
+    toxicity,
+)
 from regweave.llm.registry import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -65,3 +79,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lm_scoring")
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(read(spark, sf_dir, "documents"))
+
+
+@query("op11_vector_codes", slice_codes.oracle_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slice_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_best_fit_packing")
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_best_fit(read(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations", collocations.ORACLE_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
