@@ -6,10 +6,10 @@ the tasks as a Bloom filter of fixed size (``FILTER_BITS``): a false positive on
 
 In a task (``PhraseTrie``) words get numbers as they come; a shallow trie over word numbers has hash containers as
 leaves, which hold the packed rest of a phrase. A container that outgrows BURST bursts into a node one word deeper.
-When a task holds more than SPILL entries, its largest subtrees leave as sorted runs (language, prefix, phrase, count).
+When a task holds more than SPILL entries, its largest subtrees leave as sorted runs (language, phrase, count).
 Spark partitions the runs by prefix (the first two words) and merges each prefix partition.
 
-Parts of the surviving phrases, and phrases inside longer ones, are joined in Spark; joins on hot parts are split.
+Parts of the surviving phrases, and phrases inside longer ones, are joined in Spark, on tables of frequent phrases only.
 Arithmetic is exact: products are decimals of 38 digits.
 
 Defined cases: a null text is empty; a null lang counts as ``und``; repeated rows count as often as they occur; doc_id
@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regweave.llm.text import mix
-from regweave.operators.skew import salted_join
 from regweave.session import write_once
 
 MIN_COUNT = 30
@@ -41,18 +40,17 @@ FILTER_BITS = 26  # 2**26 bits = 8 MB
 BURST = 1 << 15
 SPILL = 1 << 19
 RUN_ROWS = 1 << 16
-MAX_IDS = 1 << 20  # word numbers of a task; beyond that the trie is emptied and numbering starts again
+MAX_IDS = 1 << 19  # word numbers of a task; beyond that the trie is emptied and numbering starts again
 ID_BITS = 21
 SLICE_BYTES = 4 << 20
-ROWS_PER_SALT = 1_000_000
 NO_LANG = "und"
 
 _BREAK = b"\xff"  # in no UTF-8 text
 _PLAIN = bytes(
     0xFF if b in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
-_RUN = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
-RUN_SCHEMA = "lang string, prefix string, phrase string, f long"
+_RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+RUN_SCHEMA = "lang string, phrase string, f long"
 
 
 class WordNumbers(dict):
@@ -70,8 +68,7 @@ class WordNumbers(dict):
 
     def numbers(self, data: bytes) -> np.ndarray:
         """Numbers of the words of plain text, zeros between pieces."""
-        tokens = data.replace(_BREAK, b" \xff ").split(b" ")
-        got = np.fromiter(map(self.__getitem__, filter(None, tokens)), np.int64)
+        got = np.fromiter(map(self.__getitem__, data.replace(_BREAK, b" \xff ").split()), np.int64)
         fresh = [xxhash.xxh3_64_intdigest(w) for w in self.words[len(self.hashes) :]]
         self.hashes = np.concatenate([self.hashes, np.array(fresh, np.uint64)])
         return got
@@ -196,9 +193,8 @@ def _run(lang: str, words: pa.Array, length: int, subtrees: list[tuple[int, list
     parts = [rest >> (ID_BITS * i) & ((1 << ID_BITS) - 1) for i in range(max(length - 1, 1))][::-1]
     columns = [words.take(pa.array(c)) for c in ([first] if length > 1 else []) + parts]
     phrase = pc.binary_join_element_wise(*columns, b" ") if len(columns) > 1 else columns[0]
-    prefix = pc.binary_join_element_wise(*columns[:2], b" ") if len(columns) > 2 else phrase
     order = pc.sort_indices(phrase)
-    table = [pa.array([lang] * len(counts)), prefix.take(order).cast(pa.string()), phrase.take(order).cast(pa.string()), pa.array(counts).take(order)]
+    table = [pa.array([lang] * len(counts)), phrase.take(order).cast(pa.string()), pa.array(counts).take(order)]
     return pa.RecordBatch.from_arrays(table, schema=_RUN)
 
 
@@ -225,7 +221,7 @@ def _chunks(texts: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def count_runs(texts: DataFrame, length: int, bloom=None) -> DataFrame:
-    """``lang, prefix, phrase, f``: sorted runs of phrases of ``length`` words whose halves pass the filter.
+    """``lang, phrase, f``: sorted runs of phrases of ``length`` words whose halves pass the filter.
 
     ``texts``: lang, text. For single words there is also one run entry per chunk with an empty phrase: all words.
     """
@@ -257,7 +253,7 @@ def count_runs(texts: DataFrame, length: int, bloom=None) -> DataFrame:
                     if length == 1:
                         a = a[a > 0]
                         total = pa.array([len(a)])
-                        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([""]), total], schema=_RUN)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), total], schema=_RUN)
                         trie.add(np.zeros(len(a), np.int64), a)
                     else:
                         first, rest = _candidates(a, length, lang, ids.hashes, bloom.value)
@@ -299,7 +295,9 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     out, bloom = None, None
     for length in range(1, max_words + 1):
         runs = count_runs(texts, length, bloom)
-        merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f"))
+        # a prefix partition: all runs of phrases with the same first two words, merged by one sum
+        prefix = F.hash("lang", F.substring_index("phrase", " ", 2))
+        merged = runs.withColumn("prefix", prefix).repartition("prefix").groupBy("prefix", "lang", "phrase").agg(F.sum("f").alias("f"))
         kept = merged.filter((F.col("f") >= min_count) | (F.col("phrase") == ""))
         words = F.when(F.col("phrase") == "", 0).otherwise(length)
         table = write_once(kept.select("lang", "phrase", words.alias("words"), "f"), f"phrases-{length}")
@@ -318,9 +316,9 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) ->
     cuts = cands.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     cuts = cuts.withColumn("left", F.expr("substring_index(phrase, ' ', k)"))
     cuts = cuts.withColumn("right", F.expr("substring(phrase, length(left) + 2)"))
-    cuts = salted_join(cuts.withColumn("key", key_of("left")), parts, "key", "phrase", pairs_per_salt=ROWS_PER_SALT)
-    cuts = cuts.withColumnRenamed("_f", "l").withColumn("key", key_of("right"))
-    cuts = salted_join(cuts, parts, "key", "phrase", pairs_per_salt=ROWS_PER_SALT).withColumnRenamed("_f", "r")
+    # one row per frequent phrase and cut; adaptive execution splits the partition of a hot part
+    cuts = cuts.withColumn("key", key_of("left")).join(parts, "key").withColumnRenamed("_f", "l")
+    cuts = cuts.withColumn("key", key_of("right")).join(parts, "key").withColumnRenamed("_f", "r")
     score = F.expr(f"cast(cast(a as decimal(20, 0)) * cast({SCORE_SCALE} as decimal(18, 0)) div cast(l + r as decimal(20, 0)) as bigint)")
     worst = cuts.withColumn("score", score).groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
     inside = (
