@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from regweave.catalog.registry import query
 from regweave.catalog.tables import SQL_PARTS, embedding_expression, part_regulators, parts_expression, sql_streaks, table
+from regweave.operators import draws
 from regweave.operators.edges import included, normalize, with_labels
 from regweave.operators.matrix import Expression, pack
 from regweave.operators.select import index_cells, slice_cells
 from regweave.params import BoostParams, RegressionParams, RunConfig
 from regweave.plans import estimate as EST
 from regweave.plans import infer as INF
-from regweave.plans.moments import MomentBooster
+from regweave.plans.histogram import HistogramBooster
 from regweave.plans.run import run
 from regweave.plans.tasks import flat_map_targets
 from regweave.session import scratch_path, write_once
@@ -75,38 +76,60 @@ SQL_ALL = "split AS (SELECT cell, 0 AS phase, true AS fit FROM cells)"
 SQL_LOSSES = " UNION ALL ".join(f"SELECT target, {k} AS round, fit, res FROM res{k + 1}" for k in range(5))
 
 
-def _sql_rounds(rounds: int, eta: float, split: str = SQL_ALL) -> str:
-    """Boosting unrolled over cells: residuals, best split and update per round.
+def _sql_rounds(
+    rounds: int, eta: float, split: str = SQL_ALL, depth: int = 1, subsample: float = 1.0, colsample: float = 1.0, seed: int = 666, gamma: float = 0.0, mcw: float = 1.0
+) -> str:
+    """Boosting unrolled over cells: rows and regulators of the round, best split per node and level, leaf weights.
 
-    ``split`` gives the phase of every cell (each is fitted by itself) and whether the cell is fitted on.
+    ``split`` gives the phase of every cell (each is fitted by itself) and whether the cell is fitted on. ``gamma``
+    prunes stumps only.
     """
+    key = "phase, target, node"
     ctes = [
         SQL_PARTS,
         split,
-        "nn AS (SELECT phase, CAST(count(*) AS DOUBLE) AS nc FROM split WHERE fit GROUP BY phase)",
-        "scale AS (SELECT phase, target, coalesce(sq, 0) + 1 AS scale FROM (SELECT DISTINCT gene AS target FROM expr) CROSS JOIN nn LEFT JOIN (SELECT phase, gene AS target, sum(value * value) AS sq FROM expr JOIN split USING (cell) GROUP BY ALL) USING (phase, target))",
-        """x AS (SELECT cell, phase, fit, ridx, regulator, dense_rank() OVER (PARTITION BY ridx ORDER BY value) AS bin FROM expr JOIN regs ON gene = regulator JOIN split USING (cell))""",
-        """bins AS (SELECT phase, ridx, regulator, bin, CAST(count(*) AS DOUBLE) AS n FROM x WHERE fit GROUP BY ALL)""",
-        """res0 AS (SELECT g.gene AS target, c.cell, c.phase, c.fit, coalesce(value, 0.0) - 0.5 AS res FROM (SELECT DISTINCT gene FROM expr) g
-        CROSS JOIN split c LEFT JOIN expr e ON e.gene = g.gene AND e.cell = c.cell)""",
+        "posn AS MATERIALIZED (SELECT cell, phase, fit, row_number() OVER (PARTITION BY phase ORDER BY NOT fit, cell) - 1 AS pos, sum(CAST(fit AS INTEGER)) OVER (PARTITION BY phase) AS nfit FROM split)",
+        "genes AS (SELECT DISTINCT gene AS target FROM expr)",
+        """scale AS MATERIALIZED (SELECT phase, target, coalesce(sq, 0) + 1 AS scale FROM genes CROSS JOIN (SELECT DISTINCT phase FROM split)
+        LEFT JOIN (SELECT phase, gene AS target, sum(value * value) AS sq FROM expr JOIN split USING (cell) GROUP BY ALL) USING (phase, target))""",
+        "x AS MATERIALIZED (SELECT cell, ridx, regulator, dense_rank() OVER (PARTITION BY ridx ORDER BY value) AS bin FROM expr JOIN regs ON gene = regulator)",
+        """res0 AS MATERIALIZED (SELECT g.target, c.cell, c.phase, c.fit, coalesce(value, 0.0) - 0.5 AS res FROM genes g
+        CROSS JOIN split c LEFT JOIN expr e ON e.gene = g.target AND e.cell = c.cell)""",
     ]
-    for k in range(rounds):
+    logs = []
+    for t in range(rounds):
+        rank = f"row_number() OVER (PARTITION BY phase ORDER BY {draws.draw_sql('pos', seed, draws.ROWS, t)}) <= greatest(1, floor({subsample} * nfit + 1e-9))"
+        drawn = f"SELECT cell FROM posn WHERE fit QUALIFY {rank}" if subsample < 1 else "SELECT cell FROM posn WHERE fit"
+        column = f"row_number() OVER (ORDER BY {draws.draw_sql('ridx', seed, draws.COLUMNS, t)}) <= (SELECT greatest(1, floor({colsample} * count(*) + 1e-9)) FROM regs)"
         ctes += [
-            f"tot{k} AS (SELECT phase, target, sum(res) AS tot, scale, nc FROM res{k} JOIN scale USING (phase, target) JOIN nn USING (phase) WHERE fit GROUP BY ALL)",
-            f"hist{k} AS (SELECT r.phase, target, ridx, bin, sum(res) AS s FROM res{k} r JOIN x USING (cell) WHERE r.fit GROUP BY ALL)",
-            f"""acc{k} AS (SELECT phase, target, ridx, bin, tot, scale, nc, sum(s) OVER w AS ls, sum(n) OVER w AS ln, tot - sum(s) OVER p AS ms, nc - sum(n) OVER p AS mn
-            FROM hist{k} JOIN bins USING (phase, ridx, bin) JOIN tot{k} USING (phase, target) WHERE regulator <> target
-            WINDOW w AS (PARTITION BY phase, target, ridx ORDER BY bin), p AS (PARTITION BY phase, target, ridx))""",
-            f"""cnd{k} AS (SELECT *, l * l / (nl + 1) + (tot - l) * (tot - l) / (nc - nl + 1) - tot * tot / (nc + 1) AS gain FROM (
-            SELECT phase, target, ridx, bin, d, tot, scale, nc, ls + d * ms AS l, ln + d * mn AS nl FROM acc{k} CROSS JOIN (VALUES (0), (1)) t(d)) WHERE nl >= 1 AND nc - nl >= 1)""",
-            f"""best{k} AS (SELECT phase, target, ridx, bin AS cut, d, gain, {eta} * l / (nl + 1) AS wl, {eta} * (tot - l) / (nc - nl + 1) AS wr FROM cnd{k} WHERE gain > 1e-6
-            QUALIFY row_number() OVER (PARTITION BY phase, target ORDER BY round(gain / scale, 9) DESC, ridx, bin, d) = 1)""",
-            f"""res{k + 1} AS (SELECT r.target, r.cell, r.phase, r.fit, res - CASE WHEN b.target IS NULL THEN {eta} * t.tot / (t.nc + 1)
-            WHEN coalesce(x.bin <= b.cut, b.d = 1) THEN wl ELSE wr END AS res
-            FROM res{k} r JOIN tot{k} t USING (phase, target) LEFT JOIN best{k} b ON b.target = r.target AND b.phase = r.phase LEFT JOIN x ON x.cell = r.cell AND x.ridx = b.ridx)""",
+            f"used{t} AS MATERIALIZED ({drawn})",
+            f"offer{t} AS MATERIALIZED (SELECT ridx FROM regs {'QUALIFY ' + column if colsample < 1 else ''})",
+            f"nd{t}_0 AS (SELECT target, cell, phase, fit, res, 0 AS node FROM res{t})",
         ]
-    logs = " UNION ALL ".join(f"SELECT phase, target, {k} AS round, ridx, gain FROM best{k}" for k in range(rounds))
-    return ", ".join(ctes) + f", log AS (SELECT regulator, l.* FROM ({logs}) l JOIN regs USING (ridx))"
+        for v in range(depth):
+            n = f"{t}_{v}"
+            ctes += [
+                f"in{n} AS MATERIALIZED (SELECT * FROM nd{n} JOIN used{t} USING (cell) WHERE node >= {(1 << v) - 1})",
+                f"tot{n} AS MATERIALIZED (SELECT {key}, sum(res) AS tot, CAST(count(*) AS DOUBLE) AS nc, scale FROM in{n} JOIN scale USING (phase, target) GROUP BY ALL)",
+                f"hist{n} AS (SELECT {key}, ridx, regulator, bin, sum(res) AS s, CAST(count(*) AS DOUBLE) AS n FROM in{n} JOIN x USING (cell) SEMI JOIN offer{t} USING (ridx) GROUP BY ALL)",
+                f"""acc{n} AS (SELECT {key}, ridx, bin, tot, scale, nc, sum(s) OVER w AS ls, sum(n) OVER w AS ln, tot - sum(s) OVER p AS ms, nc - sum(n) OVER p AS mn
+                FROM hist{n} JOIN tot{n} USING ({key}) WHERE regulator <> target
+                WINDOW w AS (PARTITION BY {key}, ridx ORDER BY bin), p AS (PARTITION BY {key}, ridx))""",
+                f"""cnd{n} AS (SELECT *, l * l / (nl + 1) + (tot - l) * (tot - l) / (nc - nl + 1) - tot * tot / (nc + 1) AS gain FROM (
+                SELECT {key}, ridx, bin, d, tot, scale, nc, ls + d * ms AS l, ln + d * mn AS nl FROM acc{n} CROSS JOIN (VALUES (0), (1)) t(d)) WHERE nl >= {mcw} AND nc - nl >= {mcw})""",
+                f"""top{n} AS (SELECT {key}, ridx, bin AS cut, d, gain FROM cnd{n} WHERE gain > 1e-6
+                QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY round(gain / scale, 9) DESC, ridx, bin, d) = 1)""",
+                f"best{n} AS MATERIALIZED (SELECT * FROM top{n} WHERE gain >= {gamma if depth == 1 else 0})",
+                f"""nd{t}_{v + 1} AS MATERIALIZED (SELECT r.target, r.cell, r.phase, r.fit, r.res, CASE WHEN b.target IS NULL THEN r.node
+                WHEN coalesce(x.bin <= b.cut, b.d = 1) THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node
+                FROM nd{n} r LEFT JOIN best{n} b ON b.target = r.target AND b.phase = r.phase AND b.node = r.node LEFT JOIN x ON x.cell = r.cell AND x.ridx = b.ridx)""",
+            ]
+            logs.append(f"SELECT phase, target, {t} AS round, node, ridx, gain FROM best{n}")
+        ctes += [
+            f"leaf{t} AS MATERIALIZED (SELECT {key}, {eta} * sum(res) / (count(*) + 1) AS w FROM nd{t}_{depth} JOIN used{t} USING (cell) GROUP BY ALL)",
+            f"res{t + 1} AS MATERIALIZED (SELECT target, cell, phase, fit, res - coalesce(w, 0) AS res FROM nd{t}_{depth} LEFT JOIN leaf{t} USING ({key}))",
+        ]
+    return ", ".join(ctes) + f", log AS (SELECT regulator, l.* FROM ({' UNION ALL '.join(logs)}) l JOIN regs USING (ridx))"
 
 
 @query(
@@ -137,11 +160,13 @@ def rounds_sweep(spark, sf):
 )
 def resumed_boosting(spark, sf):
     """One round, stored, then two more from the stored state."""
-    problem = parts_problem(spark, sf)
-    booster = MomentBooster(problem.expr.values, INF.single_group(problem.expr.cells), problem.binned, BoostParams(eta=ETA))
-    first = write_once(booster.boost(1), "boosting-state")
-    log = booster.split_log(booster.boost(2, previous=first))
-    return log.select("target", "round", "regulator", F.round("gain", 3).alias("gain"))
+    problem, path = parts_problem(spark, sf), scratch_path(spark, "boosting-state")
+    fit = INF.booster(problem, BoostParams(eta=ETA))
+    fit.boost(1)
+    fit.save(path)
+    again = HistogramBooster.load(spark, path)
+    again.boost(2)
+    return again.split_log(again.log()).select("target", "round", "regulator", F.round("gain", 3).alias("gain"))
 
 
 @query(
@@ -149,8 +174,8 @@ def resumed_boosting(spark, sf):
     f"WITH {_sql_rounds(2, ETA)} SELECT regulator, target, CAST(round AS INTEGER) AS round, round(gain, 3) AS gain FROM log",
 )
 def boosted_network_on_cells(spark, sf):
-    """The general engine at depth 1; the second round sees the first one's residuals."""
-    log = INF.infer_splits(parts_problem(spark, sf), BoostParams(eta=ETA), 2, engine="cells")
+    """Histograms of several blocks of cells added up; the second round sees the first one's residuals."""
+    log = INF.infer_splits(parts_problem(spark, sf), BoostParams(eta=ETA), 2, cells_per_block=256)
     return log.select("regulator", "target", "round", F.round("gain", 3).alias("gain"))
 
 
@@ -159,8 +184,8 @@ def boosted_network_on_cells(spark, sf):
     f"WITH {_sql_rounds(2, ETA)} SELECT regulator, target, CAST(round AS INTEGER) AS round, round(gain, 3) AS gain FROM log",
 )
 def boosted_network_by_joins(spark, sf):
-    """The unbounded lock-step engine."""
-    log = INF.infer_splits(parts_problem(spark, sf), BoostParams(eta=ETA), 2, engine="lockstep")
+    """The same with small blocks of cells: many partial histograms."""
+    log = INF.infer_splits(parts_problem(spark, sf), BoostParams(eta=ETA), 2, cells_per_block=64)
     return log.select("regulator", "target", "round", F.round("gain", 3).alias("gain"))
 
 
@@ -182,6 +207,42 @@ def deep_tree_network(spark, sf):
     return INF.edges_after(log)
 
 
+@query(
+    "sampled_network",
+    f"WITH {_sql_rounds(4, 0.2, subsample=0.8, colsample=0.7, seed=777, gamma=2, mcw=3)} SELECT regulator, target, CAST(round AS INTEGER) AS round, round(gain, 3) AS gain FROM log",
+)
+def sampled_network(spark, sf):
+    """Stumps with sampled rows and regulators, a least gain and a least number of cells per side."""
+    params = BoostParams(eta=0.2, subsample=0.8, colsample_bytree=0.7, seed=777, gamma=2, min_child_weight=3)
+    log = INF.infer_splits(parts_problem(spark, sf), params, 4)
+    return log.select("regulator", "target", "round", F.round("gain", 3).alias("gain"))
+
+
+@query(
+    "sampled_tree_network",
+    f"""WITH {_sql_rounds(2, 0.15, depth=3, subsample=0.8, colsample=0.7, seed=777, mcw=6)}
+    SELECT regulator, target, CAST(round AS INTEGER) AS round, CAST(node AS INTEGER) AS node, round(gain, 3) AS gain FROM log""",
+)
+def sampled_tree_network(spark, sf):
+    """Depth-3 trees with sampled rows and regulators."""
+    params = BoostParams(eta=0.15, max_depth=3, subsample=0.8, colsample_bytree=0.7, seed=777, min_child_weight=6)
+    log = INF.infer_splits(parts_problem(spark, sf), params, 2)
+    return log.select("regulator", "target", "round", "node", F.round("gain", 3).alias("gain"))
+
+
+@query(
+    "sampled_phase_networks",
+    f"""WITH {_sql_rounds(2, ETA, SQL_PHASES, depth=2, subsample=0.75, seed=5, mcw=2)}
+    SELECT phase, regulator, target, round(sum(gain), 4) AS gain FROM log GROUP BY 1, 2, 3""",
+)
+def sampled_phase_networks(spark, sf):
+    """Trees with sampled rows for every phase of cells, all phases in one job."""
+    expr = parts_expression(spark, sf)
+    params = RegressionParams(BoostParams(eta=ETA, max_depth=2, subsample=0.75, seed=5, min_child_weight=2), nr_rounds=2, regularize=None)
+    edges = INF.infer_phases(expr, part_regulators(spark, sf), params, cells_per_phase=max(1, expr.nr_cells() // 4))
+    return edges.select("phase", "regulator", "target", F.round("gain", 4).alias("gain"))
+
+
 @query(
     "phase_networks",
     f"""WITH {_sql_rounds(3, ETA, SQL_PHASES)}, edges AS (
@@ -274,7 +335,7 @@ def target_tasks(spark, sf):
     "configured_run",
     f"""WITH {_sql_rounds(3, ETA)}, edges AS (SELECT regulator, target, sum(gain) AS gain FROM log GROUP BY 1, 2),
     {sql_streaks("edges", "target", "gain DESC, regulator", "gain", 3)}
-    SELECT regulator, target, round(gain / sum(gain) OVER (PARTITION BY target), 4) AS gain,
+    SELECT regulator, target, round(CAST(CAST(gain / sum(gain) OVER (PARTITION BY target) AS FLOAT) AS DOUBLE), 3) AS gain,
     CAST(CASE WHEN elbow IS NULL OR idx < elbow - 2 THEN 1 ELSE 0 END AS INTEGER) AS include FROM marked""",
 )
 def configured_run(spark, sf):
@@ -296,4 +357,4 @@ def configured_run(spark, sf):
         ),
     )
     edges = read_edges(spark, f"{out}.result", include_flags=True)
-    return edges.withColumn("gain", F.round("gain", 4))
+    return edges.withColumn("gain", F.round(F.col("gain").cast("float").cast("double"), 3))

@@ -5,9 +5,9 @@ A *feature* is one (regulator, bin) pair, numbered ``f`` over all regulators in
 through
 
 * ``y(target, f)``  - sum of the target over the cells of a feature,
-* ``co(f1, f2)``    - number of cells two features share,
+* ``n(f)``          - number of its cells,
 
-so the cells are read once and never again, whatever the number of boosting rounds.
+so the first round's gains need no residuals (:mod:`regweave.plans.first_round`).
 """
 
 from __future__ import annotations
@@ -17,9 +17,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regweave.operators.ordering import position_by_range
 from regweave.operators.skew import salted_join, spread
 from regweave.session import write_once
 
+BINS_PER_RANGE = 65_536
+
 
 @dataclass(frozen=True)
 class Binned:
@@ -30,60 +33,64 @@ class Binned:
     regulators: DataFrame
 
 
-def bin_edges(reg: DataFrame, max_bin: int | None) -> DataFrame:
-    """``ridx, uppers``: ascending upper bounds (inclusive) of the bins of every regulator.
+def quantile_bounds(reg: DataFrame, max_bin: int) -> DataFrame:
+    """``ridx, uppers``: at most ``max_bin + 1`` ascending upper bounds for regulators of more distinct values.
 
-    Up to ``max_bin`` distinct values are kept exactly; beyond that the bounds are quantiles from a
-    mergeable sketch, so no list of distinct values is ever gathered. ``None`` keeps all.
+    The bounds come from a mergeable sketch, so no list of distinct values is ever gathered.
     """
     distinct = reg.groupBy("ridx", "value").agg(F.count(F.lit(1)).alias("_c"))
-    exact = distinct
-    if max_bin is not None:
-        sizes = distinct.groupBy("ridx").agg(F.count(F.lit(1)).alias("_d"))
-        wide = sizes.filter(F.col("_d") > max_bin).select("ridx")
-        exact = distinct.join(wide, "ridx", "left_anti")
-    out = exact.groupBy("ridx").agg(F.array_sort(F.collect_list("value")).alias("uppers"))
-    if max_bin is not None:
-        levels = [(i + 1) / max_bin for i in range(max_bin)]
-        quantiles = (
-            reg.join(wide, "ridx", "left_semi")
-            .groupBy("ridx")
-            .agg(F.percentile_approx("value", levels, 20 * max_bin).alias("q"), F.max("value").alias("top"))
-            .select("ridx", F.array_sort(F.array_distinct(F.array_append("q", F.col("top")))).alias("uppers"))
-        )
-        out = out.unionByName(quantiles)
-    return out
+    wide = distinct.groupBy("ridx").agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > max_bin).select("ridx")
+    levels = [(i + 1) / max_bin for i in range(max_bin)]
+    return (
+        reg.join(wide, "ridx", "left_semi")
+        .groupBy("ridx")
+        .agg(F.percentile_approx("value", levels, 20 * max_bin).alias("q"), F.max("value").alias("top"))
+        .select("ridx", F.array_sort(F.array_distinct(F.array_append("q", F.col("top")))).alias("uppers"))
+    )
 
 
 def bin_regulators(values: DataFrame, regulators: DataFrame, max_bin: int | None) -> Binned:
-    """Assign a bin to every stored regulator value. ``regulators`` is ``(regulator, ridx)``."""
+    """Assign a bin to every stored regulator value. ``regulators`` is ``(regulator, ridx)``.
+
+    Without ``max_bin`` every distinct value is a bin. The distinct (regulator, value) pairs are numbered by a range
+    partition and partition counts, and a value finds its number by an equi-join, so neither one regulator's values nor
+    their number meet in one row or task. With ``max_bin`` regulators of more values use quantile bounds: a value is
+    first replaced by the upper bound of its bin.
+    """
     reg = values.join(regulators.withColumnRenamed("regulator", "gene"), "gene").select("ridx", "cell", "value")
-    reg = write_once(reg, "regulator-values")
-    edges = bin_edges(reg, max_bin)
-    earlier = Window.partitionBy(F.lit(0)).orderBy("ridx").rowsBetween(Window.unboundedPreceding, -1)
-    edges = write_once(edges, "bin-edges")
-    # the window sees one size per regulator, never the bounds themselves
-    sizes = edges.select("ridx", F.size("uppers").alias("_k"))
-    bases = sizes.select("ridx", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).cast("int").alias("base"))
-    placed = edges.join(bases, "ridx")
-    in_bin = F.size(F.filter("uppers", lambda u: u < F.col("value"))) + 1
-    cells = reg.join(placed, "ridx").select(
-        "cell",
-        (F.col("base") + in_bin - 1).cast("int").alias("f"),
-        "ridx",
-        in_bin.cast("int").alias("bin"),
-    )
-    features = (
-        placed.select("ridx", "base", F.posexplode("uppers").alias("p", "threshold"))
-        .select(
-            (F.col("base") + F.col("p")).cast("int").alias("f"),
-            "ridx",
-            (F.col("p") + 1).cast("int").alias("bin"),
-            "threshold",
-        )
-        .join(regulators, "ridx")
+    reg = reg.withColumn("upper", F.col("value"))
+    if max_bin is not None:
+        reg = write_once(reg, "regulator-values")
+        bounds = write_once(quantile_bounds(reg, max_bin), "bin-bounds")
+        found = F.element_at(F.filter("uppers", lambda u: u >= F.col("value")), 1)
+        reg = reg.join(bounds, "ridx", "left").select("ridx", "cell", F.coalesce(found, "value").alias("upper"))
+    reg = write_once(reg.select("ridx", "cell", "upper"), "regulator-bounds")
+    distinct = reg.select("ridx", "upper").distinct().withColumn("_key", F.struct("ridx", "upper"))
+    numbered = write_once(position_by_range(distinct, "_key", "f").select("ridx", "upper", "f"), "bin-numbers")
+    first = numbered.groupBy("ridx").agg(F.min("f").alias("_first"))
+    placed = numbered.join(first, "ridx").select(
+        F.col("f").cast("int").alias("f"), "ridx", (F.col("f") - F.col("_first") + 1).cast("int").alias("bin"), F.col("upper").alias("threshold")
     )
-    return Binned(write_once(cells, "binned-cells"), write_once(features, "features"), regulators)
+    features = write_once(placed.join(regulators, "ridx"), "features")
+    own = features.select("f", "ridx", "bin", F.col("threshold").alias("upper"))
+    cells = reg.join(own, ["ridx", "upper"]).select("cell", "f", "ridx", "bin")
+    return Binned(write_once(cells, "binned-cells"), features, regulators)
+
+
+def running_counts(binned: Binned) -> DataFrame:
+    """``f, ridx, bin, n, upto``: cells per feature, and cells of the regulator up to its bin.
+
+    Running sums go over ranges of bins first and then inside a range, so a regulator of very many bins is not summed
+    in one task.
+    """
+    n = binned.cells.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    counted = binned.features.select("f", "ridx", "bin").join(n, "f").withColumn("_range", F.floor(F.col("bin") / BINS_PER_RANGE))
+    counted = write_once(counted, "feature-counts")
+    earlier = Window.partitionBy("ridx").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counted.groupBy("ridx", "_range").agg(F.sum("n").alias("_n"))
+    offsets = sums.select("ridx", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.sum("n").over(Window.partitionBy("ridx", "_range").orderBy("bin"))
+    return counted.withColumn("_in", inside).join(offsets, ["ridx", "_range"]).select("f", "ridx", "bin", "n", (F.col("_in") + F.col("_before")).alias("upto"))
 
 
 def target_moments(
@@ -108,33 +115,3 @@ def target_moments(
             "y",
         )
     )
-
-
-def target_totals(values: DataFrame, groups: DataFrame) -> DataFrame:
-    """``tid, grp, y, yy``: sum and sum of squares by cell group."""
-    return (
-        values.join(groups, "cell")
-        .groupBy("tid", "grp")
-        .agg(F.sum("value").alias("y"), F.sum(F.col("value") * F.col("value")).alias("yy"))
-    )
-
-
-def feature_counts(groups: DataFrame, binned: Binned) -> DataFrame:
-    """``grp, f, n``: cells per feature and group."""
-    return binned.cells.join(groups, "cell").groupBy("grp", "f").agg(F.count(F.lit(1)).alias("n"))
-
-
-def shared_counts(groups: DataFrame, binned: Binned) -> DataFrame:
-    """``grp, fa, fb, n``: cells shared by two features; includes ``fa = fb``."""
-    a = binned.cells.join(groups, "cell").select("cell", "grp", F.col("f").alias("fa"))
-    b = binned.cells.select("cell", F.col("f").alias("fb"))
-    return salted_join(a, b, "cell", "fa", binned.regulators.count() ** 2).groupBy("grp", "fa", "fb").agg(F.count(F.lit(1)).alias("n"))
-
-
-def shared_counts_bound(groups: DataFrame, binned: Binned) -> int:
-    """An upper bound of the number of rows of :func:`shared_counts`, without computing it."""
-    per_cell = binned.cells.groupBy("cell").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    pairs = per_cell.agg(F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0.0))).first()[0]
-    nr_features = binned.features.count()
-    nr_groups = groups.agg(F.countDistinct("grp")).first()[0]
-    return int(min(pairs, float(nr_features) ** 2 * nr_groups))

@@ -12,21 +12,13 @@ from regweave.operators.edges import elbow_points
 from regweave.operators.matrix import Expression
 from regweave.operators.select import assign_folds, random_genes
 from regweave.params import BoostParams
-from regweave.plans.infer import Problem, choose_engine, prepare
-from regweave.plans.kernel import nr_sample_groups
-from regweave.plans.cellwise import boost_cells
-from regweave.plans.moments import MAX_SHARED, MomentBooster
-from regweave.operators.ordering import hash_position
-from regweave.operators.select import index_cells
+from regweave.plans.infer import Problem, booster, prepare
 from regweave.session import materialize, write_once
 
 
-def fold_groups(folds: DataFrame, params: BoostParams, test_fold: int = 0) -> tuple[DataFrame, int]:
-    """Cell groups for one cross-validation set: 0..k-1 train (k > 1 only with row sampling), k test."""
-    k = nr_sample_groups(params.subsample)
-    placed = hash_position(folds, "cell", params.seed)
-    group = F.when(F.col("fold") == test_fold, F.lit(k)).otherwise(F.pmod(F.col("position"), F.lit(k)))
-    return placed.select("cell", group.cast("int").alias("grp")), k
+def held_out(folds: DataFrame, test_fold: int = 0) -> DataFrame:
+    """``cell, phase, fit`` of one cross-validation set: the cells of ``test_fold`` only get their loss tracked."""
+    return folds.select("cell", F.lit(0).alias("phase"), (F.col("fold") != test_fold).alias("fit"))
 
 
 def rounds_from_losses(losses: DataFrame) -> DataFrame:
@@ -36,42 +28,12 @@ def rounds_from_losses(losses: DataFrame) -> DataFrame:
 
 
 def loss_curves(
-    problem: Problem,
-    folds: DataFrame,
-    params: BoostParams,
-    rounds: int,
-    engine: str = "auto",
-    nr_partitions: int | None = None,
+    problem: Problem, folds: DataFrame, params: BoostParams, rounds: int, nr_partitions: int | None = None, cells_per_block: int | None = None
 ) -> DataFrame:
     """``target, round, train_loss, test_loss`` for a fixed number of rounds."""
-    groups, k = fold_groups(folds, params)
-    if choose_engine(problem, params, groups, engine, MAX_SHARED) == "moments":
-        booster = _fold_booster(problem, write_once(groups, "fold-groups"), params, k, nr_partitions)
-        return booster.losses(booster.boost(rounds, track_loss=True))
-    _, losses = boost_cells(
-        problem.expr.values,
-        index_cells(problem.expr.cells),
-        groups,
-        problem.binned,
-        params,
-        rounds,
-        problem.targets,
-        folds.filter(F.col("fold") == 0).select("cell"),
-    )
-    return losses.select("target", "round", "train_loss", "test_loss")
-
-
-def _fold_booster(problem, groups, params, k, nr_partitions) -> MomentBooster:
-    return MomentBooster(
-        problem.expr.values,
-        groups,
-        problem.binned,
-        params,
-        per_phase=k + 1,
-        train=tuple(range(k)),
-        nr_partitions=nr_partitions,
-        targets=problem.targets,
-    )
+    fit = booster(problem, params, held_out(folds), nr_partitions, cells_per_block)
+    _, losses = fit.boost(rounds, track_loss=True)
+    return fit.losses(losses)
 
 
 def estimate_rounds(
@@ -80,65 +42,33 @@ def estimate_rounds(
     nr_folds: int = C.DEFAULT_NR_FOLDS,
     max_rounds: int = C.MAX_ROUNDS,
     batch: int = C.ROUNDS_PER_BATCH,
-    engine: str = "auto",
     nr_partitions: int | None = None,
+    cells_per_block: int | None = None,
 ) -> DataFrame:
     """``target, loss, rounds`` for the targets whose test loss flattens within ``max_rounds``.
 
-    The test-loss history is searched for its elbow after every ``batch`` rounds, and the first one found
-    counts. Rounds are fitted in growing steps (each as long as everything before it), so replaying the
-    stored split log at the start of a step costs no more than the step; finished targets leave.
+    Rounds go on from the stored residuals in steps of ``batch``; no round is fitted twice. After every step the whole
+    test-loss history is searched for its elbow, and the first one found counts. Target blocks that are done leave.
     """
     cells = problem.expr.cells
     folds = write_once(assign_folds(cells, cells.count(), nr_folds, params.seed), "folds")
-    groups, k = fold_groups(folds, params)
-    groups = write_once(groups, "fold-groups")
-    if choose_engine(problem, params, groups, engine, MAX_SHARED) != "moments":
-        return _estimate_on_cells(problem, folds, groups, params, max_rounds, batch)
-    booster = _fold_booster(problem, groups, params, k, nr_partitions)
-    booster.rows = write_once(booster.rows, "estimation-targets")
-    state, done, fitted = None, [], 0
+    fit = booster(problem, params, held_out(folds), nr_partitions, cells_per_block)
+    history, done, fitted = [], [], 0
+    left = None
     while fitted < max_rounds:
-        step = min(max(batch, fitted), max_rounds - fitted)
-        state = write_once(booster.boost(step, previous=state, track_loss=True), "boosting-state")
-        found = materialize(first_elbows(booster.losses(state), batch, fitted, fitted + step))
-        done.append(found)
+        step = min(batch, max_rounds - fitted)
+        _, losses = fit.boost(step, track_loss=True)
+        history.append(fit.losses(losses))
         fitted += step
-        state = state.join(found.select("target"), "target", "left_anti")
-        if state.isEmpty():
-            break
-    return _union(done)
-
-
-def first_elbows(losses: DataFrame, batch: int, after: int, upto: int) -> DataFrame:
-    """``target, loss, rounds`` of the shortest history (a multiple of ``batch``, or ``upto``) that has an elbow."""
-    ends = [n for n in range(batch, upto, batch) if n > after] + [upto]
-    histories = losses.select("target", "round", "test_loss", F.explode(F.array(*map(F.lit, ends))).alias("end"))
-    points = elbow_points(
-        histories.filter(F.col("round") < F.col("end")), ["target", "end"], [F.col("round")], "test_loss", x_scale=C.ELBOW_X_SCALE
-    )
-    first = points.groupBy("target").agg(F.min(F.struct("end", "test_loss", "elbow")).alias("p"))
-    return first.select("target", F.col("p.test_loss").alias("loss"), F.col("p.elbow").cast("int").alias("rounds"))
-
-
-def _estimate_on_cells(
-    problem: Problem, folds: DataFrame, groups: DataFrame, params: BoostParams, max_rounds: int, batch: int
-) -> DataFrame:
-    """The same search for fits that need cells; each step refits the targets that are left from the start."""
-    targets, done, fitted = problem.targets, [], 0
-    if targets is None:
-        targets = problem.expr.genes()
-    test = folds.filter(F.col("fold") == 0).select("cell")
-    indexed = index_cells(problem.expr.cells)
-    while fitted < max_rounds:
-        upto = min(fitted + max(batch, fitted), max_rounds)
-        _, losses = boost_cells(problem.expr.values, indexed, groups, problem.binned, params, upto, targets, test)
-        found = materialize(first_elbows(losses, batch, fitted, upto))
+        curves = _union(history)
+        if left is not None:
+            curves = curves.join(left, "target", "left_semi")
+        found = materialize(rounds_from_losses(curves))
         done.append(found)
-        targets = materialize(targets.join(found.select(F.col("target").alias("gene")), "gene", "left_anti"))
-        fitted = upto
-        if targets.isEmpty():
+        left = write_once(curves.select("target").distinct().join(found.select("target"), "target", "left_anti"), "targets-left")
+        if left.isEmpty():
             break
+        fit.keep_targets(left)
     return _union(done)
 
 

@@ -12,34 +12,21 @@ from regweave.operators.edges import postprocess
 from regweave.operators.features import Binned, bin_regulators
 from regweave.operators.importance import importance
 from regweave.operators.matrix import Expression
-from regweave.operators.ordering import hash_position
 from regweave.operators.select import as_gene_table, assign_phases, index_cells, nr_phases, regulator_index, require_regulators
 from regweave.params import BoostParams, RegressionParams
-from regweave.plans.cellwise import boost_cells
-from regweave.plans.kernel import nr_sample_groups
-from regweave.plans.lockstep import boost_lockstep
-from regweave.plans.moments import MAX_SHARED, MomentBooster, fits_broadcast
+from regweave.plans import first_round
+from regweave.plans.histogram import HistogramBooster
 from regweave.session import write_once
 
-ENGINES = ("auto", "moments", "lockstep", "cells")
 
-
-def single_group(cells: DataFrame) -> DataFrame:
-    return cells.select("cell", F.lit(0).alias("grp"))
-
-
-def sampling_groups(cells: DataFrame, params: BoostParams) -> tuple[DataFrame, int]:
-    """Random balanced cell groups for row sampling: a round fits on a random choice of groups."""
-    if params.subsample >= 1:
-        return single_group(cells), 1
-    k = nr_sample_groups(params.subsample)
-    placed = hash_position(cells.select("cell"), "cell", params.seed)
-    return placed.select("cell", F.pmod(F.col("position"), F.lit(k)).cast("int").alias("grp")), k
+def one_phase(cells: DataFrame) -> DataFrame:
+    """``cell, phase, fit``: all cells fitted together."""
+    return cells.select("cell", F.lit(0).alias("phase"), F.lit(True).alias("fit"))
 
 
 @dataclass(frozen=True)
 class Problem:
-    """Inputs shared by all engines, with regulators numbered and binned."""
+    """Inputs of a fit, with regulators numbered and binned."""
 
     expr: Expression
     binned: Binned
@@ -61,48 +48,25 @@ def prepare(
     return Problem(expr, bin_regulators(expr.values, regulators, max_bin), wanted)
 
 
-def choose_engine(problem: Problem, params: BoostParams, groups: DataFrame, engine: str, max_shared: int) -> str:
-    if engine not in ENGINES:
-        raise ValueError(f"engine must be one of {ENGINES}")
-    if engine != "auto":
-        return engine
-    if params.max_depth > 1:
-        return "cells"
-    if fits_broadcast(problem.binned, groups, max_shared):
-        return "moments"
-    return "lockstep" if params.subsample >= 1 else "cells"
-
-
-def infer_splits(
+def booster(
     problem: Problem,
     params: BoostParams,
-    rounds: int,
-    engine: str = "auto",
+    cells: DataFrame | None = None,
     nr_partitions: int | None = None,
-    max_shared: int = MAX_SHARED,
+    cells_per_block: int | None = None,
+) -> HistogramBooster:
+    """The engine on a problem; ``cells`` (cell, phase, fit) says which cells are fitted together or held out."""
+    chosen = one_phase(problem.expr.cells) if cells is None else cells
+    return HistogramBooster(problem.expr.values, chosen, problem.binned, params, problem.targets, nr_partitions, cells_per_block)
+
+
+def infer_splits(
+    problem: Problem, params: BoostParams, rounds: int, nr_partitions: int | None = None, cells_per_block: int | None = None
 ) -> DataFrame:
-    """The split log of all targets: ``target, round, regulator, threshold, missing_left, gain, cover``."""
-    groups, k = sampling_groups(problem.expr.cells, params)
-    if k > 1:
-        groups = write_once(groups, "cell-groups")
-    which = choose_engine(problem, params, groups, engine, max_shared)
-    values = problem.expr.values
-    if which == "moments":
-        booster = MomentBooster(
-            values,
-            groups,
-            problem.binned,
-            params,
-            per_phase=k,
-            train=tuple(range(k)),
-            nr_partitions=nr_partitions,
-            targets=problem.targets,
-        )
-        return booster.split_log(booster.boost(rounds)).drop("phase")
-    if which == "lockstep":
-        return boost_lockstep(values, problem.expr.cells, problem.binned, params, rounds, problem.targets)
-    log, _ = boost_cells(values, index_cells(problem.expr.cells), groups, problem.binned, params, rounds, problem.targets)
-    return log
+    """The split log of all targets: ``target, round, node, regulator, threshold, missing_left, gain, cover``."""
+    fit = booster(problem, params, None, nr_partitions, cells_per_block)
+    log, _ = fit.boost(rounds)
+    return fit.split_log(log).drop("phase")
 
 
 def edges_after(log: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -111,18 +75,9 @@ def edges_after(log: DataFrame, rounds: int | None = None) -> DataFrame:
     return importance(part).select("regulator", "target", "gain")
 
 
-def first_round_gains(problem: Problem, params: BoostParams | None = None, nr_partitions: int | None = None) -> DataFrame:
+def first_round_gains(problem: Problem, params: BoostParams | None = None) -> DataFrame:
     """``regulator, target, gain``: every regulator's best first-round gain for every target."""
-    booster = MomentBooster(
-        problem.expr.values,
-        single_group(problem.expr.cells),
-        problem.binned,
-        params or BoostParams(),
-        nr_partitions=nr_partitions,
-        targets=problem.targets,
-        one_round=True,
-    )
-    return booster.first_round_gains().select("regulator", "target", "gain")
+    return first_round.first_round_gains(problem.expr.values, problem.expr.cells, problem.binned, params or BoostParams(), problem.targets)
 
 
 def infer_regulations(
@@ -134,14 +89,13 @@ def infer_regulations(
     normalized: bool = False,
     truncated: int | None = None,
     nr_partitions: int | None = None,
-    engine: str = "auto",
     max_bin: int | None = None,
 ) -> DataFrame:
     """Target filter, boosting, labels, inclusion filter, normalization, truncation, sort."""
     if params.nr_rounds is None:
         raise ValueError("the number of boosting rounds is not set; estimate it first")
     problem = prepare(expr, candidates, targets, max_bin)
-    log = infer_splits(problem, params.boost, params.nr_rounds, engine, nr_partitions)
+    log = infer_splits(problem, params.boost, params.nr_rounds, nr_partitions)
     return postprocess(edges_after(log), params.regularize, regularized, normalized, truncated)
 
 
@@ -153,57 +107,18 @@ def infer_phases(
     skip: int = 0,
     max_bin: int | None = None,
     nr_partitions: int | None = None,
-    max_shared: int = MAX_SHARED,
+    cells_per_block: int | None = None,
 ) -> DataFrame:
     """Phase-wise inference as one job: ``phase, regulator, target, gain, include``.
 
-    The phase is part of every key; stumps of all phases are fitted side by side. Deeper trees, and matrices
-    whose shared counts do not fit, are fitted phase by phase with the same result.
+    The phase of a cell block is part of every key, so trees of any depth and any sampling are fitted for all phases
+    side by side; a phase draws its rows from its own cells.
     """
     total = expr.nr_cells()
-    count = nr_phases(total, cells_per_phase)
-    phases = assign_phases(index_cells(expr.cells), total, cells_per_phase, skip).select(
-        "cell", (F.col("phase") - skip).alias("_p")
-    )
-    groups, k = sampling_groups(expr.cells, params.boost)
-    groups = write_once(
-        groups.join(phases, "cell").select("cell", (F.col("_p") * k + F.col("grp")).cast("int").alias("grp")), "cell-groups"
-    )
-    problem = prepare(expr, candidates, None, max_bin)
-    if params.boost.max_depth > 1 or not fits_broadcast(problem.binned, groups, max_shared):
-        log = _phase_logs(problem, phases, groups, params, count - skip, k).withColumn("phase", F.col("phase") + skip)
-        edges = log.groupBy("phase", "regulator", "target").agg(F.sum("gain").alias("gain"))
-        return postprocess(edges, params.regularize, group=("phase", "target"), sort=False)
-    booster = MomentBooster(
-        problem.expr.values,
-        groups,
-        problem.binned,
-        params.boost,
-        per_phase=k,
-        nr_phases=count - skip,
-        train=tuple(range(k)),
-        nr_partitions=nr_partitions,
-    )
-    log = booster.split_log(booster.boost(params.nr_rounds)).withColumn("phase", F.col("phase") + skip)
-    edges = log.groupBy("phase", "regulator", "target").agg(F.sum("gain").alias("gain"))
+    nr_phases(total, cells_per_phase)  # raises where there are too few windows
+    phases = assign_phases(index_cells(expr.cells), total, cells_per_phase, skip)
+    cells = write_once(phases.select("cell", "phase", F.lit(True).alias("fit")), "phase-cells")
+    fit = booster(prepare(expr, candidates, None, max_bin), params.boost, cells, nr_partitions, cells_per_block)
+    log, _ = fit.boost(params.nr_rounds)
+    edges = fit.split_log(log).groupBy("phase", "regulator", "target").agg(F.sum("gain").alias("gain"))
     return postprocess(edges, params.regularize, group=("phase", "target"), sort=False)
-
-
-def _phase_logs(problem: Problem, phases: DataFrame, groups: DataFrame, params: RegressionParams, count: int, k: int) -> DataFrame:
-    """Split logs of single phases, each fitted on its own cells with the features and draws of the joint fit."""
-    logs = []
-    for p in range(count):
-        cells = phases.filter(F.col("_p") == p).select("cell")
-        inside = lambda df: df.join(cells, "cell", "left_semi")  # noqa: E731, B023  (used before the next turn)
-        own = groups.join(cells, "cell", "left_semi").select("cell", (F.col("grp") - p * k).cast("int").alias("grp"))
-        binned = Binned(write_once(inside(problem.binned.cells), "phase-bins"), problem.binned.features, problem.binned.regulators)
-        values = write_once(inside(problem.expr.values), "phase-values")
-        if params.boost.max_depth == 1 and params.boost.subsample >= 1:
-            log = boost_lockstep(values, cells, binned, params.boost, params.nr_rounds)
-        else:
-            log, _ = boost_cells(values, index_cells(cells), own, binned, params.boost, params.nr_rounds)
-        logs.append(write_once(log.select("target", "round", "regulator", "gain"), "phase-log").withColumn("phase", F.lit(p)))
-    out = logs[0]
-    for log in logs[1:]:
-        out = out.unionByName(log)
-    return out

@@ -49,3 +49,23 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def read_stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Columns of a stored table; its other columns are not read."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no plan reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_others(spark: SparkSession, path: str, keep: set[str]) -> None:
+    """Delete what lies directly below a folder and is not to be kept."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(place):
+        if status.getPath().getName() not in keep:
+            fs.delete(status.getPath(), True)

@@ -5,16 +5,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import as_expression, boost, fixture
-from regweave.operators.features import bin_regulators
-from regweave.operators.select import assign_folds, index_cells, regulator_index
+from regweave.operators import draws
+from regweave.operators.features import bin_regulators, running_counts
+from regweave.operators.select import assign_folds, regulator_index
 from regweave.params import BoostParams, RegressionParams
 from regweave.plans import estimate as EST
 from regweave.plans import infer as INF
-from regweave.plans.cellwise import _in_sample, boost_cells
-from regweave.plans.kernel import nr_sample_groups, sampled_groups
 from regweave.plans.estimate import aggregate_rounds, estimate_rounds, estimate_run, loss_curves, rounds_from_losses
-from regweave.plans.moments import MomentBooster
-from regweave.session import write_once
+from regweave.plans.histogram import HistogramBooster
+from regweave.session import scratch_path, write_once
+
+BLOCKS = [None, 16]  # one block of cells (all rounds in a task), or several whose histograms are added in Spark
 
 
 @pytest.fixture(scope="module")
@@ -39,57 +40,97 @@ def assert_same(got, want, node=False):
     np.testing.assert_allclose([g[-2:] for g in got], [w[-2:] for w in want], rtol=1e-8)
 
 
-@pytest.mark.parametrize("engine,rounds", [("moments", 6), ("lockstep", 2), ("cells", 2)])
-def test_engines_match_brute_force(problem, data, engine, rounds):
+@pytest.mark.parametrize("block", BLOCKS)
+@pytest.mark.parametrize(
+    "fit, brute",
+    [
+        ({}, {}),
+        ({"gamma": 12.0, "min_child_weight": 6}, {"gamma": 12.0, "mcw": 6}),
+        ({"max_depth": 3}, {"depth": 3}),
+        ({"max_depth": 3, "gamma": 15.0}, {"depth": 3, "gamma": 15.0}),
+    ],
+)
+def test_fit_matches_brute_force(problem, data, block, fit, brute):
     Y, X, regs, names = data
-    want, _ = boost(Y, X, regs, names, 0.3, rounds)
-    got = INF.infer_splits(problem, BoostParams(eta=0.3), rounds, engine)
-    log = splits(got.drop("node") if "node" in got.columns else got)
-    assert_same(log, want)
+    want, _ = boost(Y, X, regs, names, 0.3, 2, **brute)
+    got = INF.infer_splits(problem, BoostParams(eta=0.3, **fit), 2, cells_per_block=block)
+    assert want
+    assert_same(splits(got), want, node=True)
 
 
-@pytest.mark.parametrize("engine", ["moments", "lockstep", "cells"])
-def test_gamma_and_min_child_weight(problem, data, engine):
-    Y, X, regs, names = data
-    want, _ = boost(Y, X, regs, names, 0.5, 2, gamma=12.0, mcw=6)
-    got = INF.infer_splits(problem, BoostParams(eta=0.5, gamma=12.0, min_child_weight=6), 2, engine)
-    assert 0 < len(want) < 2 * len(names)
-    assert_same(splits(got.drop("node") if "node" in got.columns else got), want)
+def drawn(n, fraction, seed, stream, round_nr):
+    keys = draws.draw_keys(np.arange(n), seed, stream, round_nr)
+    mask = np.zeros(n, bool)
+    mask[np.argsort(keys)[: draws.sample_size(fraction, n)]] = True
+    return mask
 
 
-@pytest.mark.parametrize("gamma", [0.0, 15.0])
-def test_deep_trees_match_brute_force(spark, data, problem, gamma):
+@pytest.mark.parametrize("block", BLOCKS)
+@pytest.mark.parametrize("fraction", [0.7, 1 / 3, 0.123456])
+def test_row_sampling_of_any_fraction(problem, data, block, fraction):
     Y, X, regs, names = data
-    want, _ = boost(Y, X, regs, names, 0.3, 2, depth=3, gamma=gamma)
-    got = INF.infer_splits(problem, BoostParams(eta=0.3, max_depth=3, gamma=gamma), 2)
-    assert_same(splits(got), want, node=True)
+    mask = drawn(60, fraction, 666, draws.ROWS, 0)
+    assert mask.sum() == int(fraction * 60 + 1e-9)
+    want, _ = boost(Y, X, regs, names, 0.3, 1, fit=mask)
+    assert_same(splits(INF.infer_splits(problem, BoostParams(eta=0.3, subsample=fraction), 1, cells_per_block=block)), want, node=True)
 
 
-def test_row_sampling_on_cells_matches_brute_force(spark, data, problem):
-    Y, X, regs, names = data
-    p = BoostParams(eta=0.3, subsample=0.7)
-    groups, k = INF.sampling_groups(problem.expr.cells, p)
-    fit = {r.cell: r.fit for r in groups.withColumn("fit", _in_sample(p, k, 0)).collect()}
-    mask = np.array([fit[c] for c in range(Y.shape[1])])
-    assert 0 < mask.sum() < len(mask)
-    want, _ = boost(Y, X, regs, names, 0.3, 1, fit=mask)
-    got = INF.infer_splits(problem, p, 1, "cells")
-    assert_same(splits(got.drop("node")), want)
+@pytest.mark.parametrize("depth", [1, 2])
+def test_blocks_do_not_change_the_answer(problem, depth):
+    p = BoostParams(eta=0.3, subsample=0.8, colsample_bytree=0.6, max_depth=depth, seed=3)
+    one, many, few = (splits(INF.infer_splits(problem, p, 3, cells_per_block=b)) for b in (None, 16, 40))
+    assert [s[:-2] for s in one] == [s[:-2] for s in many] == [s[:-2] for s in few]
+    np.testing.assert_allclose([s[-2] for s in one], [s[-2] for s in many], rtol=1e-9)
 
 
-def test_engines_draw_the_same_rows(problem):
-    p = BoostParams(eta=0.3, subsample=0.8)
-    moments, cells = (splits(INF.infer_splits(problem, p, 3, e).drop("node")) for e in ("moments", "cells"))
-    assert [s[:4] for s in moments] == [s[:4] for s in cells]
-    np.testing.assert_allclose([s[5] for s in moments], [s[5] for s in cells], rtol=1e-8)
+def test_column_sampling_offers_the_drawn_regulators(problem, data):
+    _, _, regs, _ = data
+    log = splits(INF.infer_splits(problem, BoostParams(eta=0.3, colsample_bytree=0.5, seed=777), 4))
+    for t in range(4):
+        offered = {r for r, m in zip(regs, drawn(len(regs), 0.5, 777, draws.COLUMNS, t)) if m}
+        assert {s[3] for s in log if s[1] == t} <= offered and len(offered) == 4
 
 
-def test_subsample_is_not_rounded():
-    share = {f: (k := nr_sample_groups(f), len(sampled_groups(tuple(range(k)), f, 1, 0)) / k) for f in (0.8, 0.85, 0.95, 0.96, 0.75, 0.01, 0.5)}
-    assert all(abs(s - f) < 1e-12 and 10 <= k <= 100 for f, (k, s) in share.items())
-    assert nr_sample_groups(1.0) == 1
-    with pytest.raises(ValueError):
-        nr_sample_groups(0.123456)
+def test_values_seen_in_no_fitted_cell_are_no_thresholds(spark, data):
+    """Values that occur in held-out or not drawn cells only."""
+    Y, X, regs, names = data
+    Y, X = Y.copy(), X.copy()
+    mask = drawn(60, 0.8, 666, draws.ROWS, 0)
+    for c in np.flatnonzero(~mask):
+        X[:, c] = np.where(X[:, c] > 0, X[:, c] - 0.5, 0)
+    Y[: len(regs)] = X
+    problem = INF.prepare(as_expression(spark, Y, names), regs)
+    want, _ = boost(Y, X, regs, names, 0.3, 1, fit=mask)
+    for block in BLOCKS:
+        assert_same(splits(INF.infer_splits(problem, BoostParams(eta=0.3, subsample=0.8), 1, cells_per_block=block)), want, node=True)
+    folds = spark.createDataFrame([(c, int(m)) for c, m in enumerate(mask)], "cell int, fold int")
+    _, residuals = boost(Y, X, regs, names, 0.3, 1, fit=mask)
+    want = sorted((t, np.sqrt((e[mask] ** 2).mean()), np.sqrt((e[~mask] ** 2).mean())) for t, _, e in residuals)
+    for block in BLOCKS:
+        got = sorted((r.target, r.train_loss, r.test_loss) for r in loss_curves(problem, folds, BoostParams(eta=0.3), 1, cells_per_block=block).collect())
+        np.testing.assert_allclose([g[1:] for g in got], [w[1:] for w in want], rtol=1e-9)
+
+
+def test_draws_are_the_same_everywhere(spark):
+    import duckdb
+
+    x = np.arange(1000)
+    for stream, t in ((draws.ROWS, 0), (draws.COLUMNS, 17)):
+        want = draws.draw_keys(x, 666, stream, t).tolist()
+        df = spark.range(1000).coalesce(1)
+        assert [r.k for r in df.select(draws.draw_key(F.col("id"), 666, stream, t).alias("k")).collect()] == want
+        assert [r.k for r in df.select(draws.draw_key(F.col("id"), 666, stream, F.lit(t)).alias("k")).collect()] == want
+        sql = f"SELECT {draws.draw_sql('i', 666, stream, t)} FROM (SELECT unnest(range(1000)) AS i) ORDER BY i"
+        assert [r[0] for r in duckdb.sql(sql).fetchall()] == want
+        assert len(set(want)) == 1000
+
+
+def test_draw_limits_are_ranks(spark):
+    pos = spark.range(500).selectExpr("cast(id % 2 as int) as `group`", "id div 2 as pos")
+    got = draws.draw_limits(pos, {0: 10, 1: 250}, 5, draws.ROWS, [0, 3])
+    for g, k in ((0, 10), (1, 250)):
+        for t in (0, 3):
+            assert got[g, t] == sorted(draws.draw_keys(np.arange(250), 5, draws.ROWS, t))[k - 1]
 
 
 def test_duplicate_entries_add_up(spark, data):
@@ -103,12 +144,10 @@ def test_duplicate_entries_add_up(spark, data):
     np.testing.assert_allclose([s[5] for s in a], [s[5] for s in b], rtol=1e-9)
 
 
-def test_estimation_never_passes_its_limit(spark, data):
-    Y, _, regs, names = data
-    problem = INF.prepare(as_expression(spark, Y, names), regs)
-    for engine in ("moments", "cells"):
-        found = EST.estimate_rounds(problem, BoostParams(eta=0.3), 5, max_rounds=10, batch=60, engine=engine)
-        assert all(r.rounds < 10 for r in found.collect())
+@pytest.mark.parametrize("block", BLOCKS)
+def test_estimation_never_passes_its_limit(problem, block):
+    found = EST.estimate_rounds(problem, BoostParams(eta=0.3), 5, max_rounds=6, batch=60, cells_per_block=block)
+    assert all(r.rounds < 6 for r in found.collect())
 
 
 def test_growing_steps_find_the_first_elbow(spark, data):
@@ -125,39 +164,45 @@ def test_growing_steps_find_the_first_elbow(spark, data):
     assert got == want
 
 
-def test_group_sampling_and_column_sampling_are_deterministic(problem):
-    p = BoostParams(eta=0.3, subsample=0.8, colsample_bytree=0.5, seed=777)
-    one, two = (splits(INF.infer_splits(problem, p, 3)) for _ in range(2))
-    assert one == two
-    covers = {s[-1] for s in one}
-    assert covers == {48.0}  # 8 of 10 groups of 6 cells
-    per_round = {}
-    for s in one:
-        per_round.setdefault(s[1], set()).add(s[2])
-    assert all(len(v) <= 4 for v in per_round.values())  # half of the 8 regulators
-
-
-def test_resume_equals_one_run(spark, data, problem):
-    booster = MomentBooster(problem.expr.values, INF.single_group(problem.expr.cells), problem.binned, BoostParams(eta=0.3))
-    whole = splits(booster.split_log(booster.boost(8)))
-    state = write_once(booster.boost(3), "state")
-    resumed = splits(booster.split_log(booster.boost(5, previous=state)))
-    assert [s[:5] for s in whole] == [s[:5] for s in resumed]
-    np.testing.assert_allclose([s[5] for s in whole], [s[5] for s in resumed], rtol=1e-12)
+@pytest.mark.parametrize("block, params", [(None, {}), (16, {}), (None, {"max_depth": 2, "subsample": 0.7}), (16, {"max_depth": 2, "colsample_bytree": 0.6})])
+def test_resume_equals_one_run(spark, problem, block, params):
+    """2 rounds, stored, loaded, 3 more: the same as 5."""
+    p = BoostParams(eta=0.3, **params)
+    whole = INF.booster(problem, p, cells_per_block=block)
+    want = splits(whole.split_log(whole.boost(5)[0]))
+    first, path = INF.booster(problem, p, cells_per_block=block), scratch_path(spark, "state")
+    first.boost(2)
+    first.save(path)
+    again = HistogramBooster.load(spark, path)
+    assert again.done == 2
+    again.boost(3)
+    got = splits(again.split_log(again.log()))
+    assert [s[:-2] for s in got] == [s[:-2] for s in want]
+    np.testing.assert_allclose([s[-2] for s in got], [s[-2] for s in want], rtol=1e-12)
+    again.save(path)  # a later version; the earlier one goes when the state is loaded
+    later = HistogramBooster.load(spark, path)
+    assert later.done == 5
+    with pytest.raises(Exception, match="(?i)path"):
+        spark.read.parquet(f"{path}/round-2/state").count()
+
+
+def test_state_without_rounds_cannot_be_stored(problem):
+    with pytest.raises(ValueError):
+        INF.booster(problem, BoostParams()).save("nowhere")
 
 
-def test_losses_match_brute_force_on_both_engines(spark, data, problem):
+@pytest.mark.parametrize("block", BLOCKS)
+def test_losses_match_brute_force(problem, data, block):
     Y, X, regs, names = data
     folds = write_once(assign_folds(problem.expr.cells, 60, 5), "folds")
     test = np.zeros(60, bool)
     test[[r.cell for r in folds.filter("fold = 0").collect()]] = True
     assert test.sum() == 12
-    _, residuals = boost(Y, X, regs, names, 0.3, 3, fit=~test)
+    log, residuals = boost(Y, X, regs, names, 0.3, 2, fit=~test)
     want = sorted((t, r, np.sqrt((e[~test] ** 2).mean()), np.sqrt((e[test] ** 2).mean())) for t, r, e in residuals)
-    for engine in ("moments", "cells"):
-        got = sorted(map(tuple, loss_curves(problem, folds, BoostParams(eta=0.3), 3, engine).collect()))
-        assert [g[:2] for g in got] == [w[:2] for w in want]
-        np.testing.assert_allclose([g[2:] for g in got], [w[2:] for w in want], rtol=1e-9)
+    got = sorted(map(tuple, loss_curves(problem, folds, BoostParams(eta=0.3), 2, cells_per_block=block).collect()))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    np.testing.assert_allclose([g[2:] for g in got], [w[2:] for w in want], rtol=1e-9)
 
 
 def test_batched_estimation_finds_the_first_batch_with_an_elbow(spark, problem):
@@ -172,11 +217,10 @@ def test_batched_estimation_finds_the_first_batch_with_an_elbow(spark, problem):
     assert got == want and got
 
 
-def test_estimation_on_cells_agrees(spark, problem):
+def test_estimation_does_not_depend_on_blocks(spark, problem):
     p = BoostParams(eta=0.5)
     small = INF.Problem(problem.expr, problem.binned, spark.createDataFrame([("t00",), ("t07",)], "gene string"))
-    a = {r.target: r.rounds for r in estimate_rounds(small, p, max_rounds=8, batch=4).collect()}
-    b = {r.target: r.rounds for r in estimate_rounds(small, p, max_rounds=8, batch=4, engine="cells").collect()}
+    a, b = ({r.target: r.rounds for r in estimate_rounds(small, p, max_rounds=8, batch=4, cells_per_block=x).collect()} for x in BLOCKS)
     assert a == b
 
 
@@ -266,38 +310,67 @@ def test_rounds_sweep_is_a_prefix(problem):
     np.testing.assert_allclose(sorted(two.values()), sorted(r.gain for r in again.collect()))
 
 
-def test_engine_choice(problem):
-    groups = INF.single_group(problem.expr.cells)
-    assert INF.choose_engine(problem, BoostParams(), groups, "auto", 10**6) == "moments"
-    assert INF.choose_engine(problem, BoostParams(), groups, "auto", 1) == "lockstep"
-    assert INF.choose_engine(problem, BoostParams(subsample=0.5), groups, "auto", 1) == "cells"
-    assert INF.choose_engine(problem, BoostParams(max_depth=2), groups, "auto", 10**6) == "cells"
-    with pytest.raises(ValueError):
-        INF.choose_engine(problem, BoostParams(), groups, "gpu", 1)
-
-
-def test_test_cells_do_not_change_the_fit(spark, problem):
-    folds = write_once(assign_folds(problem.expr.cells, 60, 5), "folds")
-    log, losses = boost_cells(
-        problem.expr.values, index_cells(problem.expr.cells), INF.single_group(problem.expr.cells), problem.binned, BoostParams(eta=0.3), 1, None,
-        folds.filter("fold = 0").select("cell"),
-    )
-    assert {r.cover for r in log.collect()} == {48.0}
-    assert losses.count() == 18
-
-
-def test_phases_beyond_the_bound_match(spark, data):
+@pytest.mark.parametrize("params", [{"subsample": 0.8}, {"max_depth": 2}])
+def test_phases_do_not_depend_on_blocks(spark, data, params):
     Y, _, regs, names = data
     expr = as_expression(spark, Y, names)
-    params = RegressionParams(BoostParams(eta=0.3, subsample=0.8), nr_rounds=2)
+    fit = RegressionParams(BoostParams(eta=0.3, **params), nr_rounds=2)
     runs = []
-    for bound in (10**7, 1):
-        rows = INF.infer_phases(expr, regs, params, 20, max_shared=bound).collect()
+    for block in (None, 8):
+        rows = INF.infer_phases(expr, regs, fit, 20, cells_per_block=block).collect()
         runs.append({(r.phase, r.regulator, r.target): r.gain for r in rows})
-    assert runs[0].keys() == runs[1].keys()
+    assert runs[0].keys() == runs[1].keys() and len(runs[0]) > 10
     np.testing.assert_allclose([runs[0][k] for k in runs[0]], [runs[1][k] for k in runs[0]], rtol=1e-8)
 
 
-def test_shared_counts_are_checked_before_they_are_collected(problem):
-    with pytest.raises(ValueError):
-        MomentBooster(problem.expr.values, INF.single_group(problem.expr.cells), problem.binned, BoostParams(), max_shared=1)
+def brute_first_gains(Y, X, regs, names, mcw=1.0):
+    out = {}
+    for t, y in zip(names, Y):
+        res = y - 0.5
+        tot, n = res.sum(), len(res)
+        for r, x in zip(regs, X):
+            best = 0.0
+            for thr in np.unique(x[x != 0]) if r != t else []:
+                for d in (0, 1):
+                    left = np.where(x != 0, x <= thr, d == 1)
+                    nl, s = left.sum(), res[left].sum()
+                    if min(nl, n - nl) >= mcw:
+                        best = max(best, s * s / (nl + 1) + (tot - s) ** 2 / (n - nl + 1) - tot * tot / (n + 1))
+            if best > 1e-6:
+                out[r, t] = best
+    return out
+
+
+@pytest.mark.parametrize("mcw", [1.0, 4.0, 25.0])
+def test_first_round_gains_match_brute_force(problem, data, mcw):
+    Y, X, regs, names = data
+    got = {(r.regulator, r.target): r.gain for r in INF.first_round_gains(problem, BoostParams(min_child_weight=mcw)).collect()}
+    want = brute_first_gains(Y, X, regs, names, mcw)
+    assert got.keys() == want.keys()
+    np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-9)
+
+
+def test_first_round_gains_of_continuous_and_dense_regulators(spark):
+    """Very many distinct values, negative values, and a regulator without missing cells."""
+    rng = np.random.default_rng(4)
+    X = np.stack([rng.normal(size=200), np.where(rng.random(200) < 0.3, rng.normal(size=200), 0)])
+    Y = np.vstack([X, np.where(rng.random((3, 200)) < 0.1, rng.poisson(3, (3, 200)) + X[0], 0)])
+    names = ["r0", "r1", "t0", "t1", "t2"]
+    problem = INF.prepare(as_expression(spark, Y, names), names[:2])
+    got = {(r.regulator, r.target): r.gain for r in INF.first_round_gains(problem).collect()}
+    want = brute_first_gains(Y, X, names[:2], names)
+    assert got.keys() == want.keys()
+    np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-9)
+
+
+def test_exact_bins_of_very_many_values(spark, monkeypatch):
+    """One regulator of 120,000 distinct values: numbers, thresholds and running counts, without a list per regulator."""
+    n = 120_000
+    values = spark.range(n).selectExpr("'r' as gene", "id as cell", "cast((id * 7919) % 120011 + 1 as double) as value")
+    monkeypatch.setattr("regweave.operators.features.BINS_PER_RANGE", 1000)
+    binned = bin_regulators(values, regulator_index(values, ["r"]), None)
+    assert binned.features.count() == n
+    bad = binned.cells.join(values, "cell").join(binned.features.select("f", "threshold"), "f").filter("threshold <> value").count()
+    order = binned.features.selectExpr("bin", "threshold", "lag(threshold) over (partition by ridx order by bin) as p").filter("p >= threshold").count()
+    counts = running_counts(binned).filter("upto <> bin or n <> 1").count()
+    assert (bad, order, counts) == (0, 0, 0)
