@@ -1,8 +1,10 @@
-"""Connected components of an edge table by repeated contraction.
+"""Connected components of an edge table by contraction with pointer jumping.
 
-In each round every node moves to its smallest neighbour (a grouped minimum, pre-aggregated in each task) and the
-edges are renamed; edges inside one node vanish. At least every second node of a component disappears in a round,
-and stars collapse at once. Rounds are cut by checkpoints in the shared folder; the moves are composed at the end.
+In each round every node points to its smallest neighbour or itself. Pointers never lead to a larger node, so they form
+trees; the move table is squared (each pointer replaced by the pointer of its end) until it is stable, which takes a
+number of joins logarithmic in the depth of the trees. Then the edges are renamed to the roots; edges inside one tree
+vanish. A path of rising ids is one tree, so it needs one round of logarithmically many joins. Every step is cut by a
+checkpoint in the shared folder; the moves of the rounds are composed at the end.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         ends = e.select(F.col("a").alias("node"), F.col("b").alias("to")).union(e.select("b", "a"))
         move = ends.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to"))
-        move = materialize(move)
+        move = _to_roots(materialize(move))
         moves.append(move)
         renamed = e.join(move.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").drop("a")
         renamed = renamed.join(move.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
@@ -36,3 +38,15 @@ def components(edges: DataFrame) -> DataFrame:
         step = move.select(F.col("node").alias("component"), "to")
         out = out.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     return out
+
+
+def _to_roots(move: DataFrame) -> DataFrame:
+    """``node, to`` with every pointer led on to the end of its chain."""
+    while True:
+        further = move.select(F.col("node").alias("to"), F.col("to").alias("_next"))
+        end = F.coalesce("_next", "to")
+        jumped = move.join(further, "to", "left").select("node", end.alias("to"), (end != F.col("to")).alias("moved"))
+        jumped = materialize(jumped)
+        move = jumped.select("node", "to")
+        if jumped.filter("moved").isEmpty():
+            return move

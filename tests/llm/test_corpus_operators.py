@@ -170,6 +170,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_path(spark, monkeypatch):
+    """100,000 rising ids, the worst case of moving one step at a time: few steps are stored."""
+    import regweave.llm.components as C
+
+    steps, store = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df: steps.append(1) or store(df))
+    edges = spark.range(100_000).selectExpr("id as a", "id + 1 as b")
+    got = components(edges).selectExpr("count(*) as n", "max(component) as c").first()
+    assert (got.n, got.c) == (100_001, 0) and len(steps) < 25
+
+
 def vectors(spark, sf01):
     return spark.read.parquet(f"{sf01}/embeddings.parquet")
 
