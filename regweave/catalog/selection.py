@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regweave.catalog.registry import query
 from regweave.catalog.tables import SQL_EVENTS, SQL_PARTS, events_expression, part_regulators, parts_expression, table
+from regweave.operators import draws
 from regweave.operators import matrix as M
 from regweave.operators import select as S
 from regweave.operators.ordering import hash_position
@@ -216,3 +217,43 @@ def labelled_cell_rows(spark, sf):
     rows = M.labelled_rows(M.cell_major(rest, index), response)
     text = F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["idx"].cast("string"), e["value"].cast("long").cast("string"))), " ")
     return rows.select("cell", "label", text.alias("entries"))
+
+
+@query(
+    "sampled_cells",
+    f"SELECT cell FROM {draws.shuffled_sql('(SELECT s_suppkey AS cell FROM supplier)', 'cell', 666, draws.SAMPLES)} WHERE position < (SELECT count(*) // 2 FROM supplier)",
+)
+def sampled_cells(spark, sf):
+    """The cells of a random half."""
+    cells = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell"))
+    return S.random_cells(cells, cells.count() // 2)
+
+
+@query(
+    "cell_subsets",
+    f"""SELECT cell, CAST(position // 40 AS INTEGER) AS subset FROM {draws.shuffled_sql(
+        '(SELECT c_custkey AS cell FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier))', 'cell', 666, draws.SAMPLES)}""",
+)
+def cell_subsets(spark, sf):
+    """Members of random disjoint subsets."""
+    cells = table(spark, sf, "customer").select(F.col("c_custkey").alias("cell"))
+    return S.disjoint_subsets(cells, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell")), 40)
+
+
+@query(
+    "cell_folds",
+    f"SELECT cell, CAST(position % 5 AS INTEGER) AS fold FROM {draws.shuffled_sql('(SELECT c_custkey AS cell FROM customer)', 'cell', 666, draws.FOLDS)}",
+)
+def cell_folds(spark, sf):
+    """Members of the random folds."""
+    cells = table(spark, sf, "customer").select(F.col("c_custkey").alias("cell"))
+    return S.assign_folds(cells, cells.count(), 5)
+
+
+@query(
+    "estimation_genes",
+    f"""SELECT gene FROM {draws.shuffled_sql("(SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS gene FROM lineitem)", 'gene', 666, draws.GENES)} WHERE position < 20""",
+)
+def estimation_genes(spark, sf):
+    """The default random set of genes whose boosting rounds are estimated."""
+    return S.random_genes(parts_expression(spark, sf).genes(), 20)

@@ -17,7 +17,9 @@ from regweave.catalog.tables import (
     token_expression,
 )
 from regweave.functions.vectors import assemble, interact
+from regweave.constants import DEFAULT_RANK_SEED
 from regweave.operators import correlation as R
+from regweave.operators import draws
 from regweave.operators import select as S
 from regweave.operators.importance import dump_importance, importance, parse_dump, parse_losses
 from regweave.operators.matrix import cell_major, pack, unpack
@@ -114,18 +116,40 @@ def spearman_dense_matrix(spark, sf):
     return R.spearman(expr.values, regs, expr.nr_cells()).select("tf", "gene", F.round("corr", 6).alias("corr"))
 
 
+SQL_TIE_KEY = draws.draw_sql("cell", DEFAULT_RANK_SEED, draws.TIES, draws.name_number_sql("gene"))
+SQL_SHUFFLED_RANKS = SQL_AVG_RANKS.split("vals AS")[0] + f"""vals AS (
+  SELECT gene, cell, CAST(row_number() OVER (PARTITION BY gene ORDER BY value, k % 64, k, cell) AS DOUBLE) AS value FROM (SELECT *, {SQL_TIE_KEY} AS k FROM dense))"""
+
+
 @query(
     "spearman_shuffled_matrix",
-    f"""WITH {SQL_EMBED}, regs AS (SELECT gene AS regulator FROM expr GROUP BY gene), {SQL_AVG_RANKS}, {SQL_PEARSON}
+    f"""WITH {SQL_EMBED}, regs AS (SELECT gene AS regulator FROM expr GROUP BY gene), {SQL_SHUFFLED_RANKS}, {SQL_PEARSON}
     SELECT tf, gene, CASE WHEN tf = gene THEN 1.0 ELSE round(cov / nullif(spread, 0), 6) END AS corr FROM corr""",
 )
 def spearman_shuffled_matrix(spark, sf):
-    """Distinct ranks with shuffled ties; these values have no ties, so the order of ties cannot show."""
+    """Distinct ranks; tied cells stand in a seeded order of their gene, which SQL repeats."""
     expr = embedding_expression(spark, sf).store()
     regs = S.regulator_index(expr.values, expr.genes())
     return R.spearman_shuffled(expr.values, regs, expr.nr_cells()).select("tf", "gene", F.round("corr", 6).alias("corr"))
 
 
+@query(
+    "spearman_shuffled_counts",
+    f"""WITH ids AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS cell FROM (SELECT DISTINCT user_id FROM events)),
+    expr AS (SELECT event_type AS gene, cell, CAST(count(*) AS DOUBLE) AS value FROM events JOIN ids USING (user_id) GROUP BY 1, 2),
+    cells AS (SELECT cell FROM ids),
+    regs AS (SELECT gene AS regulator FROM expr GROUP BY gene), {SQL_SHUFFLED_RANKS}, {SQL_PEARSON}
+    SELECT tf, gene, CASE WHEN tf = gene THEN 1.0 ELSE round(cov / nullif(spread, 0), 6) END AS corr FROM corr""",
+)
+def spearman_shuffled_counts(spark, sf):
+    """The same on counts, where nearly every value is tied."""
+    expr = events_expression(spark, sf)
+    indexed = S.index_cells(expr.cells)
+    values = S.slice_cells(expr.values, indexed)
+    regs = S.regulator_index(values, values.select("gene").distinct())
+    return R.spearman_shuffled(values, regs, indexed.count()).select("tf", "gene", F.round("corr", 6).alias("corr"))
+
+
 @query(
     "correlation_rows",
     f"""WITH {SQL_EMBED}, regs AS (SELECT gene AS regulator FROM expr GROUP BY gene), vals AS (SELECT * FROM expr), {SQL_PEARSON},

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regweave.constants import DEFAULT_RANK_SEED
+from regweave.operators import draws
 from regweave.operators.matrix import densify
 from regweave.operators.skew import salted_join, spread
 from regweave.session import write_once
@@ -46,13 +47,15 @@ def to_rankings(
 ) -> DataFrame:
     """Dense ranks ``gene, cell, rank`` of all cells, zeros included (cells numbered from 0).
 
-    ``shuffle`` gives distinct ranks with tied cells in a seeded random order, ``average`` the mean rank
+    ``shuffle`` gives distinct ranks with tied cells in a seeded random order of the gene (the same in SQL), ``average`` the mean rank
     of the tie. Rows are first counted per (gene, value, hash bucket), so neither a gene with very many
     cells nor one huge tie is sorted by a single task.
     """
     if ties not in ("shuffle", "average"):
         raise ValueError("ties must be shuffle or average")
-    dense = densify(values, nr_cells).withColumn("_h", F.xxhash64(F.lit(seed), F.col("gene"), F.col("cell")))
+    dense = densify(values, nr_cells).withColumn(
+        "_h", draws.draw_key(F.col("cell"), seed, draws.TIES, draws.name_number(F.col("gene")))
+    )
     dense = dense.withColumn("_b", F.pmod(F.col("_h"), F.lit(TIE_SALTS)).cast("int"))
     tie = Window.partitionBy("gene", "value")
     counts = (

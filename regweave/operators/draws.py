@@ -13,8 +13,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regweave.operators.ordering import position_by_range, position_in_order
+
 PRIME = 2_147_483_647
-ROWS, COLUMNS, FOLDS, SAMPLES, GENES = range(5)  # streams: one per purpose
+ROWS, COLUMNS, FOLDS, SAMPLES, GENES, TIES = range(6)  # streams: one per purpose
 _BUCKET = 1 << 15
 
 
@@ -44,14 +46,39 @@ def draw_keys(x: np.ndarray, seed: int, stream: int, round_nr: int = 0) -> np.nd
     return square * square % PRIME * u % PRIME * a % PRIME
 
 
-def draw_sql(x: str, seed: int, stream: int, round_nr: int = 0) -> str:
-    """The key as an SQL expression."""
-    a, b = constants(seed, stream, round_nr)
+def draw_sql(x: str, seed: int, stream: int, round_nr: int | str = 0) -> str:
+    """The key as an SQL expression; ``round_nr`` may be one too."""
+    if isinstance(round_nr, str):
+        a = f"(1 + ({seed * 7919 + stream * 104_729 + 12_345} + {round_nr} * 1299709) % {PRIME - 1})"
+        b = f"(({seed * 15_485_863 + stream * 32_452_843 + 67_890} + {round_nr} * 49979687) % {PRIME})"
+    else:
+        a, b = constants(seed, stream, round_nr)
     u = f"((CAST({x} AS BIGINT) + {b}) % {PRIME})"
     square = f"({u} * {u} % {PRIME})"
     return f"(({square} * {square} % {PRIME}) * {u} % {PRIME} * {a} % {PRIME})"
 
 
+def name_number(name: Column) -> Column:
+    """A number below 2**28 from a name: a round of its own for every gene."""
+    return F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("long")
+
+
+def name_number_sql(name: str) -> str:
+    return f"CAST('0x' || substr(md5({name}), 1, 7) AS BIGINT)"
+
+
+def shuffled(df: DataFrame, key: str, seed: int, stream: int, out: str = "position") -> DataFrame:
+    """The rank of every row's key: a seeded shuffle. ``key`` (distinct) gives the positions the keys are made of."""
+    placed = position_by_range(df, key, "_pos").withColumn("_draw", draw_key(F.col("_pos"), seed, stream))
+    return position_in_order(placed, F.shiftright("_draw", 15), [F.col("_draw")], out).drop("_pos", "_draw")
+
+
+def shuffled_sql(source: str, key: str, seed: int, stream: int) -> str:
+    """``source`` with a column ``position``: the same shuffle."""
+    return f"""(SELECT * EXCLUDE (_pos), row_number() OVER (ORDER BY {draw_sql("_pos", seed, stream)}) - 1 AS position
+    FROM (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS _pos FROM {source}))"""
+
+
 def sample_size(fraction: float, n: int) -> int:
     """Rows drawn out of n: the whole part, at least one."""
     return max(1, int(fraction * n + 1e-9))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regweave.constants import DEFAULT_SEED
+from regweave.operators import draws
 from regweave.operators.matrix import Expression
-from regweave.operators.ordering import hash_position, id_position, position_by_range
+from regweave.operators.ordering import id_position, position_by_range
 
 
 def as_gene_table(df: DataFrame, genes: DataFrame | Iterable[str]) -> DataFrame:
@@ -73,7 +74,7 @@ def slice_expression(expr: Expression, selection: DataFrame) -> Expression:
 
 def random_cells(cells: DataFrame, n: int, seed: int = DEFAULT_SEED) -> DataFrame:
     """A seeded random subset of n cells (all when there are fewer)."""
-    return hash_position(cells.select("cell"), "cell", seed).filter(F.col("position") < n).select("cell")
+    return draws.shuffled(cells.select("cell"), "cell", seed, draws.SAMPLES).filter(F.col("position") < n).select("cell")
 
 
 def cell_difference(cells: DataFrame, other: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def sub_sample(expr: Expression, n: int, seed: int = DEFAULT_SEED) -> Expression
 def disjoint_subsets(cells: DataFrame, excluded: DataFrame | None, n: int, seed: int = DEFAULT_SEED) -> DataFrame:
     """Random disjoint chunks of n cells among those not excluded: ``cell, subset``."""
     rest = cells.select("cell").distinct() if excluded is None else cell_difference(cells, excluded)
-    return hash_position(rest, "cell", seed).select("cell", F.floor(F.col("position") / n).cast("int").alias("subset"))
+    return draws.shuffled(rest, "cell", seed, draws.SAMPLES).select("cell", F.floor(F.col("position") / n).cast("int").alias("subset"))
 
 
 def nr_phases(nr_cells: int, cells_per_phase: int) -> int:
@@ -122,7 +123,7 @@ def assign_folds(cells: DataFrame, nr_cells: int, nr_folds: int, seed: int = DEF
     if nr_cells <= 0:
         raise ValueError("cross-validation needs at least one cell")
     k = min(nr_folds, nr_cells)
-    return hash_position(cells.select("cell"), "cell", seed).select("cell", (F.col("position") % k).cast("int").alias("fold"))
+    return draws.shuffled(cells.select("cell"), "cell", seed, draws.FOLDS).select("cell", (F.col("position") % k).cast("int").alias("fold"))
 
 
 def split_folds(folds: DataFrame, test_fold: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -132,4 +133,4 @@ def split_folds(folds: DataFrame, test_fold: int = 0) -> tuple[DataFrame, DataFr
 
 def random_genes(genes: DataFrame, n: int, seed: int = DEFAULT_SEED) -> DataFrame:
     """A seeded random subset of n genes."""
-    return hash_position(genes.select("gene"), "gene", seed).filter(F.col("position") < n).select("gene")
+    return draws.shuffled(genes.select("gene"), "gene", seed, draws.GENES).filter(F.col("position") < n).select("gene")
