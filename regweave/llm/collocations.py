@@ -296,8 +296,11 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     for length in range(1, max_words + 1):
         runs = count_runs(texts, length, bloom)
         # a prefix partition: all runs of phrases with the same first two words, merged by one sum
-        prefix = F.hash("lang", F.substring_index("phrase", " ", 2))
-        merged = runs.withColumn("prefix", prefix).repartition("prefix").groupBy("prefix", "lang", "phrase").agg(F.sum("f").alias("f"))
+        if length > 2:
+            runs = runs.withColumn("prefix", F.hash("lang", F.substring_index("phrase", " ", 2)))
+            merged = runs.repartition("prefix").groupBy("prefix", "lang", "phrase").agg(F.sum("f").alias("f"))
+        else:  # the phrase is its own prefix
+            merged = runs.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
         kept = merged.filter((F.col("f") >= min_count) | (F.col("phrase") == ""))
         words = F.when(F.col("phrase") == "", 0).otherwise(length)
         table = write_once(kept.select("lang", "phrase", words.alias("words"), "f"), f"phrases-{length}")
