@@ -11,6 +11,8 @@
 3. A document's score is the sum of the log-probabilities of its words, each given both sides: log P(class) +
    log P(word | class). Counts of the HEAD most frequent words go to every task, all others are joined in Spark.
 
+Texts are read twice: for the counts, and to store every word's class (a byte). Training and scoring read the classes.
+
 Defined cases: null and empty texts have no words, log-probability 0 and a null mean; beyond a text's ends stands a
 boundary class; an empty corpus leaves the initial weights; repeated rows are trained on and scored one by one; rows
 with null ids are scored; an empty table gives an empty result; other columns are not read.
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +45,8 @@ ROUNDS = 3
 HEAD = 65_536
 RATE = 0.5
 BATCH = 512
+#: Up to this bound exponents are taken as they are; beyond it each row's largest is subtracted first.
+MAX_EXPONENT = 60.0
 SEED = 29
 #: Distinct words a task counts before it hands its counts on (they are summed again in Spark).
 COUNT_BLOCK = 200_000
@@ -114,59 +119,133 @@ def unpacked(w: np.ndarray) -> list[np.ndarray]:
 
 def contexts(t: T.Texts, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Class of every word, and classes of the words around it (boundary beyond the text's ends)."""
-    _, _, first, n = t.words()
     word = vocab.of(t.word_hashes())
-    owner = np.repeat(np.arange(t.n), n)
-    padded = np.full(len(word) + 2 * SIDE * (t.n + 1), BOUNDARY)
+    return word, _around(word, t.words()[3])
+
+
+def _around(word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Classes of the SIDE words before and after every word, for texts of n words laid end to end."""
+    owner = np.repeat(np.arange(len(n)), n)
+    padded = np.full(len(word) + 2 * SIDE * (len(n) + 1), BOUNDARY, word.dtype)
     place = np.arange(len(word)) + 2 * SIDE * (owner + 1)
     padded[place] = word
     shifts = [k for k in range(-SIDE, SIDE + 1) if k]
-    return word, np.stack([padded[place + k] for k in shifts], axis=1) if len(word) else np.zeros((0, 2 * SIDE), np.int64)
+    return np.stack([padded[place + k] for k in shifts], axis=1) if len(word) else np.zeros((0, 2 * SIDE), word.dtype)
 
 
 def _forward(w: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = w[0][around].reshape(len(around), -1)
     h = np.tanh(x @ w[1] + w[2])
-    z = h @ w[3] + w[4]
-    z -= z.max(1, keepdims=True)
+    z = h @ w[3]
+    z += w[4]
+    # hidden units are within [-1, 1], so small weights bound the exponents
+    if not (np.abs(w[3]).sum(0) + np.abs(w[4])).max() < MAX_EXPONENT:
+        z -= z.max(1, keepdims=True)
     return x, h, z
 
 
 def log_probabilities(w: list[np.ndarray], word: np.ndarray, around: np.ndarray) -> np.ndarray:
-    out = np.empty(len(word))
-    for lo in range(0, len(word), 4096):
-        at = slice(lo, lo + 4096)
+    out, ones = np.empty(len(word)), np.ones(CLASSES, w[3].dtype)
+    for lo in range(0, len(word), BATCH):
+        at = slice(lo, lo + BATCH)
         _, _, z = _forward(w, around[at])
-        out[at] = z[np.arange(len(z)), word[at]] - np.log(np.exp(z).sum(1))
+        own = z[np.arange(len(z)), word[at]]
+        out[at] = own - np.log(np.exp(z, out=z) @ ones)
     return out
 
 
 def train(w: list[np.ndarray], word: np.ndarray, around: np.ndarray, rate: float) -> None:
     """Plain gradient steps, in place."""
+    ones, each, embeddings = np.ones(CLASSES, w[3].dtype), np.arange(EMBED), w[0].reshape(-1)
     for lo in range(0, len(word), BATCH):
-        y, a = word[lo : lo + BATCH], around[lo : lo + BATCH]
+        y, a = word[lo : lo + BATCH], around[lo : lo + BATCH].astype(np.int64)
         m = len(y)
         x, h, z = _forward(w, a)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(m), y] -= 1
-        p *= rate / m
+        p = np.exp(z, out=z)
+        step = rate / m
+        p *= (step / (p @ ones))[:, None]
+        p[np.arange(m), y] -= step
         dh = (p @ w[3].T) * (1 - h * h)
         w[3] -= h.T @ p
         w[4] -= p.sum(0)
         dx = dh @ w[1].T
         w[1] -= x.T @ dh
         w[2] -= dh.sum(0)
-        np.subtract.at(w[0], a.ravel(), dx.reshape(-1, EMBED))
+        np.subtract.at(embeddings, (a.reshape(-1, 1) * EMBED + each).reshape(-1), dx.reshape(-1))
 
 
-def in_round(t: T.Texts, words: int, r: int, rounds: int) -> np.ndarray:
-    """The positions trained on in round r; every position has one round."""
-    return T.mix(np.arange(words, dtype=np.uint64) + np.uint64(len(t.data))) % np.uint64(rounds) == r
+def in_round(row: np.ndarray, place: np.ndarray, r: int, rounds: int) -> np.ndarray:
+    """The positions (row and place in its text) trained on in round r; every position has one round."""
+    return T.mix(T.mix(row.astype(np.uint64)) + place.astype(np.uint64)) % np.uint64(rounds) == r
 
 
-def fit_network(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights averaged over tasks after every round."""
+def encode(docs: DataFrame, vocab: Vocabulary, counts: DataFrame) -> DataFrame:
+    """``doc_id, row, n_words, classes, head, words`` of every row, stored once: training and scoring read no text.
+
+    ``classes`` holds a byte a word; ``head`` sums log P(word | class) as far as tasks hold the counts, ``words`` are
+    the hashes of the words whose counts they do not hold.
+    """
+    own = docs.sparkSession.createDataFrame([(int(k),) for k in vocab.keys.view(np.int64)], "word long")
+    rare = counts.join(F.broadcast(own), "word", "left_anti")
+    shared = F.lit(WORDS) + F.shiftrightunsigned("word", 32) % SHARED
+    base = np.zeros(CLASSES)
+    for r in rare.groupBy(shared.alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        base[r["k"]] = np.log(r["n"] + r["v"] + 1.0)
+    top = rare.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    # a word with a class of its own is the whole of it
+    known = np.concatenate([vocab.keys, top.column("word").to_numpy().view(np.uint64)])
+    known_log = np.concatenate([np.zeros(len(vocab.keys)), np.log(top.column("n").to_numpy() + 1.0)])
+    order = np.argsort(known)
+    known, known_log = known[order], known_log[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            for lo, hi, t in T.slices(b.column("text"), lower=True):
+                n, hashes = t.words()[3], t.word_hashes()
+                owner = np.repeat(np.arange(t.n), n)
+                word = vocab.of(hashes)
+                each, rest = -base[word], np.ones(len(hashes), bool)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    rest = known[at] != hashes
+                    each += np.where(rest, 0.0, known_log[at])
+                total = np.bincount(owner, each, minlength=t.n).astype(np.float64)
+                classes = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), t.n, [None, pa.py_buffer(_offsets(n)), pa.py_buffer(word.astype(np.uint8))]
+                )
+                words = pa.LargeListArray.from_arrays(
+                    pa.array(_offsets(np.bincount(owner[rest], minlength=t.n))), pa.array(hashes[rest].view(np.int64))
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(lo, hi - lo), pa.array(row + np.arange(t.n)), pa.array(n), classes.cast(pa.binary()), pa.array(total), words.cast(pa.list_(pa.int64()))],
+                    ["doc_id", "row", "n_words", "classes", "head", "words"],
+                )
+                row += t.n
+
+    schema = "doc_id long, row long, n_words long, classes binary, head double, words array<long>"
+    return write_once(_texts(docs).mapInArrow(run, schema), "encoded")
+
+
+def _offsets(n: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+
+
+def _encoded_parts(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, classes, words per row) of about SLICE_BYTES words each (or of one longer text)."""
+    column = b.column("classes").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + T.SLICE_BYTES, side="right")) - 1)
+        yield lo, hi, raw[off[lo] : off[hi]], np.diff(off[lo : hi + 1])
+        lo = hi
+
+
+def fit_network(encoded: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights averaged over tasks after every round; ``encoded`` as of :func:`encode`."""
     weights = initial_weights()
     for r in range(rounds):
         start, rate = weights, RATE / (1 + r)
@@ -175,10 +254,11 @@ def fit_network(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.
             w = start.copy()
             parts, seen = unpacked(w), 0
             for b in batches:
-                for _, _, t in T.slices(b.column("text"), lower=True):
-                    word, around = contexts(t, vocab)
-                    pick = in_round(t, len(word), r, rounds)
-                    train(parts, word[pick], around[pick], rate)
+                rows = b.column("row").to_numpy()
+                for lo, hi, word, n in _encoded_parts(b):
+                    place = T.ranges(np.zeros(hi - lo, np.int64), n)
+                    pick = in_round(np.repeat(rows[lo:hi], n), place, r, rounds)
+                    train(parts, word[pick], _around(word, n)[pick], rate)
                     seen += int(pick.sum())
             if seen:
                 yield pa.RecordBatch.from_arrays(
@@ -187,7 +267,7 @@ def fit_network(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.
                 )
 
         mean = (
-            _texts(docs).mapInArrow(run, "i long, wn double, n double").groupBy("i")
+            encoded.select("row", "classes").mapInArrow(run, "i long, wn double, n double").groupBy("i")
             .agg((F.sum("wn") / F.sum("n")).alias("w")).orderBy("i").toArrow()
         )
         if mean.num_rows:
@@ -195,57 +275,31 @@ def fit_network(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.
     return weights
 
 
-def score_documents(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray, counts: DataFrame | None = None) -> DataFrame:
-    """``doc_id, n_words, log_prob, mean_log_prob`` of every row's whole text; ``counts`` as of :func:`word_counts`."""
-    counts = word_counts(docs) if counts is None else counts
-    own = docs.sparkSession.createDataFrame([(int(k),) for k in vocab.keys.view(np.int64)], "word long")
-    rare = counts.join(F.broadcast(own), "word", "left_anti")
-    shared = F.lit(WORDS) + F.shiftrightunsigned("word", 32) % SHARED
-    base = np.zeros(CLASSES)
-    for r in rare.groupBy(shared.alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        base[r["k"]] = np.log(r["n"] + r["v"] + 1.0)
-    top = rare.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    head = top.column("word").to_numpy().view(np.uint64)
-    order = np.argsort(head)
-    # a word with a class of its own is the whole of it
-    known = np.concatenate([vocab.keys, head[order]])
-    known_log = np.concatenate([np.zeros(len(vocab.keys)), np.log(top.column("n").to_numpy()[order] + 1.0)])
-    order = np.argsort(known)
-    known, known_log = known[order], known_log[order]
+def score_documents(encoded: DataFrame, weights: np.ndarray, counts: DataFrame) -> DataFrame:
+    """``doc_id, n_words, log_prob, mean_log_prob`` of every encoded row; ``counts`` as of :func:`word_counts`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, row = unpacked(weights), TaskContext.get().partitionId() << 40
+        w = unpacked(weights)
         for b in batches:
-            for lo, hi, t in T.slices(b.column("text"), lower=True):
-                n, hashes = t.words()[3], t.word_hashes()
-                owner = np.repeat(np.arange(t.n), n)
-                word, around = contexts(t, vocab)
-                each = log_probabilities(w, word, around) - base[word]
-                rest = np.ones(len(hashes), bool)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    rest = known[at] != hashes
-                    each += np.where(rest, 0.0, known_log[at])
-                total = np.bincount(owner, each, minlength=t.n).astype(np.float64)
-                off = np.concatenate([[0], np.cumsum(np.bincount(owner[rest], minlength=t.n))]).astype(np.int32)
-                words = pa.ListArray.from_arrays(pa.array(off), pa.array(hashes[rest].view(np.int64)))
+            for lo, hi, word, n in _encoded_parts(b):
+                each = log_probabilities(w, word, _around(word, n))
+                total = np.bincount(np.repeat(np.arange(hi - lo), n), each, minlength=hi - lo).astype(np.float64)
+                part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, hi - lo), pa.array(row + np.arange(t.n)), pa.array(n), pa.array(total), words],
-                    ["doc_id", "row", "n_words", "known", "words"],
+                    [part.column("doc_id"), part.column("row"), part.column("n_words"), pc.add(part.column("head"), pa.array(total))],
+                    ["doc_id", "row", "n_words", "known"],
                 )
-                row += t.n
 
-    schema = "doc_id long, row long, n_words long, known double, words array<long>"
-    scored = write_once(_texts(docs).mapInArrow(run, schema), "scored")
-    rest = scored.select("row", F.explode("words").alias("word")).join(counts, "word", "left")
+    known = encoded.select("doc_id", "row", "n_words", "classes", "head").mapInArrow(run, "doc_id long, row long, n_words long, known double")
+    rest = encoded.select("row", F.explode("words").alias("word")).join(counts, "word", "left")
     rest = rest.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + 1.0)).alias("rest"))
     total = F.col("known") + F.coalesce("rest", F.lit(0.0))
-    out = scored.select("doc_id", "row", "n_words", "known").join(rest, "row", "left").withColumn("log_prob", total)
+    out = known.join(rest, "row", "left").withColumn("log_prob", total)
     return out.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Counts, vocabulary, training and scoring over the same documents."""
     counts = word_counts(docs)
-    vocab = vocabulary(docs, counts)
-    return score_documents(docs, vocab, fit_network(docs, vocab), counts)
+    encoded = encode(docs, vocabulary(docs, counts), counts)
+    return score_documents(encoded, fit_network(encoded), counts)

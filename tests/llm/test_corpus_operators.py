@@ -321,9 +321,10 @@ def test_network_gradient_and_scores():
 
 def test_scoring_learns_and_is_complete(spark, odd_docs, no_docs, sf01):
     docs = spark.read.parquet(f"{sf01}/documents.parquet")
-    vocab = lm_score.vocabulary(docs)
-    mean = lambda w: lm_score.score_documents(docs, vocab, w).agg(F.sum("log_prob") / F.sum("n_words")).first()[0]
-    assert mean(lm_score.fit_network(docs, vocab)) > mean(lm_score.initial_weights()) + 0.1
+    counts = lm_score.word_counts(docs)
+    encoded = lm_score.encode(docs, lm_score.vocabulary(docs, counts), counts)
+    mean = lambda w: lm_score.score_documents(encoded, w, counts).agg(F.sum("log_prob") / F.sum("n_words")).first()[0]
+    assert mean(lm_score.fit_network(encoded)) > mean(lm_score.initial_weights()) + 0.1
     rows = lm_score.lm_scores(odd_docs).collect()
     assert len(rows) == odd_docs.count()
     assert all((r["mean_log_prob"] is None) == (r["n_words"] == 0) and r["log_prob"] <= 0 for r in rows)
@@ -348,7 +349,9 @@ def test_every_word_has_its_own_probability(spark, monkeypatch):
     each = [p + (np.log((count.get(w, 0) + 1) / mass.get(k, 1)) if k >= lm_score.WORDS else 0) for w, k, p in zip(flat, word, each)]
     for head in (0, 40, 65_536):
         monkeypatch.setattr(lm_score, "HEAD", head)
-        got = {r["doc_id"]: r["log_prob"] for r in lm_score.score_documents(docs, vocab, weights, lm_score.word_counts(told)).collect()}
+        counts = lm_score.word_counts(told)
+        scored = lm_score.score_documents(lm_score.encode(docs, vocab, counts), weights, counts)
+        got = {r["doc_id"]: r["log_prob"] for r in scored.collect()}
         at = 0
         for i, t in enumerate(texts):
             n = len((t or "").split())
@@ -357,8 +360,19 @@ def test_every_word_has_its_own_probability(spark, monkeypatch):
 
 
 def test_every_position_is_trained_on():
-    t = next(T.slices(__import__("pyarrow").array(["a b c d e f g " * 40])))[2]
-    assert sum(lm_score.in_round(t, 280, r, lm_score.ROUNDS).astype(int) for r in range(lm_score.ROUNDS)).tolist() == [1] * 280
+    row, place = np.repeat([3, 7 << 40], 140), np.tile(np.arange(140), 2)
+    rounds = [lm_score.in_round(row, place, r, lm_score.ROUNDS) for r in range(lm_score.ROUNDS)]
+    assert np.sum(rounds, axis=0).tolist() == [1] * 280
+    assert all(60 < m.sum() < 130 for m in rounds)
+
+
+def test_large_weights_do_not_overflow():
+    w = [10 * p for p in lm_score.unpacked(lm_score.initial_weights())]
+    w[4][5] = 900
+    word = np.array([5, 6])
+    with np.errstate(all="raise", under="ignore"):
+        got = lm_score.log_probabilities(w, word, np.full((2, 2 * lm_score.SIDE), lm_score.BOUNDARY))
+    assert got[0] == pytest.approx(0, abs=1e-3) and -1000 < got[1] < -500
 
 
 def test_toxicity_of_held_out_documents(spark, sf01):
