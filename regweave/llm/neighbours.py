@@ -7,6 +7,8 @@ block: cosine in double precision on the original vectors, the best few of each
 are the answer.
 
 Equal vectors are one class (with its smallest ids, as many as an answer can need), so copies cannot fill a leaf.
+Trees are shallower on small tables, down to a single leaf.
+A query whose leaves hold fewer vectors than it asks for is compared with all vectors, in blocks.
 The number of leaves visited is a fixed share of all leaves: on vectors without any cluster structure that is
 what a recall above 0.9 takes, at every table size (measured in the tests).
 
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from regweave.session import write_once
 
 TREES = 16
+#: Levels of a tree; smaller tables have fewer, so that a leaf keeps some LEAF vectors.
 DEPTH = 6
+LEAF = 32
 SHARE = 0.12
 SAMPLE = 65_536
 BLOCK = 4096
@@ -54,7 +58,7 @@ class ProjectionForest:
         return self.directions.shape[1]
 
     def project(self, unit: np.ndarray) -> np.ndarray:
-        return (unit @ self.directions.reshape(self.trees * self.depth, -1).T).reshape(len(unit), self.trees, self.depth)
+        return (unit @ self.directions.reshape(self.trees * self.depth, self.directions.shape[2]).T).reshape(len(unit), self.trees, self.depth)
 
     def leaves(self, unit: np.ndarray) -> np.ndarray:
         """The leaf of every vector in every tree; leaves of different trees have different numbers."""
@@ -148,6 +152,7 @@ def nearest(
         return spark.createDataFrame([], schema)
     dim, total = int(sizes["dim"]), int(sizes["n"])
     classes = classes.filter(F.size("v") == dim)
+    depth = min(depth, max(0, (total // LEAF).bit_length() - 1))
     sample = classes.orderBy(F.xxhash64("c", F.lit(SEED)), "c").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
     forest = fit_forest(_unit(_matrix(sample, dim)), trees, depth)
     shared = spark.sparkContext.broadcast(forest)
@@ -166,16 +171,21 @@ def nearest(
                 part = b.slice(lo, 512)
                 yield _expanded(part, [shared.value.search(u, visits) for u in _unit(_matrix(part.column("v"), dim))])
 
+    def blocked(stored: DataFrame, sought: DataFrame, blocks: int, asked_blocks: int) -> DataFrame:
+        """Stored and sought vectors of a leaf, dealt so that every pair of them meets in one block of the leaf."""
+        spot, columns = F.xxhash64("c"), ["leaf", "bx", "by", "c", "v"]
+        stored = stored.withColumn("by", F.pmod(spot, F.lit(blocks)).cast("int"))
+        stored = stored.withColumn("bx", F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))))
+        sought = sought.withColumn("bx", F.pmod(spot, F.lit(asked_blocks)).cast("int"))
+        sought = sought.withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return stored.select(*columns, F.lit(False).alias("ask")).union(sought.select(*columns, F.lit(True).alias("ask")))
+
     placed = f"leaf long, c long, v {kind}"
     blocks = -(-total // ((1 << depth) * BLOCK))
     asked_blocks = -(-(total * visits) // (50 * (trees << depth) * BLOCK))
-    spot = F.xxhash64("c")
     stored = classes.select("c", "v").mapInArrow(index, placed)
-    stored = stored.withColumn("by", F.pmod(spot, F.lit(blocks)).cast("int")).withColumn("bx", F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))))
     sought = classes.filter("asked").select("c", "v").mapInArrow(route, placed)
-    sought = sought.withColumn("bx", F.pmod(spot, F.lit(asked_blocks)).cast("int")).withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    columns = ["leaf", "bx", "by", "c", "v"]
-    both = stored.select(*columns, F.lit(False).alias("ask")).union(sought.select(*columns, F.lit(True).alias("ask")))
+    both = blocked(stored, sought, blocks, asked_blocks)
     want = answers + 1
 
     def rerank(table: pa.Table) -> pa.Table:
@@ -204,10 +214,20 @@ def nearest(
         cat = lambda v, kind: pa.array(np.concatenate(v) if v else np.zeros(0), kind)
         return pa.table({"q": cat(out_q, pa.int64()), "c": cat(out_c, pa.int64()), "score": cat(out_s, pa.float64())})
 
-    found = both.groupBy("leaf", "bx", "by").applyInArrow(rerank, "q long, c long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
-    found = found.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= want)
+
+    def best_of(both: DataFrame) -> DataFrame:
+        found = both.groupBy("leaf", "bx", "by").applyInArrow(rerank, "q long, c long, score double")
+        found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
+        return found.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= want).select("q", "c", "score")
+
+    found = write_once(best_of(both), "found")
+    full = found.groupBy("q").count().filter(F.col("count") >= min(want, total)).select(F.col("q").alias("c"))
+    short = write_once(classes.filter("asked").join(full, "c", "left_anti").select(F.lit(0).cast("long").alias("leaf"), "c", "v"), "short")
+    if (lacking := short.count()) > 0:
+        everything = classes.select(F.lit(0).cast("long").alias("leaf"), "c", "v")
+        more = best_of(blocked(everything, short, -(-total // BLOCK), -(-lacking // BLOCK)))
+        found = found.join(short.select(F.col("c").alias("q")), "q", "left_anti").select("q", "c", "score").union(more)
     asked = rows.filter("asked").select("id", "v").distinct().join(classes.filter("asked").select(F.col("c").alias("q"), "v"), "v")
     lists = found.join(classes.select("c", "ids"), "c").groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     pairs = (

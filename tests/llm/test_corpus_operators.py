@@ -224,6 +224,23 @@ def test_neighbours_of_copies_and_odd_vectors(spark):
     assert [tuple(r)[:3] for r in neighbours.nearest(two, F.col("vec_id") == 0).collect()] == [(0, 1, 7)]
 
 
+@pytest.mark.parametrize("rows, dim, distinct", [(2, 8, 2), (4, 32, 4), (6, 64, 6), (10, 384, 10), (30, 16, 3)])
+def test_small_tables_give_every_answer(spark, rows, dim, distinct):
+    """As many rows as the contract asks for, and the exact ones, where leaves hold too few."""
+    rng = np.random.default_rng(rows)
+    x = rng.normal(size=(distinct, dim))
+    x = x[np.arange(rows) % distinct]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.lit(True)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(rows):
+        score = np.round(unit @ unit[q], 12)
+        want = [i for i in np.lexsort((np.arange(rows), -score)) if i != q][:5]
+        assert got[q] == want
+
+
 def test_raking_meets_all_margins(spark):
     rng = np.random.default_rng(1)
     cells = [(f"s{s}" if s else None, lang, t, int(rng.integers(1, 1000))) for s in range(5) for lang in ("en", "de", None) for t in range(3)]
