@@ -116,5 +116,7 @@ def quality_rules(docs: DataFrame, forest: Forest, keep: list[str] | None = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass; same columns."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    verdicts = quality_rules(docs, fit_quality(docs, labels), docs.columns)
-    return verdicts.filter("kept").select(*docs.columns)
+    inner = {c: f"_in{i}" for i, c in enumerate(docs.columns)}  # own names cannot clash with the operator's
+    plain = docs.select(*[F.col(f"`{c}`").alias(inner[c]) for c in docs.columns], "text")
+    verdicts = quality_rules(plain, fit_quality(docs, labels), list(inner.values()))
+    return verdicts.filter("kept").select(*[F.col(inner[c]).alias(c) for c in docs.columns])
