@@ -4,9 +4,9 @@ A worklist starts with the text itself. Each layer is scanned with the base patt
 character escapes are decoded in place (with their surroundings); base64 runs (also wrapped over lines, and from every
 alignment that a separator or a line start gives) become layers of their own. Compressed data is opened wherever it
 starts in the bytes that base64, percent or escape runs carry, one member after the other. Bytes that are no clean
-UTF-8 are read one character a byte, and once more without NULs (UTF-16 and UTF-32). A layer seen before is not opened
-again, so cycles end. Every character of a layer
-carries the range of the original text it came from; finds are reported there. Offsets count code points.
+UTF-8 are read one character a byte, and once more without NULs (UTF-16 and UTF-32). A layer seen before at the
+same place is not opened again, so cycles end; the same carrier at another place is opened there too. Every character
+of a layer carries the range of the original text it came from; finds are reported there. Offsets count code points.
 
 Byte-level prefilters over whole slices decide which texts need regular expressions at all; they only skip texts
 in which no pattern can match and nothing can be decoded.
@@ -38,6 +38,8 @@ from regweave.llm import text as T
 KINDS = ("assign", "access", "hex")
 MAX_UNPACKED = 64 << 20
 MASK = "[REMOVED]"
+#: Bytes given to the zstandard decoder at a time; a block of 4 bytes can stand for 128 KB.
+_ZSTD_STEP = 512
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
@@ -54,7 +56,8 @@ _ESCAPED_BYTE = re.compile(r"\\x[0-9A-Fa-f]{2}|\\.|.", re.DOTALL)
 _SHORT = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0"))
 _HEXDIGIT = T.table("0123456789abcdefABCDEF")
 _HEXLOW = T.table("0123456789abcdef")
-_B64 = T.table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+_DIGITS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+_B64 = T.table("".join(sorted(_DIGITS)))
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 
@@ -88,9 +91,16 @@ def _readings(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
 
 
 def _unzstd(data: bytes) -> tuple[bytes, int]:
-    d = zstandard.ZstdDecompressor().decompressobj()
-    out = d.decompress(data)
-    return out, len(data) - len(d.unused_data)
+    """One frame; fed in small pieces, since a frame need not say its size and one call has no limit."""
+    d, parts, size = zstandard.ZstdDecompressor().decompressobj(), [], 0
+    for lo in range(0, len(data), _ZSTD_STEP):
+        parts.append(d.decompress(data[lo : lo + _ZSTD_STEP]))
+        size += len(parts[-1])
+        if size > MAX_UNPACKED:
+            raise ValueError("too large")
+        if d.eof:
+            return b"".join(parts), min(lo + _ZSTD_STEP, len(data)) - len(d.unused_data)
+    return b"".join(parts), len(data)
 
 
 def _limited(make):
@@ -122,9 +132,8 @@ def _member(data: bytes) -> tuple[bytes, int] | None:
     """The content of the compressed data at the start, and how many bytes it takes; None if there is none."""
     if data[:4] == b"\x28\xb5\x2f\xfd":
         try:
-            size = zstandard.frame_content_size(data)
-            return _unzstd(data) if size <= MAX_UNPACKED else None
-        except (zstandard.ZstdError, MemoryError):
+            return _unzstd(data)
+        except (zstandard.ZstdError, ValueError):
             return None
     for magic, read in _PACKED:
         if data.startswith(magic):
@@ -174,27 +183,43 @@ class _Layer:
         parts.append(self.text[at:])
         return _Layer("".join(parts), np.concatenate([*lo, self.lo[at:]]), np.concatenate([*hi, self.hi[at:]]))
 
-    def carried(self, data: bytes, first: np.ndarray, last: np.ndarray, opened: set[bytes]) -> Iterator[_Layer]:
+    @property
+    def key(self) -> tuple[str, int, int]:
+        """The same text from the same place is the same layer."""
+        return self.text, int(self.lo.min()) if len(self.lo) else 0, int(self.hi.max(initial=0))
+
+    def carried(self, data: bytes, first: np.ndarray, last: np.ndarray, opened: set[tuple]) -> Iterator[_Layer]:
         """Layers of bytes that stand on the characters ``first`` to ``last`` (one of each per byte)."""
         for text, a, z in _readings(data):
             yield _Layer(text, self.lo[first[a]], self.hi[last[z]])
-        for s, e, content in _contents(data, opened):
+        for s, e, content in _contents(data):
             lo, hi = self.lo[first[s:e]].min(), self.hi[last[s:e]].max()
+            if (place := (hashlib.sha256(content).digest(), int(lo), int(hi))) in opened:
+                continue
+            opened.add(place)
             for text, _, _ in _readings(content):
                 yield _Layer(text, np.broadcast_to(lo, len(text)), np.broadcast_to(hi, len(text)))
 
 
-def _contents(data: bytes, opened: set[bytes]) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, content) of all compressed data inside ``data``, however often compressed; each content once."""
+def _contents(data: bytes, within: set[bytes] | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, content) of all compressed data inside ``data``, however often compressed.
+
+    What is nested in one content has the place of its outermost carrier, so there each content comes once
+    (``within``); contents at different places of ``data`` all come, equal ones too.
+    """
     at = 0
     while (m := _MAGIC.search(data, at)) is not None:
         s, got = m.start(), unpack(data[m.start() :])
         at = s + 1 if got is None else s + max(got[1], 1)
-        if got is None or not got[0] or (digest := hashlib.sha256(got[0]).digest() + b"%d" % s) in opened:
+        if got is None or not got[0]:
             continue
-        opened.add(digest)
+        inside = set() if within is None else within
+        digest = hashlib.sha256(got[0]).digest()
+        if digest in inside:
+            continue
+        inside.add(digest)
         yield s, at, got[0]
-        for _, _, content in _contents(got[0], opened):
+        for _, _, content in _contents(got[0], inside):
             yield s, at, content
 
 
@@ -236,7 +261,7 @@ def _debase(digits: str) -> bytes:
     return base64.b64decode(digits + "=" * (-len(digits) % 4))
 
 
-def _base64_layers(layer: _Layer, m: re.Match, opened: set[bytes]) -> Iterator[_Layer]:
+def _base64_layers(layer: _Layer, m: re.Match, opened: set[tuple]) -> Iterator[_Layer]:
     run = m[0].rstrip("=")
     inside = np.array([c not in " \t\r\n" for c in run])
     place = np.flatnonzero(inside)
@@ -251,7 +276,7 @@ def _base64_layers(layer: _Layer, m: re.Match, opened: set[bytes]) -> Iterator[_
             yield from layer.carried(data, at[4 * i // 3], at[last], opened)
 
 
-def _byte_run_layers(layer: _Layer, opened: set[bytes]) -> Iterator[_Layer]:
+def _byte_run_layers(layer: _Layer, opened: set[tuple]) -> Iterator[_Layer]:
     """What is packed in, or hidden between NULs of, bytes written as percent or escape runs with plain characters between."""
     for mark, runs, one in (("%", PERCENT_BYTES, _BYTE_OF), ("\\x", ESCAPE_BYTES, _ESCAPED_BYTE)):
         if mark not in layer.text:
@@ -267,7 +292,7 @@ def _byte_run_layers(layer: _Layer, opened: set[bytes]) -> Iterator[_Layer]:
             yield from layer.carried(data, first, last, opened)
 
 
-def _unwrapped(layer: _Layer, opened: set[bytes]) -> Iterator[_Layer]:
+def _unwrapped(layer: _Layer, opened: set[tuple]) -> Iterator[_Layer]:
     for pattern, decode in ((PERCENT, _percent), (ESCAPE, _escape)):
         new = layer.replaced(pattern, decode)
         if new is not None:
@@ -282,12 +307,13 @@ def all_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of the text and of everything nested in it, in original offsets: (start, kind index, end)."""
     found = set(base_spans(text))
     at = np.arange(len(text))
-    work, seen, opened = [_Layer(text, at, at + 1)], {text}, set()
+    work, opened = [_Layer(text, at, at + 1)], set()
+    seen = {work[0].key}
     while work:
         for new in _unwrapped(work.pop(), opened):
-            if new.text in seen:
+            if not new.text or new.key in seen:
                 continue
-            seen.add(new.text)
+            seen.add(new.key)
             work.append(new)
             for s, kind, e in base_spans(new.text):
                 found.add((int(new.lo[s:e].min()), kind, int(new.hi[s:e].max())))
@@ -363,10 +389,22 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _padded(text: str, e: int) -> int:
+    """The end of the padding, if a run of base64 digits ends at ``e`` and the signs that follow complete it."""
+    if not text.startswith("=", e):
+        return e
+    signs = 1 + text.startswith("=", e + 1)
+    s = e
+    while s and text[s - 1] in _DIGITS:
+        s -= 1
+    return e + signs if s < e and (e - s + signs) % 4 == 0 else e
+
+
 def redacted(text: str, spans: list[tuple[int, int, int]], mask: str = MASK) -> str:
-    """The text with every span (overlapping ones joined) replaced."""
+    """The text with every span (overlapping ones joined) replaced, the padding of base64 that ends there included."""
     parts, at = [], 0
     for s, _, e in spans:
+        e = _padded(text, e)
         if e <= at:
             continue
         if s >= at:

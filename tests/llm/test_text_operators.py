@@ -11,6 +11,7 @@ from urllib.parse import quote
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -72,6 +73,13 @@ def test_trees_learn_and_stay_monotone():
     assert (np.diff(level) >= 0).all() and (np.diff(knots) >= 0).all()
 
 
+def test_quality_stage_keeps_columns_of_any_name(spark, odd_docs, no_docs, sf01):
+    named = odd_docs.withColumn("n_words", F.lit(1)).withColumn("quality", F.lit("q")).withColumn("a.b", F.col("row"))
+    out = quality.quality_stage(spark, named, sf01)
+    assert out.columns == named.columns and {r["_text"] for r in out.collect()} <= {"x", None}
+    assert quality.quality_stage(spark, no_docs, sf01).count() == 0
+
+
 def test_quality_rejects_what_labels_call_bad(spark, sf01):
     docs, labels = (spark.read.parquet(f"{sf01}/{t}.parquet") for t in ("documents", "labels"))
     marks = labels.selectExpr("doc_id", "quality AS good")
@@ -239,6 +247,53 @@ def test_exact_offsets_through_percent_and_base64():
     assert (2 + 4, 1, 2 + len(inner.rstrip("="))) in secret_scan.all_spans(f"x {inner}")
 
 
+@pytest.mark.parametrize(
+    "carrier",
+    [
+        base64.b64encode(SECRET.encode()).decode(),
+        base64.b64encode(gzip.compress(SECRET.encode())).decode(),
+        base64.b64encode(zstandard.compress(base64.b64encode(SECRET.encode()))).decode(),
+        "".join(f"%{b:02X}" for b in zlib.compress(SECRET.encode())),
+        "".join(f"%25{b:02X}" for b in SECRET.encode()),
+    ],
+)
+def test_the_same_carrier_is_opened_wherever_it_stands(carrier):
+    text = f"one {carrier} two {carrier}\nthree {carrier}"
+    found = secret_scan.all_spans(text)
+    for m in re.finditer(re.escape(carrier), text):
+        assert any(k == 0 and m.start() <= s < e <= m.end() for s, k, e in found)
+    masked = secret_scan.redacted(text, found)
+    assert carrier not in masked and "==" not in masked and masked.startswith("one ") and "\nthree " in masked
+
+
+def test_equal_members_in_one_carrier_are_all_found():
+    packed = gzip.compress(SECRET.encode(), mtime=0)
+    text = base64.b64encode(packed + b" between " + packed).decode()
+    assert len({(s, e) for s, k, e in secret_scan.all_spans(text) if k == 0}) == 2
+
+
+def test_padding_is_masked_only_where_it_completes_base64():
+    digits = base64.b64encode(SECRET.encode() + b"12").decode()
+    assert digits.endswith("=") and secret_scan.redacted(f"a {digits} b", secret_scan.all_spans(f"a {digits} b")) == f"a {secret_scan.MASK} b"
+    assert secret_scan.redacted(f"{KEY}=x", secret_scan.all_spans(f"{KEY}=x")) == f"{secret_scan.MASK}=x"
+
+
+def test_frames_without_a_size_are_limited():
+    packer = zstandard.ZstdCompressor(write_content_size=False).compressobj()
+    frame = b"".join(packer.compress(b" " * (1 << 20)) for _ in range(200)) + packer.flush()
+    with pytest.raises(ValueError):
+        secret_scan._unzstd(frame)
+    assert secret_scan.unpack(frame) is None
+    small = zstandard.ZstdCompressor(write_content_size=False).compressobj()
+    small = small.compress(SECRET.encode()) + small.flush()
+    assert secret_scan.unpack(small + b"tail") == (SECRET.encode(), len(small))
+
+
+def test_a_content_that_holds_itself_ends(monkeypatch):
+    monkeypatch.setattr(secret_scan, "unpack", lambda data: (data, len(data)) if data.startswith(b"BZh") else None)
+    assert [c for _, _, c in secret_scan._contents(b"BZh and so on")] == [b"BZh and so on"]
+
+
 def test_cycles_bombs_and_junk_end():
     assert secret_scan.all_spans("%2525252525" * 50) == []
     bomb = base64.b64encode(zlib.compress(b"a" * (secret_scan.MAX_UNPACKED + 10))).decode()
