@@ -80,20 +80,23 @@ def matrix_slice_lines(spark, sf):
 
 
 SQL_SPARSE = """
-cells AS (SELECT s_suppkey AS cell FROM supplier),
-genes AS (SELECT CAST(p_partkey AS VARCHAR) AS gene FROM part),
+cells AS (
+  SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS cell FROM orders
+  UNION SELECT CAST(year(l_shipdate) * 12 + month(l_shipdate) AS BIGINT) FROM lineitem),
+genes AS (SELECT CAST(c_custkey AS VARCHAR) AS gene FROM customer),
 expr AS (
-  SELECT CAST(l_partkey AS VARCHAR) AS gene, l_suppkey AS cell, sum(l_quantity) AS value
-  FROM lineitem WHERE l_suppkey % 2 = 0 AND l_partkey % 3 > 0 GROUP BY 1, 2 HAVING sum(l_quantity) <> 0)
+  SELECT CAST(o_custkey AS VARCHAR) AS gene, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS cell, CAST(count(*) AS DOUBLE) AS value
+  FROM orders GROUP BY 1, 2)
 """
 
 
-def sparse_parts(spark, sf):
-    """Parts by suppliers where every second supplier and every third part has no entry."""
-    some = table(spark, sf, "lineitem").filter((F.col("l_suppkey") % 2 == 0) & (F.col("l_partkey") % 3 > 0))
-    values = some.groupBy(F.col("l_partkey").cast("string").alias("gene"), F.col("l_suppkey").alias("cell")).agg(F.sum("l_quantity").alias("value"))
-    cells = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell"))
-    return M.Expression(M.drop_missing(values), cells, names=table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("gene")))
+def orders_by_month(spark, sf):
+    """Orders of customers by month; customers without orders and months in which goods were only shipped have no entry."""
+    month = lambda day: (F.year(day) * 12 + F.month(day)).cast("long").alias("cell")
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("gene"), month("o_orderdate"))
+    cells = orders.select("cell").union(table(spark, sf, "lineitem").select(month("l_shipdate"))).distinct()
+    values = orders.groupBy("gene", "cell").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return M.Expression(values, cells, names=table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("gene")))
 
 
 @query(
@@ -105,7 +108,7 @@ def sparse_parts(spark, sf):
 def matrix_with_empty_cells(spark, sf):
     """Cells and genes without any entry keep their column and their line."""
     path = scratch_path(spark, "sparse")
-    W.save_matrix_slice(sparse_parts(spark, sf), path)
+    W.save_matrix_slice(orders_by_month(spark, sf), path)
     return spark.read.text(path)
 
 
@@ -115,7 +118,7 @@ def matrix_with_empty_cells(spark, sf):
 )
 def dimensions_with_empty_cells(spark, sf):
     path = scratch_path(spark, "sparse")
-    W.save_matrix_slice(sparse_parts(spark, sf), path)
+    W.save_matrix_slice(orders_by_month(spark, sf), path)
     return M.dimensions(T.read_gene_major(spark, path))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from regweave.catalog.registry import query
@@ -15,7 +16,7 @@ from regweave.plans import estimate as EST
 from regweave.plans import infer as INF
 from regweave.plans.histogram import HistogramBooster
 from regweave.plans.run import run
-from regweave.plans.tasks import flat_map_targets
+from regweave.plans.tasks import flat_map_targets, flat_map_targets_with_regulators
 from regweave.session import scratch_path, write_once
 from regweave.sinks.writers import save_edges_parquet, save_matrix_slice
 from regweave.sources.text import read_edges
@@ -332,6 +333,58 @@ def target_tasks(spark, sf):
     )
 
 
+@query(
+    "target_regulator_tasks",
+    f"""WITH {SQL_PARTS}, own AS (SELECT e.*, gene IN (SELECT regulator FROM regs) AS regulating FROM expr e),
+    nn AS (SELECT count(*) AS n FROM cells),
+    m AS (SELECT gene, regulating, sum(value) AS s, sum(value * value) AS q FROM own GROUP BY 1, 2),
+    dots AS (SELECT r.gene AS regulator, t.gene AS target, sum(r.value * t.value) AS d
+      FROM own r JOIN own t ON r.cell = t.cell WHERE r.regulating AND r.gene <> t.gene GROUP BY 1, 2)
+    SELECT r.gene AS regulator, t.gene AS target,
+      round((n * coalesce(d, 0) - r.s * t.s) / nullif(sqrt(n * r.q - r.s * r.s) * sqrt(n * t.q - t.s * t.s), 0), 6) AS correlation
+    FROM m r CROSS JOIN m t CROSS JOIN nn LEFT JOIN dots ON regulator = r.gene AND target = t.gene
+    WHERE r.regulating AND r.gene <> t.gene""",
+)
+def target_regulator_tasks(spark, sf):
+    """A user task that correlates its target with every regulator of a block."""
+    expr = parts_expression(spark, sf)
+    indexed = index_cells(expr.cells)
+    packed = write_once(pack(slice_cells(expr.values, indexed), indexed.count()), "packed")
+
+    def correlate(row, block):
+        n, s, q = block.size, float(sum(row.values)), float(sum(v * v for v in row.values))
+        sums, squares = block.sums(block.values), block.sums(block.values**2)
+        spread = np.sqrt(np.maximum(n * squares - sums**2, 0)) * np.sqrt(max(n * q - s * s, 0))
+        cov = n * block.products(row) - sums * s
+        for name, c, w in zip(block.genes, cov, spread):
+            if name != row.gene:
+                yield name, row.gene, float(c / w) if w else None
+
+    out = flat_map_targets_with_regulators(packed, part_regulators(spark, sf), correlate, "regulator string, target string, correlation double")
+    return out.select("regulator", "target", F.round("correlation", 6).alias("correlation"))
+
+
+@query(
+    "run_report_items",
+    f"""WITH {SQL_PARTS}, r AS (SELECT count(*) AS n FROM expr WHERE gene IN (SELECT regulator FROM regs)),
+    items AS (SELECT 'matrix.entries' AS key, CAST(count(*) AS VARCHAR) AS value FROM expr
+      UNION ALL SELECT 'matrix.cells', CAST(count(*) AS VARCHAR) FROM cells
+      UNION ALL SELECT 'matrix.regulator_entries', CAST(n AS VARCHAR) FROM r
+      UNION ALL SELECT 'matrix.regulator_bytes', CAST(12 * n AS VARCHAR) FROM r)
+    SELECT * FROM items UNION ALL SELECT * FROM (VALUES ('rounds', '7'), ('params.nr_folds', '5'), ('params.nr_rounds', '7'),
+      ('boost.eta', '0.01'), ('boost.max_depth', '1'), ('boost.subsample', '1.0'), ('config.run_mode', '"cfg"'))""",
+)
+def run_report_items(spark, sf):
+    """The report of a run from files: sizes counted while the matrix is stored, and parameters as resolved."""
+    matrix, names, out = (scratch_path(spark, n) for n in ("report-matrix", "report-regulators", "report-output"))
+    save_matrix_slice(parts_expression(spark, sf), matrix)
+    part_regulators(spark, sf).select(F.col("gene").alias("value")).write.text(names)
+    run(spark, RunConfig(input_path=matrix, regulators_path=names, output_path=out, nr_boosting_rounds=7, run_mode="cfg"))
+    kept = ["rounds", "params.nr_folds", "params.nr_rounds", "boost.eta", "boost.max_depth", "boost.subsample", "config.run_mode"]
+    report = spark.read.json(f"{out}.report").select("key", "value")
+    return report.filter(F.col("key").isin(kept) | F.col("key").startswith("matrix."))
+
+
 @query(
     "configured_run",
     f"""WITH {_sql_rounds(3, ETA)}, edges AS (SELECT regulator, target, sum(gain) AS gain FROM log GROUP BY 1, 2),

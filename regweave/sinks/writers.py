@@ -131,14 +131,17 @@ def save_expression(values: DataFrame, path: str, nr_cells: int | None = None, f
         raise ValueError(f"unknown format: {fmt}")
 
 
-def run_report(spark, config, started: datetime, finished: datetime, rounds: int | None) -> DataFrame:
-    """One key/value row per item of the run."""
+def run_report(spark, config, started: datetime, finished: datetime, params, measured: dict[str, int]) -> DataFrame:
+    """One key/value row per item: configuration, resolved parameters, sizes of the matrix, times."""
     items = {f"config.{k}": v for k, v in dataclasses.asdict(config).items()}
+    resolved = dataclasses.asdict(params)
+    items |= {f"boost.{k}": v for k, v in resolved.pop("boost").items()} | {f"params.{k}": v for k, v in resolved.items()}
+    items |= {f"matrix.{k}": v for k, v in measured.items()}
     items |= {
         "started": started.isoformat(timespec="seconds"),
         "finished": finished.isoformat(timespec="seconds"),
         "seconds": round((finished - started).total_seconds(), 1),
-        "rounds": rounds,
+        "rounds": params.nr_rounds,
     }
     rows = [(k, json.dumps(v, default=str)) for k, v in items.items()]
     return spark.createDataFrame(rows, "key string, value string")

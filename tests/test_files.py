@@ -7,7 +7,7 @@ from regweave.operators import select as S
 from regweave.operators.matrix import Expression, pack
 from regweave.params import BoostParams, RegressionParams, RunConfig, with_defaults, with_seed
 from regweave.plans.run import run
-from regweave.plans.tasks import flat_map_targets
+from regweave.plans.tasks import flat_map_targets, flat_map_targets_with_regulators
 from regweave.sinks import writers as W
 from regweave.sources import csc
 from regweave.sources import text as T
@@ -126,6 +126,8 @@ def test_run_modes(spark, tmp_path):
     assert 0 < saved.count() <= 5 and saved.count() == inf.edges.count()
     report = {r.key: r.value for r in spark.read.json(f"{out}.report").collect()}
     assert report["rounds"] == "3" and report["config.truncate"] == "5"
+    assert report["matrix.cells"] == "30" and report["boost.eta"] == "0.3" and report["params.nr_rounds"] == "3"
+    assert int(report["matrix.regulator_bytes"]) == 12 * int(report["matrix.regulator_entries"]) > 0
 
 
 def test_lines_keep_their_numbers_when_splits_change(spark, tmp_path):
@@ -160,6 +162,30 @@ def test_task_sees_whole_vectors(spark):
     assert sorted(map(tuple, out.collect())) == [("a", 10, 10.0), ("b", 10, 20.0)]
 
 
+def test_task_with_regulators_sees_every_pair_once(spark):
+    """Several blocks and chunks; unknown, repeated and null regulators change nothing; no regulators give no rows."""
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 3, (9, 12)).astype(float)
+    data[:, 0] = 1
+    names = list("abcdefghi")
+    packed = pack(as_expression(spark, data, names).values, 12, cells_per_row=5)
+    regs = spark.createDataFrame([(g,) for g in ["b", "d", "d", "h", "nowhere", None]], "gene string")
+
+    class Resource:
+        def close(self):
+            pass
+
+    def task(row, block, res):
+        assert isinstance(res, Resource)
+        return [(row.gene, g, float(p)) for g, p in zip(block.genes, block.products(row))]
+
+    schema = "target string, regulator string, product double"
+    got = flat_map_targets_with_regulators(packed, regs, task, schema, 2, 1, Resource)
+    want = sorted((t, r, float(data[i] @ data[names.index(r)])) for i, t in enumerate(names) for r in "bdh")
+    assert sorted(map(tuple, got.collect())) == want
+    assert flat_map_targets_with_regulators(packed, regs.limit(0), task, schema, 2, 1, Resource).count() == 0
+
+
 def test_run_estimates_its_rounds(spark, tmp_path):
     Y, _, regs, names = fixture(cells=40, regulators=4, targets=4)
     body = "".join(g + "\t" + "\t".join(str(v) for v in row) + "\n" for g, row in zip(names, Y))
