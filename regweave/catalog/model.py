@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from regweave import constants as C
 from regweave.catalog.registry import query
 from regweave.catalog.tables import SQL_PARTS, embedding_expression, part_regulators, parts_expression, sql_streaks, table
 from regweave.operators import draws
@@ -300,11 +301,46 @@ def duplicate_genes(spark, sf):
     return INF.first_round_gains(INF.prepare(expr, part_regulators(spark, sf))).withColumn("gain", F.round("gain", 4))
 
 
-@query("estimated_rounds")
+def _sql_estimates(eta: float, last: int) -> str:
+    """Stumps in a recursive query over residuals, with the first fold held out; then the first prefix of whole steps with an elbow.
+
+    ``last`` ends the recursion: an elbow beyond that round would be missing.
+    """
+    genes = draws.shuffled_sql("(SELECT DISTINCT gene FROM expr)", "gene", 666, draws.GENES)
+    folds = draws.shuffled_sql("(SELECT cell FROM cells)", "cell", 666, draws.FOLDS)
+    return f"""WITH RECURSIVE {SQL_PARTS},
+    genes AS MATERIALIZED (SELECT gene AS target FROM {genes} WHERE position < 20),
+    split AS MATERIALIZED (SELECT cell, position % 5 <> 0 AS fit FROM {folds}),
+    scale AS MATERIALIZED (SELECT gene AS target, sum(value * value) + 1 AS scale FROM expr SEMI JOIN genes ON gene = target GROUP BY 1),
+    x AS MATERIALIZED (SELECT cell, ridx, regulator, dense_rank() OVER (PARTITION BY ridx ORDER BY value) AS bin FROM expr JOIN regs ON gene = regulator),
+    state AS (
+      SELECT 0 AS round, target, c.cell, c.fit, coalesce(value, 0.0) - 0.5 AS res
+      FROM genes CROSS JOIN split c LEFT JOIN expr e ON e.gene = target AND e.cell = c.cell
+      UNION ALL (
+      WITH tot AS (SELECT target, sum(res) AS tot, CAST(count(*) AS DOUBLE) AS nc FROM state WHERE fit GROUP BY target),
+      hist AS (SELECT target, ridx, regulator, bin, sum(res) AS s, CAST(count(*) AS DOUBLE) AS n FROM state JOIN x USING (cell) WHERE fit AND regulator <> target GROUP BY ALL),
+      acc AS (SELECT target, ridx, bin, tot, nc, sum(s) OVER w AS ls, sum(n) OVER w AS ln, tot - sum(s) OVER p AS ms, nc - sum(n) OVER p AS mn
+        FROM hist JOIN tot USING (target) WINDOW w AS (PARTITION BY target, ridx ORDER BY bin), p AS (PARTITION BY target, ridx)),
+      cnd AS (SELECT *, l * l / (nl + 1) + (tot - l) * (tot - l) / (nc - nl + 1) - tot * tot / (nc + 1) AS gain FROM (
+        SELECT target, ridx, bin, d, tot, nc, ls + d * ms AS l, ln + d * mn AS nl FROM acc CROSS JOIN (VALUES (0), (1)) t(d)) WHERE nl >= 1 AND nc - nl >= 1),
+      best AS (SELECT target, ridx, bin AS cut, d FROM cnd JOIN scale USING (target) WHERE gain > 1e-6
+        QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(gain / scale, 9) DESC, ridx, bin, d) = 1),
+      sided AS (SELECT s.*, CASE WHEN b.target IS NULL THEN 0 WHEN coalesce(x.bin <= b.cut, b.d = 1) THEN 1 ELSE 2 END AS node
+        FROM state s LEFT JOIN best b ON b.target = s.target LEFT JOIN x ON x.cell = s.cell AND x.ridx = b.ridx),
+      leaf AS (SELECT target, node, {eta} * sum(res) / (count(*) + 1) AS w FROM sided WHERE fit GROUP BY ALL)
+      SELECT round + 1, target, cell, fit, res - coalesce(w, 0) FROM sided LEFT JOIN leaf USING (target, node) WHERE round < {last})),
+    losses AS (SELECT target, round - 1 AS round, sqrt(avg(res * res)) AS test_loss FROM state WHERE NOT fit AND round > 0 GROUP BY ALL),
+    curves AS (SELECT l.*, upto FROM losses l JOIN (SELECT unnest(range({C.ROUNDS_PER_BATCH}, {last} + 1, {C.ROUNDS_PER_BATCH})) AS upto) ON round < upto),
+    {sql_streaks("curves", "target, upto", "round", "test_loss", C.ELBOW_X_SCALE)}
+    SELECT target, round(test_loss, 4) AS loss, CAST(elbow AS INTEGER) AS rounds FROM marked
+    WHERE idx = elbow QUALIFY upto = min(upto) OVER (PARTITION BY target)"""
+
+
+@query("estimated_rounds", _sql_estimates(ETA, 500))
 def estimated_rounds(spark, sf):
     """Boosting rounds estimated on the default random set of genes."""
     _, estimates = EST.estimate_run(parts_expression(spark, sf), part_regulators(spark, sf), BoostParams(eta=ETA))
-    return estimates
+    return estimates.select("target", F.round("loss", 4).alias("loss"), "rounds")
 
 
 @query(
