@@ -192,13 +192,20 @@ def boosted_network_by_joins(spark, sf):
     return log.select("regulator", "target", "round", F.round("gain", 3).alias("gain"))
 
 
-@query("inferred_regulations")
+@query(
+    "inferred_regulations",
+    f"""WITH {_sql_rounds(25, 0.2, subsample=0.8, colsample=0.7, seed=777, gamma=2)}, edges AS (SELECT regulator, target, sum(gain) AS gain FROM log GROUP BY 1, 2),
+    {sql_streaks("edges", "target", "gain DESC, regulator", "gain", 3)},
+    kept AS (SELECT regulator, target, gain FROM marked WHERE elbow IS NULL OR idx < elbow - 2)
+    SELECT regulator, target, round(gain / sum(gain) OVER (PARTITION BY target), 4) AS gain, CAST(1 AS INTEGER) AS include FROM kept""",
+)
 def inferred_regulations(spark, sf):
     """The whole inference with row and column sampling, labels and normalization."""
     params = RegressionParams(BoostParams(eta=0.2, subsample=0.8, colsample_bytree=0.7, gamma=2, seed=777), nr_rounds=25)
-    return INF.infer_regulations(
+    edges = INF.infer_regulations(
         parts_expression(spark, sf), part_regulators(spark, sf), params, regularized=True, normalized=True
     )
+    return edges.withColumn("gain", F.round("gain", 4))
 
 
 @query("deep_tree_network")
