@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting over source, language and topic.
 
-1. Every document gets a topic (nearest of a few unit centroids of hashed word counts, fitted on a bounded sample)
-   and its number of words as token weight.
+1. Every document gets a topic (nearest of a few centroids of hashed word counts, fitted by k-means over all
+   documents) and its number of words as token weight. The counts are stored once, in 256 bytes a document.
 2. Tokens are summed to cells (source, language, topic), and cells to one row per source.
 3. Raking: factors for languages and topics are adjusted in turn until all three margins fit; the factor of a
    source follows from those two, so a step only sums a languages x topics table. The number of sources, and of
@@ -35,7 +35,9 @@ from regweave.session import write_once
 
 TOPICS = 8
 DIMS = 256
-TOPIC_SAMPLE = 4000
+ROUNDS = 15
+#: Length of a centroid; its components are whole numbers.
+UNIT = 4096
 TEMPERATURE = 0.8
 CEILING = 1.0
 STEPS = 50
@@ -44,52 +46,100 @@ SEED = 77
 
 
 def profiles(t: T.Texts) -> np.ndarray:
-    """Unit vectors of hashed lower-case word counts, damped by a square root."""
+    """Unit vectors of hashed lower-case word counts, damped by a square root, in steps of 1 / 255."""
     _, _, _, n = t.words()
     owner = np.repeat(np.arange(t.n), n)
     slot = (t.word_hashes() >> np.uint64(56)).astype(np.int64) % DIMS
-    x = np.sqrt(np.bincount(owner * DIMS + slot, minlength=t.n * DIMS).reshape(t.n, DIMS))
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    counts = np.bincount(owner * DIMS + slot, minlength=t.n * DIMS).reshape(t.n, DIMS)
+    return np.rint(255 * np.sqrt(counts / np.maximum(n, 1)[:, None])).astype(np.uint8)
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, limit: int = TOPIC_SAMPLE, rounds: int = 15) -> np.ndarray:
-    """Centroids by spherical k-means on at most ``limit`` documents in a seeded hash order of their ids."""
+def topic_of(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Nearest centroid by cosine, ties to the first; both sides are whole numbers, so sums are exact in any order."""
+    return (x.astype(float) @ centroids.T).argmax(1)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), DIMS)
+
+
+def store_profiles(docs: DataFrame) -> DataFrame:
+    """``_source, _lang, _tokens, x`` of every row, stored once: topics are fitted and cells summed without the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, t in T.slices(b.column("text"), lower=True):
-                x = profiles(t).astype(np.float32)
+            for lo, hi, t in T.slices(b.column("_text"), lower=True):
+                part = b.slice(lo, hi - lo)
+                x = pa.array([r.tobytes() for r in profiles(t)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"]
+                    [part.column("_source"), part.column("_lang"), pa.array(t.words()[3]), x], ["_source", "_lang", "_tokens", "x"]
                 )
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
-    ids = ids.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(limit)
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(ids.distinct()), "doc_id")
-        .mapInArrow(run, "doc_id long, x binary")
-        .groupBy("doc_id")
-        .agg(F.min("x").alias("x"))
-        .orderBy("doc_id")
-        .collect()
-    )
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(len(rows), DIMS).astype(float)
-    x = x[np.abs(x).sum(1) > 0]
-    if not len(x):
+    return write_once(_plain(docs).mapInArrow(run, "_source string, _lang string, _tokens long, x binary"), "profiles")
+
+
+def fit_topics(stored: DataFrame, topics: int = TOPICS, rounds: int = ROUNDS) -> np.ndarray:
+    """Centroids (whole numbers, length about ``UNIT``) by spherical k-means over all profiles with words.
+
+    A round is one scan of the stored profiles: tasks add up the profiles of every topic, Spark adds up the tasks, and
+    topics x DIMS sums reach the driver. The first centroids are the profiles with the smallest hash of every hash class.
+    """
+    own = F.xxhash64("x", F.lit(SEED))
+    rows = stored.filter("_tokens > 0").select("x", own.alias("h"))
+    heads = [r["h"] for r in rows.groupBy(F.pmod("h", F.lit(topics)).alias("k")).agg(F.min("h").alias("h")).orderBy("k").collect()]
+    if not heads:
         return np.eye(1, DIMS)
-    order = np.random.Generator(np.random.PCG64(SEED)).permutation(len(x))
-    _, first = np.unique(x[order[: 4 * topics]], axis=0, return_index=True)
-    c = x[order[np.sort(first)[:topics]]]
+    first = {r["h"]: bytes(r["x"]) for r in rows.filter(F.col("h").isin(heads)).groupBy("h").agg(F.min("x").alias("x")).collect()}
+    c = _scaled(np.stack([np.frombuffer(first[h], np.uint8) for h in heads]).astype(float))
     for _ in range(rounds):
-        at = (x @ c.T).argmax(1)
-        for k in range(len(c)):
-            if (at == k).any():
-                m = x[at == k].sum(0)
-                c[k] = m / np.sqrt((m * m).sum())
+
+        def run(batches: Iterator[pa.RecordBatch], c=c) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((len(c), DIMS), np.int64)
+            for b in batches:
+                x = _matrix(b.column("x"))
+                at = topic_of(x, c)
+                for k in range(len(c)):
+                    sums[k] += x[at == k].sum(0, dtype=np.int64)
+            k, i = sums.nonzero()
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(i), pa.array(sums[k, i])], ["k", "i", "s"])
+
+        total = c.copy()
+        found = rows.select("x").mapInArrow(run, "k long, i long, s long").groupBy("k", "i").agg(F.sum("s").alias("s")).collect()
+        total[sorted({r["k"] for r in found})] = 0.0  # a topic without documents stays where it is
+        for r in found:
+            total[r["k"], r["i"]] = r["s"]
+        new = _scaled(total)
+        if np.array_equal(new, c):
+            break
+        c = new
     return c
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return np.rint(UNIT * x / np.sqrt((x * x).sum(1, keepdims=True)))
+
+
+def _plain(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(
+        *more,
+        F.col("text").cast("string").alias("_text"),
+        F.col("source").cast("string").alias("_source"),
+        F.col("lang").cast("string").alias("_lang"),
+    )
+
+
+def cell_tokens(stored: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """``_source, _lang, _topic, tokens`` of all cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            topic = pa.array(topic_of(_matrix(b.column("x")), centroids))
+            yield pa.RecordBatch.from_arrays([b.column("_source"), b.column("_lang"), topic, b.column("_tokens")], ["_source", "_lang", "_topic", "_tokens"])
+
+    rows = stored.mapInArrow(run, "_source string, _lang string, _topic long, _tokens long")
+    return rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
+
+
 def describe(docs: DataFrame, centroids: np.ndarray, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row with ``_source, _lang, _topic, _tokens``."""
     kinds = dict(docs.dtypes)
@@ -98,17 +148,12 @@ def describe(docs: DataFrame, centroids: np.ndarray, keep: list[str]) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, t in T.slices(b.column("_text"), lower=True):
-                topic = (profiles(t) @ centroids.T).argmax(1)
+                topic = topic_of(profiles(t), centroids)
                 part = b.slice(lo, hi - lo)
                 arrays = [part.column(c) for c in [*keep, "_source", "_lang"]] + [pa.array(topic), pa.array(t.words()[3])]
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, "_source", "_lang", "_topic", "_tokens"])
 
-    return docs.select(
-        *keep,
-        F.col("text").cast("string").alias("_text"),
-        F.col("source").cast("string").alias("_source"),
-        F.col("lang").cast("string").alias("_lang"),
-    ).mapInArrow(run, schema)
+    return _plain(docs, *keep).mapInArrow(run, schema)
 
 
 def tempered(shares: dict, temperature: float) -> dict:
@@ -193,11 +238,11 @@ def mix_sources(
 ) -> DataFrame:
     """Columns ``keep`` (doc_id) of every row with topic, n_tokens, weight, probability, design_weight, and sampled (boolean)."""
     keep = ["doc_id"] if keep is None else keep
-    spark, centroids = docs.sparkSession, fit_topics(docs)
+    spark, stored = docs.sparkSession, store_profiles(docs)
+    centroids = fit_topics(stored)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11) / F.lit(float(1 << 53))
     rows = describe(docs.withColumn("_draw", draw), centroids, [*keep, "_draw"])
-    cells = describe(docs, centroids, []).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
-    cells = write_once(cells, "cells")
+    cells = write_once(cell_tokens(stored, centroids), "cells")
     sources, by_lang, by_topic = calibrate(cells, temperature, **targets)
     b = spark.createDataFrame(list(by_lang.items()), "_l string, b double")
     c = spark.createDataFrame(list(by_topic.items()), "_t long, c double")
