@@ -18,12 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regweave.llm import text as T
 
-#: Documented bounds of the learning sample: documents per language, and bytes taken from each (from a seeded place).
+#: Documented bounds of the learning sample: languages (those with most documents), documents per language, and
+#: characters taken from each (from a seeded place).
+LANGUAGES = 512
 SAMPLE_DOCS = 128
 PIECE = 1024
 LEVEL = 7
@@ -39,30 +41,34 @@ def reduced(data: bytes) -> bytes:
 
 
 def learning_sample(docs: DataFrame, learn: Column, per_language: int = SAMPLE_DOCS, piece: int = PIECE) -> dict[str, bytes]:
-    """Dictionary content per language from the rows that pass ``learn``; about ``per_language`` pieces each.
+    """Dictionary content per language from the rows that pass ``learn``; at most ``per_language`` pieces each.
 
-    Languages are counted first, then rows are drawn by a seeded hash with a rate of their language, so no
-    language is sorted or gathered in one task.
+    Languages are counted first, then rows are drawn by a seeded hash of id and text with a rate of their language, so
+    no language is sorted or gathered in one task. Repeated rows draw alike and give one piece.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     ).filter(learn & F.col("lang").isNotNull() & (F.length("text") > 0))
-    rate = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("rate", F.lit(2.0 * per_language) / F.col("n"))
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 11) / F.lit(float(1 << 53))
-    share = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED + 1)), 11) / F.lit(float(1 << 53))
+    rate = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    rate = rate.withColumn("rate", F.lit(2.0 * per_language) / F.col("n"))
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(SEED)), 11) / F.lit(float(1 << 53))
+    share = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(SEED + 1)), 11) / F.lit(float(1 << 53))
     place = F.floor(F.greatest(F.length("text") - piece, F.lit(0)) * share)
     drawn = (
         rows.join(F.broadcast(rate), "lang")
         .withColumn("draw", draw)
         .filter(F.col("draw") < F.col("rate"))
         .select("n", "lang", "draw", F.substr("text", (place + 1).cast("int"), F.lit(piece)).alias("piece"))
-        .orderBy(F.desc("n"), "lang", "draw", "piece")
+        .distinct()
+        .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "piece")))
+        .filter(F.col("k") <= per_language)
+        .orderBy(F.desc("n"), "lang", "k")
         .collect()
     )
     found: dict[str, list[bytes]] = {}
     for r in drawn:
         found.setdefault(r["lang"], []).append(reduced(r["piece"].encode()))
-    return {k: b"\n".join(v[:per_language]) for k, v in found.items()}
+    return {k: b"\n".join(v) for k, v in found.items()}
 
 
 def has_letter(t: T.Texts) -> np.ndarray:
