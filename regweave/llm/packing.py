@@ -1,7 +1,7 @@
 """Sequence packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups of documents.
 
-Documents are spread over groups at random (about GROUP documents each); every group is tokenized and packed by
-itself, so the work of a task is bounded by its group. A document longer than a sequence is cut into full sequences
+Documents are spread over groups at random (about GROUP documents or GROUP_BYTES of text each, whichever makes
+smaller groups); every group is tokenized and packed by itself, so the work of a task is bounded by its group. A document longer than a sequence is cut into full sequences
 and a rest. Rests are placed longest first: the tournament tree holds the free room of every open bin, with the
 larger of two children in each inner node, and walking down from the root finds the first bin that fits in
 logarithmic time. Afterwards the emptiest bins are cut up to fill the gaps of the others, so that at most one bin of
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 LENGTH = 2048
 END_ID = 1
 GROUP = 1024
+#: Groups get smaller where documents are long: about this many bytes of text at most (or one longer document).
+GROUP_BYTES = 8 << 20
 SEED = 20240611
 MAX_WORDS = 1_000_000
 MARKS = string.punctuation.encode()
@@ -197,7 +199,8 @@ def pack(lengths: np.ndarray, room: int = LENGTH) -> list[list[tuple[int, int, i
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, room: int = LENGTH, group: int = GROUP) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: one row per piece."""
     path = tokenizer or default_tokenizer()
-    groups = max(1, -(-docs.count() // group))
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("b")).first()
+    groups = max(1, -(-size["n"] // group), -(-size["b"] // GROUP_BYTES))
 
     def run(table: pa.Table) -> pa.Table:
         if path not in _state:
