@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -298,6 +300,70 @@ def test_mixing_of_odd_and_no_rows(spark, odd_docs, no_docs):
     assert mixing.mixing_stage(spark, odd_docs, "").columns == odd_docs.columns
 
 
+def plain_profile(text):
+    """Rounded vector of a text, its words hashed one at a time."""
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    x = [0] * mixing.DIMS
+    for w in words:
+        t = next(T.slices(pa.array([w.decode()])))[2]
+        x[int(t.word_hashes()[0]) >> 56] += 1
+    return np.array([round(255 * (c / len(words)) ** 0.5) for c in x] if words else x, float), len(words)
+
+
+def test_mixing_matches_brute_force(spark):
+    """Topics, raking and probabilities against k-means and proportional fitting in plain numpy."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(240):
+        theme, lang = rng.randrange(4), rng.choices(("en", "de", None), (6, 2, 1))[0]
+        words = " ".join(f"{'abcd'[theme]}{rng.randrange(12)}" for _ in range(rng.randint(3, 30)))
+        rows.append((i, words, lang, rng.choices(("big", "low", None), (9, 2, 1))[0]))
+    rows += [rows[0]] * 30 + [(900, "", "en", "low"), (901, None, None, "big")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stored = mixing.store_profiles(docs)
+    heads = {}
+    for r in stored.filter("_tokens > 0").select("x", F.xxhash64("x", F.lit(mixing.SEED)).alias("h")).collect():
+        k = r["h"] % mixing.TOPICS
+        heads[k] = min(heads.get(k, (r["h"], None)), (r["h"], bytes(r["x"])), key=lambda v: (v[0], v[1] is None))
+    scaled = lambda v: np.rint(mixing.UNIT * v / np.linalg.norm(v))
+    c = [scaled(np.frombuffer(heads[k][1], np.uint8).astype(float)) for k in sorted(heads)]
+    x, n = zip(*(plain_profile(r[1]) for r in rows))
+    for _ in range(mixing.ROUNDS):
+        at = [int(np.argmax([v @ k for k in c])) for v in x]
+        sums = [[x[i] for i in range(len(x)) if at[i] == k and n[i]] for k in range(len(c))]
+        c = [scaled(np.sum(s, axis=0)) if s else c[k] for k, s in enumerate(sums)]
+    assert np.array_equal(mixing.fit_topics(stored), np.array(c))
+    topic = [int(np.argmax([v @ k for k in c])) for v in x]
+    cells = {}
+    for r, k, m in zip(rows, topic, n):
+        if m:
+            cells[r[3], r[2], k] = cells.get((r[3], r[2], k), 0) + m
+    total = sum(cells.values())
+    margins = [{}, {}, {}]
+    for key, m in cells.items():
+        for part, v in zip(margins, key):
+            part[v] = part.get(v, 0) + m / total
+    goals = [mixing.tempered(part, mixing.TEMPERATURE) for part in margins]
+    fitted = {key: m / total for key, m in cells.items()}
+    for _ in range(2000):
+        for d in range(3):
+            now = {}
+            for key, m in fitted.items():
+                now[key[d]] = now.get(key[d], 0) + m
+            fitted = {key: m * goals[d][key[d]] / now[key[d]] for key, m in fitted.items()}
+    got = mixing.mix_sources(docs, ["doc_id", "text"]).collect()
+    assert len(got) == len(rows)
+    for g in got:
+        i = next(i for i, r in enumerate(rows) if r[0] == g["doc_id"])
+        assert (g["source"], g["lang"], g["topic"], g["n_tokens"]) == (rows[i][3], rows[i][2], topic[i], n[i])
+        key = g["source"], g["lang"], g["topic"]
+        if key in cells:
+            assert g["probability"] == pytest.approx(min(1.0, fitted[key] / cells[key] * total), abs=1e-4)
+        else:
+            assert g["probability"] == 1.0
+    assert len({g["sampled"] for g in got if g["doc_id"] == 0}) == 1
+
+
 def held(mod, rest):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == rest, F.lit(False))
 
@@ -310,6 +376,43 @@ def test_language_of_held_out_documents(spark, sf01):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_matches_brute_force(spark, odd_docs, sf01):
+    """The smallest of the outputs of compressors made anew for every text, on driver documents and odd ones."""
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    learned = language.learning_sample(docs, ~held(3, 1))
+    rows = docs.select("doc_id", "text").limit(150).unionByName(odd_docs.select("doc_id", "text")).collect()
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string"), learned, F.lit(False)).collect()
+    setting = zstandard.ZstdCompressionParameters.from_level(language.LEVEL, min_match=language.MIN_MATCH, write_content_size=False)
+    want = []
+    for r in rows:
+        if not any(c.isalpha() for c in r["text"] or ""):
+            want.append((r["doc_id"], "und", 0.0))
+            continue
+        plain = "".join(c if c.isascii() and c.isalpha() or ord(c) >= 128 else " " for c in r["text"])
+        data = " ".join("".join(c.lower() if c.isascii() else c for c in plain).split(" ")).encode()
+        data = b" ".join(data.split())
+        sizes = []
+        for name, content in learned.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=setting)
+            sizes.append((len(zstandard.ZstdCompressor(dict_data=d, compression_params=setting).compress(data)), len(sizes), name))
+        (best, _, name), (second, _, _) = sorted(sizes)[:2]
+        want.append((r["doc_id"], name, (second - best) / (second - best + 4.0)))
+    order = lambda v: (v[0] is None, v[0] or 0, v[1], v[2])
+    found = sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in got), key=order)
+    for a, b in zip(found, sorted(want, key=order), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2])
+
+
+def test_language_sample_is_bounded_where_ids_repeat(spark):
+    """All rows of one id, or of no id, do not pass the draw together, and copies of a row give one piece."""
+    rows = [(i % 2 or None, f"mot{i} numero{i} phrase", "fr") for i in range(4000)] + [(7, "the same row", "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language.learning_sample(docs, F.lit(True), per_language=20)
+    assert list(learned) == ["fr"] or learned["en"] == b"the same row"
+    assert 10 <= learned["fr"].count(b"phrase") <= 20
+
+
 def test_language_of_odd_and_no_rows(spark, odd_docs, no_docs):
     learned = language.learning_sample(odd_docs, F.lit(True))
     rows = {r["doc_id"]: r for r in language.identify(odd_docs, learned, F.lit(False)).collect()}
@@ -402,6 +505,32 @@ def test_toxicity_of_held_out_documents(spark, sf01):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
+def test_lexicon_matches_brute_force(spark, sf01):
+    """Documents per word and word beginning, counted in plain Python."""
+    docs, labels = (spark.read.parquet(f"{sf01}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels.select("doc_id", F.col("toxic").cast("int").alias("y")).dropna(), "doc_id").select("text", "y").collect()
+    sampled = spark.createDataFrame(rows, "text string, y int")
+    counts = {}
+    for r in rows:
+        terms = set()
+        for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or "").encode().split():
+            plain = lambda b: chr(b).isascii() and chr(b).isalnum() or b >= 128
+            for _ in range(4):
+                w = w[1:] if w and not plain(w[0]) else w
+                w = w[:-1] if w and not plain(w[-1]) else w
+            if w:
+                terms |= {(0, w)} | {(k, w[:k]) for k in toxicity.BEGINNINGS if len(w) > k}
+        for t in terms:
+            c = counts.setdefault(t, [0, 0])
+            c[0 if r["y"] else 1] += 1
+    bad = sum(r["y"] for r in rows)
+    weight = lambda a, b: np.log((a + 0.5) / (bad + 1)) - np.log((b + 0.5) / (len(rows) - bad + 1))
+    want = sorted((a, b) for a, b in counts.values() if a >= toxicity.MIN_TOXIC and weight(a, b) >= toxicity.MIN_WEIGHT)
+    got = toxicity.learn_lexicon(sampled)
+    assert (got.n_toxic, got.n_other) == (bad, len(rows) - bad) and 0 < len(want) < toxicity.MAX_TERMS
+    assert sorted(zip(got.toxic.tolist(), got.other.tolist())) == want
+
+
 def test_toxicity_of_odd_and_no_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(3, None), (None, 1)], "doc_id long, toxic int")
     for docs in (odd_docs, no_docs):

@@ -133,6 +133,13 @@ def test_packing_round_trip(spark, odd_docs, no_docs):
         assert at <= packing.LENGTH
 
 
+def test_long_documents_make_smaller_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 20_000)
+    docs = spark.createDataFrame([(i, f"word{i} " * 2000) for i in range(30)], "doc_id long, text string")
+    groups = {r["sequence_id"] >> 32 for r in packing.pack_documents(docs).collect()}
+    assert len(groups) > 10
+
+
 def test_packing_pads_little():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 5000, 500)
