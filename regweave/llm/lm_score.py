@@ -45,11 +45,34 @@ ROUNDS = 3
 HEAD = 65_536
 RATE = 0.5
 BATCH = 512
+#: Positions whose class layer is computed at once: small enough for a core's cache. Results do not depend on it.
+BLOCK = 256
 #: Up to this bound exponents are taken as they are; beyond it each row's largest is subtracted first.
 MAX_EXPONENT = 60.0
 SEED = 29
-#: Distinct words a task counts before it hands its counts on (they are summed again in Spark).
-COUNT_BLOCK = 200_000
+#: Words, distinct in their slice, a task counts before it hands its counts on (they are summed again in Spark).
+COUNT_BLOCK = 1_000_000
+
+
+#: Leading bits of a hash that name its bucket in a lookup.
+BUCKET_BITS = 20
+
+
+class Lookup:
+    """Places of hashes in a sorted array of distinct hashes, by a bucket of leading bits and a few steps inside it."""
+
+    def __init__(self, keys: np.ndarray):
+        bucket = np.searchsorted(keys, np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
+        self.first, self.steps = bucket.astype(np.int32), int(np.diff(bucket, append=len(keys)).max())
+        self.keys = np.concatenate([keys, np.zeros(1, np.uint64)])
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where every hash is or would be inserted, and whether it is there."""
+        at = self.first.take((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+        end = len(self.keys) - 1
+        for _ in range(self.steps):
+            at += (self.keys.take(at) < hashes) & (at < end)
+        return at, (self.keys.take(at) == hashes) & (at < end)
 
 
 @dataclass(frozen=True)
@@ -60,13 +83,17 @@ class Vocabulary:
     classes: np.ndarray
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        shared = WORDS + (hashes >> np.uint64(32)).astype(np.int64) % SHARED
+        shared = shared_class(hashes)
         if not len(self.keys):
             return shared
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, self.classes[at], shared)
 
 
+def shared_class(hashes: np.ndarray) -> np.ndarray:
+    return WORDS + (hashes >> np.uint64(32)).astype(np.int64) % SHARED
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -74,18 +101,22 @@ def _texts(docs: DataFrame) -> DataFrame:
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word, n``: hash and count of every lower-case word of all documents, stored once."""
 
+    def flush(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        flush = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["word", "n"])
+        parts, held = [], 0
         for b in batches:
             for _, _, t in T.slices(b.column("text"), lower=True):
-                k, n = np.unique(t.word_hashes(), return_counts=True)
-                keys, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-                if len(keys) > COUNT_BLOCK:
-                    yield flush(keys, counts)
-                    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield flush(keys, counts)
+                parts.append(np.unique(t.word_hashes(), return_counts=True))
+                held += len(parts[-1][0])
+                if held > COUNT_BLOCK:
+                    yield flush(parts)
+                    parts, held = [], 0
+        if parts:
+            yield flush(parts)
 
     counts = _texts(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return write_once(counts, "words")
@@ -123,55 +154,88 @@ def contexts(t: T.Texts, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return word, _around(word, t.words()[3])
 
 
-def _around(word: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Classes of the SIDE words before and after every word, for texts of n words laid end to end."""
-    owner = np.repeat(np.arange(len(n)), n)
+def _around(word: np.ndarray, n: np.ndarray, pick: np.ndarray | None = None) -> np.ndarray:
+    """Classes of the SIDE words before and after every (picked) word, for texts of n words laid end to end."""
     padded = np.full(len(word) + 2 * SIDE * (len(n) + 1), BOUNDARY, word.dtype)
-    place = np.arange(len(word)) + 2 * SIDE * (owner + 1)
+    place = np.arange(len(word)) + np.repeat(2 * SIDE * np.arange(1, len(n) + 1), n)
     padded[place] = word
+    place = place if pick is None else place[pick]
     shifts = [k for k in range(-SIDE, SIDE + 1) if k]
-    return np.stack([padded[place + k] for k in shifts], axis=1) if len(word) else np.zeros((0, 2 * SIDE), word.dtype)
+    return np.stack([padded[place + k] for k in shifts]).T if len(place) else np.zeros((0, 2 * SIDE), word.dtype)
 
 
-def _forward(w: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = w[0][around].reshape(len(around), -1)
-    h = np.tanh(x @ w[1] + w[2])
-    z = h @ w[3]
-    z += w[4]
+def _class_layer(w: list[np.ndarray]) -> tuple[np.ndarray, bool]:
+    """Weights and biases (last row) of the classes, and whether exponents can be taken as they are."""
+    layer = np.vstack([w[3], w[4]])
+    return layer, _bounded(layer)
+
+
+def _bounded(layer: np.ndarray) -> bool:
     # hidden units are within [-1, 1], so small weights bound the exponents
-    if not (np.abs(w[3]).sum(0) + np.abs(w[4])).max() < MAX_EXPONENT:
+    return bool((np.ones(len(layer), layer.dtype) @ np.abs(layer)).max() < MAX_EXPONENT)
+
+
+def _exponents(h: np.ndarray, layer: np.ndarray, bounded: bool, out: np.ndarray) -> np.ndarray:
+    """Exponents of the classes, in ``out``; ``h`` are hidden units and a one, for the bias."""
+    z = np.matmul(h, layer, out=out[: len(h)])
+    if not bounded:
         z -= z.max(1, keepdims=True)
-    return x, h, z
+    return z
 
 
 def log_probabilities(w: list[np.ndarray], word: np.ndarray, around: np.ndarray) -> np.ndarray:
-    out, ones = np.empty(len(word)), np.ones(CLASSES, w[3].dtype)
-    for lo in range(0, len(word), BATCH):
-        at = slice(lo, lo + BATCH)
-        _, _, z = _forward(w, around[at])
-        own = z[np.arange(len(z)), word[at]]
-        out[at] = own - np.log(np.exp(z, out=z) @ ones)
+    out, ones, (layer, bounded) = np.empty(len(word)), np.ones(CLASSES, w[3].dtype), _class_layer(w)
+    # the first layer of every class at every place, summed by place instead of multiplied word by word
+    tables = [w[0] @ w[1][k * EMBED : (k + 1) * EMBED] for k in range(2 * SIDE)]
+    tables[0] += w[2]
+    h, rows, scores = np.ones((BLOCK, HIDDEN + 1), w[3].dtype), np.arange(BLOCK), np.empty((BLOCK, CLASSES), w[3].dtype)
+    for lo in range(0, len(word), BLOCK):
+        y, a = word[lo : lo + BLOCK], around[lo : lo + BLOCK].astype(np.int64)
+        m = len(y)
+        x = tables[0].take(a[:, 0], axis=0)
+        for k in range(1, 2 * SIDE):
+            x += tables[k].take(a[:, k], axis=0)
+        np.tanh(x, out=h[:m, :-1])
+        z = _exponents(h[:m], layer, bounded, scores)
+        own = z[rows[:m], y]
+        out[lo : lo + m] = own - np.log(np.exp(z, out=z) @ ones)
     return out
 
 
 def train(w: list[np.ndarray], word: np.ndarray, around: np.ndarray, rate: float) -> None:
-    """Plain gradient steps, in place."""
-    ones, each, embeddings = np.ones(CLASSES, w[3].dtype), np.arange(EMBED), w[0].reshape(-1)
+    """Plain gradient steps, in place.
+
+    The class layer of a step runs in blocks. Rows are scaled where they are narrow: the exponentials stay as they are,
+    and 1 / (their sum) goes to the hidden units and their gradients.
+    """
+    pairs = np.result_type(w[0], np.complex64)  # two components of an embedding are added at a time
+    embeddings = w[0].reshape(-1).view(pairs)
+    places = np.arange(embeddings.size).reshape(len(w[0]), -1)
+    ones, first, layer = np.ones(max(BATCH, CLASSES), w[3].dtype), np.arange(BLOCK) * CLASSES, _class_layer(w)[0]
+    h, dh, scores = np.ones((BATCH, HIDDEN + 1), w[3].dtype), np.empty((BATCH, HIDDEN), w[3].dtype), np.empty((BLOCK, CLASSES), w[3].dtype)
     for lo in range(0, len(word), BATCH):
-        y, a = word[lo : lo + BATCH], around[lo : lo + BATCH].astype(np.int64)
-        m = len(y)
-        x, h, z = _forward(w, a)
-        p = np.exp(z, out=z)
-        step = rate / m
-        p *= (step / (p @ ones))[:, None]
-        p[np.arange(m), y] -= step
-        dh = (p @ w[3].T) * (1 - h * h)
-        w[3] -= h.T @ p
-        w[4] -= p.sum(0)
-        dx = dh @ w[1].T
-        w[1] -= x.T @ dh
-        w[2] -= dh.sum(0)
-        np.subtract.at(embeddings, (a.reshape(-1, 1) * EMBED + each).reshape(-1), dx.reshape(-1))
+        y, a = word[lo : lo + BATCH], around[lo : lo + BATCH].astype(np.int64).reshape(-1)
+        m, bounded, change = len(y), _bounded(layer), 0.0
+        x, back = w[0].take(a, axis=0).reshape(m, -1), dh[:m]
+        units = x @ w[1]
+        units += w[2]
+        h[:m, :-1] = np.tanh(units, out=units)
+        for b in range(0, m, BLOCK):
+            at = slice(b, min(b + BLOCK, m))
+            p = _exponents(h[at], layer, bounded, scores)
+            total = np.exp(p, out=p) @ ones[:CLASSES]
+            p.reshape(-1)[first[: len(total)] + y[at]] -= total
+            step = (rate / m / total)[:, None]
+            np.multiply(p @ layer[:-1].T, step, out=back[at])
+            change = p.T @ (h[at] * step) + change
+        units *= units
+        back *= np.subtract(1, units, out=units)
+        layer -= change.T
+        dx = back @ w[1].T
+        w[1] -= x.T @ back
+        w[2] -= ones[:m] @ back
+        np.subtract.at(embeddings, places.take(a, axis=0).reshape(-1), dx.reshape(-1).view(pairs))
+    w[3][:], w[4][:] = layer[:-1], layer[-1]
 
 
 def in_round(row: np.ndarray, place: np.ndarray, r: int, rounds: int) -> np.ndarray:
@@ -196,7 +260,9 @@ def encode(docs: DataFrame, vocab: Vocabulary, counts: DataFrame) -> DataFrame:
     known = np.concatenate([vocab.keys, top.column("word").to_numpy().view(np.uint64)])
     known_log = np.concatenate([np.zeros(len(vocab.keys)), np.log(top.column("n").to_numpy() + 1.0)])
     order = np.argsort(known)
-    known, known_log = known[order], known_log[order]
+    known, known_log = known[order], np.append(known_log[order], 0.0)
+    # classes of words that tasks know; the others are shared
+    known_class, find = np.append(vocab.of(known), 0).astype(np.uint8), Lookup(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -204,15 +270,13 @@ def encode(docs: DataFrame, vocab: Vocabulary, counts: DataFrame) -> DataFrame:
             for lo, hi, t in T.slices(b.column("text"), lower=True):
                 n, hashes = t.words()[3], t.word_hashes()
                 owner = np.repeat(np.arange(t.n), n)
-                word = vocab.of(hashes)
-                each, rest = -base[word], np.ones(len(hashes), bool)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    rest = known[at] != hashes
-                    each += np.where(rest, 0.0, known_log[at])
+                at, there = find.places(hashes)
+                word, rest = known_class.take(at), ~there
+                word[rest] = shared_class(hashes[rest])
+                each = np.where(there, known_log.take(at), 0.0) - base.take(word)
                 total = np.bincount(owner, each, minlength=t.n).astype(np.float64)
                 classes = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), t.n, [None, pa.py_buffer(_offsets(n)), pa.py_buffer(word.astype(np.uint8))]
+                    pa.large_binary(), t.n, [None, pa.py_buffer(_offsets(n)), pa.py_buffer(word)]
                 )
                 words = pa.LargeListArray.from_arrays(
                     pa.array(_offsets(np.bincount(owner[rest], minlength=t.n))), pa.array(hashes[rest].view(np.int64))
@@ -258,7 +322,7 @@ def fit_network(encoded: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
                 for lo, hi, word, n in _encoded_parts(b):
                     place = T.ranges(np.zeros(hi - lo, np.int64), n)
                     pick = in_round(np.repeat(rows[lo:hi], n), place, r, rounds)
-                    train(parts, word[pick], _around(word, n)[pick], rate)
+                    train(parts, word[pick], _around(word, n, pick), rate)
                     seen += int(pick.sum())
             if seen:
                 yield pa.RecordBatch.from_arrays(

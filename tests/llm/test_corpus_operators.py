@@ -486,6 +486,65 @@ def test_every_position_is_trained_on():
     assert all(60 < m.sum() < 130 for m in rounds)
 
 
+def test_steps_in_blocks_are_whole_gradient_steps():
+    """Several steps, blocks and a short last one, against gradients written out over whole batches in double precision."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    n = 2 * lm_score.BATCH + lm_score.BLOCK + 7
+    word, around = rng.integers(0, lm_score.BOUNDARY, n), rng.integers(0, lm_score.CLASSES, (n, 2 * lm_score.SIDE))
+    flat = lm_score.initial_weights().astype(np.float64)
+    e, w1, b1, w3, b3 = (p.copy() for p in lm_score.unpacked(flat))
+    for lo in range(0, n, lm_score.BATCH):
+        y, a = word[lo : lo + lm_score.BATCH], around[lo : lo + lm_score.BATCH]
+        x = e[a].reshape(len(y), -1)
+        h = np.tanh(x @ w1 + b1)
+        p = np.exp(h @ w3 + b3)
+        p /= p.sum(1, keepdims=True)
+        p = (p - np.eye(lm_score.CLASSES)[y]) * (0.5 / len(y))
+        dh = (p @ w3.T) * (1 - h * h)
+        dx = (dh @ w1.T).reshape(-1, lm_score.EMBED)
+        w3, b3, w1, b1 = w3 - h.T @ p, b3 - p.sum(0), w1 - x.T @ dh, b1 - dh.sum(0)
+        np.subtract.at(e, a.reshape(-1), dx)
+    lm_score.train(lm_score.unpacked(flat), word, around, 0.5)
+    for got, want in zip(lm_score.unpacked(flat), (e, w1, b1, w3, b3)):
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+    h = np.tanh(e[around].reshape(n, -1) @ w1 + b1)
+    z = h @ w3 + b3
+    want = z[np.arange(n), word] - np.log(np.exp(z).sum(1))
+    assert np.allclose(lm_score.log_probabilities(lm_score.unpacked(flat), word, around), want, rtol=1e-9)
+
+
+def test_class_layer_fits_a_cache():
+    """What a step or a score holds at once stays within 512 KB a matrix of class scores, however many positions follow."""
+    import tracemalloc
+
+    rng = np.random.Generator(np.random.PCG64(4))
+    n = 8 * lm_score.BATCH
+    word, around = rng.integers(0, lm_score.BOUNDARY, n).astype(np.uint8), rng.integers(0, lm_score.CLASSES, (n, 4)).astype(np.uint8)
+    w = lm_score.unpacked(lm_score.initial_weights())
+    for run, bound in ((lambda: lm_score.train(w, word, around, 0.5), 1_100_000), (lambda: lm_score.log_probabilities(w, word, around), 600_000)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < bound, peak
+
+
+def test_lookup_of_hashes():
+    rng = np.random.Generator(np.random.PCG64(5))
+    close = np.uint64(7 << 60) + np.arange(9, dtype=np.uint64)  # one bucket
+    for keys in (np.zeros(0, np.uint64), np.array([0, 2**64 - 1], np.uint64), np.unique(np.concatenate([rng.integers(0, 2**64, 500, np.uint64), close]))):
+        asked = np.concatenate([keys, rng.integers(0, 2**64, 500, np.uint64), close + np.uint64(4), np.array([0, 2**64 - 1], np.uint64)])
+        at, there = lm_score.Lookup(keys).places(asked)
+        assert at.tolist() == np.searchsorted(keys, asked).tolist()
+        assert there.tolist() == np.isin(asked, keys).tolist()
+
+
+def test_contexts_of_picked_positions():
+    word, n = np.arange(60, dtype=np.uint8), np.array([0, 20, 1, 0, 39])
+    pick = word % 3 == 1
+    assert np.array_equal(lm_score._around(word, n, pick), lm_score._around(word, n)[pick])
+
+
 def test_large_weights_do_not_overflow():
     w = [10 * p for p in lm_score.unpacked(lm_score.initial_weights())]
     w[4][5] = 900
