@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ RUN_ROWS = 1 << 16
 MAX_IDS = 1 << 19  # word numbers of a task; beyond that the trie is emptied and numbering starts again
 ID_BITS = 21
 SLICE_BYTES = 4 << 20
+RANK_SHARES = 32
 NO_LANG = "und"
 
 _BREAK = b"\xff"  # in no UTF-8 text
@@ -57,20 +59,35 @@ class WordNumbers(dict):
     """Numbers from 1 for words as they are first seen; the piece break is 0."""
 
     def __init__(self):
-        self[_BREAK] = 0
-        self.words: list[bytes] = [b""]
+        self.words = pa.array([b""], pa.large_binary())
         self.hashes = np.zeros(1, np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.words)
-        self.words.append(word)
-        return n
-
     def numbers(self, data: bytes) -> np.ndarray:
-        """Numbers of the words of plain text, zeros between pieces."""
-        got = np.fromiter(map(self.__getitem__, data.replace(_BREAK, b" \xff ").split()), np.int64)
-        fresh = [xxhash.xxh3_64_intdigest(w) for w in self.words[len(self.hashes) :]]
-        self.hashes = np.concatenate([self.hashes, np.array(fresh, np.uint64)])
+        """Numbers of the words of plain text, zeros between pieces.
+
+        Equal words are found by Arrow's dictionary encoding, so Python sees each distinct word of the text once.
+        """
+        raw = np.frombuffer(data, np.uint8)
+        cut = raw == _BREAK[0]
+        inside = ~cut & (raw != 0x20)
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        size = np.flatnonzero(last) - np.flatnonzero(first) + 1
+        ends = np.concatenate([[0], np.cumsum(size)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(raw[inside])])
+        coded = words.dictionary_encode()
+        found = coded.dictionary.to_pylist()
+        own = np.fromiter(map(self.get, found, [0] * len(found)), np.int64, len(found))
+        fresh = np.flatnonzero(own == 0)
+        own[fresh] = np.arange(len(fresh)) + len(self.words)
+        new = [found[i] for i in fresh.tolist()]
+        self.update(zip(new, own[fresh].tolist()))
+        self.words = pa.concat_arrays([self.words, coded.dictionary.take(pa.array(fresh))])
+        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
+        first |= cut
+        got = np.zeros(int(np.count_nonzero(first)), np.int64)
+        got[inside[first]] = own.take(coded.indices.to_numpy())
         return got
 
 
@@ -82,9 +99,11 @@ def phrase_hash(lang: str, columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _bits(h: np.ndarray) -> list[np.ndarray]:
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    return [(h >> np.uint64(s)) & mask for s in (0, 19, 38)]
+_SHIFTS = (0, 19, 38)
+
+
+def _bit(h: np.ndarray, shift: int) -> np.ndarray:
+    return (h >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
 
 
 def frequent_filter(table: DataFrame) -> np.ndarray:
@@ -96,7 +115,7 @@ def frequent_filter(table: DataFrame) -> np.ndarray:
             for i, (lang, phrase) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())):
                 words = [np.array([xxhash.xxh3_64_intdigest(w)], np.uint64) for w in phrase.encode().split(b" ")]
                 h[i] = phrase_hash(lang, words)[0]
-            at = np.concatenate(_bits(h))
+            at = np.concatenate([_bit(h, s) for s in _SHIFTS])
             bit = np.uint64(1) << (at & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bit.view(np.int64))], ["word", "bits"])
 
@@ -107,9 +126,14 @@ def frequent_filter(table: DataFrame) -> np.ndarray:
 
 
 def _contains(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(h), bool)
-    for at in _bits(h):
-        ok &= (bloom[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    """A hash is looked up further only as long as its bits are set."""
+    left = None
+    for shift in _SHIFTS:
+        at = _bit(h if left is None else h[left], shift)
+        hit = np.flatnonzero(bloom.take((at >> np.uint64(6)).view(np.int64)) >> (at & np.uint64(63)) & np.uint64(1))
+        left = hit if left is None else left[hit]
+    ok = np.zeros(len(h), bool)
+    ok[left] = True
     return ok
 
 
@@ -187,12 +211,13 @@ def _leaves(node: dict, words: int) -> tuple[list[int], list[int]]:
 
 def _run(lang: str, words: pa.Array, length: int, subtrees: list[tuple[int, list[int], list[int]]]) -> pa.RecordBatch:
     """A sorted run of some subtrees."""
-    first = np.repeat(np.array([w for w, _, _ in subtrees], np.int64), [len(k) for _, k, _ in subtrees])
-    rest = np.array([k for _, keys, _ in subtrees for k in keys], np.int64)
-    counts = np.array([c for _, _, found in subtrees for c in found], np.int64)
+    sizes = [len(keys) for _, keys, _ in subtrees]
+    first = np.repeat(np.array([w for w, _, _ in subtrees], np.int64), sizes)
+    rest = np.fromiter(chain.from_iterable(keys for _, keys, _ in subtrees), np.int64, sum(sizes))
+    counts = np.fromiter(chain.from_iterable(found for _, _, found in subtrees), np.int64, sum(sizes))
     parts = [rest >> (ID_BITS * i) & ((1 << ID_BITS) - 1) for i in range(max(length - 1, 1))][::-1]
     columns = [words.take(pa.array(c)) for c in ([first] if length > 1 else []) + parts]
-    phrase = pc.binary_join_element_wise(*columns, b" ") if len(columns) > 1 else columns[0]
+    phrase = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary())) if len(columns) > 1 else columns[0]
     order = pc.sort_indices(phrase)
     table = [pa.array([lang] * len(counts)), phrase.take(order).cast(pa.string()), pa.array(counts).take(order)]
     return pa.RecordBatch.from_arrays(table, schema=_RUN)
@@ -230,7 +255,6 @@ def count_runs(texts: DataFrame, length: int, bloom=None) -> DataFrame:
         ids, tries = WordNumbers(), {}
 
         def spilled(upto: int) -> Iterator[pa.RecordBatch]:
-            words = pa.array(ids.words, pa.binary())
             total = sum(t.entries for t in tries.values())
             for lang, trie in tries.items():
                 held, rows = [], 0
@@ -238,10 +262,10 @@ def count_runs(texts: DataFrame, length: int, bloom=None) -> DataFrame:
                     held.append(subtree)
                     rows += len(subtree[1])
                     if rows >= RUN_ROWS:
-                        yield _run(lang, words, length, held)
+                        yield _run(lang, ids.words, length, held)
                         held, rows = [], 0
                 if held:
-                    yield _run(lang, words, length, held)
+                    yield _run(lang, ids.words, length, held)
 
         for batch in batches:
             langs = batch.column("lang").to_numpy(zero_copy_only=False)
@@ -335,9 +359,12 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) ->
     )
     covered = F.col("longer").cast("decimal(20,0)") * 100 >= F.col("a").cast("decimal(20,0)") * COVER_PERCENT
     left = worst.join(inside, ["lang", "phrase"], "left").filter(~F.coalesce(covered, F.lit(False)))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    best = [F.desc("score"), F.desc("a"), F.col("phrase")]
     ranked = left.select("lang", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"), F.col("c.score").alias("score"))
-    ranked = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # the best of every share of a language first: no task sorts all phrases of a language
+    ranked = ranked.withColumn("share", F.pmod(F.hash("phrase"), F.lit(RANK_SHARES)))
+    for keys in (["lang", "share"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

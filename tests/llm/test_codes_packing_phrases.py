@@ -303,6 +303,43 @@ def test_trie_counts_what_it_is_given():
         assert got == want and trie.entries == 0
 
 
+def test_word_numbers_look_up_distinct_words_once():
+    """Numbers as a plain split gives them, over several texts; the dictionary is asked once per distinct word of a text."""
+    asked = []
+
+    class Counted(collocations.WordNumbers):
+        def get(self, word, default=None):
+            asked.append(word)
+            return super().get(word, default)
+
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    rng = np.random.default_rng(3)
+    ids, plain = Counted(), {b"\xff": 0}
+    texts = [b"", b"\xff", b" \xff\xff one", b"one", b"   "]
+    texts += [b"".join(rng.choice([b"a", b"bc", "\u00e9".encode(), b"\x01", b"\x1c", b" ", b"  ", b"\xff"], 400)) for _ in range(5)]
+    for t in texts:
+        asked.clear()
+        words = [w for w in t.replace(b"\xff", b" \xff ").split(b" ") if w]
+        want = [plain.setdefault(w, len(plain)) for w in words]
+        assert ids.numbers(t).tolist() == want
+        assert len(asked) <= len(set(words))
+    assert ids.words.to_pylist() == [b"", *list(plain)[1:]]
+    assert ids.hashes[1:].tolist() == [collocations.xxhash.xxh3_64_intdigest(w) for w in list(plain)[1:]]
+
+
+def test_ranking_of_one_language_is_shared(spark):
+    """A language's phrases are ranked in shares first, and the ranks are those of the whole."""
+    rng = np.random.default_rng(6)
+    rows = [("en", " ".join(rng.choice(["a", "b", "c", "d", "e", "f"], 40).tolist())) for _ in range(120)]
+    made = collocations.collocations(as_texts(spark, rows), min_count=5, top=30)
+    assert found(made) == brute_collocations(rows, 5, 30) and len(found(made)) == 30
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number()") == 2
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     a, left, right = 7_000_000_000_000_000, 8_000_000_000_000_001, 9_000_000_000_000_003
     expr = f"cast(cast(a as decimal(20, 0)) * cast({collocations.SCORE_SCALE} as decimal(18, 0)) div cast(l + r as decimal(20, 0)) as bigint)"
