@@ -33,7 +33,7 @@ SQL_USED = "used AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS ic FR
 
 def _parts_file(spark, sf):
     path = scratch_path(spark, "gene-major")
-    W.save_matrix_slice(parts_expression(spark, sf), path)
+    W.save_matrix_slice(parts_expression(spark, sf), path, compression="lz4")
     return path
 
 
@@ -60,12 +60,12 @@ def gene_major_cells(spark, sf):
 )
 def numbered_lines(spark, sf):
     lines = T.numbered_lines(spark, _parts_file(spark, sf))
-    return lines.select(F.split("value", "\t")[0].alias("first_field"), "line_no")
+    return lines.select(F.substring_index("value", "\t", 1).alias("first_field"), "line_no")
 
 
 @query("skipped_headers", f"WITH {SQL_PARTS} SELECT gene FROM (SELECT DISTINCT gene FROM expr) ORDER BY gene OFFSET 2")
 def skipped_headers(spark, sf):
-    return T.skip_lines(spark, _parts_file(spark, sf), 3).select(F.split("value", "\t")[0].alias("gene"))
+    return T.skip_lines(spark, _parts_file(spark, sf), 3).select(F.substring_index("value", "\t", 1).alias("gene"))
 
 
 @query(
