@@ -4,10 +4,15 @@ Between two bins in which a target has values, its running sum stands still whil
 a convex function of the count (squares over positive linear terms). So the best split of such a run is at its first or
 last bin, and only runs are looked at: one row per (target, regulator, bin with values) and one leading row per (target,
 regulator), which is the size of the answer. No table of targets x bins is made.
+
+On a sparse matrix the same is done by the tasks of :mod:`regweave.plans.stumps`, which hold the regulators and go through
+the targets, so pairs are neither shuffled nor sorted.
 """
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +24,12 @@ from regweave.session import write_once
 
 def first_round_gains(values: DataFrame, cells: DataFrame, binned: Binned, params: BoostParams, targets: DataFrame | None = None) -> DataFrame:
     """``regulator, target, gain`` of all pairs whose best gain is above the least one."""
+    from regweave.plans import stumps
+
+    if stumps.fits(values, cells, binned, dataclasses.replace(params, max_depth=1)):
+        all_cells = cells.select("cell", F.lit(0).alias("phase"), F.lit(True).alias("fit"))
+        whole = dataclasses.replace(params, max_depth=1, subsample=1.0, colsample_bytree=1.0)
+        return stumps.StumpBooster(values, all_cells, binned, whole, targets).first_gains()
     if targets is not None:
         values = values.join(targets, "gene", "left_semi")
     p0, lam, floor = params.base_score, params.reg_lambda, max(params.min_child_weight, 1e-12)

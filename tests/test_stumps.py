@@ -116,3 +116,16 @@ def test_state_follows_the_entries(spark):
     assert log.count() >= 18
     size = spark.read.parquet(fit.state).selectExpr("sum(size(base) + size(idx) + size(val)) as n").first().n
     assert size < 1000
+
+
+@pytest.mark.parametrize("mcw", [0.0, 1.0, 4.0])
+def test_sparse_first_gains_match_brute_force(problem, data, mcw, monkeypatch):
+    from test_boosting import brute_first_gains
+
+    Y, X, regs, names = data
+    keep = present(Y, names)
+    monkeypatch.setattr("regweave.plans.first_round.target_moments", None)  # the windows over pairs are not used
+    got = {(r.regulator, r.target): r.gain for r in INF.first_round_gains(problem, BoostParams(min_child_weight=mcw)).collect()}
+    want = brute_first_gains(Y[keep], X, regs, [names[i] for i in keep], max(mcw, 1e-12))
+    assert got.keys() == want.keys() and got
+    np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-9)
