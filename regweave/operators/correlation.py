@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,10 @@ from regweave.operators.skew import salted_join, spread
 from regweave.session import write_once
 
 TIE_SALTS = 64
+HELD_ENTRIES = 8_000_000  # regulator entries that a task holds
+HELD_CELLS = 1 << 20  # cells of a gene that come as one row
+CHUNK = 1 << 16
+PAIRS = 1 << 20
 
 
 def _bucket(value: Column) -> Column:
@@ -105,12 +113,116 @@ def pair_products(values: DataFrame, regulators: DataFrame, bound: int | None =
     )
 
 
+def _held_regulators(x: DataFrame, regulators: DataFrame, nr_entries: int) -> DataFrame:
+    """The regulators' entries in rows of some ten thousand, and their names and sums, for a task that holds them."""
+    none = lambda *kinds: [F.lit(None).cast(kind) for kind in kinds]
+    chunk = F.pmod(F.xxhash64("ridx", "cell"), F.lit(-(-nr_entries // CHUNK) or 1))
+    entries = x.filter("cell IS NOT NULL").groupBy(chunk.alias("_c")).agg(F.collect_list(F.struct("ridx", "cell", "value")).alias("e"))
+    entries = entries.select(F.col("e.ridx").alias("ridx"), F.col("e.cell").alias("cell"), F.col("e.value").alias("value"), *none("array<double>", "array<string>"))
+    sums = x.groupBy("ridx").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")).join(regulators, "ridx")
+    sums = sums.groupBy(F.floor(F.col("ridx") / CHUNK).alias("_c")).agg(F.collect_list(F.struct("ridx", "s", "ss", "regulator")).alias("e"))
+    sums = sums.select(F.col("e.ridx").alias("ridx"), *none("array<bigint>"), F.col("e.s").alias("value"), F.col("e.ss").alias("squares"), F.col("e.regulator").alias("names"))
+    return entries.union(sums).toDF("ridx", "cell", "value", "squares", "names")
+
+
+class _Held:
+    """Regulators by cell, and their sums, in a task."""
+
+    def __init__(self, rows: list[dict[str, pa.Scalar]]):
+        array = lambda x, kind: np.zeros(0, kind) if x.values is None else x.values.to_numpy(zero_copy_only=False).astype(kind)
+        entries, sums = ([r for r in rows if (r["names"].values is None) == plain] for plain in (True, False))
+        ridx, cell, value = (np.concatenate([array(r[c], kind) for r in entries] + [np.zeros(0, kind)]) for c, kind in (("ridx", np.int64), ("cell", np.int64), ("value", float)))
+        place, self.s, self.ss = (np.concatenate([array(r[c], kind) for r in sums] + [np.zeros(0, kind)]) for c, kind in (("ridx", np.int64), ("value", float), ("squares", float)))
+        names = [n for r in sums for n in r["names"].as_py()]
+        order = np.argsort(place)  # regulators in order; one without entries has no sums and no row
+        self.names, self.s, self.ss = [names[i] for i in order], self.s[order], self.ss[order]
+        self.at = {n: i for i, n in enumerate(self.names)}
+        self.tf = pa.array(self.names, pa.string())
+        order = np.argsort(cell, kind="stable")
+        self.row, self.value = np.searchsorted(np.sort(place), ridx[order]), value[order]
+        self.cell, starts = np.unique(cell[order], return_index=True)
+        self.ptr = np.append(starts, len(cell))
+
+    def products(self, cell: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Scalar products of all regulators with a vector."""
+        at = np.searchsorted(self.cell, cell)
+        hit = at < len(self.cell)
+        hit[hit] = self.cell[at[hit]] == cell[hit]
+        at, value = at[hit], value[hit]
+        out = np.zeros(len(self.names))
+        sizes = self.ptr[at + 1] - self.ptr[at]
+        upto, done = np.cumsum(sizes), 0
+        while done < len(at):  # so many pairs at once
+            stop = max(done + 1, int(np.searchsorted(upto, upto[done] - sizes[done] + PAIRS, side="right")))
+            n = sizes[done:stop]
+            i = np.arange(n.sum()) + np.repeat(self.ptr[at[done:stop]] - (np.cumsum(n) - n), n)
+            out += np.bincount(self.row[i], self.value[i] * np.repeat(value[done:stop], n), len(out))
+            done = stop
+        return out
+
+
+def _pearson_in_tasks(values: DataFrame, regulators: DataFrame, x: DataFrame, nr_entries: int, nr_cells: int) -> DataFrame:
+    """Tasks hold the regulators and go through the genes: entries are shuffled, never pairs."""
+    parts = 2 * values.sparkSession.sparkContext.defaultParallelism
+    held = _held_regulators(x, regulators, nr_entries).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    entry = F.when(F.col("cell").isNotNull(), F.struct(F.col("cell").cast("bigint").alias("cell"), F.col("value").cast("double").alias("value")))
+    genes = values.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.collect_list(entry).alias("e"))
+    genes = genes.select(
+        F.lit(1).alias("side"), F.pmod(F.xxhash64("gene"), F.lit(parts)).cast("int").alias("g"), "gene", "s", "ss", F.col("e.cell").alias("cell"), F.col("e.value").alias("value")
+    )
+    both = held.withColumn("side", F.lit(0)).unionByName(genes, allowMissingColumns=True)
+    both = both.repartitionById(parts, F.col("g")).sortWithinPartitions("side")
+    n = float(nr_cells)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, regs, out, size = [], None, [], 0
+        for batch in batches:
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            for i in range(batch.num_rows):
+                row = {c: v[i] for c, v in columns.items()}
+                if row["side"].as_py() == 0:
+                    rows.append(row)
+                    continue
+                if regs is None:
+                    regs, rows = _Held(rows), []
+                gene, s, ss = (row[c].as_py() for c in ("gene", "s", "ss"))
+                s, ss = (np.nan if v is None else v for v in (s, ss))
+                xy = np.zeros(len(regs.s))
+                if gene is not None:
+                    xy = regs.products(row["cell"].values.to_numpy(zero_copy_only=False), row["value"].values.to_numpy(zero_copy_only=False))
+                cov = xy - s * regs.s / n
+                spread = np.sqrt(np.maximum(ss - s * s / n, 0.0)) * np.sqrt(np.maximum(regs.ss - regs.s * regs.s / n, 0.0))
+                known = (spread != 0) & ~np.isnan(s)
+                corr = np.divide(cov, spread, out=np.zeros(len(cov)), where=known)
+                own = regs.at.get(gene, -1)
+                if own >= 0:
+                    corr[own], known[own] = 1.0, True
+                sign = np.sign(np.nan_to_num(cov)).astype(np.int32)
+                out.append([regs.tf, pa.repeat(pa.scalar(gene, pa.string()), len(cov)), pa.array(corr, mask=~known), pa.array(sign)])
+                size += len(cov)
+                if size >= CHUNK:
+                    yield _stacked(out)
+                    out, size = [], 0
+        if out:
+            yield _stacked(out)
+
+    return both.mapInArrow(work, "tf string, gene string, corr double, sign int")
+
+
+def _stacked(parts: list[list[pa.Array]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], ["tf", "gene", "corr", "sign"])
+
+
 def pearson(values: DataFrame, regulators: DataFrame, nr_cells: int) -> DataFrame:
     """``tf, gene, corr, sign`` for every regulator and gene, from sums over stored entries.
 
     ``regulators`` is ``(regulator, ridx)``. Constant genes have no correlation (null). A regulator with
-    itself is 1.
+    itself is 1. Regulators of few entries are held by tasks that go through the genes; otherwise products are joined.
     """
+    x = values.join(regulators.withColumnRenamed("regulator", "gene"), "gene").select("ridx", F.col("cell").cast("bigint").alias("cell"), F.col("value").cast("double").alias("value"))
+    nr_entries = x.count() if nr_cells <= HELD_CELLS else HELD_ENTRIES + 1
+    if nr_entries <= HELD_ENTRIES:
+        return _pearson_in_tasks(values, regulators, x, nr_entries, nr_cells)
     sums = values.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
     sums = write_once(sums, "gene-sums")
     reg = sums.join(regulators.withColumnRenamed("regulator", "gene"), "gene").select(

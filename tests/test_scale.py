@@ -63,3 +63,36 @@ def test_skipped_lines_over_several_files(spark, tmp_path):
     for n in (1, 3, 4, 9, 15, 20):
         got = sorted(r.value for r in T.skip_lines(spark, str(tmp_path), n).collect())
         assert got == [f"{i}-{k}" for i in range(5) for k in range(3)][n:]
+
+
+def test_correlations_without_shuffled_pairs(spark, monkeypatch):
+    """Both ways of correlating agree, with numpy too; the plan for few regulator entries joins no grid of pairs."""
+    from brute import as_expression
+    from regweave.operators import correlation as R
+    from regweave.operators.select import regulator_index
+
+    rng = np.random.default_rng(8)
+    m = rng.integers(1, 9, (30, 50)) * (rng.random((30, 50)) < 0.1).astype(float)
+    m[4] = m[2]
+    m[5] = 0
+    m[5, :] = 3  # constant: no correlation
+    names = [f"g{i:02d}" for i in range(30)]
+    expr = as_expression(spark, m, names)
+    regs = regulator_index(expr.values, names[:7])
+    monkeypatch.setattr(R, "PAIRS", 5)
+    monkeypatch.setattr(R, "CHUNK", 11)
+    found = []
+    for held in (R.HELD_ENTRIES, -1):
+        monkeypatch.setattr(R, "HELD_ENTRIES", held)
+        out = R.pearson(expr.values, regs, 50)
+        joins = "Join" in out._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+        assert joins == (held < 0)
+        found.append({(r.tf, r.gene): (r.corr, r.sign) for r in out.collect()})
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 7 * sum(m.any(axis=1))
+    for (tf, gene), (corr, sign) in found[0].items():
+        other = found[1][tf, gene]
+        assert sign == other[1] and (corr is None) == (other[0] is None)
+        if corr is not None:
+            a, b = m[names.index(tf)], m[names.index(gene)]
+            want = 1.0 if tf == gene else np.corrcoef(a, b)[0, 1]
+            np.testing.assert_allclose([corr, other[0]], want, rtol=1e-9, atol=1e-12)
