@@ -96,3 +96,25 @@ def test_correlations_without_shuffled_pairs(spark, monkeypatch):
             a, b = m[names.index(tf)], m[names.index(gene)]
             want = 1.0 if tf == gene else np.corrcoef(a, b)[0, 1]
             np.testing.assert_allclose([corr, other[0]], want, rtol=1e-9, atol=1e-12)
+
+
+def test_task_hook_shuffles_a_vector_once_per_group_of_regulators(spark, monkeypatch):
+    from brute import as_expression
+    from regweave.operators.matrix import pack
+    from regweave.plans import tasks
+
+    rng = np.random.default_rng(5)
+    m = rng.integers(0, 4, (40, 12)).astype(float)
+    names = [f"g{i:02d}" for i in range(40)]
+    packed = pack(as_expression(spark, m, names).values, 12, cells_per_row=5)
+    regs = spark.createDataFrame([(g,) for g in names[:9]], "gene string")
+    task = lambda row, block: [(row.gene, g, float(p)) for g, p in zip(block.genes, block.products(row))]
+    want = sorted((t, r, float(m[i] @ m[k])) for i, t in enumerate(names) for k, r in enumerate(names[:9]) if m[i].any() and m[k].any())
+    rows = {}
+    for held in (10**6, 40, 1):
+        monkeypatch.setattr(tasks, "HELD_ENTRIES", held)
+        out = tasks.flat_map_targets_with_regulators(packed, regs, task, "target string, regulator string, product double", 8, 2)
+        assert sorted(map(tuple, out.collect())) == want
+        plan = out._jdf.queryExecution().analyzed().toString()
+        rows[held] = [int(x) for x in __import__("re").findall(r"explode\(sequence\(0, (\d+)", plan)]
+    assert 0 in rows[10**6] and all(n > 0 for n in rows[1])  # copies of a target's vector: one, then several
