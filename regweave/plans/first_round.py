@@ -29,7 +29,7 @@ def first_round_gains(values: DataFrame, cells: DataFrame, binned: Binned, param
     if stumps.fits(values, cells, binned, dataclasses.replace(params, max_depth=1)):
         all_cells = cells.select("cell", F.lit(0).alias("phase"), F.lit(True).alias("fit"))
         whole = dataclasses.replace(params, max_depth=1, subsample=1.0, colsample_bytree=1.0)
-        return stumps.StumpBooster(values, all_cells, binned, whole, targets).first_gains()
+        return stumps.StumpBooster(values, all_cells, binned, whole, targets, totals=True).first_gains()
     if targets is not None:
         values = values.join(targets, "gene", "left_semi")
     p0, lam, floor = params.base_score, params.reg_lambda, max(params.min_child_weight, 1e-12)

@@ -129,3 +129,19 @@ def test_sparse_first_gains_match_brute_force(problem, data, mcw, monkeypatch):
     want = brute_first_gains(Y[keep], X, regs, [names[i] for i in keep], max(mcw, 1e-12))
     assert got.keys() == want.keys() and got
     np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-9)
+
+
+def test_first_gains_count_cells_outside_the_list(spark, monkeypatch):
+    """Entries of cells that are null or not listed count in sums and bins, repeated cells repeat products, as in the windows."""
+    Y, _, regs, names = sparse()
+    rows = [(g, c if c < 70 else None if c % 2 else c, float(v)) for g, row in zip(names, Y) for c, v in enumerate(row) if v]
+    rows += [(None, 5, 2.0), (None, None, 1.0)]
+    values = spark.createDataFrame(rows, "gene string, cell int, value double")
+    cells = spark.createDataFrame([(c,) for c in [*range(80), 3, 4]], "cell int")
+    found = []
+    for density in (2.0, 0.0):
+        monkeypatch.setattr(stumps, "DENSITY", density)
+        problem = INF.prepare(Expression(values, cells), regs)
+        found.append({(r.regulator, r.target): r.gain for r in INF.first_round_gains(problem).collect()})
+    assert found[0].keys() == found[1].keys() and found[0]
+    np.testing.assert_allclose([found[0][k] for k in found[1]], list(found[1].values()), rtol=1e-9)
